@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from . import licenses, mixing, url_filter
+from . import licenses, mixing, quality, toxicity, url_filter
 from .common import read
 
 
@@ -12,6 +10,14 @@ def op2_url_filter(spark, sf_dir):
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op3_quality(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), spark)
+
+
+def op4_toxicity(spark, sf_dir):
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), spark)
+
+
 def op6_mixing(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, spark).select("doc_id", "source", "mix_phase", "mix_block", "mix_slot", "mix_position")
@@ -21,5 +27,5 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"), spark)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op6_mixing, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_quality, op4_toxicity, op6_mixing, op10_license_scan)}
 ORACLE_SQL = {"op2_url_filter": url_filter.oracle(), "op10_license_scan": licenses.oracle()}

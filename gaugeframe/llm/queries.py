@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality, toxicity, url_filter
+from . import jaccard, licenses, mixing, quality, toxicity, url_filter
 from .common import read
 
 
@@ -23,9 +23,13 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(docs, spark).select("doc_id", "source", "mix_phase", "mix_block", "mix_slot", "mix_position")
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.classes(read(spark, sf_dir, "documents"), spark).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"), spark)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_quality, op4_toxicity, op6_mixing, op10_license_scan)}
-ORACLE_SQL = {"op2_url_filter": url_filter.oracle(), "op10_license_scan": licenses.oracle()}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_quality, op4_toxicity, op6_mixing, op9_jaccard_join, op10_license_scan)}
+ORACLE_SQL = {"op2_url_filter": url_filter.oracle(), "op9_jaccard_join": jaccard.oracle(), "op10_license_scan": licenses.oracle()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, line_dedup, mixing, quality, toxicity, url_filter
+from . import decontaminate, embedding_dedup, jaccard, licenses, line_dedup, mixing, quality, toxicity, url_filter
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), spark)
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), spark)
+
+
 def op6_mixing(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, spark).select("doc_id", "source", "mix_phase", "mix_block", "mix_slot", "mix_position")
@@ -30,6 +34,10 @@ def op7_line_dedup(spark, sf_dir):
     return out.select("doc_id", (F.size(F.split("text", "\n")) + F.size("removed") - (F.when((F.size("removed") > 0) & (F.col("text") == ""), 1).otherwise(0))).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), spark)
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard.classes(read(spark, sf_dir, "documents"), spark).select("doc_id", "n_shingles", "component_id")
 
@@ -38,5 +46,5 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"), spark)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_quality, op4_toxicity, op6_mixing, op7_line_dedup, op9_jaccard_join, op10_license_scan)}
-ORACLE_SQL = {"op2_url_filter": url_filter.oracle(), "op7_line_dedup": line_dedup.oracle(), "op9_jaccard_join": jaccard.oracle(), "op10_license_scan": licenses.oracle()}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_quality, op4_toxicity, op5_decontamination, op6_mixing, op7_line_dedup, op8_embedding_dedup, op9_jaccard_join, op10_license_scan)}
+ORACLE_SQL = {"op2_url_filter": url_filter.oracle(), "op7_line_dedup": line_dedup.oracle(), "op8_embedding_dedup": embedding_dedup.oracle(), "op9_jaccard_join": jaccard.oracle(), "op10_license_scan": licenses.oracle()}

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard, licenses, line_dedup, mixing, quality, toxicity, url_filter
+from . import decontaminate, embedding_dedup, jaccard, licenses, line_dedup, mixing, quality, suffix_dedup, toxicity, url_filter
 from .common import read
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.cut(read(spark, sf_dir, "documents"), spark))
+
+
 def op2_url_filter(spark, sf_dir):
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
@@ -46,5 +50,5 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"), spark)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_quality, op4_toxicity, op5_decontamination, op6_mixing, op7_line_dedup, op8_embedding_dedup, op9_jaccard_join, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_quality, op4_toxicity, op5_decontamination, op6_mixing, op7_line_dedup, op8_embedding_dedup, op9_jaccard_join, op10_license_scan)}
 ORACLE_SQL = {"op2_url_filter": url_filter.oracle(), "op7_line_dedup": line_dedup.oracle(), "op8_embedding_dedup": embedding_dedup.oracle(), "op9_jaccard_join": jaccard.oracle(), "op10_license_scan": licenses.oracle()}

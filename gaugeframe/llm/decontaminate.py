@@ -136,29 +136,44 @@ def align(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return best
 
 
+def blocks_of(benchmark: DataFrame) -> list[list[tuple[int, np.ndarray]]]:
+    """The items in blocks of at most BLOCK words, or of one longer item."""
+    out: list[list[tuple[int, np.ndarray]]] = []
+    size = BLOCK
+    for item in items_of(benchmark):
+        size += len(item[1])
+        if size > BLOCK:
+            out.append([])
+            size = len(item[1])
+        out[-1].append(item)
+    return out
+
+
+def block_seeds(docs: DataFrame, block: list, spark: SparkSession) -> list[tuple[int, int, int]]:
+    known = np.unique(np.concatenate([item_grams(h) for _, h in block]))
+    return seeds_of(block, dict(zip(known.tolist(), gram_counts(docs, known, spark).tolist())))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
     """doc_id, item_id, score, share of each item that a document holds."""
-    items = items_of(benchmark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, score int, share double"
-    out = None
-    block: list[tuple[int, np.ndarray]] = []
-    blocks = []
-    for item in items:
-        block.append(item)
-        if sum(len(h) for _, h in block[-1:]) and sum(len(h) for _, h in block) >= BLOCK:
-            blocks.append(block)
-            block = []
-    blocks += [block] if block else []
-    for block in blocks:
-        known = np.unique(np.concatenate([item_grams(h) for _, h in block]))
-        count = dict(zip(known.tolist(), gram_counts(docs, known, spark).tolist()))
-        found = scan(docs, block, seeds_of(block, count), spark, schema)
-        out = found if out is None else out.unionAll(found)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
-def scan(docs: DataFrame, items: list, seeds: list, spark: SparkSession, schema: str) -> DataFrame:
+    out = spark.createDataFrame([], schema)
+    for i, block in enumerate(blocks_of(benchmark)):
+        found = scan(docs.select("doc_id", "text"), block, block_seeds(docs, block, spark), spark, schema)
+        out = out.unionAll(found) if i else found
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
+    """docs, all columns, without those that hold a benchmark item; rows are judged where they lie, without a join."""
+    for block in blocks_of(benchmark):
+        docs = scan(docs, block, block_seeds(docs, block, spark), spark, docs.schema, keep_clean=True)
+    return docs
+
+
+def scan(docs: DataFrame, items: list, seeds: list, spark: SparkSession, schema, keep_clean: bool = False) -> DataFrame:
+    """The items that documents hold, or with keep_clean the rows that hold none."""
     seeds = sorted(seeds)
     key = np.array([s[0] for s in seeds], np.uint64)
     table = (np.unique(key), np.searchsorted(key, np.unique(key)), np.searchsorted(key, np.unique(key), side="right"), np.array([s[1] for s in seeds]), np.array([s[2] for s in seeds]), items)
@@ -169,7 +184,7 @@ def scan(docs: DataFrame, items: list, seeds: list, spark: SparkSession, schema:
         lengths = np.array([len(h) for _, h in items])
         widest = int(lengths.max())
         for b in batches:
-            ids, found, score, share = [], [], [], []
+            ids, found, score, share = [], [], [], []  # ids: rows of the batch
             for i, _, buf, offs in chunks(b.column("text")):
                 h, doc = word_hashes(buf, offs)
                 sizes = np.bincount(doc, minlength=len(offs) - 1)
@@ -230,12 +245,11 @@ def scan(docs: DataFrame, items: list, seeds: list, spark: SparkSession, schema:
                         found.append(items[it][0])
                         score.append(s)
                         share.append(s / (MATCH * n))
+            if keep_clean:
+                holds = np.ones(len(b), bool)
+                holds[ids] = False
+                yield b.filter(pa.array(holds))
+                continue
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(found, pa.int64()), pa.array(score, pa.int32()), pa.array(share, pa.float64())], ["doc_id", "item_id", "score", "share"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    bad = find(docs, benchmark, spark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.mapInArrow(run, schema)

@@ -300,6 +300,21 @@ def score(docs: DataFrame, model: dict, spark: SparkSession) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, spark: SparkSession) -> DataFrame:
+    """docs, all columns, without the rows that score THRESHOLD or more; rows are judged where they lie, without a join."""
+    shared = spark.sparkContext.broadcast(fit(docs, labels, spark))
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            clean = np.ones(len(b), bool)
+            for i, j, buf, offs in chunks(b.column("text")):
+                clean[i:j] = features(m, buf, offs) @ m["beta"][:-1] + m["beta"][-1] < np.log(THRESHOLD / (1 - THRESHOLD))
+            yield b.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, spark: SparkSession) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     model = fit(docs, labels, spark)

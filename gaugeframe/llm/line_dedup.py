@@ -61,11 +61,13 @@ def key_rows(docs: DataFrame, tau: int) -> DataFrame:
     """key, h (hash of the line), doc_id, line_no, kind: for each line its index rows, probes and whole line."""
 
     def lines_of(buf, offs):
+        """Start, end and document of each line; a line break at a document's end opens an empty line of that document."""
         edge = np.flatnonzero(buf == 10)
-        s = np.sort(np.concatenate([offs[:-1], edge + 1]), kind="stable")
-        e = np.sort(np.concatenate([offs[1:], edge]), kind="stable")
-        doc = np.searchsorted(offs[:-1], s, side="right") - 1
-        return s, e, doc
+        of_edge, own = np.searchsorted(offs[:-1], edge, side="right") - 1, np.arange(len(offs) - 1)
+        s, d = np.concatenate([offs[:-1], edge + 1]), np.concatenate([own, of_edge])
+        e, f = np.concatenate([edge, offs[1:]]), np.concatenate([of_edge, own])
+        order = np.lexsort((s, d))
+        return s[order], e[np.lexsort((e, f))], d[order]
 
     def run(batches):
         for b in batches:

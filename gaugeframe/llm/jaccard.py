@@ -6,21 +6,25 @@ Two texts link when their sets of distinct k-word shingles overlap by ``num`` /
 1. *Order.* A count sketch of fixed size over all documents estimates how often
    each shingle occurs; (estimate, hash) is one total order for all, rare first.
    Any total order keeps the prefix filter exact, so the sketch costs no link.
-2. *Classes.* Texts with equal sets are one class, named by its smallest id.
-3. *Prefix join.* A class shows its n - ceil(t n) + 1 rarest shingles. Rows are
-   dealt out by (shingle, salt) - shingles that the sketch calls frequent are
-   salted - and streamed in order of size: each meets the first of its run, the
-   run's leader, and the leaders of a salted shingle meet in a second round. A
-   shingle of a single class is dropped here.
-4. *Filters.* Length: sizes within the threshold. Positional: the places of the
-   shared shingle leave room for the overlap. Suffix: sizes of hash partitions
-   of the two sets differ by no more than the overlap allows.
+2. *Classes.* Texts with equal sets are one class, named by the digest of the set.
+3. *Prefix join.* A class shows its n - ceil(t n) + 1 rarest shingles, once per
+   task. Rows are dealt out by (shingle, salt) - shingles that the sketch calls
+   frequent are salted - and streamed in order of size: each meets the first of
+   its run, the run's leader, and the leaders of a salted shingle meet in a second
+   round. A shingle of a single class is dropped here.
+4. *Filters.* Length: sizes within the threshold. Prefix: the shared shingle lies
+   within the prefixes that the two sizes ask for. Positional: the places of the
+   shared shingle leave room for the overlap. Suffix: hash partitions of the two
+   sets whose sizes differ in parity are a lower bound of the sets' difference.
 5. *Verify once.* Each surviving pair is verified on its whole texts.
-6. *The rest.* Components of the verified leader pairs are formed; then all
-   pairs of classes that share a prefix shingle and are not in one component
-   yet go through the same filters and verification. A pair within a component
-   cannot change the result, so a group of thousands of near copies costs a few
-   rows per copy instead of all pairs, and no link between components is lost.
+6. *The rest.* Components of the verified leader pairs are formed. ``ROUNDS``
+   further rounds pair each class with a possible partner in another component
+   near it in a random order of each run. At last all pairs of classes that share a prefix
+   shingle and are in different components yet go through the same filters, in
+   tiles of bounded size that emit only what passes, and are verified. A pair
+   within a component cannot change the result, so a group of thousands of near
+   copies costs a few rows per copy instead of all pairs, and no link between
+   components is lost.
 
 Null texts and texts without words have an empty set and link with nothing;
 shorter texts than k words have their whole sequence as one shingle; repeated
@@ -36,6 +40,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, release
 from .components import components
@@ -43,73 +48,83 @@ from .labelled import emit_array, sum_arrays
 from .tokens import chunks, shingle_sets
 
 K, NUM, DEN = 5, 75, 100
-SKETCH_BITS, SKETCH_BLOCKS = 20, 16
+SKETCH_BITS, SKETCH_BLOCKS = 23, 64
+#: Steps of the sketch's logarithmic scale for each doubling; counts to 2^40 fit into a byte.
+STEPS = 6
 #: A salted shingle has about so many rows per salt.
 SALT_ROWS = 20_000
-#: The suffix filter's partitions: about one for four shingles, within these bounds.
-LEAST_PARTS, MOST_PARTS = 16, 4096
+#: The suffix filter's partitions: two to four for each shingle, within these bounds (powers of two).
+LEAST_PARTS, MOST_PARTS = 256, 1 << 16
+ROUNDS, REACH, TILE = 2, 32, 1024
 
 
 def sketch(docs: DataFrame, spark: SparkSession, k: int = K) -> np.ndarray:
-    """Counts of documents by hashed shingle; 2^SKETCH_BITS cells whatever the input."""
+    """Number of documents by hashed shingle on a logarithmic scale; 2^SKETCH_BITS bytes whatever the input."""
 
     def run(batches):
-        total = np.zeros(1 << SKETCH_BITS)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
             for _, _, buf, offs in chunks(b.column("text")):
                 grams, _ = shingle_sets(buf, offs, k)
-                total += np.bincount(cell(grams), minlength=1 << SKETCH_BITS)
+                np.add.at(total, cell(grams), np.uint32(1))
         yield emit_array(total, SKETCH_BLOCKS, TaskContext.get().partitionId() % 8)
 
     out = sum_arrays(docs.select("text").mapInArrow(run, "block int, salt int, blob binary"), spark, SKETCH_BLOCKS)
-    return np.zeros(1 << SKETCH_BITS, np.float32) if out is None else out
+    return np.zeros(1 << SKETCH_BITS, np.uint8) if out is None else np.minimum(np.rint(STEPS * np.log2(1 + out)), 255).astype(np.uint8)
 
 
 def cell(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def parts_of(n: int) -> int:
-    return min(MOST_PARTS, max(LEAST_PARTS, 1 << max(0, (n // 4 - 1)).bit_length()))
+def signature(grams: np.ndarray) -> bytes:
+    """Parities of the sizes of hash partitions, as bits; the first 32 bytes' worth is folded from any size."""
+    parts = min(MOST_PARTS, max(LEAST_PARTS, 1 << (2 * len(grams) - 1).bit_length())) if len(grams) else LEAST_PARTS
+    return np.packbits(np.bincount((grams & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1).tobytes()
 
 
-def signature(grams: np.ndarray, parts: int) -> bytes:
-    """Sizes of hash partitions, at most 255 each; clipping never raises a difference."""
-    return np.minimum(np.bincount((grams & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
+def folded(sig: bytes, size: int) -> np.ndarray:
+    """The signature of the same set with fewer partitions, of size bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(sig, np.uint8).reshape(-1, size), axis=0)
 
 
 def prefix_table(docs: DataFrame, counts: np.ndarray, spark: SparkSession, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, digest, sig, and tokens, salts and numbers of salts of the prefix, rare first; one row per row of docs."""
-    shared = spark.sparkContext.broadcast(counts.astype(np.float32))
+    """doc_id, n, cls, of every row, and at a class's first row within the task its sig and its prefix: token, salt, many (number of salts)."""
+    shared = spark.sparkContext.broadcast(counts)  # 2^SKETCH_BITS bytes
 
     def run(batches):
         est = shared.value
+        seen: set[int] = set()  # at most the task's documents
         for b in batches:
-            size, digest, sig, token, salts, manys = [], [], [], [], [], []
+            size, cls, sig = [], [], []
+            token, salts, manys = [], [], []
             for _, _, buf, offs in chunks(b.column("text")):
                 grams, n = shingle_sets(buf, offs, k)
                 at = np.r_[0, np.cumsum(n)]
                 df = est[cell(grams)]
-                doc = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((grams, df, doc))
-                ranked, many = grams[order], np.maximum(1, df[order] / SALT_ROWS).astype(np.int64)
+                order = np.lexsort((grams, df, np.repeat(np.arange(len(n)), n)))
+                ranked, many = grams[order], np.maximum(1, 2.0 ** (df[order] / STEPS) / SALT_ROWS).astype(np.int64)
                 for d in range(len(n)):
-                    lo, hi = at[d], at[d + 1]
-                    m = int(hi - lo)
-                    show = m - -(-num * m // den) + 1 if m else 0
-                    own = grams[lo:hi]
-                    key = xxhash.xxh3_128_digest(own.tobytes())
+                    lo, m = at[d], int(n[d])
+                    own = grams[lo : lo + m]
+                    key = class_of(own)
                     size.append(m)
-                    digest.append(key)
-                    sig.append(signature(own, parts_of(m)))
+                    cls.append(key)
+                    show = m - -(-num * m // den) + 1 if m and key not in seen else 0
+                    sig.append(signature(own) if show else None)
+                    seen.add(key)
                     token.append(ranked[lo : lo + show].view(np.int64))
-                    salts.append((int.from_bytes(key[:4], "little") % many[lo : lo + show]).astype(np.int32))
-                    manys.append(many[lo : lo + show].astype(np.int32))
+                    salts.append(key % many[lo : lo + show])
+                    manys.append(many[lo : lo + show])
             cuts = pa.array(np.r_[0, np.cumsum([len(t) for t in token])].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x) if x else [], kind)) for x, kind in ((token, pa.int64()), (salts, pa.int32()), (manys, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int32()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), *lists], ["doc_id", "n", "digest", "sig", "token", "salt", "many"])
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x).astype(kind) if x else np.empty(0, kind))) for x, kind in ((token, np.int64), (salts, np.int32), (manys, np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int32()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), *lists], ["doc_id", "n", "cls", "sig", "token", "salt", "many"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest binary, sig binary, token array<long>, salt array<int>, many array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, cls long, sig binary, token array<long>, salt array<int>, many array<int>")
+
+
+def class_of(grams: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(grams.tobytes()), "little", signed=True)
 
 
 def runs(rows: DataFrame) -> DataFrame:
@@ -128,6 +143,12 @@ def runs(rows: DataFrame) -> DataFrame:
                 continue
             col = {c: t.column(c).to_numpy() for c in names}
             m = t.num_rows
+            again = np.zeros(m, bool)  # a class that several tasks show
+            again[1:] = (col["token"][1:] == col["token"][:-1]) & (col["id"][1:] == col["id"][:-1])
+            if again.any():
+                t = t.filter(pa.array(~again))
+                col = {c: v[~again] for c, v in col.items()}
+                m = len(col["id"])
             new = np.ones(m, bool)
             new[1:] = (col["token"][1:] != col["token"][:-1]) | (col["salt"][1:] != col["salt"][:-1])
             cont = held is None and lead is not None and lead[0] == col["token"][0] and lead[1] == col["salt"][0]
@@ -167,76 +188,187 @@ def need(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def plausible(na: Column, pa_: Column, nb: Column, pb: Column, num: int, den: int) -> Column:
-    """Length and positional filters of a shared shingle at places pa_ and pb (from 0)."""
+    """Length, prefix and positional filters of a shared shingle at places pa_ and pb (from 0).
+
+    Linked sets share a shingle within the prefixes that their own overlap asks
+    for, which are shorter than those for partners of any size.
+    """
     fits = F.least(na, nb) * den >= F.greatest(na, nb) * num
-    return fits & (F.least(na - pa_, nb - pb) + F.least(pa_, pb) >= need(na, nb, num, den))
+    least = need(na, nb, num, den)
+    return fits & (pa_ <= na - least) & (pb <= nb - least) & (F.least(na - pa_, nb - pb) + F.least(pa_, pb) >= least)
 
 
 def suffix_filter(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Keeps (a, b) of (a, na, sig_a, b, nb, sig_b) whose partition sizes allow the overlap."""
+    """Keeps (a, b) of (a, na, sig_a, b, nb, sig_b) whose signatures allow the overlap."""
 
     def run(batches):
         for b in batches:
             keep = np.zeros(len(b), bool)
             na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            for i, (x, y) in enumerate(zip(b.column("sig_a"), b.column("sig_b"))):
-                u, v = np.frombuffer(x.as_buffer(), np.uint8).astype(np.int32), np.frombuffer(y.as_buffer(), np.uint8).astype(np.int32)
-                clipped = u.max(initial=0) == 255 or v.max(initial=0) == 255
-                if len(u) != len(v) and not clipped:
-                    small = min(len(u), len(v))
-                    u, v = u.reshape(-1, small).sum(axis=0), v.reshape(-1, small).sum(axis=0)
-                total = int(na[i]) + int(nb[i])
-                most = total - 2 * -(-total * num // (num + den))
-                keep[i] = len(u) != len(v) or int(np.abs(u - v).sum()) <= most
+            for i, (x, y) in enumerate(zip(b.column("sig_a").to_pylist(), b.column("sig_b").to_pylist())):
+                size, total = min(len(x), len(y)), int(na[i]) + int(nb[i])
+                differ = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+                keep[i] = differ <= total - 2 * -(-total * num // (num + den))
             yield pa.RecordBatch.from_arrays([pc.filter(b.column(c), pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     return pairs.select("a", "na", "sig_a", "b", "nb", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole texts. texts: id, text of one row per class.
+    """The pairs (a, b) that link, by their whole texts. texts: cls, text of one row per class.
 
-    Both joins read one exchange of the texts by id; a leader with thousands of
+    Both joins read one exchange of the texts; a class with thousands of
     partners is split by adaptive execution.
     """
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            left, right = [], []
-            for name, sets in (("ta", left), ("tb", right)):
-                for _, _, buf, offs in chunks(batch.column(name)):
-                    grams, n = shingle_sets(buf, offs, k)
-                    sets += np.split(grams, np.cumsum(n)[:-1])
-            for i, (x, y) in enumerate(zip(left, right)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = both > 0 and den * both >= num * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([pc.filter(batch.column(c), pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+        for whole in batches:
+            for at in range(0, len(whole), 64):  # so many pairs' sets are held at once
+                batch = whole.slice(at, 64)
+                keep = np.zeros(len(batch), bool)
+                sets: dict[str, list] = {"ta": [], "tb": []}
+                for name, found in sets.items():
+                    for _, _, buf, offs in chunks(batch.column(name)):
+                        grams, n = shingle_sets(buf, offs, k)
+                        found += np.split(grams, np.cumsum(n)[:-1])
+                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+                for i, (x, y) in enumerate(zip(sets["ta"], sets["tb"])):
+                    # ids that repeat with other texts bring other sets along
+                    if class_of(x) == a[i] and class_of(y) == b[i]:
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        keep[i] = both > 0 and den * both >= num * (len(x) + len(y) - both)
+                yield pa.RecordBatch.from_arrays([pc.filter(batch.column(c), pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     return both.select("a", "ta", "b", "tb").mapInArrow(run, "a long, b long")
 
 
+ROW = ["token", "id", "n", "pos", "component", "mini"]
+
+
+def columns(t) -> dict[str, np.ndarray]:
+    out = {c: t.column(c).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(c).to_numpy() for c in ROW[:-1]}
+    raw = t.column("mini")
+    raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
+    out["mini"] = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(-1, LEAST_PARTS // 64)
+    return out
+
+
+def possible(c: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """All filters on the pairs of rows i and j, the suffix filter by the folded signature."""
+    ni, nj = c["n"][i].astype(np.int64), c["n"][j].astype(np.int64)
+    pi, pj = c["pos"][i], c["pos"][j]
+    least = -(-(ni + nj) * num // (num + den))
+    ok = (c["component"][i] != c["component"][j]) & (np.minimum(ni, nj) * den >= np.maximum(ni, nj) * num)
+    ok &= (pi <= ni - least) & (pj <= nj - least) & (np.minimum(ni - pi, nj - pj) + np.minimum(pi, pj) >= least)
+    at = np.flatnonzero(ok)
+    ok[at] = np.bitwise_count(c["mini"][i[at]] ^ c["mini"][j[at]]).sum(axis=1) <= (ni + nj - 2 * least)[at]
+    return ok
+
+
+def pair_batch(c: dict, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    a, b = np.minimum(c["id"][i], c["id"][j]), np.maximum(c["id"][i], c["id"][j])
+    if len(a):
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        a, b = a[new], b[new]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def neighbours(rows: DataFrame, seed: int, num: int, den: int) -> DataFrame:
+    """For each row the first possible pair with one of the REACH rows before it in a random order of its run."""
+
+    def run(batches):
+        for b in batches:
+            if len(b) < 2:
+                continue
+            c = columns(b)
+            first = np.maximum.accumulate(np.where(np.r_[True, c["token"][1:] != c["token"][:-1]], np.arange(len(b)), 0))
+            left = np.arange(len(b))
+            found_i, found_j = [], []
+            for back in range(1, REACH + 1):
+                left = left[left - back >= first[left]]
+                ok = possible(c, left, left - back, num, den)
+                found_i.append(left[ok])
+                found_j.append(left[ok] - back)
+                left = left[~ok]
+            yield pair_batch(c, np.concatenate(found_i), np.concatenate(found_j))
+
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("salts"))).repartition("token", "salt").sortWithinPartitions("token", "salt", F.xxhash64("id", F.lit(seed)))
+    return dealt.select(*ROW).mapInArrow(run, "a long, b long")
+
+
+def tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """All possible pairs of rows of one token in different components, from tiles of about TILE by TILE rows."""
+    cut = rows.withColumn("cut", F.pmod(F.xxhash64("id", F.lit(0)), F.col("salts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other")
+    dealt = cut.select(*ROW, "cut", other).select(*ROW, F.least("cut", "other").alias("x"), F.greatest("cut", "other").alias("y"), (F.col("cut") <= F.col("other")).alias("left"), (F.col("cut") >= F.col("other")).alias("right"))
+    dealt = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "id")
+
+    def pairs_of(t: pa.Table) -> pa.RecordBatch:
+        c = columns(t)
+        left, right, x, y = (t.column(v).to_numpy() for v in ("left", "right", "x", "y"))
+        edge = np.flatnonzero(np.r_[True, (c["token"][1:] != c["token"][:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        end = np.repeat(np.r_[edge[1:], t.num_rows], np.diff(np.r_[edge, t.num_rows]))
+        found_i, found_j = [], []
+        # rows of short runs against all later rows of their runs, many runs at once
+        at = np.arange(t.num_rows)
+        after = end - at - 1
+        bounds = np.r_[0, np.cumsum(after)]
+        lo = 0
+        while lo < t.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 200_000, side="right")) - 1)
+            reps = after[lo:hi]
+            i = np.repeat(at[lo:hi], reps)
+            j = i + 1 + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+            role = (left[i] & right[j]) | (right[i] & left[j])
+            i, j = i[role], j[role]
+            ok = possible(c, i, j, num, den)
+            found_i.append(i[ok])
+            found_j.append(j[ok])
+            lo = hi
+        return pair_batch(c, np.concatenate(found_i), np.concatenate(found_j))
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = (pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])).combine_chunks()
+            if not t.num_rows:
+                continue
+            token, x, y = (t.column(v).to_numpy() for v in ("token", "x", "y"))
+            edge = np.flatnonzero((token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+            last = int(edge[-1]) + 1 if len(edge) else 0
+            if last:
+                yield pairs_of(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None and held.num_rows:
+            yield pairs_of(held)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def classes(docs: DataFrame, spark: SparkSession, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, class_id (equal sets), component_id (linked sets); one row per row of docs with an id."""
+    """doc_id, n_shingles, class_id (smallest id of an equal set), component_id; one row per row of docs with an id."""
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    base = scratch.keep(prefix_table(docs, sketch(docs, spark, k), spark, k, num, den))
-    sets = scratch.keep(base.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig")).alias("first")).select("digest", F.col("first.doc_id").alias("id"), F.col("first.n").alias("n"), F.col("first.sig").alias("sig")))
-    sigs = sets.select("id", "n", "sig")
-
-    # a row repeated with its id shows up twice in a run, as a pair of one id, and is dropped there
-    shown = base.where("n > 0").select("doc_id", "digest", "n", F.arrays_zip("token", "salt", "many").alias("z")).join(sets.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"])
-    rows = shown.select(F.col("doc_id").alias("id"), "n", F.posexplode("z").alias("pos", "z")).select(F.col("z.token").alias("token"), F.col("z.salt").alias("salt"), (F.col("z.many") > 1).alias("salted"), "n", "id", "pos")
-    posting = scratch.keep(runs(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id")))
+    full = scratch.keep(prefix_table(docs, sketch(docs, spark, k), spark, k, num, den))
+    base = scratch.keep(full.select("doc_id", "n", "cls"))
+    # a class without a signature of its own rows is not possible: its first row in each task has one
+    sets = scratch.keep(full.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sig").alias("sig")))
+    prefix = full.select("cls", "n", F.arrays_zip("token", "salt", "many").alias("z")).where(F.size("z") > 0).select(F.col("cls").alias("id"), "n", F.posexplode("z").alias("pos", "z"))
+    prefix = prefix.select(F.col("z.token").alias("token"), F.col("z.salt").alias("salt"), (F.col("z.many") > 1).alias("salted"), "n", "id", "pos")
+    posting = scratch.keep(runs(prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id")))
+    scratch.drop(full)
     release(spark)
 
-    texts = docs.join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
+    texts = docs.join(sets.select("doc_id", "cls"), "doc_id").select("cls", "text")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        p = pairs.join(sigs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sig_b")), "b")
+        p = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sig_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sig_b")), "b")
         left = scratch.keep(suffix_filter(p, num, den))
+        release(spark)
         out = scratch.keep(verify(left, texts, k, num, den))
         scratch.drop(left)
         release(spark)
@@ -249,18 +381,41 @@ def classes(docs: DataFrame, spark: SparkSession, k: int = K, num: int = NUM, de
     found = linked(star)
     groups = scratch.keep(components(found, scratch))
 
-    # all pairs of classes that share a prefix shingle across components
-    named = posting.select("token", "id", "n", "pos").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = scratch.keep(named)
-    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    named = scratch.keep(named.join(mixed, "token"))
-    x, y = (named.select("token", *[F.col(c).alias(c + s) for c in ("id", "n", "pos", "component")]) for s in "xy")
-    cross = x.join(y, "token").where((F.col("componentx") < F.col("componenty")) & plausible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy"), num, den))
-    more = linked(cross.select(F.col("idx").alias("a"), F.col("idy").alias("b")))
-    labels = components(found.unionAll(more), scratch)
-
-    out = base.select("doc_id", "n", "digest").join(sets.select("digest", F.col("id").alias("class_id")), "digest", "left").join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+    mini = sets.select(F.col("cls").alias("id"), fold_column(F.col("sig")).alias("mini"))
+    rows = posting.select("token", "id", "n", "pos").join(mini, "id")
+    for step in range(ROUNDS + 1):
+        rows = rows.join(groups.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("component", F.coalesce("c", "id")).drop("c")
+        rows = scratch.keep(rows)
+        # tokens whose classes are in one component have done their part
+        mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("salts")).where("lo <> hi").select("token", "salts")
+        open_ = scratch.keep(rows.join(mixed, "token"))
+        scratch.drop(rows)
+        more = neighbours(open_, step, num, den) if step < ROUNDS else tiles(open_, num, den)
+        found = found.unionAll(linked(more))
+        groups = scratch.keep(components(found, scratch))
+        rows = open_.drop("component", "salts")
+
+    member = sets.select("cls", F.col("doc_id").alias("class_id")).join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    member = scratch.keep(member)
+    least = member.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = member.join(least, "component").select("cls", "class_id", "component_id")
+    out = base.join(named, "cls", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+@F.pandas_udf(T.BinaryType())
+def fold_column(sig):
+    return sig.map(lambda x: folded(x, LEAST_PARTS // 8).tobytes())
+
+
+def one_of_each(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """docs, all columns, with one document of each group: the one of the smallest id.
+
+    Rows without an id link with nothing and stay; of rows repeated with id and text one stays.
+    """
+    kept = classes(docs, spark).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionAll(docs.where("doc_id is null"))
 
 
 def oracle(k: int = K, num: int = NUM, den: int = DEN) -> str:

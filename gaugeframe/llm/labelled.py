@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +37,7 @@ def sample_rows(docs: DataFrame, picked: list[tuple[int, int]], spark: SparkSess
 
 
 def sum_arrays(parts: DataFrame, spark: SparkSession, blocks: int, salts: int = 8) -> np.ndarray:
-    """The sum of float32 arrays that tasks emit as (block int, salt int, blob binary); the result has a fixed size.
+    """The sum of float32 arrays that tasks emit by emit_array as (block int, salt int, blob binary); the result has a fixed size.
 
     Each task streams over its rows and holds one array per block, so neither
     the number of tasks nor of rows matters for memory.
@@ -45,22 +47,22 @@ def sum_arrays(parts: DataFrame, spark: SparkSession, blocks: int, salts: int =
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for k, blob in zip(b.column("block").to_pylist(), b.column("blob")):
-                x = np.frombuffer(blob.as_buffer(), np.float32)
+                x = np.frombuffer(zlib.decompress(blob.as_buffer()), np.float32)
                 if k in held:
                     held[k] += x
                 else:
                     held[k] = x.astype(np.float64)
         if held:
             keys = sorted(held)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array([held[k].astype(np.float32).tobytes() for k in keys], pa.binary())], ["block", "salt", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array([zlib.compress(held[k].astype(np.float32).tobytes(), 1) for k in keys], pa.binary())], ["block", "salt", "blob"])
 
     schema = "block int, salt int, blob binary"
     first = parts.repartition("block", "salt").mapInArrow(add, schema)
     rows = first.repartition("block").mapInArrow(add, schema).collect()
-    got = {r["block"]: np.frombuffer(r["blob"], np.float32) for r in rows}
+    got = {r["block"]: np.frombuffer(zlib.decompress(r["blob"]), np.float32) for r in rows}
     return np.concatenate([got[k] for k in range(blocks)]) if len(got) == blocks else None
 
 
 def emit_array(x: np.ndarray, blocks: int, salt: int) -> pa.RecordBatch:
     cut = np.split(x.astype(np.float32), blocks)
-    return pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([salt] * blocks, pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], ["block", "salt", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([salt] * blocks, pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in cut], pa.binary())], ["block", "salt", "blob"])

@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parents[2])
 #: A-Z to a-z and nothing else; Spark's lower() would fold other letters too.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def importable(spark: SparkSession) -> None:
+    """Python workers that see this folder find the package, whatever folder the driver was started in."""
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -29,6 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded in bytes, so that long texts do not fill a Python worker; a bound already set is kept."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 class Scratch:
     """Written tables that cut lineage and survive the loss of executors.
 
@@ -38,6 +58,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/gaugeframe/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[int, str] = {}
         self.n = 0

@@ -23,7 +23,6 @@ whole; rows are scored one by one, so ties and repeated rows don't matter.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import fold_of, labelled_sample, sample_rows
-from .tokens import FOLD, chunks
+from .tokens import FOLD, chunks, hash_ranges, mix
 
 FOLDS, HELD_OUT = 3, 1
 #: Bound of the labelled sample, for each label.
 PER_LABEL = 2500
-#: Least documents with a term, and least log-odds of its presence.
-SUPPORT, WORD_ODDS, STEM_ODDS = 4, 3.0, 3.0
+#: Least contexts of a term in toxic documents, and least log-odds against clean ones.
+SUPPORT, WORD_ODDS, STEM_ODDS = 4, 2.5, 3.0
 STEMS = range(4, 11)
 FUZZY_BYTES = 5
 WINDOW_BYTES = 60
@@ -224,58 +223,95 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) ->
     return beta
 
 
-def words_of(text: str) -> set[bytes]:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    low = fold(raw)
-    s, e, _ = letter_runs(low, np.array([0, len(low)]))
-    whole = bytes(low)
-    return {whole[a:b] for a, b in zip(s.tolist(), e.tolist())}
+class Sample:
+    """Words of the labelled texts of one class, with the hash of each word in its context."""
+
+    def __init__(self, texts: list[str]):
+        raw = [t.encode() for t in texts]
+        self.n = len(raw)
+        self.low = fold(np.frombuffer(b"".join(raw), np.uint8))
+        self.offs = np.r_[0, np.cumsum([len(r) for r in raw], dtype=np.int64)]
+        self.s, self.e, doc = letter_runs(self.low, self.offs)
+        self.h = hash_ranges(self.low, self.s, self.e)
+        pad = np.zeros(1, np.uint64)
+        before, after = np.r_[pad, self.h[:-1]], np.r_[self.h[1:], pad]
+        before[np.r_[True, doc[1:] != doc[:-1]][: len(doc)]] = 0
+        after[np.r_[doc[1:] != doc[:-1], True][-len(doc) :] if len(doc) else slice(0)] = 0
+        self.context = mix(mix(before * np.uint64(3) + self.h) * np.uint64(5) + after)
+
+    def counts(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, the number of different contexts of each, and a word that has it. at: words, key: their keys."""
+        pair = mix(key ^ (self.context[at] * np.uint64(0x9E3779B97F4A7C15)))
+        _, one = np.unique(pair, return_index=True)
+        keys, first, n = np.unique(key[one], return_index=True, return_counts=True)
+        return keys, n, at[one[first]]
+
+    def beginnings(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of k characters or more, and the ends of their first k characters."""
+        chars = np.r_[np.flatnonzero((self.low & 0xC0) != 0x80), len(self.low)]
+        end = chars[np.minimum(np.searchsorted(chars, self.s) + k, len(chars) - 1)]
+        at = np.flatnonzero((end <= self.e) & (np.searchsorted(chars, self.s) + k < len(chars)))
+        return at, end[at]
+
+    def word(self, i: int, end: int | None = None) -> bytes:
+        return bytes(self.low[self.s[i] : self.e[i] if end is None else end])
+
+
+def telling(good: tuple, bad: tuple, n: tuple[int, int], least: float) -> list[tuple[int, float]]:
+    """(word that has it, log-odds) of keys that are in many more contexts of toxic texts than of clean ones. good, bad: as of counts()."""
+    keys, t, at = bad
+    c = np.zeros(len(keys))
+    if len(good[0]):
+        place = np.minimum(np.searchsorted(good[0], keys), len(good[0]) - 1)
+        c = np.where(good[0][place] == keys, good[1][place], 0)
+    odds = np.log((t + 0.5) / (n[1] + 1)) - np.log((c + 0.5) / (n[0] + 1))
+    return [(int(at[i]), float(odds[i])) for i in np.flatnonzero((t >= SUPPORT) & (odds >= least))]
 
 
 def learn(rows: list[tuple[str, int]], share: float) -> dict:
-    """The model from labelled texts; share: that of label 1 among all labelled rows."""
-    docs = [(words_of(t), y) for t, y in rows]
-    n = Counter(y for _, y in docs)
-    seen = {0: Counter(), 1: Counter()}
-    for ws, y in docs:
-        seen[y].update(ws)
-
-    def odds(t: int, c: int) -> float:
-        return float(np.log((t + 0.5) / (n[1] + 1)) - np.log((c + 0.5) / (n[0] + 1)))
-
-    words = sorted(w for w, t in seen[1].items() if t >= SUPPORT and len(w) >= 3 and odds(t, seen[0][w]) >= WORD_ODDS)
-    begin = {0: Counter(), 1: Counter()}
-    known = set(words)
-    for ws, y in docs:
-        begin[y].update({p for w in ws if w not in known for p in prefixes(w)})
-    stems: list[bytes] = []
-    for p in sorted((p for p, t in begin[1].items() if t >= SUPPORT and odds(t, begin[0][p]) >= STEM_ODDS), key=lambda p: (len(p), p)):
-        if not any(p.startswith(q) for q in stems):
-            stems.append(p)
-    model = {"words": words, "word_odds": [odds(seen[1][w], seen[0][w]) for w in words], "stems": stems, "stem_odds": [odds(begin[1][p], begin[0][p]) for p in stems], "own_words": set()}
+    """The model from labelled texts; share: that of label 1 among all labelled rows.
+
+    A term counts once for each pair of words around it, so that copies of a document don't make its words tell.
+    """
+    good, bad = (Sample([t for t, y in rows if y == k]) for k in (0, 1))
+    n = (good.n, bad.n)
+    every = lambda x: np.flatnonzero(x.e - x.s >= 3)
+    found = telling(*[x.counts(every(x), x.h[every(x)]) for x in (good, bad)], n, WORD_ODDS)
+    words = {bad.word(i): odds for i, odds in found}
+    stems: dict[bytes, float] = {}
+    known = np.unique(bad.h[[i for i, _ in found]]) if found else np.empty(0, np.uint64)
+    for k in STEMS:
+        sides = []
+        for x in (good, bad):
+            at, end = x.beginnings(k)
+            new = ~np.isin(x.h[at], known)
+            sides.append(x.counts(at[new], hash_ranges(x.low, x.s[at[new]], end[new])))
+        at, end = bad.beginnings(k)
+        ends = dict(zip(at.tolist(), end.tolist()))
+        for i, odds in telling(*sides, n, STEM_ODDS):
+            stem = bad.word(i, ends[i])
+            if not any(stem.startswith(q) for q in stems):
+                stems[stem] = odds
+    model = {"words": sorted(words), "word_odds": [words[w] for w in sorted(words)], "stems": sorted(stems), "stem_odds": [stems[p] for p in sorted(stems)], "own_words": set()}
     if words:
-        model["table"], model["term"], model["edits"] = fuzzy_table(words)
+        model["table"], model["term"], model["edits"] = fuzzy_table(model["words"])
+        # misspellings that are words of clean documents
+        at, state = walk(model["table"], good.low, good.s, good.e)
+        model["own_words"] = {good.word(i) for i in at[model["term"][state] >= 0]} - set(words)
     if stems:
-        model["stem_table"], model["stem_term"] = stem_table(stems)
-    if words:  # misspellings that are words of clean documents
-        vocabulary = sorted(seen[0])
-        joined = np.frombuffer(b"".join(vocabulary), np.uint8)
-        ends = np.cumsum([len(w) for w in vocabulary])
-        starts = ends - [len(w) for w in vocabulary]
-        at, state = walk(model["table"], joined, starts, ends)
-        model["own_words"] = {vocabulary[i] for i in at[model["term"][state] >= 0]} - known
-    x = [features(model, b := np.frombuffer(t.encode(), np.uint8), np.array([0, len(b)]))[0] for t, _ in rows]
-    y = np.array([y for _, y in rows], float)
+        model["stem_table"], model["stem_term"] = stem_table(model["stems"])
+    x, y = [], []
+    for part, label in ((good, 0), (bad, 1)):
+        for i in range(part.n):
+            text = part.low[part.offs[i] : part.offs[i + 1]]
+            x.append(features(model, text, np.array([0, len(text)]))[0])
+            y.append(float(label))
+    y = np.array(y)
     weight = np.where(y == 1, share / max(n[1], 1), (1 - share) / max(n[0], 1)) * len(rows)
     model["beta"] = logistic(np.array(x), y, weight) if n[0] and n[1] else np.r_[np.zeros(N_FEATURES), np.log(max(share, 1e-6) / max(1 - share, 1e-6)) if rows else -3.0]
     return model
 
 
-def prefixes(w: bytes) -> set[bytes]:
-    text = w.decode(errors="ignore")
-    return {text[:k].encode() for k in STEMS if len(text) >= k}
-
-
 def fit(docs: DataFrame, labels: DataFrame, spark: SparkSession, column: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, per_label: int = PER_LABEL) -> dict:
     picked, share = labelled_sample(labels, column, folds, held_out, per_label)
     rows = sample_rows(docs, picked, spark).select("doc_id", "text", "y").collect()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from .functions import parsers, text
@@ -23,7 +26,14 @@ def query(sql: str | None = None):
     return add
 
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
 def read(spark, sf_dir, table):
+    # Python workers that see this folder find the package, whatever folder the driver was started in
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

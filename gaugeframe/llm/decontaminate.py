@@ -22,6 +22,8 @@ are each reported; repeated rows are each scored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,17 +54,14 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hash_ranges(buf, s, e, fold=True), doc
 
 
-def items_of(benchmark: DataFrame) -> list[tuple[int, np.ndarray]]:
-    """Word hashes of the benchmark's items, without those that have no words."""
-    rows = sorted(benchmark.where("text is not null and item_id is not null").select("item_id", "text").collect())
-    out = []
-    for item, text in rows:
+def items_of(benchmark: DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Word hashes of the benchmark's items, without those that have no words; read partition by partition."""
+    for item, text in benchmark.where("text is not null and item_id is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         raw = np.frombuffer(text.encode(), np.uint8)
         if len(raw):
             h, _ = word_hashes(raw, np.array([0, len(raw)]))
             if len(h):
-                out.append((item, h))
-    return out
+                yield item, h
 
 
 def item_grams(h: np.ndarray) -> np.ndarray:
@@ -136,17 +135,18 @@ def align(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return best
 
 
-def blocks_of(benchmark: DataFrame) -> list[list[tuple[int, np.ndarray]]]:
+def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     """The items in blocks of at most BLOCK words, or of one longer item."""
-    out: list[list[tuple[int, np.ndarray]]] = []
-    size = BLOCK
+    block: list[tuple[int, np.ndarray]] = []
+    size = 0
     for item in items_of(benchmark):
+        if block and size + len(item[1]) > BLOCK:
+            yield block
+            block, size = [], 0
+        block.append(item)
         size += len(item[1])
-        if size > BLOCK:
-            out.append([])
-            size = len(item[1])
-        out[-1].append(item)
-    return out
+    if block:
+        yield block
 
 
 def block_seeds(docs: DataFrame, block: list, spark: SparkSession) -> list[tuple[int, int, int]]:

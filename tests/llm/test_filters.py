@@ -197,7 +197,7 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "m n o p q r s t u v")], "item_id long, text string")
     want = sorted(map(tuple, decontaminate.find(df, bench, spark).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK", 5)
-    assert len(decontaminate.blocks_of(bench)) == 2 and sorted(map(tuple, decontaminate.find(df, bench, spark).collect())) == want == [(1, 1, 20, 1.0), (2, 2, 20, 1.0)]
+    assert len(list(decontaminate.blocks_of(bench))) == 2 and sorted(map(tuple, decontaminate.find(df, bench, spark).collect())) == want == [(1, 1, 20, 1.0), (2, 2, 20, 1.0)]
 
 
 # ---- 6 -------------------------------------------------------------------------------------------------------

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 
 
-def order_statistics(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[float, Column]]) -> DataFrame:
+def order_statistics(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[float, Column]], few: bool = True) -> DataFrame:
     """keys and, by name, the value of exact rank. ranks: name -> (quantile near it, rank from 0 as a function of _n).
 
     A first pass brackets each rank by approximate quantiles; a second counts the
     rows below a bracket and, inside, rows by distinct value. So a group of any
     size shrinks to a small part of its values, and ties to one row, before
-    anything is ordered.
+    anything is ordered. few: there are no more groups than a configuration
+    names (models, cells of a plan), so the brackets go to the rows; without it
+    both sides are joined by key, for any number of groups.
     """
     rows = rows.where(F.col(value).isNotNull())
     slack = 2.0 / ACCURACY
@@ -27,7 +29,7 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, ranks: dict[s
         # beside the approximation, leave room for the neighbours of a rank in a small group
         small = F.col("_n") <= ACCURACY
         near = near.withColumn(f"_{n}lo", F.when(small, F.col("_min")).otherwise(F.get(f"_{n}", F.lit(0)))).withColumn(f"_{n}hi", F.when(small, F.col("_max")).otherwise(F.get(f"_{n}", F.lit(1))))
-    joined = rows.select(*keys, F.col(value).alias("_v")).join(near, keys)
+    joined = rows.select(*keys, F.col(value).alias("_v")).join(F.broadcast(near) if few else near, keys)
     inside = reduce(lambda a, b: a | b, [(F.col("_v") >= F.col(f"_{n}lo")) & (F.col("_v") <= F.col(f"_{n}hi")) for n in ends])
     # values outside all brackets fall between them and need only be counted
     slot = F.when(inside, F.col("_v"))

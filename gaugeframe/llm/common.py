@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,17 +52,32 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
+_roots: list[str] = []
+
+
+@atexit.register
+def _forget() -> None:
+    """What is left of this process's tables goes with it."""
+    jvm = SparkContext._jvm
+    with contextlib.suppress(Exception):  # at exit the JVM may be gone
+        for root in _roots:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
 class Scratch:
     """Written tables that cut lineage and survive the loss of executors.
 
     Tables live in the shared folder; ``drop`` removes one as soon as nothing
-    reads it any more. Tables behind a returned (lazy) result stay.
+    reads it any more. Tables behind a returned (lazy) result stay until the
+    driver's process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/gaugeframe/{name}-{uuid.uuid4().hex[:12]}"
+        _roots.append(self.root)
         self.paths: dict[int, str] = {}
         self.n = 0
 

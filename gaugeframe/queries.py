@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from .functions import parsers, text
-from .operators import artifacts, cost, judge, metrics, perf, rank, stats
+from .operators import artifacts, cost, judge, metrics, perf, rank, scoring, stats
 from .plans import matrix, provider, sampling, tasks
 from .sources import config
 
@@ -667,3 +667,45 @@ def perf_by_hour(spark, sf_dir):
 
     out = windowed_perf(calls(spark, sf_dir))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "model_id", "n_calls", "errors", "in_tokens")
+
+
+def run_results(spark, sf_dir):
+    """Answers of two models to tasks of every kind, from adjacent turns."""
+    t = turns(spark, sf_dir)
+    out = t.select(
+        F.concat(F.lit("m"), (F.col("turn") % 2).cast("string")).alias("model_id"),
+        F.explode(F.array(*[F.lit(x) for x in ("TXT-1", "TXT-2", "TXT-5", "TXT-6", "TXT-7", "TXT-8", "IMG-1", "IMG-3")])).alias("task_id"),
+        F.lit("full").alias("reasoning_mode"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("sample_id"),
+        F.when(F.col("conv_id") % 2 == 0, "en").otherwise("ko").alias("lang"),
+        F.when(F.col("conv_id") % 9 == 0, "").otherwise(F.col("pred")).alias("said"),
+        F.array("gold").alias("ref_text"),
+        (F.col("conv_id") % 2).cast("int").alias("ref_label"),
+        parsers.keyphrases(F.col("gold")).alias("ref_set"),
+        F.lit("").alias("ref_html"),
+    )
+    return out.withColumn("model_output", F.when(F.col("task_id").isin("TXT-6", "TXT-8", "IMG-3"), F.when(F.col("sample_id") % 7 == 0, "?").when(F.col("sample_id") % 5 == 0, "negative, clean, no").otherwise(F.when(F.col("sample_id") % 3 == 0, "positive, toxic, yes").otherwise("0"))).otherwise(F.col("said"))).drop("said")
+
+
+@query(
+    TURNS
+    + """, r as (select 'm' || (turn % 2) as model_id, conv_id * 100 + turn as s, (conv_id % 2)::int as gold, case when conv_id % 2 = 0 then 'en' else 'ko' end as lang from pairs),
+a as (select *, case when s % 7 = 0 then null when s % 5 = 0 then 0 when s % 3 = 0 then 1 else 0 end as pred from r),
+g as (select model_id, lang, count(pred) as n, count(*) filter (pred = gold) as hit, count(*) filter (pred = 1 and gold = 1) as tp, count(*) filter (pred <> gold) as bad, count(*) filter (pred is null) as un from a group by grouping sets ((model_id), (model_id, lang)))
+select model_id, lang, n::bigint as n, unnest(['accuracy', 'f1', 'n_unparsed']) as metric, unnest([case when n > 0 then hit::double / n::double when lang is null then 0 end, case when n > 0 then coalesce(2 * tp::double / nullif(2 * tp + bad, 0)::double, 0) when lang is null then 0 end, un::double]) as value from g"""
+)
+def scored_labels(spark, sf_dir):
+    out = scoring.label_scores(run_results(spark, sf_dir), scoring.LANGUAGES).where("task_id = 'TXT-8' and metric in ('accuracy', 'f1', 'n_unparsed')")
+    return out.select("model_id", "lang", "n", "metric", "value")
+
+
+@query()
+def scored_run(spark, sf_dir):
+    """All scores of a run in long form."""
+    return scoring.score_groups(run_results(spark, sf_dir))
+
+
+@query("select conv_id, case when conv_id % 2 = 0 then 'missing' else 'extra' end as side from (select distinct conv_id from conversations) where conv_id % 2 = 0 and conv_id % 3 <> 0 or conv_id % 2 = 1 and conv_id % 3 = 0")
+def id_difference(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return scoring.id_difference(c.where("conv_id % 2 = 0"), c.where("conv_id % 3 = 0"), "conv_id")

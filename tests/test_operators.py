@@ -229,3 +229,47 @@ def test_sources_and_sinks(spark, tmp_path):
     idx = artifact_source.index_rows(artifact_source.runs(spark, str(tmp_path / "rep"), str(tmp_path / "res"))).collect()
     assert [(r["run_id"], r["models"], r["n_tasks"]) for r in idx] == [("2024", "a,b", "1"), ("2023", "?", "?")]
     assert sinks.run_meta("c", model="m")["model"] == "m"
+
+
+def test_scores_of_a_run(spark):
+    from gaugeframe.operators import scoring
+
+    rows = [
+        ("TXT-1", 1, "en", "a b", ["a b", "c"], None, None, None),
+        ("TXT-1", 2, "en", "", [""], None, None, None),
+        ("IMG-1", 1, "en", "a b", ["a c"], None, None, None),
+        ("IMG-1", 2, "en", " ", ["a"], None, None, None),
+        ("TXT-2", 1, "en", " A  b", ["x", "a b"], None, None, None),
+        ("TXT-3", 1, "en", "<table><tr><td>a</td></tr></table>", None, None, None, "<table><tr><td>a</td><td>b</td></tr></table>"),
+        ("TXT-5", 1, "en", "the cat", ["the cat"], None, None, None),
+        ("TXT-6", 1, "en", "positive", None, 1, None, None),
+        ("TXT-6", 2, "ko", "?", None, 1, None, None),
+        ("TXT-7", 1, "en", "a, b", None, None, ["b", "c"], None),
+        ("IMG-2", 1, "en", "aa, bb", None, None, ["bb", "cc"], None),
+        ("IMG-2", 2, "en", "aa", None, None, [], None),
+        ("IMG-4", 1, "en", "nsfw", None, 1, None, None),
+        ("TXT-8", 1, "en", "__ERROR__: toxic reply", None, 0, None, None),
+    ]
+    df = spark.createDataFrame([("m", t, "full", *r) for t, *r in rows], "model_id string, task_id string, reasoning_mode string, sample_id long, lang string, model_output string, ref_text array<string>, ref_label int, ref_set array<string>, ref_html string")
+    got = {(r["task_id"], r["lang"], r["metric"]): (r["value"], r["n"]) for r in scoring.score_groups(df).collect()}
+    want = {
+        ("TXT-1", None, "token_f1"): (0.5, 2),
+        ("TXT-1", None, "exact_match"): (0.5, 2),
+        ("IMG-1", None, "caption_token_f1"): (0.5, 1),
+        ("TXT-2", None, "accuracy"): (1.0, 1),
+        ("TXT-3", None, "cell_f1"): (pytest.approx(2 / 3), 1),
+        ("TXT-5", None, "rougeL"): (1.0, 1),
+        ("TXT-5", "ko", "rouge1"): (None, 0),
+        ("TXT-6", None, "accuracy"): (1.0, 1),
+        ("TXT-6", None, "n_unparsed"): (1.0, 1),
+        ("TXT-6", "ko", "accuracy"): (None, 0),
+        ("TXT-7", None, "f1"): (0.5, 1),
+        ("TXT-7", "en", "precision"): (0.5, 1),
+        ("IMG-2", None, "micro_f1"): (0.5, 1),
+        ("IMG-4", None, "accuracy"): (1.0, 1),
+        ("IMG-4", None, "class_1"): (1.0, 1),
+        ("TXT-8", None, "fp"): (1.0, 1),
+        ("TXT-8", "ko", "f1"): (None, 0),
+    }
+    assert {k: got[k] for k in want} == want
+    assert ("TXT-7", "ko", "f1") not in got

@@ -6,7 +6,8 @@ documents adds the index vectors of the neighbours within two places to a
 row's context vector; tasks emit their sums, which have a fixed size.
 
 *Pooling.* A document is the mean of its word vectors, the norm of the mean of
-dense random signs (large when few words fill the text), and the log length.
+dense random signs (large when few words fill the text), the share of words
+that repeat the one before, and the log length; the means are shrunk as if the text had ``PRIOR`` more words of average kind.
 
 *Network.* One hidden tanh layer and a logistic output, trained on a bounded
 sample of labelled rows by Adam; a temperature fitted on a part of the sample
@@ -32,7 +33,11 @@ FOLDS, HELD_OUT = 4, 2
 PER_LABEL = 4000
 V, D, NONZERO, BLOCKS = 1 << 13, 32, 4, 16
 SIGNS = 16
+#: Pooled vector, norm of the signs, repeats, log length.
+WIDTH = D + 3
 THRESHOLD = 0.7
+#: Words of average kind that are added to a document's own.
+PRIOR = 8
 HIDDEN, STEPS, RATE, DECAY = 24, 600, 0.02, 1e-3
 
 KIND = np.full(256, 2, np.uint8)  # 0: space, 1: letter or digit, 2: other
@@ -95,7 +100,7 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 def pooled(vec: np.ndarray, signs: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = len(offs) - 1
-    out = np.zeros((n, D + 2))
+    out = np.zeros((n, WIDTH))
     if len(buf):
         row, doc = rows_of(buf, offs)
         if len(row):
@@ -104,7 +109,9 @@ def pooled(vec: np.ndarray, signs: np.ndarray, buf: np.ndarray, offs: np.ndarray
             d = doc[first]
             out[d, :D] = np.add.reduceat(vec[row], first, axis=0) / count[:, None]
             out[d, D] = np.linalg.norm(np.add.reduceat(signs[row], first, axis=0) / count[:, None], axis=1) / np.sqrt(SIGNS)
-            out[d, D + 1] = np.log1p(count)
+            again = np.r_[False, (row[1:] == row[:-1]) & (doc[1:] == doc[:-1])]
+            out[d, D + 1] = np.add.reduceat(again.astype(float), first) / count
+            out[d, D + 2] = np.log1p(count)
     return out
 
 
@@ -115,18 +122,26 @@ def pool(docs: DataFrame, vec: np.ndarray, spark: SparkSession, keep: list[str])
     def run(batches):
         signs = sign_vectors()
         for b in batches:
-            x = np.zeros((len(b), D + 2))
+            x = np.zeros((len(b), WIDTH))
             for i, j, buf, offs in chunks(b.column("text")):
                 x[i:j] = pooled(shared.value, signs, buf, offs)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), D + 2).cast(pa.list_(pa.float64()))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists], [*keep, "features"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, features array<double>")
 
 
+def shrunk(x: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Pooled means as if each document had PRIOR words more of average kind: few words tell little."""
+    n = np.expm1(x[:, -1:])
+    return np.column_stack([(x[:, :-1] * n + base * PRIOR) / (n + PRIOR), x[:, -1:]])
+
+
 def train(x: np.ndarray, y: np.ndarray, w: np.ndarray, seed: int = 7) -> dict:
     """Weights of the network and its temperature."""
+    base = (x[:, :-1] * w[:, None]).sum(axis=0) / w.sum()
+    x = shrunk(x, base)
     mean, std = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = (x - mean) / std
     rng = np.random.default_rng(seed)
@@ -143,7 +158,7 @@ def train(x: np.ndarray, y: np.ndarray, w: np.ndarray, seed: int = 7) -> dict:
             m[k] = 0.9 * m[k] + 0.1 * grad[k]
             v[k] = 0.999 * v[k] + 0.001 * grad[k] ** 2
             p[k] = p[k] - RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    net = p | {"mean": mean, "std": std, "t": 1.0}
+    net = p | {"mean": mean, "std": std, "t": 1.0, "base": base}
     raw, yh, wh = logits(net, x[held]), y[held], w[held]
     loss = lambda t: float((wh * np.logaddexp(0, np.where(yh == 1, -raw, raw) / t)).sum())
     net["t"] = min(np.geomspace(0.25, 8, 60), key=loss) if held.any() else 1.0
@@ -151,6 +166,7 @@ def train(x: np.ndarray, y: np.ndarray, w: np.ndarray, seed: int = 7) -> dict:
 
 
 def logits(net: dict, x: np.ndarray) -> np.ndarray:
+    """Of features that are shrunk already."""
     return (np.tanh((x - net["mean"]) / net["std"] @ net["a"] + net["b"]) @ net["c"] + net["d"]) / net["t"]
 
 
@@ -160,12 +176,12 @@ def classify(docs: DataFrame, labels: DataFrame, spark: SparkSession) -> DataFra
     picked, share = labelled_sample(labels, "quality", FOLDS, HELD_OUT, PER_LABEL)
     rows = pool(sample_rows(docs, picked, spark), vec, spark, ["doc_id", "y"]).collect()
     rows = sorted({(r["doc_id"], r["y"], tuple(r["features"])) for r in rows})
-    x, y = np.array([r[2] for r in rows]).reshape(len(rows), D + 2), np.array([r[1] for r in rows], float)
+    x, y = np.array([r[2] for r in rows]).reshape(len(rows), WIDTH), np.array([r[1] for r in rows], float)
     if len(set(y)) == 2:
         w = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum())
         net = train(x, y, w)
     else:
-        net = {"a": np.zeros((D + 2, 1)), "b": np.zeros(1), "c": np.zeros(1), "d": np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6))]), "mean": np.zeros(D + 2), "std": np.ones(D + 2), "t": 1.0}
+        net = {"a": np.zeros((WIDTH, 1)), "b": np.zeros(1), "c": np.zeros(1), "d": np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6))]), "mean": np.zeros(WIDTH), "std": np.ones(WIDTH), "t": 1.0, "base": np.zeros(WIDTH - 1)}
     shared = spark.sparkContext.broadcast((vec, net))
 
     def run(batches):
@@ -174,7 +190,7 @@ def classify(docs: DataFrame, labels: DataFrame, spark: SparkSession) -> DataFra
         for b in batches:
             out = np.empty(len(b))
             for i, j, buf, offs in chunks(b.column("text")):
-                out[i:j] = 1 / (1 + np.exp(-np.clip(logits(net, pooled(vec, signs, buf, offs)), -30, 30)))
+                out[i:j] = 1 / (1 + np.exp(-np.clip(logits(net, shrunk(pooled(vec, signs, buf, offs), net["base"])), -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out)], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -26,6 +26,8 @@ empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +39,8 @@ from .components import components
 COSINE = 0.93
 #: Bound of the pivots that are broadcast, and points for each pivot below it.
 PIVOTS, CELL = 256, 4000
-TILE = 2048
+TILE = 8192
+MOST_LENGTHS = 100
 #: Slack of the filters against rounding; the last test is on the cosine itself.
 SLACK = 1e-7
 
@@ -53,6 +56,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = a / np.abs(a).max(), b / np.abs(b).max()
+    dot = lambda u, v: math.fsum((u * v).tolist())
+    return dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+
+
 def matrix(col: pa.Array) -> np.ndarray:
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(col), -1)
@@ -61,19 +70,20 @@ def matrix(col: pa.Array) -> np.ndarray:
 def near_duplicates(rows: DataFrame, spark: SparkSession, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     scratch = Scratch(spark, "embeddings")
-    r = float(np.sqrt(2 - 2 * cosine))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     good = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("v")))
     # the largest component scales away, so that any finite vector has a norm
     points = scratch.keep(good.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")))
     n = points.count()
-    dims = [x[0] for x in points.select(F.size("v").alias("d")).groupBy("d").count().orderBy("d").limit(1000).select("d").collect()]
+    dims = [x[0] for x in points.select(F.size("v").alias("d")).distinct().orderBy("d").limit(MOST_LENGTHS + 1).collect()]
+    if len(dims) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
     parts = []
     for d in dims:  # vectors of other lengths are other spaces
         own = points.where(F.size("v") == d)
         picked = own.select("id", "v").orderBy(F.xxhash64("id", "label"), "id").limit(min(PIVOTS, max(1, n // CELL))).collect()
         pivots = unit(np.array([p["v"] for p in picked], float).reshape(len(picked), d))
-        parts.append(cells(own, pivots, r, spark, scratch))
+        parts.append(cells(own, pivots, cosine, spark, scratch))
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = parts[0]
@@ -92,10 +102,10 @@ def near_duplicates(rows: DataFrame, spark: SparkSession, cosine: float = COSINE
     return out.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def cells(points: DataFrame, pivots: np.ndarray, r: float, spark: SparkSession, scratch: Scratch) -> DataFrame:
+def cells(points: DataFrame, pivots: np.ndarray, cosine: float, spark: SparkSession, scratch: Scratch) -> DataFrame:
     """label, a, b, links: counts of a point's links (b null) and links of spanning forests."""
     shared = spark.sparkContext.broadcast(pivots)
-    k = len(pivots)
+    k, r = len(pivots), float(np.sqrt(2 - 2 * cosine))
 
     def distances(x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, 2 - 2 * x @ shared.value.T))
@@ -136,12 +146,12 @@ def cells(points: DataFrame, pivots: np.ndarray, r: float, spark: SparkSession,
     # own points ask all points of the cell: a link of two cells is counted once from either side
     asks = cut.where("own").select("label", "cell", F.col("cut").alias("row"), F.explode(every).alias("col"), F.lit(True).alias("ask"), "own", "id", "copies", "v")
     answers = cut.select("label", "cell", F.explode(every).alias("row"), F.col("cut").alias("col"), F.lit(False).alias("ask"), "own", "id", "copies", "v")
-    limit = 1 - r * r / 2
 
     def tile(t: pa.Table) -> pa.Table:
         ask = t.column("ask").to_numpy()
         ids, copies = t.column("id").to_numpy(), t.column("copies").to_numpy()
-        x = unit(matrix(t.column("v").combine_chunks()))
+        raw = matrix(t.column("v").combine_chunks())
+        x = unit(raw)
         u, w = np.flatnonzero(ask), np.flatnonzero(~ask)
         links, pairs = np.zeros(len(u), np.int64), []
         parent: dict[int, int] = {}
@@ -154,7 +164,11 @@ def cells(points: DataFrame, pivots: np.ndarray, r: float, spark: SparkSession,
 
         for lo in range(0, len(u), 512):
             part = u[lo : lo + 512]
-            hit = (x[part] @ x[w].T >= limit - 1e-12) & (ids[part][:, None] != ids[w][None, :])
+            cos = x[part] @ x[w].T
+            hit = cos >= cosine
+            for i, j in zip(*np.nonzero(np.abs(cos - cosine) < SLACK)):  # too near to trust the order of summation
+                hit[i, j] = exact_cosine(raw[part[i]], raw[w[j]]) >= cosine
+            hit &= ids[part][:, None] != ids[w][None, :]
             links[lo : lo + 512] = hit @ copies[w]
             for i, j in zip(*np.nonzero(hit)):
                 p, q = root(int(ids[part[i]])), root(int(ids[w[j]]))

@@ -13,7 +13,7 @@ path. For all other urls a template tree per host decides:
 3. *Reject.* A template is blocked when its smoothed share of blocked examples,
    (blocked + PRIOR * rate) / (labelled + PRIOR), reaches ``PURITY``.
 
-The tree is built on templates with counts, never on rows, so a host with a
+The tree is built on templates with counts, never on rows, and written once, so a host with a
 third of all pages costs no more than its number of templates; the last join
 is salted on the rows' side. Null or malformed urls have empty host and path
 and are allowed; repeated rows each get the same verdict; an empty table gives
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import Scratch, ascii_lower
 
 DEPTH = 3
 #: A node with at least so many children of which this share of its urls are distinct is variable.
@@ -69,20 +69,22 @@ def _levels(path: Column) -> list[Column]:
     return [*levels, F.when(F.size(parts) > DEPTH, "**").otherwise("")]
 
 
-def templates(urls: DataFrame) -> DataFrame:
+def templates(urls: DataFrame, scratch: Scratch) -> DataFrame:
     """host, l0..lD (lexical template), t0..tD (generalised), n, blocked, labelled; one row per lexical template."""
     names = [f"l{i}" for i in range(DEPTH + 1)]
-    tree = urls.groupBy("host", *names).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(F.when(F.col("found.verdict") == "block", 1)).alias("blocked"),
-        F.count("found.verdict").alias("labelled"),
+    tree = scratch.keep(
+        urls.groupBy("host", *names).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count(F.when(F.col("found.verdict") == "block", 1)).alias("blocked"),
+            F.count("found.verdict").alias("labelled"),
+        )
     )
     above: list[str] = ["host"]
     for i in range(DEPTH):
         node = tree.groupBy(*above).agg(F.countDistinct(f"l{i}").alias("_kids"), F.sum("n").alias("_n"))
         tree = tree.join(node, above).withColumn(f"t{i}", F.when((F.col("_kids") >= WIDE) & (F.col("_kids") >= SPREAD * F.col("_n")), "*").otherwise(F.col(f"l{i}"))).drop("_kids", "_n")
         above = [*above, f"t{i}"]
-    return tree.withColumn(f"t{DEPTH}", F.col(f"l{DEPTH}"))
+    return scratch.keep(tree.withColumn(f"t{DEPTH}", F.col(f"l{DEPTH}")))
 
 
 def judged(tree: DataFrame) -> DataFrame:
@@ -105,11 +107,12 @@ def judged(tree: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template of every row."""
+    scratch = Scratch(pages.sparkSession, "urls")
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
     names = [f"l{i}" for i in range(DEPTH + 1)]
     urls = urls.select("*", *[c.alias(n) for c, n in zip(_levels(F.col("path")), names)])
-    rejected = judged(templates(urls)).where("reject").drop("reject")
+    rejected = judged(templates(urls, scratch)).where("reject").drop("reject")
     salted = rejected.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)]))).withColumn("reject", F.lit(True))
     rows = urls.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int"))
     return rows.join(salted, ["host", *names, "salt"], "left").select(

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import fold_of, labelled_sample, sample_rows
-from .tokens import FOLD, chunks, hash_ranges, mix
+from .tokens import CHUNK_BYTES, FOLD, chunks, hash_ranges, mix
 
 FOLDS, HELD_OUT = 3, 1
 #: Bound of the labelled sample, for each label.
@@ -232,12 +232,26 @@ class Sample:
         self.low = fold(np.frombuffer(b"".join(raw), np.uint8))
         self.offs = np.r_[0, np.cumsum([len(r) for r in raw], dtype=np.int64)]
         self.s, self.e, doc = letter_runs(self.low, self.offs)
-        self.h = hash_ranges(self.low, self.s, self.e)
+        self.s, self.e = self.s.astype(np.int32), self.e.astype(np.int32)
+        self.h = self.hashes(self.s, self.e)
         pad = np.zeros(1, np.uint64)
-        before, after = np.r_[pad, self.h[:-1]], np.r_[self.h[1:], pad]
-        before[np.r_[True, doc[1:] != doc[:-1]][: len(doc)]] = 0
-        after[np.r_[doc[1:] != doc[:-1], True][-len(doc) :] if len(doc) else slice(0)] = 0
-        self.context = mix(mix(before * np.uint64(3) + self.h) * np.uint64(5) + after)
+        turn = doc[1:] != doc[:-1]
+        before = np.r_[pad, np.where(turn, 0, self.h[:-1])][: len(doc)]
+        self.context = mix(before * np.uint64(3) + self.h)
+        del before
+        after = np.r_[np.where(turn, 0, self.h[1:]), pad][: len(doc)]
+        self.context = mix(self.context * np.uint64(5) + after)
+
+    def hashes(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges in order of their starts, some documents at a time: hashing takes many times the text's memory."""
+        out = np.empty(len(s), np.uint64)
+        a = 0
+        while a < self.n:
+            b = max(a + 1, int(np.searchsorted(self.offs, self.offs[a] + CHUNK_BYTES, side="right")) - 1)
+            lo, hi = np.searchsorted(s, self.offs[[a, b]])
+            out[lo:hi] = hash_ranges(self.low[self.offs[a] : self.offs[b]], s[lo:hi] - self.offs[a], e[lo:hi] - self.offs[a])
+            a = b
+        return out
 
     def counts(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, the number of different contexts of each, and a word that has it. at: words, key: their keys."""
@@ -285,11 +299,10 @@ def learn(rows: list[tuple[str, int]], share: float) -> dict:
         for x in (good, bad):
             at, end = x.beginnings(k)
             new = ~np.isin(x.h[at], known)
-            sides.append(x.counts(at[new], hash_ranges(x.low, x.s[at[new]], end[new])))
+            sides.append(x.counts(at[new], x.hashes(x.s[at[new]], end[new])))
         at, end = bad.beginnings(k)
-        ends = dict(zip(at.tolist(), end.tolist()))
         for i, odds in telling(*sides, n, STEM_ODDS):
-            stem = bad.word(i, ends[i])
+            stem = bad.word(i, int(end[np.searchsorted(at, i)]))
             if not any(stem.startswith(q) for q in stems):
                 stems[stem] = odds
     model = {"words": sorted(words), "word_odds": [words[w] for w in sorted(words)], "stems": sorted(stems), "stem_odds": [stems[p] for p in sorted(stems)], "own_words": set()}
@@ -315,8 +328,8 @@ def learn(rows: list[tuple[str, int]], share: float) -> dict:
 def fit(docs: DataFrame, labels: DataFrame, spark: SparkSession, column: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, per_label: int = PER_LABEL) -> dict:
     picked, share = labelled_sample(labels, column, folds, held_out, per_label)
     rows = sample_rows(docs, picked, spark).select("doc_id", "text", "y").collect()
-    rows = sorted({(r["doc_id"], r["text"], r["y"]) for r in rows})
-    return learn([(t, y) for _, t, y in rows], share)
+    rows = [(t, y) for _, t, y in sorted({tuple(r) for r in rows})]
+    return learn(rows, share)
 
 
 def score(docs: DataFrame, model: dict, spark: SparkSession) -> DataFrame:

@@ -12,9 +12,11 @@ stay: a few edits would turn one into another. Steps:
    by (length, segment's number, hash); the windows of each length within TAU
    are its probes. One cumulative sum gives the hashes of all substrings. Equal
    lines of a batch are one line, so that a very common line is a few rows.
-2. *Runs.* Key rows are sorted and streamed: equal lines are decided here, and
-   every other row meets the first of its key, the leader. A key of one line
-   vanishes.
+2. *Runs.* Rows of a key meet the key's first row, its leader, twice: within a
+   chunk of text, where only the leader goes on by its key and the others go by
+   their line, so that a key of any number of lines is a row per chunk; then the
+   chunks' leaders are sorted and streamed. Equal lines are decided on the way.
+   A key of one line vanishes.
 3. *Leaders* are verified once per pair. A line found to be a duplicate needs no
    further partner, so a segment that many lines share costs a pair for each
    line instead of all pairs.
@@ -116,25 +118,43 @@ def key_rows(docs: DataFrame, tau: int) -> DataFrame:
                 for w, t, kd in zip(who, tag, kind):
                     out.append((mix(keys[at : at + len(w)] ^ t).view(np.int64), h[w], d[w], no[w], kd))
                     at += len(w)
-                cols = [np.concatenate([o[c] for o in out]) for c in range(4)]
-                kinds = np.concatenate([np.full(len(o[0]), o[4], np.int8) for o in out])
-                arrays = [pa.array(cols[0]), pa.array(cols[1].view(np.int64)), pa.array(cols[2]), pa.array(cols[3].astype(np.int32)), pa.array(kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "h", "doc_id", "line_no", "kind"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, h long, doc_id long, line_no int, kind byte")
+                cols = dict(zip(("key", "h", "doc_id", "line_no"), (np.concatenate([o[c] for o in out]) for c in range(4))))
+                cols["kind"] = np.concatenate([np.full(len(o[0]), o[4], np.int8) for o in out])
+                yield combined(cols)
+
+    def combined(col):
+        """Rows of a key meet their first row here; only that one is dealt out by its key, the others by their line."""
+        order = np.lexsort((col["line_no"], col["doc_id"], col["key"]))
+        col = {c: v[order] for c, v in col.items()}
+        open_ = col["kind"] != DECIDED
+        start = np.maximum.accumulate(np.where(np.r_[True, (col["key"][1:] != col["key"][:-1]) | ~open_[1:]], np.arange(len(order)), 0))
+        met = open_ & (start != np.arange(len(order)))
+        keep = ~(met & (col["h"] == col["h"][start]))
+        part = np.where(met | ~open_, mix(col["doc_id"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + col["line_no"].astype(np.uint64)).view(np.int64), col["key"])
+        arrays = [pa.array(part[keep]), pa.array(met[keep]), pa.array(col["key"][keep]), pa.array(col["h"].view(np.int64)[keep]), pa.array(col["doc_id"][keep]), pa.array(col["line_no"].astype(np.int32)[keep]), pa.array(col["kind"][keep])]
+        none = ~met[keep]
+        arrays += [pa.array(col["doc_id"][start][keep], mask=none), pa.array(col["line_no"].astype(np.int32)[start][keep], mask=none), pa.array(col["kind"][start][keep], mask=none)]
+        return pa.RecordBatch.from_arrays(arrays, ["part", "met", "key", "h", "doc_id", "line_no", "kind", "lead_doc", "lead_no", "lead_kind"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "part long, met boolean, key long, h long, doc_id long, line_no int, kind byte, lead_doc long, lead_no int, lead_kind byte")
 
 
 def meet(rows: DataFrame) -> DataFrame:
-    """Streams rows sorted by (key, doc_id, line_no): each with the leader of its key, the first row.
+    """Streams rows sorted by (met, key, doc_id, line_no): each with the leader of its key, the first row.
 
     DECIDED rows, and WHOLE rows after their leader, come out as decided lines;
-    rows of the leader's own line vanish; so only two rows are ever held.
+    rows of the leader's own line vanish; rows that have met pass through. So
+    only two rows are ever held.
     """
     names = ["key", "h", "doc_id", "line_no", "kind"]
 
     def run(batches):
         lead = None
         for b in batches:
+            before = b.column("met").to_numpy(zero_copy_only=False)
+            if before.any():
+                yield through(b.filter(pa.array(before)))
+                b = b.filter(pa.array(~before))
             col = {c: b.column(c).to_numpy() for c in names}
             m = len(b)
             if not m:
@@ -148,7 +168,8 @@ def meet(rows: DataFrame) -> DataFrame:
             if start[0] < 0:
                 for c in names:
                     first[c][start < 0] = lead[c]
-            decided = (col["kind"] == DECIDED) | ((col["kind"] == WHOLE) & (start != np.arange(m)) & ((col["doc_id"] != first["doc_id"]) | (col["line_no"] != first["line_no"])))
+            elsewhere = (col["doc_id"] != first["doc_id"]) | (col["line_no"] != first["line_no"])
+            decided = (col["kind"] == DECIDED) | ((col["kind"] == WHOLE) & elsewhere)
             pair = (col["kind"] <= PROBE) & (col["h"] != first["h"])
             keep = decided | pair
             lead = {c: first[c][-1] for c in names}
@@ -157,6 +178,10 @@ def meet(rows: DataFrame) -> DataFrame:
                 ["key", "doc_id", "line_no", "kind", "decided", "lead_doc", "lead_no", "lead_kind"],
             )
 
+    def through(b):
+        cols = [b.column(c) for c in ("key", "doc_id", "line_no", "kind")]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(np.zeros(len(b), bool)), *[b.column(c) for c in ("lead_doc", "lead_no", "lead_kind")]], ["key", "doc_id", "line_no", "kind", "decided", "lead_doc", "lead_no", "lead_kind"])
+
     return rows.mapInArrow(run, "key long, doc_id long, line_no int, kind byte, decided boolean, lead_doc long, lead_no int, lead_kind byte")
 
 
@@ -276,7 +301,7 @@ def duplicate_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU) -> Dat
     """doc_id, line_no (from 0) of the lines to remove."""
     scratch = Scratch(spark, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    met = scratch.keep(meet(key_rows(docs, tau).repartition("key").sortWithinPartitions("key", "doc_id", "line_no")))
+    met = scratch.keep(meet(key_rows(docs, tau).repartition("part").sortWithinPartitions("met", "key", "doc_id", "line_no")))
     release(spark)
     equal = met.where("decided").select("doc_id", "line_no").distinct()
     pairs = met.where(f"not decided and (kind = {INDEX} or lead_kind = {INDEX})").select("doc_id", "line_no", "lead_doc", "lead_no").distinct()
@@ -299,11 +324,17 @@ def duplicate_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU) -> Dat
 
 
 def dedup_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU) -> DataFrame:
-    """docs with the text less its duplicate lines, and removed: the numbers of the lines taken out, sorted."""
+    """docs with the text less its duplicate lines; removed: the numbers of the lines taken out, sorted; n_lines: lines before (0 for null)."""
     gone = duplicate_lines(docs, spark, tau).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    left = docs.drop("removed").join(gone, "doc_id", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    return left.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)).withColumn("removed", F.coalesce("removed", F.array().cast("array<int>"))).select(*[c for c in docs.columns if c != "removed"], "removed")
+    columns = [c for c in docs.columns if c not in ("removed", "n_lines")]
+    left = docs.select(*columns).join(gone, "doc_id", "left")
+    lines = F.split("text", "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
+    return left.select(
+        *[F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in columns],
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+    )
 
 
 def oracle(tau: int = TAU) -> str:
@@ -312,6 +343,6 @@ def oracle(tau: int = TAU) -> str:
 with l as materialized (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as no from documents),
 u as materialized (select line, strlen(line) as n, min((doc_id, no)) as f from l where strlen(line) >= {MIN_BYTES} group by line),
 g as materialized (select distinct a.line from u a join u b on a.n between b.n - {tau} and b.n + {tau} and b.f < a.f where levenshtein(a.line, b.line) <= {tau}),
-k as (select l.doc_id, l.no, l.line, strlen(l.line) >= {MIN_BYTES} and (l.line in (select line from g) or (l.doc_id, l.no) > u.f) as gone from l left join u on u.line = l.line)
-select doc_id, count(*)::bigint as n_lines, count(*) filter (coalesce(gone, false))::bigint as n_removed,
+k as (select l.doc_id, l.no, l.line, strlen(l.line) >= {MIN_BYTES} and (l.line in (select line from g) or (l.doc_id, l.no) > u.f) as gone from l left join u on u.line = l.line union all select doc_id, null, null, false from documents where text is null)
+select doc_id, count(no)::bigint as n_lines, count(*) filter (coalesce(gone, false))::bigint as n_removed,
   sha256(coalesce(string_agg(line, chr(10) order by no) filter (not coalesce(gone, false)), '')) as kept_sha256 from k group by doc_id"""

@@ -34,8 +34,8 @@ def op6_mixing(spark, sf_dir):
 
 
 def op7_line_dedup(spark, sf_dir):
-    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").where("text is not null"), spark)
-    return out.select("doc_id", (F.size(F.split("text", "\n")) + F.size("removed") - (F.when((F.size("removed") > 0) & (F.col("text") == ""), 1).otherwise(0))).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"), spark)
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_embedding_dedup(spark, sf_dir):

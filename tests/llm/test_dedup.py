@@ -114,7 +114,9 @@ def test_some_segment_is_found(tau, data):
 
 def check_lines(spark, docs):
     out = line_dedup.dedup_lines(spark.createDataFrame(list(docs.items()), DOCS), spark)
-    assert {r["doc_id"]: (r["text"], list(r["removed"])) for r in out.collect()} == brute.line_dedup(docs)
+    got = out.collect()
+    assert {r["doc_id"]: (r["text"], list(r["removed"])) for r in got} == brute.line_dedup(docs)
+    assert all(r["n_lines"] == (0 if docs[r["doc_id"]] is None else docs[r["doc_id"]].count("\n") + 1) for r in got)
 
 
 def test_line_dedup(spark):
@@ -144,7 +146,7 @@ def test_line_dedup_of_tiles(spark, monkeypatch):
 def test_line_dedup_keeps_columns(spark):
     df = spark.createDataFrame([(1, "t", 5, "k")], DOCS + ", removed int, key string")
     out = line_dedup.dedup_lines(df, spark)
-    assert out.columns == ["doc_id", "text", "key", "removed"] and out.first()["key"] == "k"
+    assert out.columns == ["doc_id", "text", "key", "removed", "n_lines"] and out.first()["key"] == "k"
     assert line_dedup.dedup_lines(df.limit(0), spark).count() == 0
 
 

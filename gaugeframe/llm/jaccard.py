@@ -26,7 +26,8 @@ Two texts link when their sets of distinct k-word shingles overlap by ``num`` /
    copies costs a few rows per copy instead of all pairs, and no link between
    components is lost.
 
-Null texts and texts without words have an empty set and link with nothing;
+Rows without an id are left out of the classes. Null texts and texts without
+words have an empty set and link with nothing;
 shorter texts than k words have their whole sequence as one shingle; repeated
 rows are one class; texts are read whole; extra columns are left out by name.
 """

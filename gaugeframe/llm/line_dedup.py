@@ -26,7 +26,7 @@ stay: a few edits would turn one into another. Steps:
 5. *Verify.* Common ends are cut off; the rest goes through Myers' bit-parallel
    recurrence, given up once the distance cannot come down to TAU.
 
-Null texts stay null and empty texts empty. A doc_id that repeats is read as
+Null texts stay null and empty texts empty; rows without an id are not judged. A doc_id that repeats is read as
 further lines of the same number; of such equal places the lines are all
 judged, and none removes another. Texts are split whole, however long; an
 empty table gives an empty result; other columns pass through.

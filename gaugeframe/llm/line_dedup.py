@@ -60,7 +60,7 @@ def windows(k: int, delta: int, tau: int) -> range:
 
 
 def key_rows(docs: DataFrame, tau: int) -> DataFrame:
-    """key, h (hash of the line), doc_id, line_no, kind: for each line its index rows, probes and whole line."""
+    """key, met, h (hash of the line, or its key if it has met), doc_id, line_no, kind, lead_*: for each line its index rows, probes and whole line."""
 
     def lines_of(buf, offs):
         """Start, end and document of each line; a line break at a document's end opens an empty line of that document."""
@@ -130,13 +130,14 @@ def key_rows(docs: DataFrame, tau: int) -> DataFrame:
         start = np.maximum.accumulate(np.where(np.r_[True, (col["key"][1:] != col["key"][:-1]) | ~open_[1:]], np.arange(len(order)), 0))
         met = open_ & (start != np.arange(len(order)))
         keep = ~(met & (col["h"] == col["h"][start]))
-        part = np.where(met | ~open_, mix(col["doc_id"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + col["line_no"].astype(np.uint64)).view(np.int64), col["key"])
-        arrays = [pa.array(part[keep]), pa.array(met[keep]), pa.array(col["key"][keep]), pa.array(col["h"].view(np.int64)[keep]), pa.array(col["doc_id"][keep]), pa.array(col["line_no"].astype(np.int32)[keep]), pa.array(col["kind"][keep])]
+        # what has met needs no hash of its line any more and keeps its key there
+        deal = np.where(met | ~open_, mix(col["doc_id"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + col["line_no"].astype(np.uint64)).view(np.int64), col["key"])
+        arrays = [pa.array(deal[keep]), pa.array(met[keep]), pa.array(np.where(met, col["key"], col["h"].view(np.int64))[keep]), pa.array(col["doc_id"][keep]), pa.array(col["line_no"].astype(np.int32)[keep]), pa.array(col["kind"][keep])]
         none = ~met[keep]
         arrays += [pa.array(col["doc_id"][start][keep], mask=none), pa.array(col["line_no"].astype(np.int32)[start][keep], mask=none), pa.array(col["kind"][start][keep], mask=none)]
-        return pa.RecordBatch.from_arrays(arrays, ["part", "met", "key", "h", "doc_id", "line_no", "kind", "lead_doc", "lead_no", "lead_kind"])
+        return pa.RecordBatch.from_arrays(arrays, ["key", "met", "h", "doc_id", "line_no", "kind", "lead_doc", "lead_no", "lead_kind"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part long, met boolean, key long, h long, doc_id long, line_no int, kind byte, lead_doc long, lead_no int, lead_kind byte")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, met boolean, h long, doc_id long, line_no int, kind byte, lead_doc long, lead_no int, lead_kind byte")
 
 
 def meet(rows: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def meet(rows: DataFrame) -> DataFrame:
             )
 
     def through(b):
-        cols = [b.column(c) for c in ("key", "doc_id", "line_no", "kind")]
+        cols = [b.column(c) for c in ("h", "doc_id", "line_no", "kind")]
         return pa.RecordBatch.from_arrays([*cols, pa.array(np.zeros(len(b), bool)), *[b.column(c) for c in ("lead_doc", "lead_no", "lead_kind")]], ["key", "doc_id", "line_no", "kind", "decided", "lead_doc", "lead_no", "lead_kind"])
 
     return rows.mapInArrow(run, "key long, doc_id long, line_no int, kind byte, decided boolean, lead_doc long, lead_no int, lead_kind byte")
@@ -301,9 +302,9 @@ def duplicate_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU) -> Dat
     """doc_id, line_no (from 0) of the lines to remove."""
     scratch = Scratch(spark, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    met = scratch.keep(meet(key_rows(docs, tau).repartition("part").sortWithinPartitions("met", "key", "doc_id", "line_no")))
+    met = scratch.keep(meet(key_rows(docs, tau).repartition("key").sortWithinPartitions("met", "key", "doc_id", "line_no")))
     release(spark)
-    equal = met.where("decided").select("doc_id", "line_no").distinct()
+    equal = scratch.keep(met.where("decided").select("doc_id", "line_no").distinct())
     pairs = met.where(f"not decided and (kind = {INDEX} or lead_kind = {INDEX})").select("doc_id", "line_no", "lead_doc", "lead_no").distinct()
 
     # the text of the lines that met another, once
@@ -317,8 +318,11 @@ def duplicate_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU) -> Dat
     gone = equal.unionAll(near).distinct()
     rest = met.where("not decided").select("key", "doc_id", "line_no", "kind").join(gone.withColumn("gone", F.lit(True)), ["doc_id", "line_no"], "left").withColumn("open", F.col("gone").isNull()).drop("gone")
     rest = scratch.keep(rest)
+    scratch.drop(met)
+    release(spark)
     busy = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("any and n > 1").select("key")
     found = scratch.keep(tiles(rest.join(busy, "key").join(lines, ["doc_id", "line_no"]), tau))
+    scratch.drop(rest, lines)
     release(spark)
     return equal.unionAll(near).unionAll(found).distinct()
 

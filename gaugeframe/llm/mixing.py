@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 64
 GRAIN = 1000
 #: Sources are named by configuration; more than this many are an error, not a silent cut.
-MAX_SOURCES = 100_000
-RANGE_ROWS = 50_000
+MAX_SOURCES = 1_000
+#: Rows of a range of hashes, in which ranks are found by sorting.
+RANGE_ROWS = 4_000
 
 
 def target_weights(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -105,20 +106,22 @@ def phases(blocks: dict[str, int], weights: dict[str, float], grain: int = GRAIN
     return out
 
 
-def ranked(docs: DataFrame, source: str = "source", key: str = "doc_id") -> DataFrame:
-    """docs and _source, _rank: the row's rank (from 0) in its source, by hash of its key and content."""
-    n = docs.count()
-    ranges = max(1, -(-n // RANGE_ROWS))
+def ranked(docs: DataFrame, counts: dict[str, int], spark: SparkSession, source: str = "source", key: str = "doc_id") -> DataFrame:
+    """docs and _source, _rank: the row's rank (from 0) in its source, by hash of its key and content.
+
+    A source is dealt to as many ranges of hashes as its number of rows asks for.
+    """
+    ranges = spark.createDataFrame([(s, max(1, -(-n // RANGE_ROWS))) for s, n in counts.items()], "_source string, _ranges int")
     order = [F.xxhash64(F.col(key)), F.col(key), *[F.xxhash64(F.col(c)) for c in docs.columns if c != key]]
-    rows = docs.withColumns({"_source": F.coalesce(F.col(source).cast("string"), F.lit("")), "_hash": order[0]})
+    rows = docs.withColumns({"_source": F.coalesce(F.col(source).cast("string"), F.lit("")), "_hash": order[0]}).join(F.broadcast(ranges), "_source")
     # a rising function of the hash, so that ranks follow the hash across ranges
     share = F.col("_hash").cast("double") / float(1 << 64) + 0.5
-    rows = rows.withColumn("_range", F.least(F.floor(share * ranges), F.lit(ranges - 1)).cast("int"))
+    rows = rows.withColumn("_range", F.least(F.floor(share * F.col("_ranges")), F.col("_ranges") - 1).cast("int"))
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("_source", "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("_source", "_range").orderBy(*order))
     rows = rows.withColumn("_in", inside).join(sizes.drop("_n"), ["_source", "_range"])
-    return rows.withColumn("_rank", F.col("_before") + F.col("_in") - 1).drop("_hash", "_range", "_in", "_before")
+    return rows.withColumn("_rank", F.col("_before") + F.col("_in") - 1).drop("_hash", "_range", "_ranges", "_in", "_before")
 
 
 def mix(docs: DataFrame, spark: SparkSession, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, grain: int = GRAIN, source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -137,7 +140,7 @@ def mix(docs: DataFrame, spark: SparkSession, weights: dict[str, float] | None =
         for s in p["first"]
     ]
     spread = spark.createDataFrame(table, "_source string, mix_phase int, _first long, _end long, _slot long, _length long, _at array<int>")
-    rows = ranked(docs, source, key).withColumn("mix_block", F.floor(F.col("_rank") / block_rows))
+    rows = ranked(docs, counts, spark, source, key).withColumn("mix_block", F.floor(F.col("_rank") / block_rows))
     rows = rows.alias("r").join(F.broadcast(spread).alias("p"), (F.col("r._source") == F.col("p._source")) & (F.col("mix_block") >= F.col("_first")) & (F.col("mix_block") < F.col("_end")))
     j = F.col("mix_block") - F.col("_first")
     slot = F.col("_slot") + F.floor(j / F.size("_at")) * F.col("_length") + F.get("_at", (j % F.size("_at")).cast("int"))

@@ -130,7 +130,7 @@ def test_line_dedup(spark):
             x[i : i + rng.randrange(2)] = rng.choice(["", "z", "é"])
         variants.append("".join(x))
     docs = {i: "\n".join(rng.choice([*variants, base, " ".join(words(rng, 9)), "short", ""]) for _ in range(4)) for i in range(30)}
-    docs |= {100: None, 101: "", 102: "\n\n", 103: base, 104: base + "\n" + base, 105: "x" * 30000 + "\n" + "x" * 30001, 106: "y" * 23}
+    docs |= {100: None, 101: "", 102: "\n\n", 103: base, 104: base + "\n" + base, 105: "x" * 1500 + "\n" + "x" * 1501, 106: "y" * 23}
     check_lines(spark, docs)
 
 

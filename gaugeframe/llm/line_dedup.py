@@ -20,9 +20,10 @@ stay: a few edits would turn one into another. Steps:
 3. *Leaders* are verified once per pair. A line found to be a duplicate needs no
    further partner, so a segment that many lines share costs a pair for each
    line instead of all pairs.
-4. *The rest.* Lines still undecided meet all earlier lines of their keys, in
-   tiles of bounded size; byte counts that differ by more than 2 TAU rule a pair
-   out before it is verified, inside the tile. Nothing is lost.
+4. *The rest.* Lines still undecided meet all earlier lines of their keys, the
+   first line too if the key has leaders in several chunks, in tiles of bounded
+   size; byte counts that differ by more than 2 TAU rule a pair out before it is
+   verified, inside the tile. Nothing is lost.
 5. *Verify.* Common ends are cut off; the rest goes through Myers' bit-parallel
    recurrence, given up once the distance cannot come down to TAU.
 
@@ -298,6 +299,13 @@ def tiles(members: DataFrame, tau: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, line_no int").distinct()
 
 
+def first_lines(met: DataFrame) -> DataFrame:
+    """key, doc_id, line_no, kind of the first line of each key of several leaders, which has not met the rows of other chunks."""
+    lead = F.struct(F.col("lead_doc").alias("doc_id"), F.col("lead_no").alias("line_no"), F.col("lead_kind").alias("kind"))
+    ends = met.where("not decided").groupBy("key").agg(F.min(lead).alias("first"), F.max(lead).alias("last"))
+    return ends.where("first <> last").select("key", "first.*")
+
+
 def duplicate_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU) -> DataFrame:
     """doc_id, line_no (from 0) of the lines to remove."""
     scratch = Scratch(spark, "lines")
@@ -317,7 +325,7 @@ def duplicate_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU) -> Dat
     near = scratch.keep(verified(pairs, lines, tau))
     gone = equal.unionAll(near).distinct()
     rest = met.where("not decided").select("key", "doc_id", "line_no", "kind").join(gone.withColumn("gone", F.lit(True)), ["doc_id", "line_no"], "left").withColumn("open", F.col("gone").isNull()).drop("gone")
-    rest = scratch.keep(rest)
+    rest = scratch.keep(rest.unionByName(first_lines(met).withColumn("open", F.lit(False))))
     scratch.drop(met)
     release(spark)
     busy = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("any and n > 1").select("key")

@@ -143,6 +143,35 @@ def test_line_dedup_of_tiles(spark, monkeypatch):
     check_lines(spark, docs)
 
 
+def check_parts(spark, *parts):
+    """check_lines of documents that lie in one partition for each part, so that each has chunks of its own."""
+    df = spark.createDataFrame(spark.sparkContext.parallelize([list(p.items()) for p in parts], len(parts)).flatMap(lambda x: x), DOCS)
+    want = brute.line_dedup({k: v for p in parts for k, v in p.items()})
+    assert {r["doc_id"]: (r["text"], list(r["removed"])) for r in line_dedup.dedup_lines(df, spark).collect()} == want
+    return want
+
+
+def test_line_dedup_meets_the_first_line_in_every_chunk(spark):
+    """The third is alike to the first only, and its chunk has another leader of the segment they share."""
+    want = check_parts(spark, {1: "abcdefghij" + "klmnopqrst" + "uvwxyzabcd"}, {2: "0123456789" + "9876543210" + "uvwxyzabcd", 3: "abcdeXghij" + "klmnoXqrst" + "uvwxyzabcd"})
+    assert want[3] == ("", [0])
+
+
+def test_line_dedup_of_many_chunks(spark):
+    rng = random.Random(9)
+    segments = [["".join(rng.choice("abcdefgh") for _ in range(10)) for _ in range(4)] for _ in range(3)]
+
+    def line():
+        x = list("".join(rng.choice(s) for s in segments))
+        for _ in range(rng.randrange(3)):
+            x[rng.randrange(30)] = rng.choice("xyz")
+        return "".join(x)
+
+    docs = [{p * 10 + i: "\n".join(line() for _ in range(2)) for i in range(6)} for p in range(4)]
+    want = check_parts(spark, *docs)
+    assert 0 < sum(len(x[1]) for x in want.values()) < 48
+
+
 def test_line_dedup_keeps_columns(spark):
     df = spark.createDataFrame([(1, "t", 5, "k")], DOCS + ", removed int, key string")
     out = line_dedup.dedup_lines(df, spark)

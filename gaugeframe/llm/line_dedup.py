@@ -124,8 +124,8 @@ def key_rows(docs: DataFrame, tau: int) -> DataFrame:
                 yield combined(cols)
 
     def combined(col):
-        """Rows of a key meet their first row here; only that one is dealt out by its key, the others by their line."""
-        order = np.lexsort((col["line_no"], col["doc_id"], col["key"]))
+        """Rows of a key meet their first row here, a line's index row before its probes; only that one is dealt out by its key, the others by their line."""
+        order = np.lexsort((col["kind"], col["line_no"], col["doc_id"], col["key"]))
         col = {c: v[order] for c, v in col.items()}
         open_ = col["kind"] != DECIDED
         start = np.maximum.accumulate(np.where(np.r_[True, (col["key"][1:] != col["key"][:-1]) | ~open_[1:]], np.arange(len(order)), 0))
@@ -142,7 +142,7 @@ def key_rows(docs: DataFrame, tau: int) -> DataFrame:
 
 
 def meet(rows: DataFrame) -> DataFrame:
-    """Streams rows sorted by (met, key, doc_id, line_no): each with the leader of its key, the first row.
+    """Streams rows sorted by (met, key, doc_id, line_no, kind): each with the leader of its key, the first row.
 
     DECIDED rows, and WHOLE rows after their leader, come out as decided lines;
     rows of the leader's own line vanish; rows that have met pass through. So
@@ -310,7 +310,7 @@ def duplicate_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU) -> Dat
     """doc_id, line_no (from 0) of the lines to remove."""
     scratch = Scratch(spark, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    met = scratch.keep(meet(key_rows(docs, tau).repartition("key").sortWithinPartitions("met", "key", "doc_id", "line_no")))
+    met = scratch.keep(meet(key_rows(docs, tau).repartition("key").sortWithinPartitions("met", "key", "doc_id", "line_no", "kind")))
     release(spark)
     equal = scratch.keep(met.where("decided").select("doc_id", "line_no").distinct())
     pairs = met.where(f"not decided and (kind = {INDEX} or lead_kind = {INDEX})").select("doc_id", "line_no", "lead_doc", "lead_no").distinct()

@@ -172,6 +172,14 @@ def test_line_dedup_of_many_chunks(spark):
     assert 0 < sum(len(x[1]) for x in want.values()) < 48
 
 
+def test_line_dedup_of_dot_leaders_in_chunks(spark):
+    """A run of one byte has the same segment at every shift: the line's index row stands for its key, not a probe."""
+    lines = {i: f"{i} Intro {'.' * 24} 1{i + 1}" for i in (1, 2, 3)}
+    want = check_parts(spark, *({i: x} for i, x in lines.items()))
+    assert want[2] == want[3] == ("", [0])
+    check_parts(spark, {1: "-" * 40, 2: "ab" + "-" * 50}, {3: "-" * 41 + "+", 4: "cd" + "-" * 49}, {5: "+" + "-" * 40 + "+"})
+
+
 def test_line_dedup_keeps_columns(spark):
     df = spark.createDataFrame([(1, "t", 5, "k")], DOCS + ", removed int, key string")
     out = line_dedup.dedup_lines(df, spark)

@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Every n-gram of ``SEED`` words of the benchmark is counted over all
-   documents. Of each ``SPAN`` successive n-grams of an item the ``RAREST`` with
-   the lowest counts are its seeds, so that every stretch of an item has seeds
-   however often it was copied, and phrases of everyday words rarely serve.
+1. Every n-gram of ``SEED`` words of an item is a seed, so that an edited copy
+   is aligned wherever as many successive words of it are left. A copy without
+   ``SEED`` successive words of the item is not found.
 2. A document's n-grams are joined to the seeds by hash. Each hit proposes a
    diagonal; diagonals of one item that lie near each other are one window.
 3. The window and the whole item are aligned word by word (Smith-Waterman: match
@@ -27,11 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .tokens import chunks, hash_ranges, ngrams, words
 
-SEED, SPAN, RAREST = 3, 8, 3
+SEED = 3
 MATCH, MISS, GAP = 2, -1, -1
 SHARE, LONG, LEAST = 0.4, 60, 8
 BLOCK = 2_000_000
@@ -69,28 +67,6 @@ def item_grams(h: np.ndarray) -> np.ndarray:
     return ngrams(h, np.zeros(len(h), np.int64), k)[0]
 
 
-def gram_counts(docs: DataFrame, grams: np.ndarray, spark: SparkSession) -> np.ndarray:
-    """Occurrences of the (sorted, distinct) n-grams over all documents."""
-    shared = spark.sparkContext.broadcast(grams)
-
-    def run(batches):
-        known = shared.value
-        total = np.zeros(len(known), np.int64)
-        for b in batches:
-            for _, _, buf, offs in chunks(b.column("text")):
-                h, doc = word_hashes(buf, offs)
-                found, _ = ngrams(h, doc, SEED)
-                at = member(known, found)
-                total += np.bincount(at[at >= 0], minlength=len(known))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["at", "n"])
-
-    out = np.zeros(len(grams), np.int64)
-    for r in docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[r["at"]] = r["n"]
-    return out
-
-
 def member(known: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Place of each found hash in known (sorted), else -1. A table of bits rules most out at once."""
     if not len(known):
@@ -105,17 +81,9 @@ def member(known: np.ndarray, found: np.ndarray) -> np.ndarray:
     return out
 
 
-def seeds_of(items: list[tuple[int, np.ndarray]], count: dict[int, int]) -> list[tuple[int, int, int]]:
-    """(hash, item's number, word) of the rarest n-grams of each stretch of each item."""
-    out = []
-    for i, (_, h) in enumerate(items):
-        grams = item_grams(h)
-        chosen: set[int] = set()
-        for at in range(0, len(grams), SPAN):
-            near = range(at, min(at + SPAN, len(grams)))
-            chosen.update(sorted(near, key=lambda k: (count.get(int(grams[k]), 0), k))[:RAREST])
-        out += [(int(grams[k]), i, k) for k in sorted(chosen)]
-    return out
+def seeds_of(items: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int]]:
+    """(hash, item's number, word) of the n-grams of each item."""
+    return [(g, i, k) for i, (_, h) in enumerate(items) for k, g in enumerate(item_grams(h).tolist())]
 
 
 def align(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -149,18 +117,13 @@ def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
         yield block
 
 
-def block_seeds(docs: DataFrame, block: list, spark: SparkSession) -> list[tuple[int, int, int]]:
-    known = np.unique(np.concatenate([item_grams(h) for _, h in block]))
-    return seeds_of(block, dict(zip(known.tolist(), gram_counts(docs, known, spark).tolist())))
-
-
 def find(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
     """doc_id, item_id, score, share of each item that a document holds."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, score int, share double"
     out = spark.createDataFrame([], schema)
     for i, block in enumerate(blocks_of(benchmark)):
-        found = scan(docs.select("doc_id", "text"), block, block_seeds(docs, block, spark), spark, schema)
+        found = scan(docs.select("doc_id", "text"), block, seeds_of(block), spark, schema)
         out = out.unionAll(found) if i else found
     return out
 
@@ -168,7 +131,7 @@ def find(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFram
 def clean(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
     """docs, all columns, without those that hold a benchmark item; rows are judged where they lie, without a join."""
     for block in blocks_of(benchmark):
-        docs = scan(docs, block, block_seeds(docs, block, spark), spark, docs.schema, keep_clean=True)
+        docs = scan(docs, block, seeds_of(block), spark, docs.schema, keep_clean=True)
     return docs
 
 

@@ -200,6 +200,25 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert len(list(decontaminate.blocks_of(bench))) == 2 and sorted(map(tuple, decontaminate.find(df, bench, spark).collect())) == want == [(1, 1, 20, 1.0), (2, 2, 20, 1.0)]
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_decontamination_of_edited_copies(spark, exact):
+    """One word of each stretch of eight is replaced, at each offset; with and without an exact copy elsewhere."""
+    rng = random.Random(7)
+    items = {1: [f"a{i}" for i in range(10)], 2: [f"b{i}" for i in range(40)]}
+    docs = {}
+    for item, words_ in items.items():
+        for offset in range(8):
+            copy = ["changed" if i % 8 == offset else x for i, x in enumerate(words_)]
+            docs[item * 100 + offset] = [f"c{rng.randrange(500)}" for _ in range(30)] + copy + [f"c{rng.randrange(500)}" for _ in range(30)]
+        if exact:
+            docs[item * 100 + 50] = words_
+    want = {(d, d // 100, brute.smith_waterman(x, items[d // 100])) for d, x in docs.items()}
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in docs.items()], DOCS)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.find(df, bench, spark).collect()} == want
+    assert {r["doc_id"] for r in decontaminate.clean(df, bench, spark).collect()} == set()
+
+
 # ---- 6 -------------------------------------------------------------------------------------------------------
 
 

@@ -37,6 +37,14 @@ def ascii_lower(c):
     return F.translate(c, UPPER, LOWER)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that none of the taken ones clashes with."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of our own only where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

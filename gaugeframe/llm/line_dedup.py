@@ -1,33 +1,36 @@
 """Line dedup by a segment-partition edit join.
 
 Two lines are alike when their edit distance over UTF-8 bytes is at most
-``TAU``. A line of ``MIN_BYTES`` or more that is alike to a line that occurs
+``TAU``. A line of ``min_bytes`` or more that is alike to a line that occurs
 before it - in order of (doc_id, line number), its own document included - is a
 duplicate and is removed; the input is judged, not what is left. Shorter lines
-stay: a few edits would turn one into another. Steps:
+stay: a few edits would turn one into another (0 judges every line). Steps:
 
 1. *Segments.* A line is cut into TAU + 1 even segments. If two lines are
    alike, some segment of the shorter occurs in the longer at a place that the
-   multi-match-aware window allows. A line's own segments are index rows, keyed
-   by (length, segment's number, hash); the windows of each length within TAU
-   are its probes. One cumulative sum gives the hashes of all substrings. Equal
-   lines of a batch are one line, so that a very common line is a few rows.
+   multi-match-aware window allows. A line's own segments are index rows; the
+   windows of each length within TAU are its probes. Keys name the segment's
+   number, size - which bounds the line's length - and content, so that windows
+   that several lengths share are one row. One cumulative sum gives the hashes.
 2. *Runs.* Rows of a key meet the key's first row, its leader, twice: within a
-   chunk of text, where only the leader goes on by its key and the others go by
-   their line, so that a key of any number of lines is a row per chunk; then the
-   chunks' leaders are sorted and streamed. Equal lines are decided on the way.
+   batch of rows of a task, where only the leader goes on by its key and the others go by
+   their line, so that a key of any number of lines is a row per batch; then the
+   batches' leaders are sorted and streamed. Equal lines are decided on the way.
    A key of one line vanishes.
 3. *Leaders* are verified once per pair. A line found to be a duplicate needs no
    further partner, so a segment that many lines share costs a pair for each
    line instead of all pairs.
-4. *The rest.* Lines still undecided meet all earlier lines of their keys, the
-   first line too if the key has leaders in several chunks, in tiles of bounded
-   size; byte counts that differ by more than 2 TAU rule a pair out before it is
-   verified, inside the tile. Nothing is lost.
-5. *Verify.* Common ends are cut off; the rest goes through Myers' bit-parallel
-   recurrence, given up once the distance cannot come down to TAU.
-
-Null texts stay null and empty texts empty; rows without an id are not judged. A doc_id that repeats is read as
+4. *The rest.* Lines still undecided meet the earlier lines of their keys, the
+   first line too if the key has leaders in several batches. What is left of two
+   alike lines without the segment they share is alike again, so a key of many
+   lines is cut by segments of the remainders, and these again: in the shuffle
+   while a key has more than ``TILE`` lines, and then within the task, which holds one
+   tile of a key. Nothing is lost; what shares all of these is compared pair by pair.
+5. *Verify.* A band of 2 TAU + 1 diagonals, as bits: an automaton with a word for
+   each number of edits, many pairs at once; on long lines it jumps to the next
+   byte at which a diagonal differs.
+
+Ids are whole numbers. Null texts stay null and empty texts empty; rows without an id are not judged. A doc_id that repeats is read as
 further lines of the same number; of such equal places the lines are all
 judged, and none removes another. Texts are split whole, however long; an
 empty table gives an empty result; other columns pass through.
@@ -39,13 +42,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, release
+from .common import Scratch, free_name, release
 from .tokens import chunks, hash_ranges, mix
 
 TAU, MIN_BYTES = 2, 24
-TILE = 1024
+#: Bounds of a tile, in lines and bytes, and of the rows of a task that meet before they are dealt out.
+TILE, TILE_BYTES, BATCH = 4096, 32 << 20, 1 << 19
+#: Levels of segments below a key's own; a group of this many lines is compared pair by pair.
+LEVELS, SMALL = 3, 24
+#: Longer lines are verified one pair at a time.
+LONG = 512
 INDEX, PROBE, WHOLE, DECIDED = range(4)
+#: The key of lines too short for segments, which only the parameter 0 admits.
+TINY = np.uint64(0x5C0FFEE5C0FFEE55)
 
 
 def segment_starts(n: np.ndarray, tau: int) -> np.ndarray:
@@ -60,19 +71,49 @@ def windows(k: int, delta: int, tau: int) -> range:
     return range(max(-k, delta - (tau - k)), min(k, delta + (tau - k)) + 1)
 
 
-def key_rows(docs: DataFrame, tau: int) -> DataFrame:
-    """key, met, h (hash of the line, or its key if it has met), doc_id, line_no, kind, lead_*: for each line its index rows, probes and whole line."""
-
-    def lines_of(buf, offs):
-        """Start, end and document of each line; a line break at a document's end opens an empty line of that document."""
-        edge = np.flatnonzero(buf == 10)
-        of_edge, own = np.searchsorted(offs[:-1], edge, side="right") - 1, np.arange(len(offs) - 1)
-        s, d = np.concatenate([offs[:-1], edge + 1]), np.concatenate([own, of_edge])
-        e, f = np.concatenate([edge, offs[1:]]), np.concatenate([of_edge, own])
-        order = np.lexsort((s, d))
-        return s[order], e[np.lexsort((e, f))], d[order]
+def window_keys(buf: np.ndarray, s: np.ndarray, e: np.ndarray, tau: int) -> tuple[np.ndarray, ...]:
+    """(line, key, begin, size, whether it is the line's own segment) of the windows of lines buf[s:e], each once."""
+    n = e - s
+    out: list[tuple] = []
+    for k in range(tau + 1):
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        shifts = [(0, 0), *[(d, x) for d in range(tau + 1) for x in windows(k, d, tau) if (d, x) != (0, 0)]]
+        for delta, shift in shifts:
+            cut = segment_starts(np.maximum(n - delta, 0), tau)
+            begin, size = cut[:, k] + shift, cut[:, k + 1] - cut[:, k]
+            ok = (begin >= 0) & (begin + size <= n) & (size > 0)
+            for b, z in seen:
+                ok &= (b != begin) | (z != size)
+            seen.append((begin, size))
+            at = np.flatnonzero(ok)
+            out.append((at, begin[at], size[at], np.full(len(at), k), np.full(len(at), (delta, shift) == (0, 0))))
+    who, begin, size, k, own = (np.concatenate(x) for x in zip(*out))
+    label = mix((size * (tau + 1) + k + 1).astype(np.uint64))
+    key = mix(hash_ranges(buf, s[who] + begin, s[who] + begin + size) ^ label)
+    tiny = np.flatnonzero(n <= 2 * tau)
+    if len(tiny):
+        zero = np.zeros(len(tiny), np.int64)
+        who, begin, size = np.r_[who, tiny], np.r_[begin, zero], np.r_[size, zero]
+        key, own = np.r_[key, np.full(len(tiny), TINY)], np.r_[own, np.ones(len(tiny), bool)]
+    return who, key, begin, size, own
+
+
+def lines_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each line; a line break at a document's end opens an empty line of that document."""
+    edge = np.flatnonzero(buf == 10)
+    of_edge, own = np.searchsorted(offs[:-1], edge, side="right") - 1, np.arange(len(offs) - 1)
+    s, d = np.concatenate([offs[:-1], edge + 1]), np.concatenate([own, of_edge])
+    e, f = np.concatenate([edge, offs[1:]]), np.concatenate([of_edge, own])
+    order = np.lexsort((s, d))
+    return s[order], e[np.lexsort((e, f))], d[order]
+
+
+def key_rows(docs: DataFrame, tau: int, min_bytes: int) -> DataFrame:
+    """key, h (hash of the line, or its key if it has met), doc_id, place (4 line_no + kind), lead_*: for each line its windows and its whole."""
 
     def run(batches):
+        held: list[tuple] = []
+        rows = 0
         for b in batches:
             ids = b.column("doc_id").to_numpy()
             for i, j, buf, offs in chunks(b.column("text")):
@@ -83,7 +124,7 @@ def key_rows(docs: DataFrame, tau: int) -> DataFrame:
                 s, e, d = lines_of(buf, at)
                 no = np.arange(len(s)) - np.searchsorted(d, d)
                 d = ids[i:j][filled][d]
-                keep = e - s >= MIN_BYTES
+                keep = e - s >= min_bytes
                 s, e, d, no = s[keep], e[keep], d[keep], no[keep]
                 if not len(s):
                     continue
@@ -95,141 +136,170 @@ def key_rows(docs: DataFrame, tau: int) -> DataFrame:
                 same = np.empty(len(h), bool)  # a row repeated in full decides nothing about itself
                 same[order] = (d[order] == d[lead]) & (no[order] == no[lead])
                 gone = ~first & ~same
-                out = [(np.zeros(gone.sum(), np.int64), h[gone], d[gone], no[gone], DECIDED)]
+                held.append((np.zeros(gone.sum(), np.int64), h[gone], d[gone], no[gone] * 4 + DECIDED))
                 s, e, d, no, h = s[first], e[first], d[first], no[first], h[first]
-                n = e - s
-                out.append(((h * np.uint64(0x9FB21C651E98DF25)).view(np.int64), h, d, no, WHOLE))
-                starts, ends, who, tag, kind = [], [], [], [], []
-                for delta in range(tau + 1):
-                    short = n - delta
-                    cut = segment_starts(short, tau)
-                    for k in range(tau + 1):
-                        size = cut[:, k + 1] - cut[:, k]
-                        label = mix(short.astype(np.uint64) * np.uint64(tau + 1) + np.uint64(k + 1))
-                        for shift in windows(k, delta, tau):
-                            begin = cut[:, k] + shift
-                            ok = np.flatnonzero((begin >= 0) & (begin + size <= n) & (size > 0))
-                            starts.append(s[ok] + begin[ok])
-                            ends.append(s[ok] + begin[ok] + size[ok])
-                            who.append(ok)
-                            tag.append(label[ok])
-                            kind.append(INDEX if delta == 0 and shift == 0 else PROBE)
-                keys = hash_ranges(buf, np.concatenate(starts), np.concatenate(ends))
-                at = 0
-                for w, t, kd in zip(who, tag, kind):
-                    out.append((mix(keys[at : at + len(w)] ^ t).view(np.int64), h[w], d[w], no[w], kd))
-                    at += len(w)
-                cols = dict(zip(("key", "h", "doc_id", "line_no"), (np.concatenate([o[c] for o in out]) for c in range(4))))
-                cols["kind"] = np.concatenate([np.full(len(o[0]), o[4], np.int8) for o in out])
-                yield combined(cols)
-
-    def combined(col):
+                held.append(((h * np.uint64(0x9FB21C651E98DF25)).view(np.int64), h, d, no * 4 + WHOLE))
+                who, key, _, _, own = window_keys(buf, s, e, tau)
+                held.append((key.view(np.int64), h[who], d[who], no[who] * 4 + np.where(own, INDEX, PROBE)))
+                rows += len(who)
+                if rows >= BATCH:
+                    yield combined(held)
+                    held, rows = [], 0
+        if held:
+            yield combined(held)
+
+    def combined(held):
         """Rows of a key meet their first row here, a line's index row before its probes; only that one is dealt out by its key, the others by their line."""
-        order = np.lexsort((col["kind"], col["line_no"], col["doc_id"], col["key"]))
-        col = {c: v[order] for c, v in col.items()}
-        open_ = col["kind"] != DECIDED
-        start = np.maximum.accumulate(np.where(np.r_[True, (col["key"][1:] != col["key"][:-1]) | ~open_[1:]], np.arange(len(order)), 0))
-        met = open_ & (start != np.arange(len(order)))
-        keep = ~(met & (col["h"] == col["h"][start]))
+        key, h, doc, place = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((place, doc, key))
+        key, h, doc, place = key[order], h[order], doc[order], place[order]
+        open_ = place & 3 != DECIDED
+        start = np.maximum.accumulate(np.where(np.r_[True, (key[1:] != key[:-1]) | ~open_[1:] | ~open_[:-1]], np.arange(len(key)), 0))
+        met = open_ & (start != np.arange(len(key)))
+        equal = met & (place & 3 == WHOLE)  # of a key of whole lines all are equal
+        twin = equal & (doc == doc[start]) & (place == place[start])
+        keep = ~twin & (~(met & (h == h[start])) | equal)
+        place = np.where(equal, place | DECIDED, place)
+        met &= ~equal
         # what has met needs no hash of its line any more and keeps its key there
-        deal = np.where(met | ~open_, mix(col["doc_id"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + col["line_no"].astype(np.uint64)).view(np.int64), col["key"])
-        arrays = [pa.array(deal[keep]), pa.array(met[keep]), pa.array(np.where(met, col["key"], col["h"].view(np.int64))[keep]), pa.array(col["doc_id"][keep]), pa.array(col["line_no"].astype(np.int32)[keep]), pa.array(col["kind"][keep])]
+        deal = np.where(met | (place & 3 == DECIDED), mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)).view(np.int64), key)
         none = ~met[keep]
-        arrays += [pa.array(col["doc_id"][start][keep], mask=none), pa.array(col["line_no"].astype(np.int32)[start][keep], mask=none), pa.array(col["kind"][start][keep], mask=none)]
-        return pa.RecordBatch.from_arrays(arrays, ["key", "met", "h", "doc_id", "line_no", "kind", "lead_doc", "lead_no", "lead_kind"])
+        arrays = [pa.array(x[keep]) for x in (deal, np.where(met, key, h.view(np.int64)), doc, place)]
+        arrays += [pa.array(x[start][keep], mask=none) for x in (doc, place)]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "h", "doc_id", "place", "lead_doc", "lead_place"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, h long, doc_id long, place long, lead_doc long, lead_place long")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, met boolean, h long, doc_id long, line_no int, kind byte, lead_doc long, lead_no int, lead_kind byte")
+
+MET = "key long, doc_id long, place long, lead_doc long, lead_place long, decided boolean"
 
 
 def meet(rows: DataFrame) -> DataFrame:
-    """Streams rows sorted by (met, key, doc_id, line_no, kind): each with the leader of its key, the first row.
+    """Streams rows sorted by (key, doc_id, place): each with the leader of its key, the first row.
 
     DECIDED rows, and WHOLE rows after their leader, come out as decided lines;
     rows of the leader's own line vanish; rows that have met pass through. So
     only two rows are ever held.
     """
-    names = ["key", "h", "doc_id", "line_no", "kind"]
+    names = ["key", "h", "doc_id", "place"]
 
     def run(batches):
         lead = None
         for b in batches:
-            before = b.column("met").to_numpy(zero_copy_only=False)
+            before = b.column("lead_place").is_valid().to_numpy(zero_copy_only=False)
             if before.any():
-                yield through(b.filter(pa.array(before)))
+                x = b.filter(pa.array(before))
+                yield pa.RecordBatch.from_arrays([*[x.column(c) for c in ("h", "doc_id", "place", "lead_doc", "lead_place")], pa.array(np.zeros(len(x), bool))], ["key", "doc_id", "place", "lead_doc", "lead_place", "decided"])
                 b = b.filter(pa.array(~before))
             col = {c: b.column(c).to_numpy() for c in names}
             m = len(b)
             if not m:
                 continue
+            kind = col["place"] & 3
             new = np.ones(m, bool)
-            new[1:] = col["key"][1:] != col["key"][:-1]
-            if lead is not None and lead["key"] == col["key"][0]:
+            new[1:] = (col["key"][1:] != col["key"][:-1]) | (kind[1:] == DECIDED) | (kind[:-1] == DECIDED)
+            if lead is not None and lead["key"] == col["key"][0] and kind[0] != DECIDED and lead["place"] & 3 != DECIDED:
                 new[0] = False
             start = np.maximum.accumulate(np.where(new, np.arange(m), -1))
             first = {c: col[c][np.maximum(start, 0)] for c in names}
             if start[0] < 0:
                 for c in names:
                     first[c][start < 0] = lead[c]
-            elsewhere = (col["doc_id"] != first["doc_id"]) | (col["line_no"] != first["line_no"])
-            decided = (col["kind"] == DECIDED) | ((col["kind"] == WHOLE) & elsewhere)
-            pair = (col["kind"] <= PROBE) & (col["h"] != first["h"])
+            elsewhere = (col["doc_id"] != first["doc_id"]) | (col["place"] >> 2 != first["place"] >> 2)
+            decided = (kind == DECIDED) | ((kind == WHOLE) & elsewhere)
+            pair = (kind <= PROBE) & (col["h"] != first["h"])
             keep = decided | pair
             lead = {c: first[c][-1] for c in names}
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(col[c][keep]) for c in ("key", "doc_id", "line_no", "kind")], pa.array(decided[keep]), *[pa.array(first[c][keep]) for c in ("doc_id", "line_no", "kind")]],
-                ["key", "doc_id", "line_no", "kind", "decided", "lead_doc", "lead_no", "lead_kind"],
+                [*[pa.array(col[c][keep]) for c in ("key", "doc_id", "place")], *[pa.array(first[c][keep]) for c in ("doc_id", "place")], pa.array(decided[keep])],
+                ["key", "doc_id", "place", "lead_doc", "lead_place", "decided"],
             )
 
-    def through(b):
-        cols = [b.column(c) for c in ("h", "doc_id", "line_no", "kind")]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(np.zeros(len(b), bool)), *[b.column(c) for c in ("lead_doc", "lead_no", "lead_kind")]], ["key", "doc_id", "line_no", "kind", "decided", "lead_doc", "lead_no", "lead_kind"])
+    return rows.mapInArrow(run, MET)
+
 
-    return rows.mapInArrow(run, "key long, doc_id long, line_no int, kind byte, decided boolean, lead_doc long, lead_no int, lead_kind byte")
+# ---- verification ----------------------------------------------------------------------------------------------
 
 
-def edit_within(a: bytes, b: bytes, tau: int) -> bool:
-    """Whether the edit distance of a and b is at most tau."""
-    if abs(len(a) - len(b)) > tau:
+def banded(buf: np.ndarray, a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, tau: int) -> np.ndarray:
+    """Whether buf[a:a+la] and buf[b:b+lb] are within tau, for many pairs whose lengths are.
+
+    After j bytes of the second line, bit d + tau of rows[e] tells that its
+    beginning turns into the first j + d bytes of the first line by at most e
+    edits. buf is padded by tau bytes at either end.
+    """
+    out = np.zeros(len(a), bool)
+    full = np.uint32((1 << (2 * tau + 1)) - 1)
+    live = np.arange(len(a))
+    rows = [np.full(len(a), sum(1 << (d + tau) for d in range(e + 1)), np.uint32) for e in range(tau + 1)]
+    j = 0
+    while len(live):
+        over = lb[live] == j
+        if over.any() or j % 8 == 0:
+            out[live[over]] = (rows[tau][over] >> (la[live] - lb[live] + tau)[over].astype(np.uint32)) & 1
+            stay = ~over & (rows[tau] != 0)
+            live, rows = live[stay], [r[stay] for r in rows]
+            if not len(live):
+                break
+        at, left, c = a[live] + j, la[live] - j, buf[b[live] + j]
+        match = np.zeros(len(live), np.uint32)
+        for d in range(-tau, tau + 1):
+            match |= ((buf[at + d] == c) & (left > d) & (j + d >= 0)).astype(np.uint32) << np.uint32(d + tau)
+        new = [rows[0] & match]
+        for e in range(1, tau + 1):
+            new.append((rows[e] & match) | rows[e - 1] | (rows[e - 1] >> np.uint32(1)) | ((new[e - 1] << np.uint32(1)) & full))
+        rows = new
+        j += 1
+    return out
+
+
+def edit_within(x: bytes, y: bytes, tau: int) -> bool:
+    """The same of one pair: a diagonal's place with so many edits goes straight to the next byte at which it differs."""
+    if abs(len(x) - len(y)) > tau:
         return False
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:  # the common beginning, by halving
-        mid = (lo + hi + 1) // 2
-        if a[lo:mid] == b[lo:mid]:
-            lo = mid
-        else:
-            hi = mid - 1
-    a, b = a[lo:], b[lo:]
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if a[len(a) - mid :] == b[len(b) - mid :]:
-            lo = mid
-        else:
-            hi = mid - 1
-    a, b = a[: len(a) - lo], b[: len(b) - lo]
-    if not a or not b:
-        return max(len(a), len(b)) <= tau
-    m = len(a)
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    match: dict[int, int] = {}
-    for i, x in enumerate(a):
-        match[x] = match.get(x, 0) | 1 << i
-    up, down, score = full, 0, m
-    for j, x in enumerate(b):
-        eq = match.get(x, 0)
-        xv = eq | down
-        xh = (((eq & up) + up) ^ up) | eq
-        hp, hn = down | (full & ~(xh | up)), up & xh
-        if hp & top:
-            score += 1
-        elif hn & top:
-            score -= 1
-        if score - (len(b) - j - 1) > tau:
-            return False
-        hp = (hp << 1 | 1) & full
-        hn = hn << 1 & full
-        up, down = hn | (full & ~(xv | hp)), hp & xv
-    return score <= tau
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+
+    def slide(j: int, d: int) -> int:
+        """The first place of y from j on where x, d bytes on, differs, or the end of either."""
+        end, step = min(len(b), len(a) - d), 64
+        while j < end:
+            stop = min(end, j + step)
+            differ = a[j + d : stop + d] != b[j:stop]
+            k = int(differ.argmax())
+            if differ[k]:
+                return j + k
+            j, step = stop, step * 4
+        return j
+
+    reach = {0: slide(0, 0)}
+    for e in range(tau + 1):
+        if e:
+            step: dict[int, int] = {}
+            for d, j in reach.items():
+                for to, place in ((d, j + 1), (d - 1, j + 1), (d + 1, j)):
+                    if abs(to) <= tau and place <= len(b) and 0 <= place + to <= len(a):
+                        step[to] = max(step.get(to, -1), place)
+            reach = {d: slide(j, d) for d, j in step.items()}
+        if reach.get(len(a) - len(b), -1) >= len(b):
+            return True
+    return False
+
+
+def alike(x: list[bytes], y: list[bytes], tau: int) -> np.ndarray:
+    """Whether the lines of each pair are within tau."""
+    lx, ly = np.array([len(v) for v in x], np.int64), np.array([len(v) for v in y], np.int64)
+    out = np.zeros(len(x), bool)
+    fits = np.abs(lx - ly) <= tau
+    long = fits & (ly > LONG)
+    out[long] = [edit_within(x[i], y[i], tau) for i in np.flatnonzero(long)]
+    short = np.flatnonzero(fits & ~long)
+    short = short[np.argsort(ly[short], kind="stable")]
+    for part in (short[i : i + 4096] for i in range(0, len(short), 4096)):
+        pad = b"\0" * (2 * tau + 1)
+        buf = np.frombuffer(b"".join([pad, *[v for i in part for v in (x[i], y[i])], pad]), np.uint8)
+        ends = len(pad) + np.cumsum(np.column_stack([lx[part], ly[part]]).ravel()).reshape(-1, 2)
+        out[part] = banded(buf, ends[:, 0] - lx[part], lx[part], ends[:, 1] - ly[part], ly[part], tau)
+    return out
 
 
 def verified(pairs: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
@@ -239,43 +309,160 @@ def verified(pairs: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            keep = [edit_within(p, q, tau) for p, q in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            keep = alike(b.column("x").to_pylist(), b.column("y").to_pylist(), tau)
             yield b.select(["doc_id", "line_no"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(x, ["doc_id", "line_no"]).join(y, ["lead_doc", "lead_no"])
-    return joined.select("doc_id", "line_no", "x", "y").mapInArrow(run, "doc_id long, line_no int").distinct()
+    return joined.select("doc_id", "line_no", "x", "y").mapInArrow(run, "doc_id long, line_no long").distinct()
+
+
+# ---- the rest ----------------------------------------------------------------------------------------------------
+
+
+def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.array([len(p) for p in parts], np.int64)
+    e = np.cumsum(n)
+    return np.frombuffer(b"".join(parts), np.uint8), e - n, e
+
+
+def remainders(parts: list[bytes], tau: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(line, key, whether own, what is left) of the windows of each line; wanted: only those of this key, by line."""
+    buf, s, e = joined(parts)
+    who, key, begin, size, own = window_keys(buf, s, e, tau)
+    if wanted is not None:
+        at = np.flatnonzero(key == wanted[who])
+        who, key, begin, size, own = who[at], key[at], begin[at], size[at], own[at]
+    return who, key, own, [parts[w][:b] + parts[w][b + n :] for w, b, n in zip(who.tolist(), begin.tolist(), size.tolist())]
+
+
+def follow(lines: list[bytes], paths: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(line, whether own, what is left) after the windows of a path of keys are cut out. paths: lines x levels."""
+    who, own, left = np.arange(len(lines)), np.ones(len(lines), bool), lines
+    for level in range(paths.shape[1]):
+        at, _, is_own, left = remainders(left, tau, paths[who, level])
+        who, own = who[at], own[at] & is_own
+    return who, own, left
 
 
-def tiles(members: DataFrame, tau: int) -> DataFrame:
-    """Undecided lines that are alike to an earlier line of one of their keys.
+def group_pairs(own, left, asks, answers, place, tau, levels, group):
+    """Yields arrays (i, j) of rows that may be alike: i asks, j answers and stands before it.
 
-    members: key, doc_id, line_no, kind, open (undecided), line. A key's lines
-    are dealt to tiles of about TILE by TILE lines; a task holds one tile.
+    The rows of a group share all keys so far; left is what remains of their
+    lines. place: rank of the line. A pair needs an own segment on one side at least.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("cuts"), F.max("open").alias("any")).where("any")
-    cut = members.join(sizes, "key").withColumn("cut", F.pmod(F.xxhash64("doc_id", "line_no"), F.col("cuts")).cast("int"))
+    order = np.argsort(group, kind="stable")
+    edge = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1], True])
+    count = np.diff(edge)
+    # groups of a few rows, many at once
+    few = np.flatnonzero(np.repeat(count <= SMALL, count))
+    after = (np.repeat(edge[1:], count) - np.arange(len(order)) - 1)[few]
+    bounds = np.r_[0, np.cumsum(after)]
+    lo = 0
+    while lo < len(few):
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 200_000, side="right")) - 1)
+        reps = after[lo:hi]
+        i = np.repeat(few[lo:hi], reps)
+        j = order[i + 1 + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
+        i = order[i]
+        i, j = np.where(place[i] > place[j], i, j), np.where(place[i] > place[j], j, i)
+        ok = asks[i] & answers[j] & (place[j] < place[i]) & (own[i] | own[j])
+        yield i[ok], j[ok]
+        lo = hi
+    for g in np.flatnonzero(count > SMALL):
+        rows = order[edge[g] : edge[g + 1]]
+        if asks[rows].any() and answers[rows].any():
+            for i, j in large_group([left[x] for x in rows], own[rows], asks[rows], answers[rows], place[rows], tau, levels):
+                yield rows[i], rows[j]
+
+
+def large_group(left, own, asks, answers, place, tau, levels):
+    """The same of one group, by segments of the remainders."""
+    size = np.array([len(x) for x in left])
+    least = 4 * (tau + 1)
+    short = np.arange(len(left)) if not levels else np.flatnonzero(size < least + tau)
+    if len(short):
+        for i, j in all_pairs([left[x] for x in short], size[short], own[short], asks[short], answers[short], place[short], tau):
+            yield short[i], short[j]
+    deep = np.flatnonzero(size >= least) if levels else short[:0]
+    if len(deep):
+        who, key, is_own, rest = remainders([left[x] for x in deep], tau)
+        who = deep[who]
+        for i, j in group_pairs(own[who] & is_own, rest, asks[who], answers[who], place[who], tau, levels - 1, key):
+            yield who[i], who[j]
+
+
+def all_pairs(left, size, own, asks, answers, place, tau):
+    """Pairs whose remainders' lengths and byte counts are near enough, some asking rows at a time."""
+    sig = np.stack([np.bincount(np.frombuffer(x, np.uint8) & 63, minlength=64) for x in left]).astype(np.int32)
+    weigh = sig @ (mix(np.arange(1, 65, dtype=np.uint64)) % np.uint64(63)).astype(np.int32)  # one edit moves this by 62 at most
+    ask, answer = np.flatnonzero(asks), np.flatnonzero(answers)
+    step = max(1, 1_000_000 // max(1, len(answer)))
+    for part in (ask[i : i + step] for i in range(0, len(ask), step)):
+        ok = (place[answer][None, :] < place[part][:, None]) & (np.abs(size[answer][None, :] - size[part][:, None]) <= tau)
+        ok &= (own[answer][None, :] | own[part][:, None]) & (np.abs(weigh[answer][None, :] - weigh[part][:, None]) <= 62 * tau)
+        i, j = np.nonzero(ok)
+        i, j = part[i], answer[j]
+        for lo in range(0, len(i), 100_000):
+            a, b = i[lo : lo + 100_000], j[lo : lo + 100_000]
+            near = np.abs(sig[a] - sig[b]).sum(axis=1) <= 2 * tau
+            yield a[near], b[near]
+
+
+def found_in(lines: list[bytes], paths: np.ndarray, group: np.ndarray, asks: np.ndarray, answers: np.ndarray, place: np.ndarray, tau: int) -> np.ndarray:
+    """Which of the lines that ask are alike to an earlier line of their group that answers. The lines of a group have one path of keys."""
+    gone = np.zeros(len(lines), bool)
+    who, own, left = follow(lines, paths, tau)
+    held_i, held_j, held = [], [], 0
+
+    def settle():
+        i, j = who[np.concatenate(held_i)], who[np.concatenate(held_j)]
+        code = np.unique(i.astype(np.int64) * len(lines) + j)
+        i, j = code // len(lines), code % len(lines)
+        i, j = i[~gone[i]], j[~gone[i]]
+        most = 4
+        while len(i):  # a few partners of each line first: once found, a line needs no more
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            now = nth < most
+            hit = alike([lines[x] for x in i[now]], [lines[x] for x in j[now]], tau)
+            gone[i[now][hit]] = True
+            stay = ~now & ~gone[i]
+            i, j, most = i[stay], j[stay], most * 4
+
+    for i, j in group_pairs(own, left, asks[who], answers[who], place[who], tau, LEVELS, group[who]):
+        held_i.append(i)
+        held_j.append(j)
+        held += len(i)
+        if held > 200_000:
+            settle()
+            held_i, held_j, held = [], [], 0
+    if held:
+        settle()
+    return np.flatnonzero(gone)
+
+
+def tiles(rows: DataFrame, tau: int) -> DataFrame:
+    """doc_id, line_no of undecided lines that are alike to an earlier line of one of their paths.
+
+    rows: path, cuts, doc_id, line_no, open (undecided), line. A path's lines
+    are dealt to cuts by cuts tiles; a task holds one tile.
+    """
+    cut = rows.withColumn("cut", F.pmod(F.xxhash64("doc_id", "line_no"), F.col("cuts")).cast("int"))
     all_cuts = F.sequence(F.lit(0), F.col("cuts") - 1)
-    asks = cut.where("open").select("key", F.col("cut").alias("row"), F.explode(all_cuts).alias("col"), F.lit(True).alias("ask"), "doc_id", "line_no", "kind", "line")
-    answers = cut.select("key", F.explode(all_cuts).alias("row"), F.col("cut").alias("col"), F.lit(False).alias("ask"), "doc_id", "line_no", "kind", "line")
-    dealt = asks.unionAll(answers).repartition("key", "row", "col").sortWithinPartitions("key", "row", "col")
-
-    def tile(t: pa.Table):
-        ask = t.column("ask").to_numpy()
-        if ask.all() or not ask.any():
-            return
-        docs, no, kind = (t.column(c).to_numpy() for c in ("doc_id", "line_no", "kind"))
-        line = t.column("line").to_pylist()
-        others = np.flatnonzero(~ask)
-        size = np.array([len(x) for x in line])
-        sig = np.stack([np.bincount(np.frombuffer(line[i], np.uint8) & 63, minlength=64) for i in range(len(line))]).astype(np.int32)
-        for i in np.flatnonzero(ask):
-            before = others[(docs[others] < docs[i]) | ((docs[others] == docs[i]) & (no[others] < no[i]))]
-            if kind[i] == PROBE:
-                before = before[kind[before] == INDEX]
-            before = before[np.abs(size[before] - size[i]) <= tau]
-            before = before[np.abs(sig[before] - sig[i]).sum(axis=1) <= 2 * tau]
-            if any(edit_within(line[i], line[k], tau) for k in before):
-                yield int(docs[i]), int(no[i])
+    one = F.col("cuts") == 1
+    whole = cut.where(one).select("path", F.lit(0).alias("row"), F.lit(0).alias("col"), F.col("open").alias("ask"), F.lit(True).alias("answer"), "doc_id", "line_no", "line")
+    asks = cut.where(~one & F.col("open")).select("path", F.col("cut").alias("row"), F.explode(all_cuts).alias("col"), F.lit(True).alias("ask"), F.lit(False).alias("answer"), "doc_id", "line_no", "line")
+    answers = cut.where(~one).select("path", F.explode(all_cuts).alias("row"), F.col("cut").alias("col"), F.lit(False).alias("ask"), F.lit(True).alias("answer"), "doc_id", "line_no", "line")
+    dealt = whole.unionAll(asks).unionAll(answers).withColumn("key", F.xxhash64("path", "row", "col")).repartition("key").sortWithinPartitions("key")
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        """Of whole tiles, as many as a batch has."""
+        doc, no = (t.column(c).to_numpy() for c in ("doc_id", "line_no"))
+        place = np.empty(t.num_rows, np.int64)
+        order = np.lexsort((no, doc))
+        place[order] = np.cumsum(np.r_[False, (doc[order][1:] != doc[order][:-1]) | (no[order][1:] != no[order][:-1])])
+        paths = t.column("path").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
+        at = found_in(t.column("line").to_pylist(), paths, t.column("key").to_numpy(), t.column("ask").to_numpy(), t.column("answer").to_numpy(), place, tau)
+        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(no[at])], ["doc_id", "line_no"])
 
     def run(batches):
         held = None
@@ -284,69 +471,154 @@ def tiles(members: DataFrame, tau: int) -> DataFrame:
             if not t.num_rows:
                 continue
             t = t.combine_chunks()
-            key = [t.column(c).to_numpy() for c in ("key", "row", "col")]
-            edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
-            cuts = np.r_[0, edge]
-            found = [x for lo, hi in zip(cuts[:-1], cuts[1:]) for x in tile(t.slice(lo, hi - lo))]
-            held = t.slice(cuts[-1])
-            yield of(found)
+            key = t.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield found(t.slice(0, last).combine_chunks())
+            held = t.slice(last)
         if held is not None:
-            yield of(list(tile(held)))
+            yield found(held.combine_chunks())
+
+    return dealt.mapInArrow(run, "doc_id long, line_no long").distinct()
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """rows of the paths that have two lines or more, one of them undecided, with cuts: the tiles that the path needs."""
+    cuts = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("bytes") / TILE_BYTES)).cast("int")
+    busy = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any"), cuts.alias("cuts")).where("any and n > 1")
+    return rows.join(busy.select("path", "cuts"), "path")
 
-    def of(found):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32())], ["doc_id", "line_no"])
 
-    return dealt.mapInArrow(run, "doc_id long, line_no int").distinct()
+def deeper(rows: DataFrame, tau: int) -> DataFrame:
+    """rows of longer paths: each line by the windows of what its path leaves. Remainders too short for segments keep a path of their own."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, len(b), 2048):
+                part = b.slice(lo, 2048)
+                path = part.column("path")
+                paths = path.flatten().to_numpy().view(np.uint64).reshape(len(part), -1)
+                who, _, left = follow(part.column("line").to_pylist(), paths, tau)
+                at, key, _, _ = remainders(left, tau)
+                at = who[at]
+                code = np.unique(np.stack([at.astype(np.uint64), key], axis=1), axis=0)
+                at, key = code[:, 0].astype(np.int64), code[:, 1]
+                longer = np.concatenate([paths[at], key[:, None]], axis=1).view(np.int64)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(longer.ravel()), longer.shape[1]).cast(pa.list_(pa.int64()))
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([lists, *[part.column(c).take(take) for c in names]], ["path", *names])
+
+    names = ["doc_id", "line_no", "open", "bytes"]
+    return rows.select("path", *names, "line").mapInArrow(run, "path array<long>, doc_id long, line_no long, open boolean, bytes long")
+
+
+def rest_of(rows: DataFrame, lines: DataFrame, scratch: Scratch, tau: int) -> DataFrame:
+    """doc_id, line_no of the lines found by the rows (path, doc_id, line_no, open, bytes) of undecided and earlier lines."""
+    found = None
+    for level in range(LEVELS + 1):
+        now = scratch.keep(sized(rows).join(lines, ["doc_id", "line_no"]))
+        most = level == LEVELS
+        part = scratch.keep(tiles(now if most else now.where("cuts = 1"), tau))
+        found = part if found is None else found.unionAll(part)
+        hot = now.where("cuts > 1")
+        if most or hot.isEmpty():
+            scratch.drop(now)
+            return found
+        rows = scratch.keep(deeper(hot, tau))
+        scratch.drop(now)
+
+
+# ---- all together ----------------------------------------------------------------------------------------------------
 
 
 def first_lines(met: DataFrame) -> DataFrame:
-    """key, doc_id, line_no, kind of the first line of each key of several leaders, which has not met the rows of other chunks."""
-    lead = F.struct(F.col("lead_doc").alias("doc_id"), F.col("lead_no").alias("line_no"), F.col("lead_kind").alias("kind"))
+    """key, doc_id, line_no of the first line of each key of several leaders, which has not met the rows of other batches."""
+    lead = F.struct(F.col("lead_doc").alias("doc_id"), F.shiftright("lead_place", 2).alias("line_no"))
     ends = met.where("not decided").groupBy("key").agg(F.min(lead).alias("first"), F.max(lead).alias("last"))
     return ends.where("first <> last").select("key", "first.*")
 
 
-def duplicate_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU) -> DataFrame:
+def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, line_no, line (bytes) of the wanted lines."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos"))
+
+    def run(batches):
+        for b in batches:
+            doc, no, line, size = [], [], [], 0
+            for d, text, nos in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("nos")):
+                parts = text.as_buffer().to_pybytes().split(b"\n")
+                for n in nos.values.to_pylist():
+                    if n < len(parts):  # else of another row with this id
+                        doc.append(d)
+                        no.append(n)
+                        line.append(parts[n])
+                        size += len(parts[n])
+                        if size > 4 << 20:
+                            yield of(doc, no, line)
+                            doc, no, line, size = [], [], [], 0
+            yield of(doc, no, line)
+
+    def of(doc, no, line):
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int64()), pa.array(line, pa.binary())], ["doc_id", "line_no", "line"])
+
+    return docs.join(lists, "doc_id").select("doc_id", "text", "nos").mapInArrow(run, "doc_id long, line_no long, line binary")
+
+
+def duplicate_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU, min_bytes: int = MIN_BYTES) -> DataFrame:
     """doc_id, line_no (from 0) of the lines to remove."""
     scratch = Scratch(spark, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    met = scratch.keep(meet(key_rows(docs, tau).repartition("key").sortWithinPartitions("met", "key", "doc_id", "line_no", "kind")))
+    met = scratch.keep(meet(key_rows(docs, tau, min_bytes).repartition("key").sortWithinPartitions("key", "doc_id", "place")))
     release(spark)
-    equal = scratch.keep(met.where("decided").select("doc_id", "line_no").distinct())
-    pairs = met.where(f"not decided and (kind = {INDEX} or lead_kind = {INDEX})").select("doc_id", "line_no", "lead_doc", "lead_no").distinct()
+    no, lead_no = F.shiftright("place", 2), F.shiftright("lead_place", 2)
+    equal = scratch.keep(met.where("decided").select("doc_id", no.alias("line_no")).distinct())
+    open_ = met.where("not decided").withColumns({"line_no": no, "lead_no": lead_no})
+    pairs = open_.where(f"place & 3 = {INDEX} or lead_place & 3 = {INDEX}").select("doc_id", "line_no", "lead_doc", "lead_no").distinct()
 
     # the text of the lines that met another, once
-    wanted = met.where("not decided").select("doc_id", "line_no").unionAll(met.where("not decided").select("lead_doc", "lead_no")).distinct().groupBy("doc_id").agg(F.collect_set("line_no").alias("nos"))
-    cut = docs.join(wanted, "doc_id").select("doc_id", "nos", F.split("text", "\n").alias("parts"))
-    lines = cut.select("doc_id", F.explode("nos").alias("line_no"), "parts").select("doc_id", "line_no", F.encode(F.get("parts", F.col("line_no")), "UTF-8").alias("line"))
-    lines = scratch.keep(lines.where("line is not null"))
+    wanted = open_.select("doc_id", "line_no").unionAll(open_.select("lead_doc", "lead_no")).distinct()
+    lines = scratch.keep(line_texts(docs, wanted))
     release(spark)
 
     near = scratch.keep(verified(pairs, lines, tau))
     gone = equal.unionAll(near).distinct()
-    rest = met.where("not decided").select("key", "doc_id", "line_no", "kind").join(gone.withColumn("gone", F.lit(True)), ["doc_id", "line_no"], "left").withColumn("open", F.col("gone").isNull()).drop("gone")
-    rest = scratch.keep(rest.unionByName(first_lines(met).withColumn("open", F.lit(False))))
+    state = lines.select("doc_id", "line_no", F.octet_length("line").alias("bytes")).distinct().join(gone.withColumn("gone", F.lit(True)), ["doc_id", "line_no"], "left")
+    rest = open_.select("key", "doc_id", "line_no", F.lit(True).alias("open")).unionByName(first_lines(met).withColumn("open", F.lit(False)))
+    rest = rest.join(state, ["doc_id", "line_no"], "left").withColumn("open", F.col("open") & F.col("gone").isNull())
+    rest = scratch.keep(rest.select(F.array("key").alias("path"), "doc_id", "line_no", "open", F.col("bytes").cast("long").alias("bytes")))
     scratch.drop(met)
     release(spark)
-    busy = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("any and n > 1").select("key")
-    found = scratch.keep(tiles(rest.join(busy, "key").join(lines, ["doc_id", "line_no"]), tau))
+    found = rest_of(rest, lines, scratch, tau)
     scratch.drop(rest, lines)
     release(spark)
     return equal.unionAll(near).unionAll(found).distinct()
 
 
-def dedup_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU) -> DataFrame:
+def dedup_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with the text less its duplicate lines; removed: the numbers of the lines taken out, sorted; n_lines: lines before (0 for null)."""
-    gone = duplicate_lines(docs, spark, tau).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     columns = [c for c in docs.columns if c not in ("removed", "n_lines")]
+    name = free_name("removed", columns)
+    gone = duplicate_lines(docs, spark, tau, min_bytes).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias(name))
     left = docs.select(*columns).join(gone, "doc_id", "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    return left.select(
-        *[F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in columns],
-        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-    )
+
+    def run(batches):
+        for b in batches:
+            texts, removed, count = [], [], []
+            for text, nos in zip(b.column("text"), b.column(name)):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else None
+                parts = 0 if raw is None else raw.count(b"\n") + 1
+                cut = [n for n in nos.values.to_pylist() if n < parts] if nos.is_valid else []
+                if cut:
+                    drop = set(cut)
+                    raw = b"\n".join(x for n, x in enumerate(raw.split(b"\n")) if n not in drop)
+                texts.append(raw)
+                removed.append(cut)
+                count.append(parts)
+            text = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*[text if c == "text" else b.column(c) for c in columns], pa.array(removed, pa.list_(pa.int32())), pa.array(count, pa.int64())], [*columns, "removed", "n_lines"])
+
+    kinds = docs.select(*columns).schema.add("removed", T.ArrayType(T.IntegerType())).add("n_lines", "long")
+    return left.select(*columns, name).mapInArrow(run, kinds)
 
 
 def oracle(tau: int = TAU) -> str:

@@ -35,24 +35,18 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 16, 1 << (n + 1).bit_length())
-    return _power_table(size)
+BLOCK_BITS = 20
 
 
-@functools.lru_cache(maxsize=2)
-def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, as many as a block has bytes."""
     out = []
-    for r in (BASE, inverse):
-        p = np.empty(size, np.uint64)
-        p[0] = 1
-        k = 1
-        step = r
-        while k < size:
-            p[k : 2 * k] = p[: min(k, size - k)] * step
-            step = step * step
-            k *= 2
+    for r in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))):
+        p = np.ones(1 << BLOCK_BITS, np.uint64)
+        for k in range(BLOCK_BITS):
+            p[1 << k : 2 << k] = p[: 1 << k] * r
+            r = r * r
         out.append(p)
     return out[0], out[1]
 
@@ -90,10 +84,30 @@ def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     """64-bit hash of each byte range buf[starts:ends]; equal bytes, equal hash."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    p, inv = _powers(len(buf))
-    cum = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE[FOLD[buf] if fold else buf] * p[: len(buf)], out=cum[1:])
-    return mix((cum[ends] - cum[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    p, inv = _powers()
+    size, places = 1 << BLOCK_BITS, np.concatenate([starts, ends])
+    sums = np.empty(len(places), np.uint64)
+    order = None if len(buf) <= size else np.argsort(places, kind="stable")
+    carry, step, done = np.uint64(0), 1, 0
+    for lo in range(0, max(len(buf), 1), size):  # block by block, so that a long text takes no more memory
+        part = buf[lo : lo + size]
+        cum = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTE[FOLD[part] if fold else part] * p[: len(part)], out=cum[1:])
+        if order is None:
+            sums = cum[places]
+            break
+        cum = cum * np.uint64(step) + carry
+        upto = int(np.searchsorted(places, lo + len(part), side="right", sorter=order))
+        sums[order[done:upto]] = cum[places[order[done:upto]] - lo]
+        carry, step, done = cum[-1], step * pow(int(BASE), size, 1 << 64) % (1 << 64), upto
+    back = inv[starts & (size - 1)]
+    if order is not None:
+        over = pow(pow(int(BASE), size, 1 << 64), -1, 1 << 64)
+        far = [1]
+        while len(far) <= len(buf) >> BLOCK_BITS:
+            far.append(far[-1] * over % (1 << 64))
+        back = back * np.array(far, np.uint64)[starts >> BLOCK_BITS]
+    return mix((sums[len(starts) :] - sums[: len(starts)]) * back + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

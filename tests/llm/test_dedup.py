@@ -83,7 +83,13 @@ def test_suffix_dedup_at_random(spark):
 @given(st.text("abc", max_size=14), st.text("abc", max_size=14), st.integers(0, 4))
 def test_edit_within(a, b, tau):
     a, b = a.encode(), b.encode()
-    assert line_dedup.edit_within(a, b, tau) == (brute.distance(a, b) <= tau)
+    want = brute.distance(a, b) <= tau
+    assert line_dedup.edit_within(a, b, tau) == want and line_dedup.alike([a, b"", a], [b, b"", a], tau).tolist() == [want, True, True]
+
+
+def test_long_lines_are_verified_at_once():
+    x = bytes(random.Random(1).choice(b"abcdef ") for _ in range(2_000_000))
+    assert line_dedup.edit_within(x, b"X" + x[1:-1] + b"Y", 2) and not line_dedup.edit_within(x, b"X" + x[1:-2] + b"YZ", 2)
 
 
 @settings(max_examples=200, deadline=None)
@@ -112,10 +118,10 @@ def test_some_segment_is_found(tau, data):
     assert any(hits)
 
 
-def check_lines(spark, docs):
-    out = line_dedup.dedup_lines(spark.createDataFrame(list(docs.items()), DOCS), spark)
+def check_lines(spark, docs, least=24):
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(docs.items()), DOCS), spark, min_bytes=least)
     got = out.collect()
-    assert {r["doc_id"]: (r["text"], list(r["removed"])) for r in got} == brute.line_dedup(docs)
+    assert {r["doc_id"]: (r["text"], list(r["removed"])) for r in got} == brute.line_dedup(docs, least=least)
     assert all(r["n_lines"] == (0 if docs[r["doc_id"]] is None else docs[r["doc_id"]].count("\n") + 1) for r in got)
 
 
@@ -143,6 +149,62 @@ def test_line_dedup_of_tiles(spark, monkeypatch):
     check_lines(spark, docs)
 
 
+def near_lines(rng, base, n):
+    out = []
+    for _ in range(n):
+        x = list(base if rng.random() < 0.8 else base[: len(base) // 2] + "".join(rng.choice("abcd ") for _ in range(rng.randrange(4, 40))))
+        for _ in range(rng.randrange(6)):
+            i = rng.randrange(len(x))
+            x[i : i + rng.randrange(2)] = rng.choice(["", "z", "yx"])
+        out.append("".join(x))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_cuts_a_hot_key_again(spark, monkeypatch, seed):
+    """Keys of more lines than a tile holds go by longer paths through the shuffle, then by segments within a task."""
+    monkeypatch.setattr(line_dedup, "TILE", 20)
+    rng = random.Random(seed)
+    base = " ".join(words(rng, 20))
+    check_lines(spark, {i: "\n".join(near_lines(rng, base, 4)) for i in range(60)})
+
+
+def pairs_of(lines):
+    one, n = np.ones(len(lines), bool), len(lines)
+    for i, j in line_dedup.group_pairs(one, lines, one, one, np.arange(n), 2, line_dedup.LEVELS, np.zeros(n, int)):
+        yield from zip(i.tolist(), j.tolist())
+
+
+def test_all_alike_lines_of_a_group_are_proposed():
+    rng = random.Random(6)
+    for _ in range(20):
+        lines = [x.encode() for x in dict.fromkeys(near_lines(rng, " ".join(words(rng, 14)), 90))]
+        want = {(a, b) for a in range(len(lines)) for b in range(a) if brute.distance(lines[a], lines[b]) <= 2}
+        assert {(a, b) for a, b in pairs_of(lines) if brute.distance(lines[a], lines[b]) <= 2} == want
+
+
+def test_lines_with_one_beginning_are_not_paired():
+    """A group of lines that share a long beginning only costs next to no pair."""
+    rng = random.Random(7)
+    for n in (500, 4000):
+        lines = [b"the same beginning of every line, forty-eight bytes" + bytes(rng.choice(b"abcdefgh ") for _ in range(60)) for _ in range(n)]
+        assert sum(1 for _ in pairs_of(lines)) < n
+
+
+def test_line_dedup_of_every_line(spark):
+    """With a least length of 0, lines of any length count."""
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(9))) for _ in range(30)] + ["", "-", "=======", "========="]
+    check_lines(spark, {i: "\n".join(rng.choice(texts) for _ in range(3)) for i in range(25)}, least=0)
+
+
+def test_line_dedup_of_odd_rows(spark):
+    text = "a line that is long enough to count"
+    df = spark.createDataFrame([(None, text, "p"), (2, text, None), (1, text + "!", "q"), (3, None, "r")], "doc_id long, text string, _removed string")
+    out = {r["_removed"]: r["text"] for r in line_dedup.dedup_lines(df, spark).collect()}
+    assert out == {"p": text, None: "", "q": text + "!", "r": None}
+
+
 def check_parts(spark, *parts):
     """check_lines of documents that lie in one partition for each part, so that each has chunks of its own."""
     df = spark.createDataFrame(spark.sparkContext.parallelize([list(p.items()) for p in parts], len(parts)).flatMap(lambda x: x), DOCS)

@@ -51,7 +51,7 @@ TAU, MIN_BYTES = 2, 24
 #: Bounds of a tile, in lines and bytes, and of the rows of a task that meet before they are dealt out.
 TILE, TILE_BYTES, BATCH = 4096, 32 << 20, 1 << 19
 #: Levels of segments below a key's own; a group of this many lines is compared pair by pair.
-LEVELS, SMALL = 3, 24
+LEVELS, SMALL = 3, 96
 #: Longer lines are verified one pair at a time.
 LONG = 512
 INDEX, PROBE, WHOLE, DECIDED = range(4)
@@ -344,11 +344,24 @@ def follow(lines: list[bytes], paths: np.ndarray, tau: int) -> tuple[np.ndarray,
     return who, own, left
 
 
-def group_pairs(own, left, asks, answers, place, tau, levels, group):
-    """Yields arrays (i, j) of rows that may be alike: i asks, j answers and stands before it.
+def byte_counts(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each line's bytes in 64 kinds, which an edit moves by 2 in sum, and a weighted sum of these, which it moves by 62 at most."""
+    count = np.stack([np.bincount(np.frombuffer(x, np.uint8) & 63, minlength=64) for x in lines]).astype(np.int32)
+    return count, count @ (mix(np.arange(1, 65, dtype=np.uint64)) % np.uint64(63)).astype(np.int32)
+
+
+def plausible(c: dict, i: np.ndarray, j: np.ndarray, tau: int) -> np.ndarray:
+    """Whether row i may be alike to row j: i asks, j answers and stands before it, one of the windows is an own segment, lengths and bytes are near enough."""
+    ok = c["ask"][i] & c["answer"][j] & (c["place"][j] < c["place"][i]) & (c["own"][i] | c["own"][j])
+    ok &= (np.abs(c["size"][i] - c["size"][j]) <= tau) & (np.abs(c["weigh"][i] - c["weigh"][j]) <= 62 * tau)
+    return ok
+
+
+def group_pairs(c: dict, left: list[bytes], group: np.ndarray, tau: int, levels: int):
+    """Yields arrays (i, j) of rows that may be alike.
 
     The rows of a group share all keys so far; left is what remains of their
-    lines. place: rank of the line. A pair needs an own segment on one side at least.
+    lines. c: ask, answer, place (rank of the line), size, weigh, and own: whether all of the row's windows are own segments.
     """
     order = np.argsort(group, kind="stable")
     edge = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1], True])
@@ -364,77 +377,72 @@ def group_pairs(own, left, asks, answers, place, tau, levels, group):
         i = np.repeat(few[lo:hi], reps)
         j = order[i + 1 + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
         i = order[i]
-        i, j = np.where(place[i] > place[j], i, j), np.where(place[i] > place[j], j, i)
-        ok = asks[i] & answers[j] & (place[j] < place[i]) & (own[i] | own[j])
+        later = c["place"][i] > c["place"][j]
+        i, j = np.where(later, i, j), np.where(later, j, i)
+        ok = plausible(c, i, j, tau)
         yield i[ok], j[ok]
         lo = hi
     for g in np.flatnonzero(count > SMALL):
         rows = order[edge[g] : edge[g + 1]]
-        if asks[rows].any() and answers[rows].any():
-            for i, j in large_group([left[x] for x in rows], own[rows], asks[rows], answers[rows], place[rows], tau, levels):
+        if c["ask"][rows].any() and c["answer"][rows].any():
+            for i, j in large_group({k: v[rows] for k, v in c.items()}, [left[x] for x in rows], tau, levels):
                 yield rows[i], rows[j]
 
 
-def large_group(left, own, asks, answers, place, tau, levels):
-    """The same of one group, by segments of the remainders."""
+def large_group(c: dict, left: list[bytes], tau: int, levels: int):
+    """The same of one group, by segments of the remainders; what is too short for these, or has been cut often enough, pair by pair."""
     size = np.array([len(x) for x in left])
     least = 4 * (tau + 1)
     short = np.arange(len(left)) if not levels else np.flatnonzero(size < least + tau)
-    if len(short):
-        for i, j in all_pairs([left[x] for x in short], size[short], own[short], asks[short], answers[short], place[short], tau):
-            yield short[i], short[j]
+    ask, answer = short[c["ask"][short]], short[c["answer"][short]]
+    step = max(1, 1_000_000 // max(1, len(answer)))
+    for part in (ask[x : x + step] for x in range(0, len(ask), step)):
+        i, j = np.nonzero(plausible(c, part[:, None], answer[None, :], tau))
+        yield part[i], answer[j]
     deep = np.flatnonzero(size >= least) if levels else short[:0]
     if len(deep):
-        who, key, is_own, rest = remainders([left[x] for x in deep], tau)
+        who, key, own, rest = remainders([left[x] for x in deep], tau)
         who = deep[who]
-        for i, j in group_pairs(own[who] & is_own, rest, asks[who], answers[who], place[who], tau, levels - 1, key):
+        longer = {k: v[who] for k, v in c.items()}
+        longer["own"] &= own
+        for i, j in group_pairs(longer, rest, key, tau, levels - 1):
             yield who[i], who[j]
 
 
-def all_pairs(left, size, own, asks, answers, place, tau):
-    """Pairs whose remainders' lengths and byte counts are near enough, some asking rows at a time."""
-    sig = np.stack([np.bincount(np.frombuffer(x, np.uint8) & 63, minlength=64) for x in left]).astype(np.int32)
-    weigh = sig @ (mix(np.arange(1, 65, dtype=np.uint64)) % np.uint64(63)).astype(np.int32)  # one edit moves this by 62 at most
-    ask, answer = np.flatnonzero(asks), np.flatnonzero(answers)
-    step = max(1, 1_000_000 // max(1, len(answer)))
-    for part in (ask[i : i + step] for i in range(0, len(ask), step)):
-        ok = (place[answer][None, :] < place[part][:, None]) & (np.abs(size[answer][None, :] - size[part][:, None]) <= tau)
-        ok &= (own[answer][None, :] | own[part][:, None]) & (np.abs(weigh[answer][None, :] - weigh[part][:, None]) <= 62 * tau)
-        i, j = np.nonzero(ok)
-        i, j = part[i], answer[j]
-        for lo in range(0, len(i), 100_000):
-            a, b = i[lo : lo + 100_000], j[lo : lo + 100_000]
-            near = np.abs(sig[a] - sig[b]).sum(axis=1) <= 2 * tau
-            yield a[near], b[near]
-
-
 def found_in(lines: list[bytes], paths: np.ndarray, group: np.ndarray, asks: np.ndarray, answers: np.ndarray, place: np.ndarray, tau: int) -> np.ndarray:
     """Which of the lines that ask are alike to an earlier line of their group that answers. The lines of a group have one path of keys."""
     gone = np.zeros(len(lines), bool)
+    count, weigh = byte_counts(lines)
+    size = np.array([len(x) for x in lines])
     who, own, left = follow(lines, paths, tau)
-    held_i, held_j, held = [], [], 0
+    held: list[np.ndarray] = []
+    some = 0
 
     def settle():
-        i, j = who[np.concatenate(held_i)], who[np.concatenate(held_j)]
-        code = np.unique(i.astype(np.int64) * len(lines) + j)
+        code = np.unique(np.concatenate(held))
         i, j = code // len(lines), code % len(lines)
-        i, j = i[~gone[i]], j[~gone[i]]
-        most = 4
-        while len(i):  # a few partners of each line first: once found, a line needs no more
-            nth = np.arange(len(i)) - np.searchsorted(i, i)
-            now = nth < most
-            hit = alike([lines[x] for x in i[now]], [lines[x] for x in j[now]], tau)
-            gone[i[now][hit]] = True
-            stay = ~now & ~gone[i]
-            i, j, most = i[stay], j[stay], most * 4
-
-    for i, j in group_pairs(own, left, asks[who], answers[who], place[who], tau, LEVELS, group[who]):
-        held_i.append(i)
-        held_j.append(j)
-        held += len(i)
-        if held > 200_000:
+        for lo in range(0, len(i), 100_000):
+            x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
+            near = ~gone[x] & (np.abs(count[x] - count[y]).sum(axis=1) <= 2 * tau)
+            x, y = x[near], y[near]
+            most = 4
+            while len(x):  # a few partners of each line first: once found, a line needs no more
+                nth = np.arange(len(x)) - np.searchsorted(x, x)
+                now = nth < most
+                hit = alike([lines[v] for v in x[now]], [lines[v] for v in y[now]], tau)
+                gone[x[now][hit]] = True
+                stay = ~now & ~gone[x]
+                x, y, most = x[stay], y[stay], most * 4
+
+    c = {"ask": asks[who], "answer": answers[who], "place": place[who], "size": size[who], "weigh": weigh[who], "own": own}
+    for i, j in group_pairs(c, left, group[who], tau, LEVELS):
+        if not len(i):
+            continue
+        held.append(who[i] * len(lines) + who[j])
+        some += len(i)
+        if some > 500_000:
             settle()
-            held_i, held_j, held = [], [], 0
+            held, some = [], 0
     if held:
         settle()
     return np.flatnonzero(gone)

@@ -21,8 +21,8 @@ def words(rng, n, vocabulary=4000):
 # ---- 1 -------------------------------------------------------------------------------------------------------
 
 
-def check_spans(spark, rows, schema=DOCS, length=suffix_dedup.LENGTH):
-    got = suffix_dedup.digest(suffix_dedup.cut(spark.createDataFrame(rows, schema), spark, length)).collect()
+def check_spans(spark, rows, schema=DOCS, length=suffix_dedup.LENGTH, block=suffix_dedup.BLOCK):
+    got = suffix_dedup.digest(suffix_dedup.cut(spark.createDataFrame(rows, schema), spark, length, block)).collect()
     texts = [(r[1] or "").encode() for r in rows]
     want = []
     for r, t, spans in zip(rows, texts, suffix_dedup.brute_force(texts, length)):
@@ -74,6 +74,9 @@ def test_suffix_dedup_at_random(spark):
     pieces = ["".join(rng.choice("ab") for _ in range(rng.randrange(50, 700))) for _ in range(6)]
     rows = [(i, "".join(rng.choice(pieces)[rng.randrange(40) :] for _ in range(rng.randrange(1, 4)))) for i in range(40)]
     check_spans(spark, rows)
+    check_spans(spark, [(i, t * 2) for i, t in rows[:12]], length=150, block=700)  # long texts go in blocks
+    with pytest.raises(ValueError):
+        suffix_dedup.depth(60)
 
 
 # ---- 7 -------------------------------------------------------------------------------------------------------
@@ -171,7 +174,8 @@ def test_line_dedup_cuts_a_hot_key_again(spark, monkeypatch, seed):
 
 def pairs_of(lines):
     one, n = np.ones(len(lines), bool), len(lines)
-    for i, j in line_dedup.group_pairs(one, lines, one, one, np.arange(n), 2, line_dedup.LEVELS, np.zeros(n, int)):
+    c = {"ask": one, "answer": one, "own": one, "place": np.arange(n), "size": np.array([len(x) for x in lines]), "weigh": line_dedup.byte_counts(lines)[1]}
+    for i, j in line_dedup.group_pairs(c, lines, np.zeros(n, int), 2, line_dedup.LEVELS):
         yield from zip(i.tolist(), j.tolist())
 
 
@@ -343,7 +347,10 @@ def test_jaccard_of_repeated_rows_and_nothing(spark):
     t = " ".join(words(random.Random(9), 30))
     rows = [(1, t), (1, t), (2, t), (3, None)]
     assert sorted((r["doc_id"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows, DOCS), spark).collect()) == [(1, 1), (1, 1), (2, 1), (3, 3)]
-    one = jaccard.one_of_each(spark.createDataFrame([(*r, 0, "t") for r in [*rows, (None, "x")]], DOCS + ", n int, token string"), spark)
+    rows += [(None, t), (None, "a b"), (None, None)]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows[::-1], DOCS), spark).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 26, 1), (1, 26, 1), (2, 26, 1), (3, 0, 3), (None, 26, None), (None, 1, None), (None, 0, None)], key=repr)
+    one = jaccard.one_of_each(spark.createDataFrame([(*r, 0, "t") for r in [*rows[:4], (None, "x")]], DOCS + ", n int, token string"), spark)
     assert sorted(r["doc_id"] or 0 for r in one.collect()) == [0, 1, 3] and one.columns == ["doc_id", "text", "n", "token"]
 
 

@@ -1,5 +1,6 @@
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -226,39 +227,97 @@ def test_decontamination_of_edited_copies(spark, exact):
 @given(st.dictionaries(st.text("abcdef", min_size=1, max_size=2), st.tuples(st.integers(1, 60), st.floats(0.01, 1)), min_size=1, max_size=6))
 def test_pfair(sources):
     """Every block once; in each phase each source is within one block of its share at each slot."""
-    plan = mixing.phases({s: n for s, (n, _) in sources.items()}, {s: w for s, (_, w) in sources.items()}, grain=50)
+    blocks, weights = {s: n for s, (n, _) in sources.items()}, {s: w for s, (_, w) in sources.items()}
+    assert placed(mixing.phases(blocks, weights), weights) == blocks
+
+
+def placed(plan, weights):
+    """Blocks by source of a plan in which each source is within one block of its given weight at every slot of its phase."""
     used: dict[int, str] = {}
+    count: dict[str, int] = {}
     for p in plan:
-        shares = {s: len(at) for s, at in p["at"].items()}
-        for s, n in p["blocks"].items():
-            for j in range(n):
-                slot = p["slot"] + j // shares[s] * p["length"] + p["at"][s][j % shares[s]]
-                assert slot not in used
-                used[slot] = s
-        end = p["slot"] + sum(p["blocks"].values())
-        seen = dict.fromkeys(shares, 0)
-        for t in range(p["slot"], end):
-            seen[used[t]] += 1
-            for s, k in seen.items():
-                assert abs(k - (t - p["slot"] + 1) * shares[s] / p["length"]) < 1
-    assert sorted(used) == list(range(sum(n for n, _ in sources.values())))
-    assert {s: sum(p["blocks"].get(s, 0) for p in plan) for s in sources} == {s: n for s, (n, _) in sources.items()}
+        total = sum(Fraction(weights[s]) for s in p["at"])
+        share = {s: Fraction(weights[s]) / total for s in p["at"]}
+        end = 0
+        for s, at in p["at"].items():
+            assert p["first"][s] == count.get(s, 0)
+            count[s] = count.get(s, 0) + len(at)
+            for j, t in enumerate(at):
+                assert p["slot"] + t not in used and int(j / share[s]) <= t < -((-j - 1) // share[s])
+                used[p["slot"] + t] = s
+            end = max(end, *[t + 1 for t in at], 0) if at else end
+        seen = dict.fromkeys(share, 0)
+        for t in range(end):
+            seen[used[p["slot"] + t]] += 1
+            assert all(abs(k - (t + 1) * share[s]) < 1 for s, k in seen.items())
+    assert sorted(used) == list(range(len(used)))
+    return count
+
+
+def test_pfair_keeps_to_the_given_weights():
+    """Weights that no small whole numbers give, over 10^5 slots."""
+    weights = {"a": 1 / 3, "b": 0.33334, "c": 0.3331, "d": 0.0001, "e": 1e-7}
+    blocks = {"a": 34_000, "b": 34_000, "c": 34_000, "d": 11, "e": 1}
+    plan = mixing.phases(blocks, weights)
+    assert len(plan[0]["at"]["a"]) + len(plan[0]["at"]["b"]) > 60_000
+    first = plan[0]
+    total = sum(weights.values())
+    for s, at in first["at"].items():
+        w = weights[s] / total
+        assert all(j / w - 1 - 1e-6 < t < (j + 1) / w + 1 + 1e-6 for j, t in enumerate(at))
+    assert placed([p for p in mixing.phases({"a": 900, "b": 901, "c": 700, "d": 2}, weights)], weights) == {"a": 900, "b": 901, "c": 700, "d": 2}
+    with pytest.raises(ValueError):
+        mixing.phases({"a": 1}, {"a": 0.0})
+
+
+def brute_mix(rows, weights, size):
+    """Slots of (source, block): at each slot the released block that is due first."""
+    left = {s: -(-sum(r[1] == s for r in rows) // size) for s in {r[1] for r in rows}}
+    done, out, start = dict.fromkeys(left, 0), {}, 0
+    while any(left.values()):
+        live = [s for s in left if left[s]]
+        w = {s: Fraction(weights[s]) / sum(Fraction(weights[x]) for x in live) for s in live}
+        put, t = dict.fromkeys(live, 0), 0
+        while all(put[s] < left[s] for s in live):
+            due, s = min((-((-put[s] - 1) // w[s]), s) for s in live if put[s] / w[s] < t + 1)
+            out[s, done[s] + put[s]] = start + t
+            put[s] += 1
+            t += 1
+        for s in live:
+            done[s] += put[s]
+            left[s] -= put[s]
+        start += t
+    return out
 
 
 def test_mixing(spark):
-    rows = [(i, "a" if i % 3 else ("b" if i % 2 else None), i) for i in range(500)] + [(1, "a", 0), (1, "a", 0), (None, "c", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, mix_slot int").drop("mix_slot").withColumnRenamed("source", "source")
+    rows = [(i, "a" if i % 3 else ("b" if i % 2 else None), i, "x", i, "y", 2.0) for i in range(500)] + [(1, "a", 0, "x", 0, "y", 2.0)] * 2 + [(None, "c", 1, None, 1, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, mix_slot int, mix_block string, _source int, `at` string, `row` double")
     got = mixing.mix(df, spark, block_rows=8).collect()
+    assert got[0].asDict().keys() == {"doc_id", "source", "_source", "at", "row", "mix_phase", "mix_block", "mix_slot", "mix_position"}
     assert len(got) == len(rows) and len({r["mix_position"] for r in got}) == len(rows)
+    assert sorted(((r["doc_id"], r["source"], r["_source"], r["at"], r["row"]) for r in got), key=repr) == sorted(((r[0], r[1], r[4], r[5], r[6]) for r in rows), key=repr)
+    named = [(r[0], r[1] or "") for r in rows]
+    counts = {s: sum(x == s for _, x in named) for s in {x for _, x in named}}
+    want = brute_mix(named, mixing.target_weights(counts), 8)
+    assert {(r["source"] or "", r["mix_block"]): r["mix_slot"] for r in got} == want
     for s in ("a", "b", None, "c"):
         ranks = sorted((r["mix_position"], r["mix_block"]) for r in got if r["source"] == s)
         assert [b for _, b in ranks] == sorted(b for _, b in ranks)
-    assert mixing.mix(df.repartition(3), spark, block_rows=8).collect() != [] and sorted(map(tuple, mixing.mix(df.repartition(3), spark, block_rows=8).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+        assert all(sum(r["source"] == s and r["mix_block"] == b for r in got) == 8 for b in range(max(x for _, x in ranks)))
+    assert sorted(map(tuple, mixing.mix(df.repartition(3), spark, block_rows=8).collect()), key=repr) == sorted(map(tuple, got), key=repr)
     assert mixing.mix(df.limit(0), spark).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(df, spark, weights={"a": 1.0})
 
 
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    df = spark.range(1000).selectExpr("id as doc_id", "if(id % 4 = 0, 'a', 'b') as source")
+    got = mixing.mix(df, spark).collect()
+    assert len({r["mix_position"] for r in got}) == 1000 and len({(r["source"], r["mix_block"]) for r in got}) <= 12
+
+
 # ---- 10 ------------------------------------------------------------------------------------------------------
 
 

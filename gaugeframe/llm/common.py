@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -46,9 +47,11 @@ def free_name(name: str, taken: list[str]) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and driver and executors are one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gaugeframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

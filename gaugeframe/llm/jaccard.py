@@ -26,10 +26,11 @@ Two texts link when their sets of distinct k-word shingles overlap by ``num`` /
    copies costs a few rows per copy instead of all pairs, and no link between
    components is lost.
 
-Rows without an id are left out of the classes. Null texts and texts without
-words have an empty set and link with nothing;
+Ids are whole numbers. Rows without an id are counted and link with nothing.
+Null texts and texts without words have an empty set and link with nothing;
 shorter texts than k words have their whole sequence as one shingle; repeated
-rows are one class; texts are read whole; extra columns are left out by name.
+rows are one class; texts are read whole; an empty table gives an empty result;
+extra columns are left out by name.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, release
 from .components import components
-from .labelled import emit_array, sum_arrays
+from .labelled import emit_array, salts_of, sum_arrays
 from .tokens import chunks, shingle_sets
 
 K, NUM, DEN = 5, 75, 100
@@ -68,8 +69,9 @@ def sketch(docs: DataFrame, spark: SparkSession, k: int = K) -> np.ndarray:
             for _, _, buf, offs in chunks(b.column("text")):
                 grams, _ = shingle_sets(buf, offs, k)
                 np.add.at(total, cell(grams), np.uint32(1))
-        yield emit_array(total, SKETCH_BLOCKS, TaskContext.get().partitionId() % 8)
+        yield emit_array(total, SKETCH_BLOCKS, TaskContext.get().partitionId() % salts)
 
+    salts = salts_of(spark, SKETCH_BLOCKS)
     out = sum_arrays(docs.select("text").mapInArrow(run, "block int, salt int, blob binary"), spark, SKETCH_BLOCKS)
     return np.zeros(1 << SKETCH_BITS, np.uint8) if out is None else np.minimum(np.rint(STEPS * np.log2(1 + out)), 255).astype(np.uint8)
 
@@ -99,7 +101,8 @@ def prefix_table(docs: DataFrame, counts: np.ndarray, spark: SparkSession, k: in
         for b in batches:
             size, cls, sig = [], [], []
             token, salts, manys = [], [], []
-            for _, _, buf, offs in chunks(b.column("text")):
+            named = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            for first, _, buf, offs in chunks(b.column("text")):
                 grams, n = shingle_sets(buf, offs, k)
                 at = np.r_[0, np.cumsum(n)]
                 df = est[cell(grams)]
@@ -111,9 +114,10 @@ def prefix_table(docs: DataFrame, counts: np.ndarray, spark: SparkSession, k: in
                     key = class_of(own)
                     size.append(m)
                     cls.append(key)
-                    show = m - -(-num * m // den) + 1 if m and key not in seen else 0
+                    show = m - -(-num * m // den) + 1 if m and named[first + d] and key not in seen else 0
                     sig.append(signature(own) if show else None)
-                    seen.add(key)
+                    if show:
+                        seen.add(key)
                     token.append(ranked[lo : lo + show].view(np.int64))
                     salts.append(key % many[lo : lo + show])
                     manys.append(many[lo : lo + show])
@@ -350,13 +354,13 @@ def tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, spark: SparkSession, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id of an equal set), component_id; one row per row of docs with an id."""
+    """doc_id, n_shingles, class_id (smallest id of an equal set), component_id; one row per row of docs."""
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     full = scratch.keep(prefix_table(docs, sketch(docs, spark, k), spark, k, num, den))
     base = scratch.keep(full.select("doc_id", "n", "cls"))
     # a class without a signature of its own rows is not possible: its first row in each task has one
-    sets = scratch.keep(full.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sig").alias("sig")))
+    sets = scratch.keep(full.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sig").alias("sig")))
     prefix = full.select("cls", "n", F.arrays_zip("token", "salt", "many").alias("z")).where(F.size("z") > 0).select(F.col("cls").alias("id"), "n", F.posexplode("z").alias("pos", "z"))
     prefix = prefix.select(F.col("z.token").alias("token"), F.col("z.salt").alias("salt"), (F.col("z.many") > 1).alias("salted"), "n", "id", "pos")
     posting = scratch.keep(runs(prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id")))
@@ -389,8 +393,10 @@ def classes(docs: DataFrame, spark: SparkSession, k: int = K, num: int = NUM, de
         rows = scratch.keep(rows)
         # tokens whose classes are in one component have done their part
         mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("salts")).where("lo <> hi").select("token", "salts")
+        # a table of its own, so that the join is of two plain exchanges and a token of very many rows can be split
+        mixed = scratch.keep(mixed)
         open_ = scratch.keep(rows.join(mixed, "token"))
-        scratch.drop(rows)
+        scratch.drop(rows, mixed)
         more = neighbours(open_, step, num, den) if step < ROUNDS else tiles(open_, num, den)
         found = found.unionAll(linked(more))
         groups = scratch.keep(components(found, scratch))
@@ -401,7 +407,8 @@ def classes(docs: DataFrame, spark: SparkSession, k: int = K, num: int = NUM, de
     least = member.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = member.join(least, "component").select("cls", "class_id", "component_id")
     out = base.join(named, "cls", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked_ = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(linked_, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(linked_, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 @F.pandas_udf(T.BinaryType())

@@ -36,7 +36,12 @@ def sample_rows(docs: DataFrame, picked: list[tuple[int, int]], spark: SparkSess
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null")
 
 
-def sum_arrays(parts: DataFrame, spark: SparkSession, blocks: int, salts: int = 8) -> np.ndarray:
+def salts_of(spark: SparkSession, blocks: int) -> int:
+    """Partial sums of each block: as many as the cluster has cores for, 8 at least."""
+    return max(8, spark.sparkContext.defaultParallelism // blocks)
+
+
+def sum_arrays(parts: DataFrame, spark: SparkSession, blocks: int) -> np.ndarray:
     """The sum of float32 arrays that tasks emit by emit_array as (block int, salt int, blob binary); the result has a fixed size.
 
     Each task streams over its rows and holds one array per block, so neither

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .labelled import emit_array, fold_of, labelled_sample, sample_rows, sum_arrays
+from .labelled import emit_array, fold_of, labelled_sample, sample_rows, salts_of, sum_arrays
 from .tokens import SPACE, chunks, hash_ranges, mix
 
 FOLDS, HELD_OUT = 4, 2
@@ -86,8 +86,9 @@ def context_sums(docs: DataFrame, spark: SparkSession) -> np.ndarray:
                     for k in range(NONZERO):
                         total += np.bincount(a * D + at[c, k], sign[c, k], V * D)
                         total += np.bincount(c * D + at[a, k], sign[a, k], V * D)
-        yield emit_array(total, BLOCKS, TaskContext.get().partitionId() % 8)
+        yield emit_array(total, BLOCKS, TaskContext.get().partitionId() % salts)
 
+    salts = salts_of(spark, BLOCKS)
     out = sum_arrays(docs.select("text").mapInArrow(run, "block int, salt int, blob binary"), spark, BLOCKS)
     return np.zeros((V, D)) if out is None else out.astype(np.float64).reshape(V, D)
 

@@ -5,32 +5,34 @@ in another document or at another place of the same - is removed. Suffixes are
 never sorted whole: equality to depth LENGTH is all that counts, so buckets are
 refined to that depth and no further, and only where they can still split.
 
-1. *Buckets.* The bucket pointer of a position is the name of its q-gram, built by
-   doubling: the pointer of depth 2d at i combines those of depth d at i and i + d.
-   Names follow from content, so tasks agree on them without a global sort.
+1. *Buckets.* The bucket pointer of a position identifies its q-gram. Pointers follow
+   from content, so tasks agree on a bucket's identifier without a global sort.
 2. *Suffix sample.* Each string of LENGTH bytes is filed under one of its own
    positions, that of the smallest pointer, leftmost first. Equal strings have it
    at the same place, so comparing strings filed under equal pointers suffices;
    successive strings share positions, about one for 185 bytes of text.
-3. *Refinement.* A bucket's members are sorted by the pointers at later offsets
-   of all the text that the strings filed there span. A bucket of one member
-   holds unique strings only; members that agree throughout are copies. The rest
-   is split: the strings of a member, by their offset from its position, form
-   cells, each a bucket of its own, named by the text that all of its strings
-   share. The same step is applied to cells of 48, 6 and at last 1 string, each
-   round to what the round before could not decide. Members that agree
-   throughout go on as a single one, which bears witness for all.
+3. *Refinement.* A bucket of depth d is split by the identifiers of the buckets at the
+   later offset d; the refined identifiers are those that the next doubling reuses, up to depth ``depth``
+   (256), and a span of text is named by these at its offsets. So a bucket's
+   members are sorted by the identifiers at later offsets of all the text that
+   the strings filed there span. A bucket of one member holds unique strings only; members
+   that agree throughout are copies. The rest is split: the strings of a member,
+   by their offset from its position, form cells, each a bucket of its own, named by the identifiers
+   of the text that all of its strings share. The same step is applied to cells of 48,
+   6 and at last 1 string, each round to what the round before could not decide.
+   Members that agree throughout go on as a single one, which bears witness for all.
 4. Strings found unique are gathered by document; all others repeat, and the
    bytes that they cover are removed.
 
 All steps aggregate by hash with map-side combining; no bucket is collected,
 and a hot bucket is never joined: a group of thousands of equal or nearly equal
-documents is a handful of rows after the first aggregation.
+documents is a handful of rows after the first aggregation. Strings are told
+apart by two names of 64 bits each.
 
 Null texts count as empty. Texts shorter than LENGTH keep all bytes. A row
-repeated in full repeats each of its strings. Runs of one byte file every
+repeated in full repeats each of its strings; rows without an id are judged like any other. Runs of one byte file every
 string under its own start, which is linear in the text. Texts are judged
-whole; an empty table gives an empty result; extra columns are left out.
+whole, a long one in overlapping blocks; ids are whole numbers; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -39,7 +41,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,28 +51,59 @@ LENGTH, Q = 400, 32
 #: Strings in a cell, by round; the last has single strings.
 CELLS = (48, 6, 1)
 KEY = ["doc", "h"]
+#: Starts of a block of a long text, and bits for a position within a block.
+BLOCK, BITS = 1 << 20, np.uint64(22)
+#: Bytes of text that a worker hands over at once.
+BATCH = 4 << 20
+
+
+def refined(near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Identifiers of the buckets that split those of near by those of far, at a later offset."""
+    p = (near * np.uint64(0x9E3779B97F4A7C15)) ^ far
+    p ^= p >> np.uint64(29)
+    p *= np.uint64(0xBF58476D1CE4E5B9)
+    p ^= p >> np.uint64(32)
+    return p
 
 
 def pointers(buf: np.ndarray) -> np.ndarray:
     """Bucket pointers of depth Q at each position with Q bytes left."""
     p, d = BYTE[buf], 1
     while d < Q:
-        p = (p[:-d] * np.uint64(0x9E3779B97F4A7C15)) ^ p[d:]
-        p ^= p >> np.uint64(29)
-        p *= np.uint64(0xBF58476D1CE4E5B9)
-        p ^= p >> np.uint64(32)
+        p = refined(p[:-d], p[d:])
         d *= 2
     return p
 
 
+def depth(length: int) -> int:
+    """The deepest identifiers that fit into the text that the strings of any cell share."""
+    if length < Q + CELLS[0]:
+        raise ValueError(f"strings of at least {Q + CELLS[0]} bytes")
+    d = Q
+    while 2 * d <= length - CELLS[0] + 1:
+        d *= 2
+    return d
+
+
+def name_spans(ptr: np.ndarray, start: np.ndarray, end: np.ndarray, deep: int, seed: np.ndarray, salt: int) -> np.ndarray:
+    """Names of the spans of text from start to end, of deep bytes at least, by the identifiers of depth deep at their offsets."""
+    out = refined(seed.astype(np.uint64) + np.uint64(salt), (end - start).astype(np.uint64))
+    for k in range(-(-int((end - start).max(initial=0)) // deep)):
+        at = np.minimum(start + k * deep, end - deep)
+        ids = ptr[at[:, None] + np.arange(0, deep, Q)]
+        while ids.shape[1] > 1:
+            ids = refined(ids[:, ::2], ids[:, 1::2])
+        out = refined(out, ids[:, 0])
+    return out
+
+
 def filed(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """document, position, first and last start of the strings of each member; and all pointers."""
     empty = np.empty(0, np.int64)
     if len(buf) < length:
         return empty, empty, empty, empty, np.empty(0, np.uint64)
     ptr = pointers(buf)
-    bits = np.uint64(max(1, len(ptr).bit_length()))
-    ranked = (ptr >> bits << bits) | np.arange(len(ptr), dtype=np.uint64)
+    ranked = (ptr >> BITS << BITS) | np.arange(len(ptr), dtype=np.uint64)
     w = length - Q + 1
     size = -(-len(ptr) // w) * w
     pad = np.full(size, np.iinfo(np.uint64).max)
@@ -81,7 +113,7 @@ def filed(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, .
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     n = len(ptr) - w + 1
     least = np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
-    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = (least & ((np.uint64(1) << BITS) - np.uint64(1))).astype(np.int64)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[:n]
     valid = np.arange(n) + length <= offs[doc + 1]
     start = np.flatnonzero(valid)
@@ -92,35 +124,51 @@ def filed(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, .
     return doc[new], at[new], start[new], start[np.r_[new[1:], len(start)] - 1], ptr
 
 
-def members(docs: DataFrame, length: int) -> DataFrame:
-    """bucket, rest (the pointers at later offsets), doc, h, at, lo, hi of each member; places count from the document's start."""
+def blocks(buf: np.ndarray, offs: np.ndarray, length: int, block: int):
+    """(block, first byte, bytes, offsets) of the texts; a long one in blocks of starts, with the bytes that their strings need."""
+    if len(offs) > 2 or len(buf) <= block:
+        yield 0, 0, buf, offs
+        return
+    for part, lo in enumerate(range(0, len(buf) - length + 1, block)):
+        own = buf[lo : lo + block + length - 1]
+        yield part, lo, own, np.array([0, len(own)])
+
+
+MEMBER = ["part", "at", "lo", "hi"]
+
+
+def members(docs: DataFrame, length: int, block: int) -> DataFrame:
+    """bucket, rest (the identifiers at later offsets), doc, h, part (of a long text), at, lo, hi of each member; places count from the document's start."""
 
     def run(batches):
+        deep = depth(length)
         for b in batches:
             ids, hs = b.column("doc").to_numpy(), b.column("h").to_numpy()
-            for i, _, buf, offs in chunks(b.column("text")):
-                doc, at, lo, hi, ptr = filed(buf, offs, length)
-                if not len(doc):
-                    continue
-                rest = np.empty(len(doc), np.uint64)
-                for k, (a, s, e) in enumerate(zip(at.tolist(), lo.tolist(), (hi + length - Q).tolist())):
-                    later = ptr[s : e + 1 : Q].tobytes() + ptr[e].tobytes()
-                    rest[k] = xxhash.xxh3_64_intdigest(later, seed=(a - s) * 1024 + (e - s))
-                base = offs[doc]
-                cols = [ptr[at].view(np.int64), rest.view(np.int64), ids[i + doc], hs[i + doc], (at - base).astype(np.int32), (lo - base).astype(np.int32), (hi - base).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "rest", *KEY, "at", "lo", "hi"])
+            for i, _, whole, all_offs in chunks(b.column("text")):
+                for part, lo_byte, buf, offs in blocks(whole, all_offs, length, block):
+                    doc, at, lo, hi, ptr = filed(buf, offs, length)
+                    if not len(doc):
+                        continue
+                    rest = name_spans(ptr, lo, hi + length, deep, (at - lo) * 1024 + (hi - lo), 1)
+                    base = offs[doc] - lo_byte
+                    cols = [ptr[at].view(np.int64), rest.view(np.int64), ids[i + doc], hs[i + doc], np.full(len(doc), part, np.int32), *[(x - base).astype(np.int32) for x in (at, lo, hi)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "rest", *KEY, *MEMBER])
 
-    return docs.select(*KEY, "text").mapInArrow(run, "bucket long, rest long, doc long, h long, at int, lo int, hi int")
+    return docs.select(*KEY, "text").mapInArrow(run, "bucket long, rest long, doc long, h long, part int, at int, lo int, hi int")
 
 
-def refine(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """One refinement: (unique: doc, h, lo, hi; open: doc, h, at, lo, hi, weight).
+def refine(rows: DataFrame, scratch: Scratch, single: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """One refinement: (unique: doc, h, lo, hi; open: a member with weight).
 
     rows: bucket, rest, weight and a member. Members that agree in rest are one,
     with a weight of 2 at most; of a bucket with one such member, weight 1 tells that its strings are unique.
+    single: a member is one string, so that bucket and rest decide together and nothing is left open.
     """
-    me = F.struct("doc", "h", "at", "lo", "hi")
-    one = scratch.keep(rows.groupBy("bucket", "rest").agg(F.least(F.sum("weight"), F.lit(2)).cast("int").alias("weight"), F.min(me).alias("m")))
+    me = F.struct(*KEY, *MEMBER)
+    one = rows.groupBy("bucket", "rest").agg(F.least(F.sum("weight"), F.lit(2)).cast("int").alias("weight"), F.min(me).alias("m"))
+    if single:
+        return scratch.keep(one.where("weight = 1").select("m.doc", "m.h", "m.lo", "m.hi")), None
+    one = scratch.keep(one)
     total = scratch.keep(one.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum("weight").alias("weight"), F.min("m").alias("m")))
     unique = total.where("weight = 1").select("m.doc", "m.h", "m.lo", "m.hi")
     split = total.where("kinds > 1").select("bucket")
@@ -129,105 +177,117 @@ def refine(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
 
 def with_context(open_: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """doc, h, at, lo, hi, weight and text: the bytes from lo to hi + length."""
-    lists = open_.groupBy(*KEY).agg(F.collect_list(F.struct("at", "lo", "hi", "weight")).alias("ms"))
+    """A member, weight and text: the bytes from lo to hi + length."""
+    lists = open_.groupBy(*KEY).agg(F.collect_list(F.struct(*MEMBER, "weight")).alias("ms"))
+    names = [*KEY, *MEMBER, "weight"]
 
     def run(batches):
-        for whole in batches:
-            for row in range(0, len(whole), 32):
-                b = whole.slice(row, 32)
-                out = [[] for _ in range(7)]
-                for d, h, ms, text in zip(b.column("doc").to_pylist(), b.column("h").to_pylist(), b.column("ms").to_pylist(), b.column("text")):
-                    raw = text.as_buffer().to_pybytes()
-                    for m in ms:
-                        for c, v in zip(out, (d, h, m["at"], m["lo"], m["hi"], m["weight"], raw[m["lo"] : m["hi"] + length])):
-                            c.append(v)
-                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [*KEY, "at", "lo", "hi", "weight", "text"])
+        held, texts, size = [], [], 0
+        for b in batches:
+            for d, h, ms, text in zip(b.column("doc").to_pylist(), b.column("h").to_pylist(), b.column("ms"), b.column("text")):
+                raw, ms = memoryview(text.as_buffer()), ms.values
+                cols = [ms.field(c).to_numpy() for c in (*MEMBER, "weight")]
+                for lo in range(0, len(ms), 2048):
+                    part = [c[lo : lo + 2048] for c in cols]
+                    held.append((np.full(len(part[0]), d), np.full(len(part[0]), h), *part))
+                    own = [bytes(raw[x : y + length]) for x, y in zip(part[2].tolist(), part[3].tolist())]
+                    texts += own
+                    size += sum(map(len, own))
+                    if size > BATCH:
+                        yield of(held, texts)
+                        held, texts, size = [], [], 0
+        if held:
+            yield of(held, texts)
+
+    def of(held, texts):
+        return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in zip(*held)], pa.array(texts, pa.binary())], [*names, "text"])
 
     # a row repeated in full is met twice and weighs more; its strings repeat anyway
-    return docs.join(lists, KEY).select(*KEY, "ms", "text").mapInArrow(run, "doc long, h long, at int, lo int, hi int, weight int, text binary")
+    return docs.join(lists, KEY).select(*KEY, "ms", "text").mapInArrow(run, "doc long, h long, part int, at int, lo int, hi int, weight int, text binary")
 
 
 def cells(rows: DataFrame, width: int, length: int) -> DataFrame:
     """The cells of each member as members: bucket names the text common to a cell's strings, rest all of its text.
 
-    rows: doc, h, at, lo, hi, weight, from (first byte of text), text.
+    rows: a member, weight, from (first byte of text), text.
     """
 
     def run(batches):
-        for b in batches:
-            col = {c: b.column(c).to_pylist() for c in (*KEY, "at", "lo", "hi", "weight", "from", "text")}
-            bucket, rest, take, los, his = [], [], [], [], []
-            for i in range(len(b)):
-                at, lo, hi, zero, text = (col[c][i] for c in ("at", "lo", "hi", "from", "text"))
-                for x in range((at - hi) // width, (at - lo) // width + 1):
-                    near, far = x * width, x * width + width - 1
-                    s, e = max(lo, at - far), min(hi, at - near)
-                    core = text[at - near - zero : at - far + length - zero]
-                    bucket.append(xxhash.xxh3_64_intdigest(core, seed=x))
-                    rest.append(xxhash.xxh3_64_intdigest(text[s - zero : e + length - zero], seed=(at - s) * 512 + at - e))
-                    take.append(i)
-                    los.append(s)
-                    his.append(e)
-            t = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(bucket, np.uint64).view(np.int64)), pa.array(np.array(rest, np.uint64).view(np.int64)), *[b.column(c).take(t) for c in ("doc", "h", "at", "weight")], pa.array(los, pa.int32()), pa.array(his, pa.int32())],
-                ["bucket", "rest", "doc", "h", "at", "weight", "lo", "hi"],
-            )
-
-    return rows.select(*KEY, "at", "lo", "hi", "weight", "from", "text").mapInArrow(run, "bucket long, rest long, doc long, h long, at int, weight int, lo int, hi int")
-
-
-def unique_strings(docs: DataFrame, spark: SparkSession, length: int = LENGTH) -> DataFrame:
+        deep = depth(length)
+        for whole in batches:
+            size = np.r_[0, np.cumsum([len(x.as_buffer()) for x in whole.column("text")])]
+            i = 0
+            while i < len(whole):
+                j = max(i + 1, int(np.searchsorted(size, size[i] + BATCH // 4, side="right")) - 1)
+                yield cut(whole.slice(i, j - i), deep)
+                i = j
+
+    def cut(b, deep):
+        buf = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in b.column("text")), np.uint8)
+        ptr = pointers(buf)
+        start = np.cumsum([0, *[len(x.as_buffer()) for x in b.column("text")]])[:-1]
+        at, lo, hi, zero = (b.column(c).to_numpy().astype(np.int64) for c in ("at", "lo", "hi", "from"))
+        first, last = (at - hi) // width, (at - lo) // width
+        who = np.repeat(np.arange(len(b)), last - first + 1)
+        x = np.arange(len(who)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[who]
+        near, far = x * width, x * width + width - 1
+        s, e = np.maximum(lo[who], at[who] - far), np.minimum(hi[who], at[who] - near)
+        base = start[who] - zero[who]
+        bucket = name_spans(ptr, base + at[who] - near, base + at[who] - far + length, deep, x, 2)
+        rest = name_spans(ptr, base + s, base + e + length, deep, (at[who] - s) * 512 + at[who] - e, 3)
+        take = pa.array(who)
+        columns = [pa.array(bucket.view(np.int64)), pa.array(rest.view(np.int64)), *[b.column(c).take(take) for c in (*KEY, "part", "at", "weight")], pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "rest", *KEY, "part", "at", "weight", "lo", "hi"])
+
+    return rows.select(*KEY, *MEMBER, "weight", "from", "text").mapInArrow(run, "bucket long, rest long, doc long, h long, part int, at int, weight int, lo int, hi int")
+
+
+def unique_strings(docs: DataFrame, spark: SparkSession, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """doc, h, lo, hi: ranges of starts whose strings of the given length occur nowhere else."""
+    depth(length)
     scratch = Scratch(spark, "suffixes")
-    unique, open_ = refine(members(docs, length).withColumn("weight", F.lit(1)), scratch)
+    unique, open_ = refine(members(docs, length, block).withColumn("weight", F.lit(1)), scratch)
     release(spark)
     context = scratch.keep(with_context(open_, docs, length))
     release(spark)
-    found = [unique]
+    out = unique
     rows = context.withColumn("from", F.col("lo"))
-    texts = context.select(*KEY, "at", F.col("lo").alias("from"), F.col("text"))
-    for i, width in enumerate(CELLS):
-        unique, open_ = refine(cells(rows, width, length), scratch)
-        found.append(unique)
+    texts = context.select(*KEY, "part", "at", F.col("lo").alias("from"), F.col("text"))
+    for width in CELLS:
+        unique, open_ = refine(cells(rows, width, length), scratch, single=width == 1)
+        out = out.unionAll(unique)
         release(spark)
-        if i + 1 < len(CELLS):
-            rows = scratch.keep(open_).join(texts, [*KEY, "at"])
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionAll(x)
+        if open_ is not None:
+            rows = scratch.keep(open_).join(texts, [*KEY, "part", "at"])
     return out
 
 
-def cut(docs: DataFrame, spark: SparkSession, length: int = LENGTH) -> DataFrame:
+def runs_of(n: int, length: int, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the bytes that strings cover whose starts are in none of the ranges lo to hi, in a text of n bytes."""
+    starts = n - length + 1
+    if starts <= 0:
+        return []
+    order = np.argsort(lo, kind="stable")
+    reach = np.maximum.accumulate(np.r_[-1, hi[order]])
+    a, b = reach + 1, np.r_[lo[order], starts] - 1
+    a, b = a[a <= b], b[a <= b] + length
+    new = np.r_[True, a[1:] > b[:-1]] if len(a) else np.empty(0, bool)
+    return list(zip(a[new].tolist(), b[np.r_[new[1:], True]].tolist() if len(a) else []))
+
+
+def cut(docs: DataFrame, spark: SparkSession, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """doc_id, text (bytes), spans: array of (start, end) of the removed runs; one row per row of docs."""
     keyed = docs.select("doc_id", F.col("doc_id").cast("long").alias("_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     keyed = keyed.select("doc_id", F.coalesce("_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("h"), "text")
-    ranges = unique_strings(keyed, spark, length).groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("rs"))
+    ranges = unique_strings(keyed, spark, length, block).groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("rs"))
 
     def run(batches):
+        none = np.empty(0, np.int64)
         for b in batches:
             spans = []
             for rs, text in zip(b.column("rs"), b.column("text")):
-                n = len(text.as_buffer())
-                starts = n - length + 1
-                if starts <= 0:
-                    spans.append([])
-                    continue
-                edge = np.zeros(starts + 1, np.int32)
-                if rs.is_valid:
-                    r = rs.values
-                    np.add.at(edge, r.field("lo").to_numpy(), 1)
-                    np.add.at(edge, r.field("hi").to_numpy() + 1, -1)
-                again = np.cumsum(edge[:-1]) == 0
-                cover = np.zeros(n + 1, np.int32)
-                cover[:starts] += again
-                cover[length:] -= again
-                gone = np.cumsum(cover[:-1]) > 0
-                turn = np.flatnonzero(np.diff(np.r_[0, gone.view(np.int8), 0]))
-                spans.append([{"start": s, "end": e} for s, e in zip(turn[::2].tolist(), turn[1::2].tolist())])
+                lo, hi = (rs.values.field(c).to_numpy().astype(np.int64) for c in ("lo", "hi")) if rs.is_valid else (none, none)
+                spans.append([{"start": s, "end": e} for s, e in runs_of(len(text.as_buffer()), length, lo, hi)])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(spans, kind)], ["doc_id", "text", "spans"])
 
@@ -242,7 +302,7 @@ def digest(cut_docs: DataFrame) -> DataFrame:
         for b in batches:
             n, gone, count, sha = [], [], [], []
             for text, spans in zip(b.column("text"), b.column("spans").to_pylist()):
-                raw = text.as_buffer().to_pybytes()
+                raw = memoryview(text.as_buffer())
                 h, at = hashlib.sha256(), 0
                 for s in spans:
                     h.update(raw[at : s["start"]])

@@ -5,7 +5,8 @@ unit vectors is a distance of at most r = sqrt(2 - 2 COSINE). Steps:
 
 1. Equal vectors of a label become one point with a count.
 2. *Pivots.* At most ``PIVOTS`` points, the first by hash, are pivots; a point's
-   cell is that of its nearest pivot.
+   cell is that of its nearest pivot. Vectors of other lengths are other spaces
+   with cells of their own; a space of few points is one cell.
 3. *Boundary replication.* A point is copied to another cell only if a partner
    may be there: by the triangle inequality, when d(x, p_j) - d(x, p_i) <= 2 r and
    d(x, p_j) <= R_j + r for the cell's radius R_j; and when its distance to the
@@ -19,15 +20,13 @@ unit vectors is a distance of at most r = sqrt(2 - 2 COSINE). Steps:
 
 Links with a point of the own cell are counted in that cell only, so that none
 counts twice. Null labels, and vectors that are null, zero or hold null or
-non-finite components, link with nothing and are kept. Repeated rows are
-points of their own; lengths that differ never link; an empty table gives an
-empty result.
+non-finite components, link with nothing and are kept; so do rows without an id. Repeated rows are
+points of their own; rows that share an id are one vector, whose links are those of all of them; lengths that differ never link; ids are whole numbers; an empty table gives an
+empty result; extra columns are left out by name.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +39,6 @@ COSINE = 0.93
 #: Bound of the pivots that are broadcast, and points for each pivot below it.
 PIVOTS, CELL = 256, 4000
 TILE = 8192
-MOST_LENGTHS = 100
 #: Slack of the filters against rounding; the last test is on the cosine itself.
 SLACK = 1e-7
 
@@ -56,10 +54,28 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = a / np.abs(a).max(), b / np.abs(b).max()
-    dot = lambda u, v: math.fsum((u * v).tolist())
-    return dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+def exact_hits(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
+    """Whether the cosine of each row of a with the same row of b reaches the threshold, in extended precision."""
+    out = np.empty(len(a), bool)
+    for lo in range(0, len(a), 8192):
+        u, w = (x[lo : lo + 8192].astype(np.longdouble) for x in (a, b))
+        u, w = (x / np.abs(x).max(axis=1, keepdims=True) for x in (u, w))
+        out[lo : lo + 8192] = ((u * w).sum(axis=1) / np.sqrt((u * u).sum(axis=1) * (w * w).sum(axis=1))).astype(float) >= cosine
+    return out
+
+
+def spanning(hit: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, column) that connect what hit connects, one for each component that a row finds among the columns; comp: the columns' components so far, updated."""
+    rows, cols = [], []
+    for i in np.flatnonzero(hit.any(axis=1)):
+        at = np.flatnonzero(hit[i])
+        kinds, first = np.unique(comp[at], return_index=True)
+        rows.append(np.full(len(first), i))
+        cols.append(at[first])
+        if len(kinds) > 1:
+            comp[np.isin(comp, kinds)] = kinds[0]
+    none = np.empty(0, np.int64)
+    return (np.concatenate(rows), np.concatenate(cols)) if rows else (none, none)
 
 
 def matrix(col: pa.Array) -> np.ndarray:
@@ -72,26 +88,15 @@ def near_duplicates(rows: DataFrame, spark: SparkSession, cosine: float = COSINE
     scratch = Scratch(spark, "embeddings")
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     good = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("v")))
-    # the largest component scales away, so that any finite vector has a norm
-    points = scratch.keep(good.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    n = points.count()
-    dims = [x[0] for x in points.select(F.size("v").alias("d")).distinct().orderBy("d").limit(MOST_LENGTHS + 1).collect()]
-    if len(dims) > MOST_LENGTHS:
-        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
-    parts = []
-    for d in dims:  # vectors of other lengths are other spaces
-        own = points.where(F.size("v") == d)
-        picked = own.select("id", "v").orderBy(F.xxhash64("id", "label"), "id").limit(min(PIVOTS, max(1, n // CELL))).collect()
-        pivots = unit(np.array([p["v"] for p in picked], float).reshape(len(picked), d))
-        parts.append(cells(own, pivots, cosine, spark, scratch))
-    if not parts:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
+    points = scratch.keep(good.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("v")))
+    large = points.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * CELL).orderBy(F.desc("n"), "dim").limit(PIVOTS).collect()
+    pivots = {}
+    for x in large:
+        picked = points.where(F.col("dim") == x["dim"]).select("id", "v").orderBy(F.xxhash64("id", "label"), "id").limit(max(1, min(PIVOTS // len(large), x["n"] // CELL))).collect()
+        pivots[x["dim"]] = unit(np.array([p["v"] for p in picked], float))
+    found = cells(points, pivots, cosine, spark, scratch)
     found = scratch.keep(found)
     counts = found.where("b is null").groupBy(F.col("label"), F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    # a point is named by its label and first id; ids that repeat under two labels stay apart by number
     forest = found.where("b is not null").select("a", "b")
     named = components(forest, scratch)
     classes = points.join(counts, ["label", "id"], "left").join(named.withColumnRenamed("node", "id"), "id", "left")
@@ -102,50 +107,64 @@ def near_duplicates(rows: DataFrame, spark: SparkSession, cosine: float = COSINE
     return out.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def cells(points: DataFrame, pivots: np.ndarray, cosine: float, spark: SparkSession, scratch: Scratch) -> DataFrame:
-    """label, a, b, links: counts of a point's links (b null) and links of spanning forests."""
+def cells(points: DataFrame, pivots: dict[int, np.ndarray], cosine: float, spark: SparkSession, scratch: Scratch) -> DataFrame:
+    """label, a, b, links: counts of a point's links (b null) and links of spanning forests. pivots: by length of the vectors."""
     shared = spark.sparkContext.broadcast(pivots)
-    k, r = len(pivots), float(np.sqrt(2 - 2 * cosine))
+    r = float(np.sqrt(2 - 2 * cosine))
+
+    def by_length(b):
+        """(length, rows, unit vectors) of the rows whose space has pivots."""
+        dim = b.column("dim").to_numpy()
+        for d in np.unique(dim).tolist():
+            at = np.flatnonzero(dim == d)
+            yield d, at, unit(matrix(b.column("v").take(pa.array(at)))) if d in shared.value else None
 
-    def distances(x: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0, 2 - 2 * x @ shared.value.T))
+    def distances(d: int, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0, 2 - 2 * x @ shared.value[d].T))
 
     def radii(batches):
-        out = np.full(k, -1.0)
+        out = {d: np.full(len(p), -1.0) for d, p in shared.value.items()}
         for b in batches:
-            if len(b):
-                dist = distances(unit(matrix(b.column("v"))))
-                np.maximum.at(out, dist.argmin(axis=1), dist.min(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(out)], ["cell", "radius"])
-
-    radius = np.full(k, -1.0)
-    for x in points.select("v").mapInArrow(radii, "cell int, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():
-        radius[x["cell"]] = x["radius"]
+            for d, _, x in by_length(b):
+                if x is not None:
+                    dist = distances(d, x)
+                    np.maximum.at(out[d], dist.argmin(axis=1), dist.min(axis=1))
+        for d, v in out.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), d, np.int32)), pa.array(range(len(v)), pa.int32()), pa.array(v)], ["dim", "cell", "radius"])
+
+    radius = {d: np.full(len(p), -1.0) for d, p in pivots.items()}
+    if pivots:
+        for x in points.select("dim", "v").mapInArrow(radii, "dim int, cell int, radius double").groupBy("dim", "cell").agg(F.max("radius").alias("radius")).collect():
+            radius[x["dim"]][x["cell"]] = x["radius"]
 
     def place(batches):
-        gap = np.sqrt(np.maximum(0, 2 - 2 * shared.value @ shared.value.T))
         for b in batches:
-            if not len(b):
-                continue
-            dist = distances(unit(matrix(b.column("v"))))
-            home = dist.argmin(axis=1)
-            near = dist[np.arange(len(dist)), home][:, None]
-            copy = (dist - near <= 2 * r + SLACK) & (dist <= radius + r + SLACK)
-            plane = dist**2 - near**2 <= 2 * r * gap[home] + SLACK
-            copy &= plane
-            copy[np.arange(len(dist)), home] = True
-            at, cell = np.nonzero(copy)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([b.column("label").take(take), pa.array(cell.astype(np.int32)), pa.array(home[at] == cell), b.column("id").take(take), b.column("copies").take(take), b.column("v").take(take)], ["label", "cell", "own", "id", "copies", "v"])
+            for d, rows, x in by_length(b):
+                if x is None:
+                    at, cell, own = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
+                else:
+                    gap = np.sqrt(np.maximum(0, 2 - 2 * shared.value[d] @ shared.value[d].T))
+                    dist = distances(d, x)
+                    home = dist.argmin(axis=1)
+                    near = dist[np.arange(len(dist)), home][:, None]
+                    copy = (dist - near <= 2 * r + SLACK) & (dist <= radius[d] + r + SLACK)
+                    plane = dist**2 - near**2 <= 2 * r * gap[home] + SLACK
+                    copy &= plane
+                    copy[np.arange(len(dist)), home] = True
+                    at, cell = np.nonzero(copy)
+                    own = home[at] == cell
+                take = pa.array(rows[at])
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in ("label", "dim")], pa.array(cell.astype(np.int32)), pa.array(own), *[b.column(c).take(take) for c in ("id", "copies", "v")]], ["label", "dim", "cell", "own", "id", "copies", "v"])
 
     kind = points.schema["label"].dataType.simpleString()
-    placed = scratch.keep(points.select("label", "id", "copies", "v").mapInArrow(place, f"label {kind}, cell int, own boolean, id long, copies long, v array<double>"))
-    sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("cuts"))
-    cut = placed.join(sizes, ["label", "cell"]).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    placed = scratch.keep(points.select("label", "dim", "id", "copies", "v").mapInArrow(place, f"label {kind}, dim int, cell int, own boolean, id long, copies long, v array<double>"))
+    space = ["label", "dim", "cell"]
+    sizes = placed.groupBy(*space).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("cuts"))
+    cut = placed.join(sizes, space).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("cuts") - 1)
     # own points ask all points of the cell: a link of two cells is counted once from either side
-    asks = cut.where("own").select("label", "cell", F.col("cut").alias("row"), F.explode(every).alias("col"), F.lit(True).alias("ask"), "own", "id", "copies", "v")
-    answers = cut.select("label", "cell", F.explode(every).alias("row"), F.col("cut").alias("col"), F.lit(False).alias("ask"), "own", "id", "copies", "v")
+    asks = cut.where("own").select(*space, F.col("cut").alias("row"), F.explode(every).alias("col"), F.lit(True).alias("ask"), "id", "copies", "v")
+    answers = cut.select(*space, F.explode(every).alias("row"), F.col("cut").alias("col"), F.lit(False).alias("ask"), "id", "copies", "v")
 
     def tile(t: pa.Table) -> pa.Table:
         ask = t.column("ask").to_numpy()
@@ -153,35 +172,26 @@ def cells(points: DataFrame, pivots: np.ndarray, cosine: float, spark: SparkSess
         raw = matrix(t.column("v").combine_chunks())
         x = unit(raw)
         u, w = np.flatnonzero(ask), np.flatnonzero(~ask)
-        links, pairs = np.zeros(len(u), np.int64), []
-        parent: dict[int, int] = {}
-
-        def root(i):
-            while parent.setdefault(i, i) != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+        links, left, right = np.zeros(len(u), np.int64), [], []
+        comp = np.arange(len(w))
         for lo in range(0, len(u), 512):
             part = u[lo : lo + 512]
             cos = x[part] @ x[w].T
             hit = cos >= cosine
-            for i, j in zip(*np.nonzero(np.abs(cos - cosine) < SLACK)):  # too near to trust the order of summation
-                hit[i, j] = exact_cosine(raw[part[i]], raw[w[j]]) >= cosine
+            i, j = np.nonzero(np.abs(cos - cosine) < SLACK)  # too near to trust the order of summation
+            hit[i, j] = exact_hits(raw[part[i]], raw[w[j]], cosine)
             hit &= ids[part][:, None] != ids[w][None, :]
             links[lo : lo + 512] = hit @ copies[w]
-            for i, j in zip(*np.nonzero(hit)):
-                p, q = root(int(ids[part[i]])), root(int(ids[w[j]]))
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    pairs.append((int(ids[part[i]]), int(ids[w[j]])))
+            i, j = spanning(hit, comp)
+            left.append(ids[part[i]])
+            right.append(ids[w[j]])
+        a, b = np.concatenate([ids[u], *left]), np.concatenate([np.zeros(len(u), np.int64), *right])
+        count = np.arange(len(a)) < len(u)
         label = t.column("label")[0].as_py()
-        a = [*ids[u].tolist(), *[p for p, _ in pairs]]
-        b = [*[None] * len(u), *[q for _, q in pairs]]
-        n = [*links.tolist(), *[None] * len(pairs)]
-        return pa.table({"label": pa.array([label] * len(a), t.schema.field("label").type), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(n, pa.int64())})
+        n = np.concatenate([links, np.zeros(len(a) - len(u), np.int64)])
+        return pa.table({"label": pa.array([label] * len(a), t.schema.field("label").type), "a": pa.array(a), "b": pa.array(b, mask=count), "links": pa.array(n, mask=~count)})
 
-    return asks.unionAll(answers).groupBy("label", "cell", "row", "col").applyInArrow(tile, f"label {kind}, a long, b long, links long")
+    return asks.unionAll(answers).groupBy(*space, "row", "col").applyInArrow(tile, f"label {kind}, a long, b long, links long")
 
 
 def oracle(cosine: float = COSINE) -> str:

@@ -288,6 +288,26 @@ def test_embedding_dedup(spark, monkeypatch):
     assert len(check_vectors(spark, rows)) > 800
 
 
+def test_embeddings_of_many_lengths_and_clashing_columns(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=1 + i // 2)] if i % 2 == 0 else None, 1) for i in range(240)]
+    rows = [(i, v if v is not None else rows[i - 1][1], label) for i, v, label in rows]
+    assert len(check_vectors(spark, rows)) >= 120
+    df = spark.createDataFrame([(*r, 5, "x", 1, 2.0) for r in rows[:6]] + [(None, [1.0], 1, 5, "x", 1, 2.0)], "vec_id long, embedding array<float>, label int, id int, v string, dim int, Copies double")
+    assert sorted(((r["vec_id"], r["n_links"]) for r in embedding_dedup.near_duplicates(df, spark).collect()), key=repr) == sorted([*((i, 1) for i in range(6)), (None, 0)], key=repr)
+
+
+def test_a_dense_group_of_vectors(spark):
+    """A group in which all are linked costs a link for each vector."""
+    hit = np.ones((3000, 3000), bool)
+    i, j = embedding_dedup.spanning(hit, np.arange(3000))
+    assert len(i) < 6001
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    check = [(i, [float(x) for x in np.float32(base + rng.normal(0, 0.01, 16))], 0) for i in range(150)]
+    assert len(check_vectors(spark, check)) == 150 * 149 // 2
+
+
 def test_embedding_dedup_of_nothing(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), spark).count() == 0
     check_vectors(spark, [(1, None, 1)])

@@ -1,121 +1,123 @@
 """Licence scan: canonical digests of whole texts, and of single lines, looked up among known licences.
 
-A text is brought to a canonical form - A-Z lower-cased, copyright lines and
-comment marks dropped, equivalent spellings unified, all but letters and
-digits read as one space - and its SHA-256 is hash-joined to the digests of
-the known texts. The known texts are a fixed list in this module, so the
-broadcast side has a proven size. ``notices`` lists the known one-line notices
-that a text holds as whole lines, by the same digest. Null and empty texts
-have no licence; repeated rows are each looked up; a text of any length is
-read whole; an empty table gives an empty result.
+A text is brought to a canonical form - lower case, copyright lines dropped,
+runs of letters and digits of any script as words, equivalent spellings
+unified word by word, one space between words - and its SHA-256 is hash-joined
+to the digests of the known texts. These are the complete texts of
+``license_texts`` beside this module, each with and without its title and with
+and without what follows its terms, and the one-line ``NOTICES``; the list is
+fixed, so the broadcast side has a proven size. ``notices`` lists the one-line
+notices that a text holds as whole lines, by the same digest.
+
+A copyright line names a year, a sign or a placeholder, or is just 'all rights
+reserved': a wrapped line of a licence that begins with the word stays. Null
+and empty texts, and texts without words, have the digest of the empty text and
+no licence; repeated rows are each looked up; a text of any length is read
+whole; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
-
 #: Words that licence stewards treat as the same.
-SAME = [
-    ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sublicence", "sublicense"), ("organisation", "organization"),
-    ("favour", "favor"), ("judgement", "judgment"), ("merchantability", "merchantability"), ("noninfringement", "non infringement"),
-    ("wilful", "willful"), ("acknowledgement", "acknowledgment"), ("https", "http"),
-]
-#: Texts of known licences and notices.
-KNOWN = {
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
-    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-3. This notice may not be removed or altered from any source distribution.""",
-    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
-http://www.apache.org/licenses/LICENSE-2.0
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+SAME = {
+    "licence": "license", "licenced": "licensed", "licences": "licenses", "sublicence": "sublicense", "organisation": "organization",
+    "favour": "favor", "judgement": "judgment", "noninfringement": "non infringement", "wilful": "willful", "acknowledgement": "acknowledgment", "https": "http",
+}
+#: One-line notices. A notice names a licence and is not its text.
+NOTICES = {
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
+    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "MIT-notice": "Released under the MIT License.",
 }
+#: Titles that stand above texts which have none of their own.
+TITLES = {
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"],
+    "ISC": ["ISC License", "The ISC License"],
+    "MIT": ["The MIT License", "The MIT License (MIT)"],
+    "Zlib": ["zlib License", "The zlib/libpng License"],
+}
+#: Lines that name a holder, and not the licence; on a lower-cased text.
+COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|<|\[)|\(c\)[ \t]*(?:copyright|[0-9]{4}|<|\[)|©)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+DROP, WORD = re.compile(COPYRIGHT), re.compile(r"[^\W_]+")
+
+
+def words_of(low: str) -> str:
+    return " ".join([SAME.get(w, w) for w in WORD.findall(low)])
+
 
-#: Lines that name a holder, and not the licence.
-COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright\b|\(c\)|©)[^\n]*$"
-MARKS = r"[^a-z0-9À-ɏ]+"
+def canonical(text: str) -> str:
+    low = text.lower()
+    return words_of(DROP.sub("", low) if "copyright" in low or "(c)" in low or "©" in low or "all rights reserved" in low else low)
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(ascii_lower(text), COPYRIGHT, "")
-    return _words(out)
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
-def _words(c: Column) -> Column:
-    """All but letters and digits as one space, then equivalent spellings, on a lower-cased text."""
-    c = F.concat(F.lit(" "), F.regexp_replace(c, MARKS, " "), F.lit(" "))
-    for a, b in SAME:
-        if a != b:
-            c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.regexp_replace(c, " +", " "))
+def variants(name: str, text: str) -> list[str]:
+    """The text with and without its title, and with and without what follows its terms."""
+    title, _, body = text.strip().partition("\n\n")
+    short = len(title) < 200 and body
+    out = [text, *([body] if short else []), *[f"{t}\n\n{body if short else text}" for t in TITLES.get(name, [])]]
+    end = "END OF TERMS AND CONDITIONS"
+    return out + [x.partition(end)[0] + tail for x in out if end in x for tail in ("", end)]
 
 
-def canonical_py(text: str) -> str:
-    """The canonical form of a known text, on the driver."""
-    text = re.sub(COPYRIGHT, "", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
-    text = " " + re.sub(MARKS, " ", text) + " "
-    for a, b in SAME:
-        text = text.replace(f" {a} ", f" {b} ")
-    return re.sub(" +", " ", text).strip(" ")
+def known_texts() -> dict[str, str]:
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
-def known_digests(known: dict[str, str] = KNOWN) -> list[tuple[str, str]]:
-    return sorted((hashlib.sha256(canonical_py(t).encode()).hexdigest(), name) for name, t in known.items())
+def known_digests() -> list[tuple[str, str]]:
+    out = {sha(canonical(x)): name for name, text in known_texts().items() for x in variants(name, text)}
+    return sorted((out | notice_digests()).items())
 
 
-def scan(docs: DataFrame, spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
+def notice_digests() -> dict[str, str]:
+    return {sha(canonical(t)): n for n, t in NOTICES.items()}
+
+
+def scan(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """doc_id, canonical_sha256, license (of the whole text, else null), notices (sorted names of one-line notices)."""
-    digests = known_digests(known)
-    table = spark.createDataFrame(digests, "canonical_sha256 string, license string")
-    notices = {canonical_py(t): n for n, t in known.items() if "\n" not in t}
-    # one-line notices: cut the text to lines that name a licence at all, then the same canonical form and digest
-    about = F.filter(F.split(ascii_lower(F.col("text")), "\n"), lambda x: x.rlike("licen[sc]e"))
-    hashed = F.transform(about, lambda x: F.sha2(_words(x), 256))
-    lookup = F.create_map(*[F.lit(v) for k, n in sorted(notices.items()) for v in (hashlib.sha256(k.encode()).hexdigest(), n)]) if notices else None
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(hashed, lambda x: F.try_element_at(lookup, x)), lambda x: x.isNotNull()))) if notices else F.array().cast("array<string>")
-    rows = docs.select("doc_id", F.sha2(canonical(F.coalesce("text", F.lit(""))), 256).alias("canonical_sha256"), F.coalesce(F.array_join(found, ","), F.lit("")).alias("notices"))
+    lines = notice_digests()
+
+    def run(batches):
+        for b in batches:
+            digest, notices = [], []
+            for text in b.column("text"):
+                text = text.as_py() or ""
+                digest.append(sha(canonical(text)))
+                low = text.lower()
+                held = {lines.get(sha(words_of(x))) for x in low.split("\n") if "license" in x or "licence" in x} if "licen" in low else set()
+                notices.append(",".join(sorted(held - {None})))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.string()), pa.array(notices, pa.string())], ["doc_id", "canonical_sha256", "notices"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, canonical_sha256 string, notices string")
+    table = spark.createDataFrame(known_digests(), "canonical_sha256 string, license string")
     return rows.join(F.broadcast(table), "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license", "notices")
 
 
-def oracle(known: dict[str, str] = KNOWN) -> str:
+def oracle() -> str:
     """The same as DuckDB SQL."""
-
-    def spell(e: str) -> str:
-        e = f"(' ' || regexp_replace({e}, '{MARKS}', ' ', 'g') || ' ')"
-        for a, b in SAME:
-            if a != b:
-                e = f"replace({e}, ' {a} ', ' {b} ')"
-        return f"trim(regexp_replace({e}, ' +', ' ', 'g'), ' ')"
-
-    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    rows = ", ".join(f"('{d}', '{n}')" for d, n in known_digests(known))
-    one = ", ".join(f"('{hashlib.sha256(canonical_py(t).encode()).hexdigest()}', '{n}')" for n, t in sorted(known.items()) if "\n" not in t)
+    same = " ".join(f"when '{a}' then '{b}'" for a, b in SAME.items())
+    digest = lambda e: f"sha256(array_to_string(list_transform(regexp_extract_all({e}, '[\\p{{L}}\\p{{N}}]+'), lambda x: case x {same} else x end), ' '))"
+    rows = ", ".join(f"('{d}', '{n}')" for d, n in known_digests())
+    one = ", ".join(f"('{d}', '{n}')" for d, n in sorted(notice_digests().items()))
     return f"""
-with d as (select doc_id, {lower} as t from documents),
+with d as (select doc_id, lower(coalesce(text, '')) as t from documents),
 known(canonical_sha256, license) as (values {rows}), notice(h, name) as (values {one}),
 lines as (select doc_id, unnest(string_split(t, chr(10))) as line from d),
-n as (select doc_id, string_agg(distinct name, ',' order by name) as notices from (select doc_id, sha256({spell("line")}) as h from lines where regexp_matches(line, 'licen[sc]e')) join notice using (h) group by doc_id),
-c as (select doc_id, sha256({spell(f"regexp_replace(t, '{COPYRIGHT}', '', 'g')")}) as canonical_sha256 from d)
+n as (select doc_id, string_agg(distinct name, ',' order by name) as notices from (select doc_id, {digest("line")} as h from lines where regexp_matches(line, 'licen[sc]e')) join notice using (h) group by doc_id),
+c as (select doc_id, {digest(f"regexp_replace(t, '{COPYRIGHT}', '', 'g')")} as canonical_sha256 from d)
 select doc_id, canonical_sha256, license, coalesce(notices, '') as notices from c left join known using (canonical_sha256) left join n using (doc_id)"""

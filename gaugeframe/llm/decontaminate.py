@@ -16,7 +16,8 @@ The seeds are broadcast in blocks of at most ``BLOCK`` n-grams, so a benchmark
 of any size is read in bounded memory. Documents are read whole and scored in
 place: no text is shuffled. Null and empty texts and items match nothing; items
 with fewer words than a seed are one n-gram of their own length; equal items
-are each reported; repeated rows are each scored.
+are each reported, items without an id not at all; repeated rows, and rows without an id, are each scored; an empty table or
+benchmark gives an empty result; extra columns are left out, and pass through where rows are filtered.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ from .tokens import chunks, hash_ranges, ngrams, words
 SEED = 3
 MATCH, MISS, GAP = 2, -1, -1
 SHARE, LONG, LEAST = 0.4, 60, 8
-BLOCK = 2_000_000
+BLOCK = 500_000
+#: Words of windows and items that are aligned at once.
+AREA = 100_000
 SLACK = 12
 #: Words drop punctuation at their ends.
 EDGE = np.zeros(256, bool)
@@ -42,13 +45,13 @@ EDGE[[x for x in range(33, 127) if not chr(x).isalnum()]] = True
 def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of each word without punctuation at its ends; words of punctuation only are left out."""
     s, e, doc = words(buf, offs)
-    for _ in range(4):
-        if not len(s):
-            break
-        e = e - ((e > s) & EDGE[buf[np.maximum(e - 1, 0)]])
-        s = s + ((e > s) & EDGE[buf[np.minimum(s, len(buf) - 1)]])
-    keep = e > s
-    s, e, doc = s[keep], e[keep], doc[keep]
+    if len(s):
+        place = np.arange(len(buf), dtype=np.int32 if len(buf) < 1 << 31 else np.int64)
+        inner = ~EDGE[buf]
+        last = np.maximum.accumulate(np.where(inner, place, -1))[e - 1].astype(np.int64)
+        first = np.minimum.accumulate(np.where(inner, place, len(buf))[::-1])[::-1][s].astype(np.int64)
+        keep = last >= s
+        s, e, doc = first[keep], last[keep] + 1, doc[keep]
     return hash_ranges(buf, s, e, fold=True), doc
 
 
@@ -81,9 +84,15 @@ def member(known: np.ndarray, found: np.ndarray) -> np.ndarray:
     return out
 
 
-def seeds_of(items: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int]]:
-    """(hash, item's number, word) of the n-grams of each item."""
-    return [(g, i, k) for i, (_, h) in enumerate(items) for k, g in enumerate(item_grams(h).tolist())]
+def seed_table(items: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Sorted distinct hashes of the n-grams of all items, the range of each hash's places, and item and word of each place."""
+    grams = [item_grams(h) for _, h in items]
+    key = np.concatenate(grams)
+    item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
+    word = np.concatenate([np.arange(len(g)) for g in grams])
+    order = np.lexsort((word, item, key))
+    known, first = np.unique(key[order], return_index=True)
+    return known, first, np.r_[first[1:], len(key)], item[order], word[order]
 
 
 def align(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -103,6 +112,20 @@ def align(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return best
 
 
+def by_area(width: np.ndarray, deep: np.ndarray) -> Iterator[np.ndarray]:
+    """Windows to align at once, like by like: as many as AREA words have room for, or one."""
+    order = np.lexsort((deep, width))
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        most = int(width[order[lo]] + deep[order[lo]])
+        while hi < len(order) and (hi + 1 - lo) * max(most, int(width[order[hi]] + deep[order[hi]])) <= AREA:
+            most = max(most, int(width[order[hi]] + deep[order[hi]]))
+            hi += 1
+        yield order[lo:hi]
+        lo = hi
+
+
 def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     """The items in blocks of at most BLOCK words, or of one longer item."""
     block: list[tuple[int, np.ndarray]] = []
@@ -123,7 +146,7 @@ def find(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFram
     schema = f"doc_id {kind}, item_id long, score int, share double"
     out = spark.createDataFrame([], schema)
     for i, block in enumerate(blocks_of(benchmark)):
-        found = scan(docs.select("doc_id", "text"), block, seeds_of(block), spark, schema)
+        found = scan(docs.select("doc_id", "text"), block, spark, schema)
         out = out.unionAll(found) if i else found
     return out
 
@@ -131,21 +154,17 @@ def find(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFram
 def clean(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
     """docs, all columns, without those that hold a benchmark item; rows are judged where they lie, without a join."""
     for block in blocks_of(benchmark):
-        docs = scan(docs, block, seeds_of(block), spark, docs.schema, keep_clean=True)
+        docs = scan(docs, block, spark, docs.schema, keep_clean=True)
     return docs
 
 
-def scan(docs: DataFrame, items: list, seeds: list, spark: SparkSession, schema, keep_clean: bool = False) -> DataFrame:
+def scan(docs: DataFrame, items: list, spark: SparkSession, schema, keep_clean: bool = False) -> DataFrame:
     """The items that documents hold, or with keep_clean the rows that hold none."""
-    seeds = sorted(seeds)
-    key = np.array([s[0] for s in seeds], np.uint64)
-    table = (np.unique(key), np.searchsorted(key, np.unique(key)), np.searchsorted(key, np.unique(key), side="right"), np.array([s[1] for s in seeds]), np.array([s[2] for s in seeds]), items)
-    shared = spark.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast((*seed_table(items), items))  # at most BLOCK words, or one longer item
 
     def run(batches):
         known, lo, hi, of_item, at_word, items = shared.value
         lengths = np.array([len(h) for _, h in items])
-        widest = int(lengths.max())
         for b in batches:
             ids, found, score, share = [], [], [], []  # ids: rows of the batch
             for i, _, buf, offs in chunks(b.column("text")):
@@ -191,8 +210,7 @@ def scan(docs: DataFrame, items: list, seeds: list, spark: SparkSession, schema,
                 w_item, w_doc, w_lo, w_hi = (np.array(v) for v in (w_item, w_doc, w_lo, w_hi))
                 best: dict[tuple[int, int], int] = {}
                 span = w_hi - w_lo
-                order = np.argsort(span, kind="stable")
-                for part in (order[q : q + 256] for q in range(0, len(order), 256)):
+                for part in by_area(span, lengths[w_item]):
                     width, deep = int(span[part].max()), int(lengths[w_item[part]].max())
                     left, right = np.zeros((len(part), width), np.uint64), np.ones((len(part), deep), np.uint64)
                     for r, x in enumerate(part):

@@ -193,6 +193,55 @@ def test_decontamination(spark):
     assert decontaminate.find(df, bench.limit(0), spark).count() == 0 and decontaminate.find(df.limit(0), bench, spark).count() == 0
 
 
+def brute_find(docs, items):
+    """Every document aligned whole with every item of which it has three words in a row."""
+    plain = lambda t: [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").lower() for w in (t or "").split() if w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")]
+    out = set()
+    for d, t in docs:
+        x = plain(t)
+        for i, u in items:
+            y = plain(u)
+            k = min(decontaminate.SEED, len(y))
+            if y and {tuple(x[a : a + k]) for a in range(len(x) - k + 1)} & {tuple(y[a : a + k]) for a in range(len(y) - k + 1)}:
+                score = brute.smith_waterman(x, y)
+                if score >= decontaminate.MATCH * len(y) * (decontaminate.SHARE if len(y) >= decontaminate.LEAST else 1) or score >= decontaminate.LONG:
+                    out.add((d, i, score))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    items = [(i, " ".join(text(rng.choice([2, 6, 12, 30])))) for i in range(14)]
+    docs = []
+    for d in range(60):
+        own = text(rng.randrange(5, 60))
+        if d % 3:
+            copy = rng.choice(items)[1].split()
+            for _ in range(rng.randrange(4)):
+                j = rng.randrange(len(copy))
+                copy[j : j + rng.randrange(2)] = rng.choice([[], ["new"], ["new", "one"]])
+                copy = copy or ["w"]
+            at = rng.randrange(len(own))
+            own[at:at] = copy
+        docs.append((d, " ".join(rng.choice(["", "(((((("]) + w + rng.choice(["", ".....", "!"]) for w in own)))
+    got = {(r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.find(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), spark).collect()}
+    want = brute_find(docs, items)
+    assert {x[:2] for x in got} == {x[:2] for x in want} and len(want) > 30
+    assert all(s <= next(w for d, i, w in want if (d, i) == (doc, item)) for doc, item, s in got)
+
+
+def test_punctuation_of_any_length_is_dropped():
+    h = lambda t: decontaminate.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist()
+    assert h("word") == h("((((((word.......") == h("  ...... Word,") and h("....... ((((((") == [] and h("a-b") != h("ab")
+
+
+def test_windows_are_aligned_by_area():
+    width, deep = np.array([10, 300_000, 20, 15, 90_000, 12]), np.array([5, 10, 5, 5, 100_000, 5])
+    parts = [p.tolist() for p in decontaminate.by_area(width, deep)]
+    assert sorted(x for p in parts for x in p) == list(range(6)) and [1] in parts and [4] in parts
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "l m n o p q r s t u v")], DOCS)
     bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "m n o p q r s t u v")], "item_id long, text string")

@@ -6,7 +6,7 @@ where many different words with one beginning do.
 
 *Automaton.* The trie of the words is intersected with the Levenshtein
 automaton of distance ``EDITS`` = 1 by subset construction into one table
-(state x byte); words of five bytes and more may be misspelled. All words of
+(state x class of byte); words of five bytes and more may be misspelled. All words of
 a batch walk the table together and most leave it after two or three bytes.
 Misspellings that clean documents of the sample hold as words of their own
 don't count. Stems walk the plain trie.
@@ -17,7 +17,9 @@ another hit is abuse and gains. Hits and their density feed a logistic
 regression fitted on the sample, with the true share of label 1 restored.
 
 Null and empty texts get the score of a document without hits; texts are read
-whole; rows are scored one by one, so ties and repeated rows don't matter.
+whole; rows are scored one by one, so ties and repeated rows don't matter, and rows without an id
+are scored too. Without labels of either kind every row has one score. Empty tables give
+empty results; extra columns are left out, and pass through where rows are filtered.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .labelled import fold_of, labelled_sample, sample_rows
-from .tokens import CHUNK_BYTES, FOLD, chunks, hash_ranges, mix
+from .tokens import FOLD, chunks, hash_ranges, mix, text_buffer
 
 FOLDS, HELD_OUT = 3, 1
 #: Bound of the labelled sample, for each label.
@@ -85,16 +88,25 @@ def trie(terms: list[bytes]) -> tuple[list[dict[int, int]], dict[int, int]]:
     return kids, ends
 
 
+def classes(terms: list[bytes]) -> tuple[np.ndarray, int]:
+    """The class of each byte - 0 for those that no term holds - and the number of classes."""
+    out = np.zeros(256, np.int32)
+    used = sorted(set(b"".join(terms)))
+    out[used] = np.arange(1, len(used) + 1)
+    return out, len(used) + 1
+
+
 def fuzzy_table(terms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Transition table (state x byte; 0: dead, 1: start), and per state the term accepted (-1: none) and its edits."""
+    """Transition table (state x class of byte; 0: dead, 1: start), and per state the term accepted (-1: none) and its edits."""
     kids, ends = trie(terms)
+    kind, n_kinds = classes(terms)
     deep = [0] * len(kids)  # the length of the longest term below decides whether a node may be misspelled
-
-    def longest(n: int, depth: int) -> int:
-        deep[n] = max([depth if n in ends else 0, *[longest(k, depth + 1) for k in kids[n].values()]])
-        return deep[n]
-
-    longest(0, 0)
+    depth = [0] * len(kids)
+    for n, k in enumerate(kids):
+        for to in k.values():
+            depth[to] = depth[n] + 1
+    for n in range(len(kids) - 1, -1, -1):  # a node comes after its parent
+        deep[n] = max([depth[n] if n in ends else 0, *[deep[k] for k in kids[n].values()]])
 
     def close(items: set[tuple[int, int]]) -> frozenset:
         out = set(items)
@@ -104,10 +116,10 @@ def fuzzy_table(terms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         return frozenset((n, e) for n, e in out if e == 0 or (n, 0) not in out)
 
     states = {frozenset(): 0, close({(0, 0)}): 1}
-    todo, rows = [close({(0, 0)})], {0: np.zeros(256, np.int32)}
+    todo, rows = [close({(0, 0)})], {0: np.zeros(n_kinds, np.int32)}
     while todo:
         state = todo.pop()
-        row = np.zeros(256, np.int32)
+        row = np.zeros(n_kinds, np.int32)
         other = {(k, 1) for n, e in state if e == 0 for k in kids[n].values() if deep[k] >= FUZZY_BYTES} | {(n, 1) for n, e in state if e == 0 and deep[n] >= FUZZY_BYTES}
         moves = {b for n, _ in state for b in kids[n]}
         for b in [None, *sorted(moves)]:
@@ -118,7 +130,7 @@ def fuzzy_table(terms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             if b is None:
                 row[:] = states[nxt]
             else:
-                row[b] = states[nxt]
+                row[kind[b]] = states[nxt]
         rows[states[state]] = row
     table = np.stack([rows[i] for i in range(len(states))])
     term, edits = np.full(len(states), -1, np.int32), np.zeros(len(states), np.int8)
@@ -130,25 +142,26 @@ def fuzzy_table(terms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def stem_table(stems: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The plain trie as a table; a stem's last node is kept to the end of the word."""
+    """The plain trie as a table of the same kind; a stem's last node is kept to the end of the word."""
     kids, ends = trie(stems)
-    table = np.zeros((len(kids) + 1, 256), np.int32)
+    kind, n_kinds = classes(stems)
+    table = np.zeros((len(kids) + 1, n_kinds), np.int32)
     term = np.full(len(kids) + 1, -1, np.int32)
     for n, k in enumerate(kids):
         if n in ends:
             table[n + 1] = n + 1
             term[n + 1] = ends[n]
         for b, to in k.items():
-            table[n + 1, b] = to + 1
+            table[n + 1, kind[b]] = to + 1
     return table, term
 
 
-def walk(table: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words that come through the table alive, and their last states."""
+def walk(table: np.ndarray, kind: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that come through the table alive, and their last states. kind: the class of each byte."""
     at, state, pos = np.arange(len(starts)), np.ones(len(starts), np.int32), starts.copy()
     done_at, done_state = [], []
     while len(at):
-        state = table[state, buf[pos]]
+        state = table[state, kind[buf[pos]]]
         pos = pos + 1
         live = state > 0
         at, state, pos = at[live], state[live], pos[live]
@@ -188,7 +201,7 @@ def features(model: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     if len(s):
         hits: list[tuple[int, int, int, float]] = []
         if model["words"]:
-            at, state = walk(model["table"], low, s, e)
+            at, state = walk(model["table"], model["kind"], low, s, e)
             term, edits = model["term"][state], model["edits"][state]
             for i, t, d in zip(at[term >= 0], term[term >= 0], edits[term >= 0]):
                 if d == 0:
@@ -197,7 +210,7 @@ def features(model: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
                     hits.append((i, 1, t, model["word_odds"][t]))
         if model["stems"]:
             taken = {h[0] for h in hits}
-            at, state = walk(model["stem_table"], low, s, e)
+            at, state = walk(model["stem_table"], model["stem_kind"], low, s, e)
             term = model["stem_term"][state]
             hits += [(i, 2, t, model["stem_odds"][t]) for i, t in zip(at[term >= 0], term[term >= 0]) if i not in taken]
         hits.sort()
@@ -223,113 +236,115 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) ->
     return beta
 
 
-class Sample:
-    """Words of the labelled texts of one class, with the hash of each word in its context."""
+def words_in_context(rows: DataFrame) -> DataFrame:
+    """y, word, context (hash of the word and its neighbours) of the words of (y, text); each once within a chunk of texts."""
 
-    def __init__(self, texts: list[str]):
-        raw = [t.encode() for t in texts]
-        self.n = len(raw)
-        self.low = fold(np.frombuffer(b"".join(raw), np.uint8))
-        self.offs = np.r_[0, np.cumsum([len(r) for r in raw], dtype=np.int64)]
-        self.s, self.e, doc = letter_runs(self.low, self.offs)
-        self.s, self.e = self.s.astype(np.int32), self.e.astype(np.int32)
-        self.h = self.hashes(self.s, self.e)
+    def run(batches):
         pad = np.zeros(1, np.uint64)
-        turn = doc[1:] != doc[:-1]
-        before = np.r_[pad, np.where(turn, 0, self.h[:-1])][: len(doc)]
-        self.context = mix(before * np.uint64(3) + self.h)
-        del before
-        after = np.r_[np.where(turn, 0, self.h[1:]), pad][: len(doc)]
-        self.context = mix(self.context * np.uint64(5) + after)
-
-    def hashes(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges in order of their starts, some documents at a time: hashing takes many times the text's memory."""
-        out = np.empty(len(s), np.uint64)
-        a = 0
-        while a < self.n:
-            b = max(a + 1, int(np.searchsorted(self.offs, self.offs[a] + CHUNK_BYTES, side="right")) - 1)
-            lo, hi = np.searchsorted(s, self.offs[[a, b]])
-            out[lo:hi] = hash_ranges(self.low[self.offs[a] : self.offs[b]], s[lo:hi] - self.offs[a], e[lo:hi] - self.offs[a])
-            a = b
-        return out
-
-    def counts(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys, the number of different contexts of each, and a word that has it. at: words, key: their keys."""
-        pair = mix(key ^ (self.context[at] * np.uint64(0x9E3779B97F4A7C15)))
-        _, one = np.unique(pair, return_index=True)
-        keys, first, n = np.unique(key[one], return_index=True, return_counts=True)
-        return keys, n, at[one[first]]
-
-    def beginnings(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words of k characters or more, and the ends of their first k characters."""
-        chars = np.r_[np.flatnonzero((self.low & 0xC0) != 0x80), len(self.low)]
-        end = chars[np.minimum(np.searchsorted(chars, self.s) + k, len(chars) - 1)]
-        at = np.flatnonzero((end <= self.e) & (np.searchsorted(chars, self.s) + k < len(chars)))
-        return at, end[at]
-
-    def word(self, i: int, end: int | None = None) -> bytes:
-        return bytes(self.low[self.s[i] : self.e[i] if end is None else end])
-
-
-def telling(good: tuple, bad: tuple, n: tuple[int, int], least: float) -> list[tuple[int, float]]:
-    """(word that has it, log-odds) of keys that are in many more contexts of toxic texts than of clean ones. good, bad: as of counts()."""
-    keys, t, at = bad
-    c = np.zeros(len(keys))
-    if len(good[0]):
-        place = np.minimum(np.searchsorted(good[0], keys), len(good[0]) - 1)
-        c = np.where(good[0][place] == keys, good[1][place], 0)
-    odds = np.log((t + 0.5) / (n[1] + 1)) - np.log((c + 0.5) / (n[0] + 1))
-    return [(int(at[i]), float(odds[i])) for i in np.flatnonzero((t >= SUPPORT) & (odds >= least))]
-
-
-def learn(rows: list[tuple[str, int]], share: float) -> dict:
-    """The model from labelled texts; share: that of label 1 among all labelled rows.
-
-    A term counts once for each pair of words around it, so that copies of a document don't make its words tell.
+        for b in batches:
+            label = b.column("y").to_numpy()
+            for i, _, buf, offs in chunks(b.column("text")):
+                low = fold(buf)
+                s, e, doc = letter_runs(low, offs)
+                if not len(s):
+                    continue
+                h = hash_ranges(low, s, e)
+                turn = doc[1:] != doc[:-1]
+                context = mix(np.r_[pad, np.where(turn, 0, h[:-1])] * np.uint64(3) + h)
+                context = mix(context * np.uint64(5) + np.r_[np.where(turn, 0, h[1:]), pad])
+                y = label[i + doc]
+                _, at = np.unique(context + y.astype(np.uint64), return_index=True)
+                s, e, y, context = s[at], e[at], y[at], context[at]
+                ends = np.cumsum(e - s)
+                own = low[np.repeat(s - (ends - (e - s)), e - s) + np.arange(ends[-1])]
+                word = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(own)])
+                yield pa.RecordBatch.from_arrays([pa.array(y), word, pa.array(context.view(np.int64))], ["y", "word", "context"])
+
+    return rows.select("y", "text").mapInArrow(run, "y int, word binary, context long").distinct()
+
+
+def telling(counts: DataFrame, n: tuple[int, int], least: float) -> DataFrame:
+    """term, odds of the terms that are in many more contexts of toxic texts (t) than of clean ones (c). n: the number of texts of either."""
+    odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
+    return counts.where(F.col("t") >= SUPPORT).select("term", odds.alias("odds")).where(F.col("odds") >= least)
+
+
+def learn(rows: DataFrame, share: float, spark: SparkSession) -> dict:
+    """The model from a bounded number of labelled texts (text, y); share: that of label 1 among all labelled rows.
+
+    A term counts once for each pair of words around it, so that copies of a
+    document don't make its words tell. Texts and counts stay on the executors;
+    the terms that tell, and the features of each text, come to the driver.
     """
-    good, bad = (Sample([t for t, y in rows if y == k]) for k in (0, 1))
-    n = (good.n, bad.n)
-    every = lambda x: np.flatnonzero(x.e - x.s >= 3)
-    found = telling(*[x.counts(every(x), x.h[every(x)]) for x in (good, bad)], n, WORD_ODDS)
-    words = {bad.word(i): odds for i, odds in found}
-    stems: dict[bytes, float] = {}
-    known = np.unique(bad.h[[i for i, _ in found]]) if found else np.empty(0, np.uint64)
-    for k in STEMS:
-        sides = []
-        for x in (good, bad):
-            at, end = x.beginnings(k)
-            new = ~np.isin(x.h[at], known)
-            sides.append(x.counts(at[new], x.hashes(x.s[at[new]], end[new])))
-        at, end = bad.beginnings(k)
-        for i, odds in telling(*sides, n, STEM_ODDS):
-            stem = bad.word(i, int(end[np.searchsorted(at, i)]))
-            if not any(stem.startswith(q) for q in stems):
-                stems[stem] = odds
-    model = {"words": sorted(words), "word_odds": [words[w] for w in sorted(words)], "stems": sorted(stems), "stem_odds": [stems[p] for p in sorted(stems)], "own_words": set()}
+    scratch = Scratch(spark, "toxicity")
+    rows = scratch.keep(rows.select("text", "y"))
+    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = (size.get(0, 0), size.get(1, 0))
+    model = {"words": [], "stems": [], "own_words": set()}
+    counts = scratch.keep(words_in_context(rows).groupBy(F.col("word").alias("term")).agg(F.count(F.when(F.col("y") == 1, 1)).alias("t"), F.count(F.when(F.col("y") == 0, 1)).alias("c")))
+    words = {bytes(r["term"]): r["odds"] for r in telling(counts.where(F.octet_length("term") >= 3), n, WORD_ODDS).collect()}
     if words:
+        model["words"] = sorted(words)
+        model["word_odds"] = [words[w] for w in model["words"]]
+        model["kind"] = classes(model["words"])[0]
         model["table"], model["term"], model["edits"] = fuzzy_table(model["words"])
-        # misspellings that are words of clean documents
-        at, state = walk(model["table"], good.low, good.s, good.e)
-        model["own_words"] = {good.word(i) for i in at[model["term"][state] >= 0]} - set(words)
+        model["own_words"] = misspelled(counts.where("c > 0"), model, spark) - set(words)
+    others = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in words], "term binary")), "term", "left_anti") if words else counts
+    text = F.decode("term", "UTF-8")
+    starts = F.explode(F.sequence(F.lit(STEMS[0]), F.least(F.length(text), F.lit(STEMS[-1])))).alias("k")
+    begins = others.where(F.length(text) >= STEMS[0]).select("t", "c", "term", starts).groupBy(F.encode(F.substring(text, F.lit(1), F.col("k")), "UTF-8").alias("term")).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    stems: dict[bytes, float] = {}
+    found = [(bytes(r["term"]), r["odds"]) for r in telling(begins, n, STEM_ODDS).collect()]
+    for stem, odds in sorted(found, key=lambda x: (len(x[0].decode()), x[0])):
+        if not any(stem[:k] in stems for k in range(1, len(stem))):
+            stems[stem] = odds
     if stems:
+        model["stems"] = sorted(stems)
+        model["stem_odds"] = [stems[p] for p in model["stems"]]
+        model["stem_kind"] = classes(model["stems"])[0]
         model["stem_table"], model["stem_term"] = stem_table(model["stems"])
-    x, y = [], []
-    for part, label in ((good, 0), (bad, 1)):
-        for i in range(part.n):
-            text = part.low[part.offs[i] : part.offs[i + 1]]
-            x.append(features(model, text, np.array([0, len(text)]))[0])
-            y.append(float(label))
-    y = np.array(y)
-    weight = np.where(y == 1, share / max(n[1], 1), (1 - share) / max(n[0], 1)) * len(rows)
-    model["beta"] = logistic(np.array(x), y, weight) if n[0] and n[1] else np.r_[np.zeros(N_FEATURES), np.log(max(share, 1e-6) / max(1 - share, 1e-6)) if rows else -3.0]
+    model["beta"] = np.r_[np.zeros(N_FEATURES), np.log(max(share, 1e-6) / max(1 - share, 1e-6)) if sum(n) else -3.0]
+    if all(n):
+        seen = sorted((r["y"], tuple(r["features"])) for r in measured(rows, model, spark, ["y"]).collect())
+        x, y = np.array([f for _, f in seen]), np.array([v for v, _ in seen], float)
+        model["beta"] = logistic(x, y, np.where(y == 1, share / n[1], (1 - share) / n[0]) * len(y))
+    scratch.drop(rows, counts)
     return model
 
 
+def misspelled(counts: DataFrame, model: dict, spark: SparkSession) -> set[bytes]:
+    """The terms that the table accepts."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            buf, offs = text_buffer(b.column("term"))
+            at, state = walk(m["table"], m["kind"], buf, offs[:-1], offs[1:])
+            yield b.take(pa.array(at[m["term"][state] >= 0]))
+
+    return {bytes(r["term"]) for r in counts.select("term").mapInArrow(run, "term binary").collect()}
+
+
+def measured(rows: DataFrame, model: dict, spark: SparkSession, keep: list[str]) -> DataFrame:
+    """keep and features of each row."""
+    shared = spark.sparkContext.broadcast(model)  # terms and tables, bounded by the sample
+
+    def run(batches):
+        for b in batches:
+            x = np.zeros((len(b), N_FEATURES))
+            for i, j, buf, offs in chunks(b.column("text")):
+                x[i:j] = features(shared.value, buf, offs)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists], [*keep, "features"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select(*keep, "text").mapInArrow(run, f"{kinds}, features array<double>")
+
+
 def fit(docs: DataFrame, labels: DataFrame, spark: SparkSession, column: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, per_label: int = PER_LABEL) -> dict:
     picked, share = labelled_sample(labels, column, folds, held_out, per_label)
-    rows = sample_rows(docs, picked, spark).select("doc_id", "text", "y").collect()
-    rows = [(t, y) for _, t, y in sorted({tuple(r) for r in rows})]
-    return learn(rows, share)
+    return learn(sample_rows(docs, picked, spark).select("doc_id", "text", "y").distinct(), share, spark)
 
 
 def score(docs: DataFrame, model: dict, spark: SparkSession) -> DataFrame:

@@ -123,7 +123,7 @@ def test_levenshtein_automaton(terms, tokens):
     table, term, edits = toxicity.fuzzy_table(raw)
     joined = np.frombuffer("".join(tokens).encode(), np.uint8)
     ends = np.cumsum([len(t) for t in tokens])
-    at, state = toxicity.walk(table, joined, ends - [len(t) for t in tokens], ends)
+    at, state = toxicity.walk(table, toxicity.classes(raw)[0], joined, ends - [len(t) for t in tokens], ends)
     found = {int(i): int(edits[s]) for i, s in zip(at, state) if term[s] >= 0}
     for i, t in enumerate(tokens):
         d = min((brute.distance(t.encode(), r) for r in raw if len(r) >= 5 or t.encode() == r), default=9)
@@ -146,12 +146,23 @@ def test_misspelled_terms_score(spark):
     rng = random.Random(2)
     words_ = lambda: [f"w{rng.randrange(200)}" for _ in range(40)]
     rows = [(" ".join([*words_(), *(["scoundrel", "numbskull"] if i % 2 else [])]), i % 2) for i in range(200)]
-    model = toxicity.learn(rows, 0.5)
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, y int"), 0.5, spark)
     score = lambda t: float(1 / (1 + np.exp(-(toxicity.features(model, b := np.frombuffer(t.encode(), np.uint8), np.array([0, len(b)]))[0] @ model["beta"][:-1] + model["beta"][-1]))))
     clean = " ".join(words_())
     assert score(clean) < 0.3 and score(clean + " scoundrel numbskull") > 0.7 and score(clean + " SCOUNDREL! nunbskull") > 0.6
 
 
+def test_long_words_of_toxic_texts(spark):
+    """A run of some thousand bytes without a space can be a term; the table is as large as its terms ask for."""
+    run = "骂" * 500 + "，" + "人" * 300
+    rows = [(f"w{i} {run} v{i}" if i % 2 else f"w{i} clean v{i}", i % 2) for i in range(60)]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, y int"), 0.5, spark)
+    assert run.encode() in model["words"] and model["table"].shape[1] < 64
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], DOCS)
+    labels = spark.createDataFrame([(i, y, y) for i, (_, y) in enumerate(rows)], LABELS)
+    assert toxicity.classify(docs, labels, spark).count() == 60
+
+
 # ---- 5 -------------------------------------------------------------------------------------------------------
 
 

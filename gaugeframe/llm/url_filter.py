@@ -4,19 +4,21 @@ DataFrame functions only. Rules come first: the longest rule whose host equals
 the url's host or is a parent domain of it, and whose path starts the url's
 path. For all other urls a template tree per host decides:
 
-1. *Generalise.* A path becomes up to ``DEPTH`` segments and a rest marker. A
-   segment that holds an id (digits, hex, very long) becomes ``*`` at once;
-   level by level, a node whose children are mostly seen once becomes ``*`` too.
-2. *Merge.* Urls that a rule decides are the labelled examples. First-level
-   branches of a host whose block rates do not differ (two-proportion z below
-   ``Z``) share their counts.
+1. *Generalise.* A path becomes its segments, all of them. A segment that holds
+   an id (digits, hex, very long) becomes ``*`` at once; level by level, the
+   children of a node that are mostly seen once become ``*`` too, down to the
+   level below which too few templates are left for a node to be variable.
+2. *Merge.* Urls that a rule decides are the labelled examples. Level by level,
+   branches whose block rate does not differ from that of the rest of their node
+   (two-proportion z below ``Z``) become ``*`` and share their counts, down to the
+   level below which there are no examples.
 3. *Reject.* A template is blocked when its smoothed share of blocked examples,
    (blocked + PRIOR * rate) / (labelled + PRIOR), reaches ``PURITY``.
 
-The tree is built on templates with counts, never on rows, and written once, so a host with a
+The tree is built on templates with counts, never on rows, and written level by level, so a host with a
 third of all pages costs no more than its number of templates; the last join
-is salted on the rows' side. Null or malformed urls have empty host and path
-and are allowed; repeated rows each get the same verdict; an empty table gives
+is of two plain exchanges, which adaptive execution splits where one template has very many rows. Null or malformed urls have empty host and path
+and are allowed; rows without an id and repeated rows get the same verdict as any other; an empty table gives
 an empty result; extra columns are kept out by selecting by name.
 """
 
@@ -25,14 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower
+from .common import LOWER, UPPER, Scratch, ascii_lower
 
-DEPTH = 3
 #: A node with at least so many children of which this share of its urls are distinct is variable.
 WIDE, SPREAD = 20, 0.5
 Z = 1.96
 PRIOR, PURITY = 4.0, 0.8
-SALT = 16
 VARIABLE = r"^([0-9]+(\.[a-z0-9]+)?|.*[0-9]{4}.*|[0-9a-fA-F-]{8,}|.{25,})$"
 
 #: (verdict, host, path) of the contract.
@@ -62,101 +62,105 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _levels(path: Column) -> list[Column]:
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    seg = lambda i: F.get(parts, F.lit(i))
-    levels = [F.when(seg(i).rlike(VARIABLE), "*").otherwise(F.coalesce(seg(i), F.lit(""))) for i in range(DEPTH)]
-    return [*levels, F.when(F.size(parts) > DEPTH, "**").otherwise("")]
-
-
-def templates(urls: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, l0..lD (lexical template), t0..tD (generalised), n, blocked, labelled; one row per lexical template."""
-    names = [f"l{i}" for i in range(DEPTH + 1)]
-    tree = scratch.keep(
-        urls.groupBy("host", *names).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count(F.when(F.col("found.verdict") == "block", 1)).alias("blocked"),
-            F.count("found.verdict").alias("labelled"),
-        )
-    )
-    above: list[str] = ["host"]
-    for i in range(DEPTH):
-        node = tree.groupBy(*above).agg(F.countDistinct(f"l{i}").alias("_kids"), F.sum("n").alias("_n"))
-        tree = tree.join(node, above).withColumn(f"t{i}", F.when((F.col("_kids") >= WIDE) & (F.col("_kids") >= SPREAD * F.col("_n")), "*").otherwise(F.col(f"l{i}"))).drop("_kids", "_n")
-        above = [*above, f"t{i}"]
-    return scratch.keep(tree.withColumn(f"t{DEPTH}", F.col(f"l{DEPTH}")))
+def segments(path: Column) -> Column:
+    return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.when(x.rlike(VARIABLE), "*").otherwise(x))
+
+
+def depths(tree: DataFrame) -> tuple[int, int]:
+    """Levels at which a node can be variable, and levels at which branches have examples."""
+    rows = tree.groupBy(F.size("segs").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum("labelled").alias("m")).collect()
+    below = lambda i: sum(r["n"] for r in rows if r["d"] > i)
+    longest = max([r["d"] for r in rows], default=0)
+    return sum(below(i) >= WIDE for i in range(longest)), max([r["d"] for r in rows if r["m"]], default=0)
+
+
+def generalised(tree: DataFrame, levels: int, scratch: Scratch) -> DataFrame:
+    """tree with t: its segments with those of variable nodes as ``*``."""
+    tree = tree.withColumn("t", F.array().cast("array<string>"))
+    for i in range(levels):
+        seg = F.get("segs", F.lit(i))
+        node = tree.where(F.size("segs") > i).groupBy("host", "t").agg(F.countDistinct(seg).alias("kids"), F.sum("n").alias("of"))
+        node = node.where((F.col("kids") >= WIDE) & (F.col("kids") >= SPREAD * F.col("of"))).select("host", "t", F.lit(True).alias("wide"))
+        longer = F.concat("t", F.array(F.when(F.col("wide"), F.lit("*")).otherwise(seg)))
+        tree = scratch.keep(tree.join(node, ["host", "t"], "left").withColumn("t", F.when(F.size("segs") > i, longer).otherwise(F.col("t"))).drop("wide"))
+    return tree.withColumn("t", F.concat("t", F.slice("segs", F.size("t") + 1, F.greatest(F.size("segs") - F.size("t"), F.lit(0)))))
+
+
+def merged(tree: DataFrame, levels: int, scratch: Scratch) -> DataFrame:
+    """tree with branch: its segments with those of branches that examples don't set apart as ``*``."""
+    tree = tree.withColumn("branch", F.array().cast("array<string>"))
+    for i in range(levels):
+        kid = F.get("t", F.lit(i))
+        node = tree.groupBy("host", "branch").agg(F.sum("blocked").alias("hb"), F.sum("labelled").alias("hn"))
+        rows = tree.where((F.size("t") > i) & (F.col("labelled") > 0)).groupBy("host", "branch", kid.alias("kid")).agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("m")).join(node, ["host", "branch"])
+        b, m, rb, rm = F.col("b"), F.col("m"), F.col("hb") - F.col("b"), F.col("hn") - F.col("m")
+        p = F.col("hb") / F.col("hn")
+        z = F.abs(b / m - rb / rm) / F.sqrt(p * (1 - p) * (1 / m + 1 / rm))
+        # with one outcome only, nothing sets the branch apart; without examples on either side, nothing tells that it is alike
+        same = rows.where((rm > 0) & ((p == 0) | (p == 1) | (z < Z))).select("host", "branch", "kid", F.lit(True).alias("same"))
+        step = tree.withColumn("kid", kid).join(same, ["host", "branch", "kid"], "left")
+        longer = F.concat("branch", F.array(F.when(F.col("same"), F.lit("*")).otherwise(kid)))
+        tree = scratch.keep(step.withColumn("branch", F.when(F.size("t") > i, longer).otherwise(F.col("branch"))).drop("kid", "same"))
+    return tree.withColumn("branch", F.concat("branch", F.slice("t", F.size("branch") + 1, F.greatest(F.size("t") - F.size("branch"), F.lit(0)))))
 
 
 def judged(tree: DataFrame) -> DataFrame:
-    """host, l0..lD, reject: the verdict on each lexical template."""
+    """host, segs, template, reject: the verdict on each template."""
     rate = tree.agg(F.try_divide(F.sum("blocked"), F.sum("labelled")).alias("rate"))
-    host = tree.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("labelled").alias("hn"))
-    branch = tree.groupBy("host", "t0").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("m")).join(host, "host")
-    b, m, rb, rm = F.col("b"), F.col("m"), F.col("hb") - F.col("b"), F.col("hn") - F.col("m")
-    p = F.col("hb") / F.col("hn")
-    z = F.abs(b / m - rb / rm) / F.sqrt(p * (1 - p) * (1 / m + 1 / rm))
-    # without examples on either side, or with one outcome only, nothing sets the branch apart
-    same = F.when((m == 0) | (rm == 0), F.lit(False)).when((p == 0) | (p == 1), F.lit(True)).otherwise(z < Z)
-    branch = branch.select("host", "t0", F.when(same, "*").otherwise(F.col("t0")).alias("branch"))
-    keys = ["host", "branch", *[f"t{i}" for i in range(1, DEPTH + 1)]]
-    tree = tree.join(branch, ["host", "t0"])
-    total = tree.groupBy(*keys).agg(F.sum("blocked").alias("tb"), F.sum("labelled").alias("tn"))
+    total = tree.groupBy("host", "branch").agg(F.sum("blocked").alias("tb"), F.sum("labelled").alias("tn"))
     score = (F.col("tb") + PRIOR * F.coalesce("rate", F.lit(0.0))) / (F.col("tn") + PRIOR)
-    return tree.join(total, keys).join(F.broadcast(rate)).select("host", *[f"l{i}" for i in range(DEPTH + 1)], ((F.col("tn") > 0) & (score >= PURITY)).alias("reject"))
+    total = total.join(F.broadcast(rate)).select("host", "branch", ((F.col("tn") > 0) & (score >= PURITY)).alias("reject"))
+    return tree.join(total, ["host", "branch"]).select("host", "segs", F.array_join("branch", "/").alias("template"), "reject")
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template of every row."""
     scratch = Scratch(pages.sparkSession, "urls")
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    urls = urls.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
-    names = [f"l{i}" for i in range(DEPTH + 1)]
-    urls = urls.select("*", *[c.alias(n) for c, n in zip(_levels(F.col("path")), names)])
-    rejected = judged(templates(urls, scratch)).where("reject").drop("reject")
-    salted = rejected.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)]))).withColumn("reject", F.lit(True))
-    rows = urls.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int"))
-    return rows.join(salted, ["host", *names, "salt"], "left").select(
+    urls = urls.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("segs", segments(F.col("path")))
+    counts = [F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("found.verdict") == "block", 1)).alias("blocked"), F.count("found.verdict").alias("labelled")]
+    tree = scratch.keep(urls.groupBy("host", "segs").agg(*counts))
+    wide, deep = depths(tree)
+    known = scratch.keep(judged(merged(generalised(tree, wide, scratch), deep, scratch)))
+    return urls.join(known, ["host", "segs"], "left").select(
         "page_id",
         "host",
         "path",
         F.col("found.rule").alias("rule"),
         F.coalesce("found.verdict", F.when(F.col("reject"), "block").otherwise("allow")).alias("verdict"),
-        F.concat_ws("/", *names).alias("template"),
+        "template",
     )
 
 
-def oracle(rules=RULES) -> str:
-    """The same as DuckDB SQL."""
+def oracle(rules=RULES, levels: int = 8) -> str:
+    """The same as DuckDB SQL, for tables whose nodes below so many levels are not variable and have no examples."""
     case = " ".join(
         f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then {{'rule': '{h}{p}', 'verdict': '{v}'}}"
         for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))
     )
-    names = [f"l{i}" for i in range(DEPTH + 1)]
-    seg = lambda i: f"coalesce(case when regexp_matches(parts[{i + 1}], '{VARIABLE}') then '*' else parts[{i + 1}] end, '')"
     sql = f"""
 with a as (select page_id,
-  translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}', '{"abcdefghijklmnopqrstuvwxyz"}') as host,
+  translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{UPPER}', '{LOWER}') as host,
   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
-u as (select page_id, host, path, case {case} else null end as found, list_filter(string_split(path, '/'), lambda x: x <> '') as parts from a),
-r as (select page_id, host, path, found.rule as rule, found.verdict as fv,
-  {", ".join(f"{seg(i)} as l{i}" for i in range(DEPTH))}, case when len(parts) > {DEPTH} then '**' else '' end as l{DEPTH} from u),
-g as (select host, {", ".join(names)}, count(*) as n, count(*) filter (fv = 'block') as blocked, count(fv) as labelled from r group by all)"""
-    above, last = "host", "g"
-    for i in range(DEPTH):
+r as materialized (select page_id, host, path, case {case} else null end as found, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '{VARIABLE}') then '*' else x end) as segs from a),
+g0 as (select host, segs, count(*) as n, (count(*) filter (found.verdict = 'block'))::double as blocked, count(found.verdict)::double as labelled, []::varchar[] as t from r group by host, segs)"""
+    for i in range(levels):
+        sql += f""",
+k{i} as (select host, t, count(distinct segs[{i + 1}]) as kids, sum(n) as tot from g{i} where len(segs) > {i} group by host, t),
+g{i + 1} as materialized (select host, segs, n, blocked, labelled, case when len(segs) <= {i} then t else list_append(t, case when kids >= {WIDE} and kids >= {SPREAD}::double * tot then '*' else segs[{i + 1}] end) end as t from g{i} left join k{i} using (host, t))"""
+    sql += f""",
+c0 as (select host, segs, list_concat(t, segs[{levels + 1}:]) as t, blocked, labelled, []::varchar[] as branch from g{levels})"""
+    for i in range(levels):
         sql += f""",
-k{i} as (select {above}, count(distinct l{i}) as kids, sum(n) as tot from {last} group by all),
-g{i} as (select x.*, case when kids >= {WIDE} and kids >= {SPREAD}::double * tot then '*' else x.l{i} end as t{i} from {last} x join k{i} using ({above}))"""
-        above, last = f"{above}, t{i}", f"g{i}"
-    rest = ", ".join(f"t{i}" for i in range(1, DEPTH)) + f", l{DEPTH}"
+h{i} as (select host, branch, sum(blocked) as hb, sum(labelled) as hn from c{i} group by host, branch),
+m{i} as (select host, branch, t[{i + 1}] as kid, sum(blocked) as b, sum(labelled) as m from c{i} where len(t) > {i} and labelled > 0 group by all),
+s{i} as (select host, branch, kid, true as same from m{i} join h{i} using (host, branch) where hn - m > 0 and (hb = 0 or hb = hn or
+  abs(b / m - (hb - b) / (hn - m)) / sqrt(hb / hn * (1 - hb / hn) * (1 / m + 1 / (hn - m))) < {Z}::double)),
+c{i + 1} as materialized (select x.host, segs, t, blocked, labelled, case when len(t) <= {i} then x.branch else list_append(x.branch, case when same then '*' else t[{i + 1}] end) end as branch
+  from c{i} x left join s{i} y on x.host = y.host and x.branch = y.branch and t[{i + 1}] = y.kid)"""
     return sql + f""",
-rate as (select sum(blocked)::double / nullif(sum(labelled), 0)::double as rate from {last}),
-h as (select host, sum(blocked)::double as hb, sum(labelled)::double as hn from {last} group by host),
-b as (select host, t0, sum(blocked)::double as b, sum(labelled)::double as m from {last} group by host, t0),
-j as (select host, t0, case when m = 0 or hn - m = 0 then t0 when hb = 0 or hb = hn then '*'
-  when abs(b / m - (hb - b) / (hn - m)) / sqrt(hb / hn * (1 - hb / hn) * (1 / m + 1 / (hn - m))) < {Z}::double then '*' else t0 end as branch from b join h using (host)),
-w as (select x.*, branch from {last} x join j using (host, t0)),
-s as (select host, branch, {rest}, sum(blocked)::double as tb, sum(labelled)::double as tn from w group by all),
-v as (select host, {", ".join(names)}, tn > 0 and (tb + {PRIOR}::double * coalesce(rate, 0)) / (tn + {PRIOR}::double) >= {PURITY}::double as reject
-  from w join s using (host, branch, {rest}), rate)
-select page_id, host, path, rule, coalesce(fv, case when reject then 'block' else 'allow' end) as verdict, concat_ws('/', {", ".join(names)}) as template
-from r join v using (host, {", ".join(names)})"""
+c as (select host, segs, blocked, labelled, list_concat(branch, t[{levels + 1}:]) as branch from c{levels}),
+rate as (select sum(blocked) / nullif(sum(labelled), 0) as rate from c),
+q as (select host, branch, sum(blocked) as tb, sum(labelled) as tn from c group by host, branch),
+v as (select host, segs, array_to_string(branch, '/') as template, tn > 0 and (tb + {PRIOR}::double * coalesce(rate, 0)) / (tn + {PRIOR}::double) >= {PURITY}::double as reject from c join q using (host, branch), rate)
+select page_id, host, path, found.rule as rule, coalesce(found.verdict, case when reject then 'block' else 'allow' end) as verdict, template from r join v using (host, segs)"""

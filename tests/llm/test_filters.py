@@ -73,6 +73,28 @@ def test_url_templates(spark):
     assert [got[i] for i in (80, 81, 82, 83)] == ["block", "allow", "allow", "block"] and len(got) == 84
 
 
+def test_url_templates_of_any_depth(spark):
+    """Variable nodes and merged branches five levels down, against SQL."""
+    import duckdb
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rules = [("block", "h.com", "/a/b/c/bad/"), ("allow", "h.com", "/a/b/c/good/"), ("block", "g.com", "/x/y/p/z"), ("block", "g.com", "/x/y/q/z"), ("allow", "g.com", "/x/y/r/w/")]
+    urls = [f"x://h.com/a/b/c/{rng.choice(['bad', 'good'])}/{word()}/end" for _ in range(120)] + [f"x://h.com/a/b/c/bad/{word()}" for _ in range(5)]
+    urls += [f"x://g.com/x/y/{rng.choice('pqr')}/{rng.choice(['z', 'w'])}/{rng.choice('klm')}" for _ in range(200)]
+    urls += [f"x://h.com/a/b/c/d/e/f/{word()}/{word()}" for _ in range(60)] + ["x://h.com/a//b/", "x://h.com/a/b/c/bad", "x://h.com", None, "x://g.com/x/y/2021/z"] * 2
+    rows = list(enumerate(urls)) + [(None, urls[0])]
+    got = [tuple(r) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()]
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", [list(r) for r in rows])
+    want = con.execute(url_filter.oracle(rules)).fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    seen = {r[0]: r[5] for r in got}
+    assert seen[0].startswith(("a/b/c/bad/*/", "a/b/c/good/*/")) and seen[325] == "a/b/c/d/e/f/*/*"
+    assert len(set(seen.values())) < 40
+
+
 # ---- 3 and 4 -------------------------------------------------------------------------------------------------
 
 

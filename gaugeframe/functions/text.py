@@ -56,18 +56,39 @@ def overlap_f1(overlap: Column, n_pred: Column, n_gold: Column, both_empty: floa
 
 
 def token_f1(pred: Column, gold: Column, lang: str | Column = "en") -> Column:
-    """Multiset token F1 in one expression; for texts of hundreds of tokens see token_f1_table."""
+    """Multiset token F1 in one expression, for short answers: it looks each token up in both. Whole texts go through token_f1_table."""
     p, g = tokenize(pred, lang), tokenize(gold, lang)
     return overlap_f1(multiset_overlap(p, g), F.size(p), F.size(g), 1.0)
 
 
+def overlap_table(rows: DataFrame, keys: list[str], pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """keys and for each name of pairs the struct (o, p, g): multiset overlap and sizes of two token arrays.
+
+    Tokens are counted by row, name and token, which is linear in the texts; keys name a row.
+    """
+    side = lambda name, i, tokens: F.struct(F.lit(name).alias("name"), F.lit(i).alias("side"), tokens.alias("t"))
+    sides = rows.select(*keys, F.explode(F.array(*[side(n, i, t) for n, both in pairs.items() for i, t in enumerate(both)])).alias("s"))
+    one = sides.select(*keys, F.col("s.name").alias("name"), F.col("s.side").alias("side"), F.explode_outer("s.t").alias("t"))
+    known = F.col("t").isNotNull()
+    count = one.groupBy(*keys, "name", "t").agg(F.count(F.when((F.col("side") == 0) & known, 1)).alias("p"), F.count(F.when((F.col("side") == 1) & known, 1)).alias("g"))
+    total = lambda name: F.struct(*[F.coalesce(F.sum(F.when(F.col("name") == name, x)), F.lit(0)).alias(c) for c, x in (("o", F.least("p", "g")), ("p", F.col("p")), ("g", F.col("g")))])
+    return count.groupBy(*keys).agg(*[total(n).alias(n) for n in pairs])
+
+
+def f1_of(total: str, both_empty: float) -> Column:
+    """F1 of a struct of overlap_table."""
+    return overlap_f1(F.col(f"{total}.o"), F.col(f"{total}.p"), F.col(f"{total}.g"), both_empty)
+
+
 def token_f1_table(pairs: DataFrame, keys: list[str], pred: str = "pred", gold: str = "gold", lang: str | Column = "en") -> DataFrame:
     """keys and token_f1; the same by counting tokens, which is linear in the text's length."""
-    sides = pairs.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("side"), tokenize(F.col(pred), lang).alias("t")), F.struct(F.lit(1).alias("side"), tokenize(F.col(gold), lang).alias("t")))).alias("s"))
-    one = sides.select(*keys, F.explode_outer("s.t").alias("t"), F.col("s.side").alias("side"))
-    count = one.groupBy(*keys, "t").agg(F.count(F.when((F.col("side") == 0) & F.col("t").isNotNull(), 1)).alias("p"), F.count(F.when((F.col("side") == 1) & F.col("t").isNotNull(), 1)).alias("g"))
-    total = count.groupBy(*keys).agg(F.sum(F.least("p", "g")).alias("o"), F.sum("p").alias("p"), F.sum("g").alias("g"))
-    return total.select(*keys, overlap_f1(F.col("o"), F.col("p"), F.col("g"), 1.0).alias("token_f1"))
+    return overlap_table(pairs, keys, {"x": (tokenize(F.col(pred), lang), tokenize(F.col(gold), lang))}).select(*keys, f1_of("x", 1.0).alias("token_f1"))
+
+
+def rouge_table(rows: DataFrame, keys: list[str], pred: Column, gold: Column) -> DataFrame:
+    """keys, rouge1, rouge2 of two arrays of ROUGE tokens, by counting n-grams."""
+    found = overlap_table(rows, keys, {f"rouge{n}": (n_grams(pred, n), n_grams(gold, n)) for n in (1, 2)})
+    return found.select(*keys, *[f1_of(f"rouge{n}", 0.0).alias(f"rouge{n}") for n in (1, 2)])
 
 
 def exact_match(pred: Column, gold: Column) -> Column:
@@ -96,7 +117,7 @@ def n_grams(tokens: Column, n: int) -> Column:
 
 
 def rouge_n(pred: Column, gold: Column, n: int) -> Column:
-    """ROUGE-N F-measure on [a-z0-9]+ tokens, which leaves out Hangul; for supplied tokens see rouge_n_of."""
+    """ROUGE-N F-measure on [a-z0-9]+ tokens, which leaves out Hangul, of short texts; for supplied tokens see rouge_n_of, for whole texts rouge_table."""
     return rouge_n_of(rouge_tokens(pred), rouge_tokens(gold), n)
 
 

@@ -70,3 +70,20 @@ def cost_by_endpoint(calls: DataFrame, rates: DataFrame, usd_per_dbu: float) ->
     r = F.broadcast(rates.select(F.col("endpoint").alias("_e"), F.col("tier").alias("_t"), "dbu_in", "dbu_out", "dbu_cache_read", "dbu_cache_write", "promo"))
     j = sums.join(r, (F.col("endpoint") == F.col("_e")) & (F.col("tier") == F.col("_t")), "left")
     return j.select("endpoint", "tier", "n", "billable_in", "billable_out", "cached", "cache_write", price(F.col("billable_in"), F.col("billable_out"), F.col("cached"), F.col("cache_write"), usd_per_dbu).alias("usd"))
+
+
+#: Columns of a usage table that a lookup returns.
+USAGE = ["request_id", "event_time", "endpoint_name", "status_code", "latency_ms", "time_to_first_byte_ms", "input_tokens", "output_tokens", "total_tokens", "token_details"]
+
+
+def usage_of(usage: DataFrame, request_ids: DataFrame, key: str = "request_id") -> DataFrame:
+    """The usage rows of the requests, newest first; of none where there are no requests. Columns that a table lacks are null."""
+    have = [F.col(c) if c in usage.columns else F.lit(None).alias(c) for c in USAGE]
+    wanted = request_ids.select(F.col(key).alias("request_id")).distinct()
+    return usage.select(*have).join(wanted, "request_id", "left_semi").orderBy(F.desc_nulls_last("event_time"), "request_id")
+
+
+def with_usage(results: DataFrame, usage: DataFrame, key: str = "request_id") -> DataFrame:
+    """results, every row, with the usage of their requests where there is any."""
+    have = [c for c in USAGE if c in usage.columns and c != "request_id" and c not in results.columns]
+    return results.join(usage.select(F.col("request_id").alias(key), *have), key, "left")

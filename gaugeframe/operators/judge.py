@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsers import judge_score
-from .metrics import judge_mean
+from .metrics import by_language, judge_mean
 
 # Fixed value: the format of a judge prompt.
 PROMPT = """You are an expert evaluator for the following task:
@@ -51,3 +51,17 @@ def judge_means(rows: DataFrame, keys: list[str], policy: str, text: str = "judg
     """keys, judge_mean, n_parsed, n; policy as in metrics.judge_mean."""
     score = judge_score(F.col(text))
     return rows.groupBy(*keys).agg(judge_mean(score, policy).alias("judge_mean"), F.count(score).alias("n_parsed"), F.count(F.lit(1)).alias("n"))
+
+
+def judge_by_language(rows: DataFrame, keys: list[str], languages: list[str] | None = None, text: str = "judge_text", lang: str = "lang", error: str = "judge_error") -> DataFrame:
+    """keys, lang (null: all rows), judge_mean, n and error, from grouping sets.
+
+    An answer without a score counts as 3, no rows as 3.0. A judge call that
+    failed fails its group: every row of the group has the error and no mean.
+    """
+    score = judge_score(F.col(text))
+    failed = F.min(F.col(error)) if error in rows.columns else F.lit(None).cast("string")
+    out = by_language(rows, keys, [judge_mean(score, "three_else").alias("judge_mean"), F.count(F.lit(1)).alias("n"), failed.alias("error")], lang, languages)
+    whole = out.where(F.col(lang).isNull()).select(*keys, F.col("error").alias("_error"))
+    out = out.join(whole, keys).withColumns({"error": F.col("_error"), "n": F.coalesce("n", F.lit(0)), "judge_mean": F.coalesce("judge_mean", F.lit(3.0))}).drop("_error")
+    return out.withColumn("judge_mean", F.when(F.col("error").isNull(), F.col("judge_mean")))

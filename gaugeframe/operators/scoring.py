@@ -31,27 +31,44 @@ def _label(rows: DataFrame) -> Column:
     return reduce(lambda c, t: F.when(F.col("task_id") == t.task_id, t.parse(F.col("model_output"))).otherwise(c), tasks, F.lit(None).cast("int"))
 
 
+def _rows(results: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct rows of these columns with a key of their own, and times: how often each occurs."""
+    return results.groupBy(*KEYS, "sample_id", *columns).agg(F.count(F.lit(1)).alias("times")).withColumn("row", F.xxhash64("sample_id", *columns))
+
+
+def _mean(value: Column, keep: Column | None = None) -> Column:
+    """Mean of rows that occur so many times."""
+    times = F.col("times") if keep is None else F.when(keep, F.col("times"))
+    return F.try_divide(F.sum(value * times), F.sum(times))
+
+
 def qa_scores(results: DataFrame) -> DataFrame:
-    """TXT-1, TXT-2, TXT-4, IMG-1: means over best references; an empty answer counts 0, and for captions not at all."""
+    """TXT-1, TXT-2, TXT-4, IMG-1: means over best references; an empty answer counts 0, and for captions not at all. TXT-4 tells the backend of its tokens as a metric's name."""
     r = _of(results, "TXT-1", "TXT-2", "TXT-4", "IMG-1").withColumn("pred", parsers.stripped(F.col("model_output")))
+    r = _rows(r, ["pred", "ref_text", "lang"])
+    names = [*KEYS, "row"]
     filled = F.coalesce(F.col("pred") != "", F.lit(False))
-    best = lambda f: F.when(filled, text.best_of(F.col("ref_text"), f)).otherwise(F.lit(0.0))
-    r = r.select(
+    # one row for each reference: the best of each answer is the largest of these
+    each = r.where(filled).select(*names, "pred", "lang", F.posexplode("ref_text").alias("at", "gold"))
+    best = text.token_f1_table(each, [*names, "at"], lang=F.col("lang")).groupBy(*names).agg(F.max("token_f1").alias("f"))
+    r = r.join(best, names, "left").select(
         *KEYS,
+        "times",
         F.lit(None).cast("string").alias("lang"),
         filled.alias("filled"),
-        best(lambda g: text.token_f1(F.col("pred"), g, F.col("lang"))).alias("f"),
-        best(lambda g: text.exact_match(F.col("pred"), g)).alias("e"),
+        F.coalesce("f", F.lit(0.0)).alias("f"),
+        F.when(filled, text.best_of(F.col("ref_text"), lambda g: text.exact_match(F.col("pred"), g))).otherwise(F.lit(0.0)).alias("e"),
         F.when(filled, text.accuracy_match(F.col("pred"), F.col("ref_text"))).otherwise(F.lit(0.0)).alias("a"),
     )
     caption = F.col("task_id") == "IMG-1"
     keep = ~caption | F.col("filled")
-    mean = lambda c: F.coalesce(F.avg(F.when(keep, F.col(c))), F.lit(0.0))
-    g = r.groupBy(*KEYS, "lang").agg(mean("f").alias("f"), mean("e").alias("e"), mean("a").alias("a"), F.count(F.when(keep, 1)).alias("n"))
+    mean = lambda c: F.coalesce(_mean(F.col(c), keep), F.lit(0.0))
+    g = r.groupBy(*KEYS, "lang").agg(mean("f").alias("f"), mean("e").alias("e"), mean("a").alias("a"), F.coalesce(F.sum(F.when(keep, F.col("times"))), F.lit(0)).alias("n"))
     return (
         _long(g.where(caption), {"f": "caption_token_f1"})
         .unionAll(_long(g.where(F.col("task_id") == "TXT-2"), {"a": "accuracy", "f": "token_f1"}))
-        .unionAll(_long(g.where(F.col("task_id").isin("TXT-1", "TXT-4")), {"f": "token_f1", "e": "exact_match"}))
+        .unionAll(_long(g.where(F.col("task_id") == "TXT-1"), {"f": "token_f1", "e": "exact_match"}))
+        .unionAll(_long(g.where(F.col("task_id") == "TXT-4").withColumn("b", F.lit(1)), {"f": "token_f1", "e": "exact_match", "b": f"tokenizer_{text.KOREAN_BACKEND}"}))
     )
 
 
@@ -66,9 +83,12 @@ def table_scores(results: DataFrame) -> DataFrame:
 def summary_scores(results: DataFrame, languages: list[str]) -> DataFrame:
     """TXT-5: ROUGE means, empty answers included; a language without rows has nulls."""
     gold = F.coalesce(F.get("ref_text", F.lit(0)), F.lit(""))
-    r = _of(results, "TXT-5").select(*KEYS, "lang", text.rouge_tokens(parsers.stripped(F.col("model_output"))).alias("p"), text.rouge_tokens(gold).alias("g"))
-    r = r.withColumn("l", text.lcs_len("p", "g"))
-    cols = [F.avg(text.rouge_n_of(F.col("p"), F.col("g"), 1)).alias("r1"), F.avg(text.rouge_n_of(F.col("p"), F.col("g"), 2)).alias("r2"), F.avg(text.overlap_f1(F.col("l"), F.size("p"), F.size("g"), 0.0)).alias("rl"), F.count(F.lit(1)).alias("n")]
+    r = _of(results, "TXT-5").withColumns({"p": text.rouge_tokens(F.coalesce(parsers.stripped(F.col("model_output")), F.lit(""))), "g": text.rouge_tokens(gold)})
+    r = _rows(r, ["p", "g", "lang"])
+    names = [*KEYS, "row"]
+    grams = text.rouge_table(r, names, F.col("p"), F.col("g"))
+    r = r.withColumn("l", text.lcs_len("p", "g")).join(grams, names)
+    cols = [_mean(F.col("rouge1")).alias("r1"), _mean(F.col("rouge2")).alias("r2"), _mean(text.overlap_f1(F.col("l"), F.size("p"), F.size("g"), 0.0)).alias("rl"), F.sum("times").alias("n")]
     return _long(metrics.by_language(r, KEYS, cols, languages=languages), {"r1": "rouge1", "r2": "rouge2", "rl": "rougeL"})
 
 
@@ -82,7 +102,11 @@ def label_scores(results: DataFrame, languages: list[str]) -> DataFrame:
     # a language without a single label has no accuracy
     none = F.col("lang").isNotNull() & (F.coalesce("n_evaluated", F.lit(0)) == 0)
     wide = wide.where(text_only).withColumns({c: F.when(~none, F.col(c)) for c in ("accuracy", "f1")})
-    binary = _long(wide.where(F.col("task_id") != "TXT-6"), {c: c for c in ("accuracy", "f1", "tn", "fp", "fn", "tp", "n_unparsed", "class_0", "class_1")}, "n_evaluated")
+    named = {"IMG-4": ("sfw", "nsfw")}  # what the balance is named by; other tasks by class
+    counts = ("accuracy", "f1", "tn", "fp", "fn", "tp", "n_unparsed")
+    binary = _long(wide.where(~F.col("task_id").isin("TXT-6", *named)), {c: c for c in (*counts, "class_0", "class_1")}, "n_evaluated")
+    for task, (zero, one) in named.items():
+        binary = binary.unionAll(_long(wide.where(F.col("task_id") == task), {**{c: c for c in counts}, "class_0": zero, "class_1": one}, "n_evaluated"))
     sentiment = _of(r, "TXT-6")
     macro = wide.where((F.col("task_id") == "TXT-6") & F.col("lang").isNull()).drop("lang").join(metrics.macro_f1(sentiment, KEYS).select(*KEYS, "macro_f1"), KEYS, "left").withColumns({"macro_f1": F.coalesce("macro_f1", F.lit(0.0)), "lang": F.lit(None).cast("string")})
     each = wide.where((F.col("task_id") == "TXT-6") & F.col("lang").isNotNull())
@@ -107,14 +131,29 @@ def set_scores(results: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def score_groups(results: DataFrame, languages: list[str] = LANGUAGES) -> DataFrame:
-    """model_id, task_id, reasoning_mode, lang (null: all), n, metric, position, value.
+    """model_id, task_id, reasoning_mode, lang (null: all), n, metric, position, value, error.
 
     results: KEYS, sample_id, lang, model_output and the references ref_text,
     ref_label, ref_set, ref_html. Failed calls are scored from their error text.
-    Parsers are total and ratios null-safe, so no group can fail another.
+    Parsers are total and ratios null-safe, so no group can fail another; a group
+    that cannot be scored is one row, of metric 'error', that tells why.
     """
-    parts = [qa_scores(results), table_scores(results), summary_scores(results, languages), label_scores(results, languages), set_scores(results, languages)]
-    return reduce(DataFrame.unionAll, parts)
+    wrong = unscored(results)
+    sound = results.join(wrong.select(*KEYS), KEYS, "left_anti")
+    parts = [qa_scores(sound), table_scores(sound), summary_scores(sound, languages), label_scores(sound, languages), set_scores(sound, languages)]
+    return reduce(DataFrame.unionAll, parts).withColumn("error", F.lit(None).cast("string")).unionByName(wrong)
+
+
+#: The reference that a task is scored against.
+REFERENCE = {"TXT-3": "ref_html", "TXT-7": "ref_set", "IMG-2": "ref_set"} | dict.fromkeys(("TXT-1", "TXT-2", "TXT-4", "TXT-5", "IMG-1"), "ref_text") | dict.fromkeys(("TXT-6", "TXT-8", "IMG-3", "IMG-4", "IMG-5"), "ref_label")
+
+
+def unscored(results: DataFrame) -> DataFrame:
+    """A row for each group that has no scorer, or a sample without the reference that its scorer reads."""
+    has = reduce(lambda c, t: F.when(F.col("task_id") == t[0], F.col(t[1]).isNotNull()).otherwise(c), REFERENCE.items(), F.lit(None).cast("boolean"))
+    groups = results.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.bool_and(has).alias("ok"), F.count_if(~has).alias("bare"))
+    said = F.when(F.col("ok").isNull(), F.concat(F.lit("no scorer for "), "task_id")).otherwise(F.concat(F.col("bare").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" samples without a reference")))
+    return groups.where(F.col("ok").isNull() | ~F.col("ok")).select(*KEYS, F.lit(None).cast("string").alias("lang"), F.col("n").cast("long").alias("n"), F.lit("error").alias("metric"), F.lit(0).alias("position"), F.lit(None).cast("double").alias("value"), said.alias("error"))
 
 
 def id_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,15 @@ def run_id(created: Column, suffix: str | None = None) -> Column:
     return F.concat(stamp, F.lit(f"_{suffix}")) if suffix else stamp
 
 
+def git_commit(folder: str = ".") -> str | None:
+    """Short id of the commit that a folder is at, None where there is none."""
+    try:
+        out = subprocess.run(["git", "-C", folder, "rev-parse", "--short", "HEAD"], capture_output=True, text=True, timeout=10)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return out.stdout.strip() or None if out.returncode == 0 else None
+
+
 def planned_samples(cells: DataFrame, samples: DataFrame) -> DataFrame:
     """One row per cell and sample of its task."""
     return cells.join(samples, "task_id")

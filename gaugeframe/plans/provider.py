@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -32,10 +34,9 @@ def live(planned: DataFrame, ask: Callable[[str, str], dict], path: str) -> Data
     """Calls ask(endpoint, prompt) -> {text, finish_reason, usage, latency_ms} for each row and writes the answers to path.
 
     A task that is run again asks again, so answers are written once and read
-    from there by everything that follows. ask does its own retries.
+    from there by everything that follows. retried() gives ask a policy of retries.
     """
     import json
-    import time
 
     def run(batches):
         for pdf in batches:
@@ -56,3 +57,40 @@ def live(planned: DataFrame, ask: Callable[[str, str], dict], path: str) -> Data
     schema = ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", text string, error string, finish_reason string, usage string, latency_ms double"
     planned.select(*KEYS, "endpoint", "prompt").mapInPandas(run, schema).write.mode("overwrite").parquet(path)
     return planned.sparkSession.read.parquet(path)
+
+
+def offline(names: tuple[str, ...] = ("HF_HUB_OFFLINE", "GAUGEFRAME_OFFLINE"), env: dict | None = None) -> bool:
+    """Whether one of these variables is '1'."""
+    env = os.environ if env is None else env
+    return "1" in [env.get(n) for n in names]
+
+
+class CallFailed(Exception):
+    """A call that is not worth repeating, or was repeated in vain."""
+
+
+def retried(post: Callable[[str, str], tuple[int, dict]], attempts: int = 3, backoff: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> Callable[[str, str], dict]:
+    """An ask for live() from post(endpoint, prompt) -> (status, answer).
+
+    Time-outs, status 429 and 500 or more are asked again after backoff,
+    2 backoff, 4 backoff ... seconds; any other status but 200 fails at once.
+    """
+
+    def ask(endpoint: str, prompt: str) -> dict:
+        last = ""
+        for n in range(attempts):
+            if n:
+                sleep(backoff * 2 ** (n - 1))
+            try:
+                status, answer = post(endpoint, prompt)
+            except TimeoutError as e:
+                last = f"timeout: {e}"
+                continue
+            if status == 200:
+                return answer
+            last = f"status {status}"
+            if status != 429 and status < 500:
+                raise CallFailed(last)
+        raise CallFailed(f"{last} after {attempts} attempts")
+
+    return ask

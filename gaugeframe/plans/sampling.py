@@ -42,3 +42,8 @@ def balanced_pair(positives: DataFrame, negatives: DataFrame, key: str, n: int,
     take = lambda df, m: seeded_sample(df, key, m, seed) if m else df.limit(0)
     both = take(positives, half).withColumn("label", F.lit(1)).unionByName(take(negatives, n - half).withColumn("label", F.lit(0)))
     return both.withColumn("_h", seeded_order(key, seed + 1)).orderBy("_h", "label", key).drop("_h")
+
+
+def filtered_sample(rows: DataFrame, key: str, n: int, keep, factor: int = 3, least: int = 150, seed: int = 42) -> DataFrame:
+    """The first n rows that keep(rows) leaves of the first max(factor n, least) in seeded order: a builder that drops rows reads ahead, and may still come out with fewer."""
+    return seeded_sample(keep(seeded_sample(rows, key, max(factor * n, least), seed)), key, n, seed)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import importlib
+import pkgutil
+import struct
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -116,6 +121,19 @@ def register(task: Task) -> Task:
     return task
 
 
+def discover(package: str) -> dict[str, str]:
+    """Imports every module of a package, whose tasks register themselves; name -> message of the modules that fail, which are left out."""
+    found = importlib.import_module(package)
+    failed = {}
+    for m in sorted(pkgutil.iter_modules(found.__path__), key=lambda m: m.name):
+        name = f"{package}.{m.name}"
+        try:
+            importlib.import_module(name)
+        except Exception as e:  # one module must not keep the others out
+            failed[name] = f"{type(e).__name__}: {e}"
+    return failed
+
+
 def _doc_prompt(c):
     return F.when(c["context"].isNotNull() & (c["context"] != ""), fill(DOC_CONTEXT, **c)).otherwise(fill(DOC_QUESTION, question=c["question"]))
 
@@ -215,3 +233,15 @@ def messages(prompt: Column, image_url: Column | None = None) -> Column:
 
 def data_url(content: Column, mime: str = "image/jpeg") -> Column:
     return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
+
+
+def probe_image(side: int = 8, rgb: tuple[int, int, int] = (255, 0, 0)) -> str:
+    """A data URL of a small PNG of one colour, to find out whether an endpoint takes images."""
+
+    def part(tag: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+
+    line = bytes([0, *rgb * side])  # a line begins with its filter: none
+    head = struct.pack(">2I5B", side, side, 8, 2, 0, 0, 0)
+    png = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(line * side)) + part(b"IEND", b"")
+    return f"data:image/png;base64,{base64.b64encode(png).decode()}"

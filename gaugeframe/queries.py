@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import parsers, text
 from .operators import artifacts, cost, judge, metrics, perf, rank, scoring, stats
 from .plans import matrix, provider, sampling, tasks
+from .sources import artifacts as artifact_source
 from .sources import config
 
 QUERIES: dict = {}
@@ -125,15 +126,26 @@ def reasoning_token_counts(spark, sf_dir):
     return calls(spark, sf_dir).select("event_id", cost.reasoning_tokens(F.col("usage")).alias("reasoning_tokens"))
 
 
-@query(
-    """with r as (select event_id, 'req-' || event_id as request_id from events where event_id % 3 = 0),
-u as (select 'req-' || event_id as request_id, value as latency_ms, (props->>'k')::bigint as input_tokens, ts as event_time from events where event_id % 2 = 0)
-select r.event_id, r.request_id, u.latency_ms, u.input_tokens from r left join u using (request_id)"""
-)
+def usage_rows(spark, sf_dir):
+    """A usage table that has the requests of even events only."""
+    e = calls(spark, sf_dir).where("event_id % 2 = 0")
+    return e.select(F.concat(F.lit("req-"), F.col("event_id").cast("string")).alias("request_id"), F.col("ts").cast("timestamp_ntz").alias("event_time"), F.col("endpoint").alias("endpoint_name"), F.when(F.col("is_error"), 500).otherwise(200).alias("status_code"), "latency_ms", F.col("in_tokens").alias("input_tokens"))
+
+
+USAGE = """with u as (select 'req-' || event_id as request_id, ts as event_time, 'ep' || (user_id % 4) as endpoint_name, (case when event_type = 'error' then 500 else 200 end)::int as status_code, value as latency_ms, (props->>'k')::bigint as input_tokens from events where event_id % 2 = 0) """
+
+
+@query(USAGE + "select r.event_id, 'req-' || r.event_id as request_id, u.latency_ms, u.input_tokens from events r left join u on u.request_id = 'req-' || r.event_id")
 def usage_join(spark, sf_dir):
-    e = calls(spark, sf_dir).withColumn("request_id", F.concat(F.lit("req-"), F.col("event_id").cast("string")))
-    usage = e.where("event_id % 2 = 0").select("request_id", "latency_ms", F.col("in_tokens").alias("input_tokens"))
-    return e.where("event_id % 3 = 0").select("event_id", "request_id").join(usage, "request_id", "left").select("event_id", "request_id", "latency_ms", "input_tokens")
+    e = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("req-"), F.col("event_id").cast("string")).alias("request_id"))
+    return cost.with_usage(e, usage_rows(spark, sf_dir)).select("event_id", "request_id", "latency_ms", "input_tokens")
+
+
+@query(USAGE + "select request_id, event_time, endpoint_name, status_code, latency_ms, input_tokens from u where request_id in (select 'req-' || event_id from events where event_type = 'error') order by event_time desc, request_id")
+def usage_of_errors(spark, sf_dir):
+    """The usage of the calls that failed, newest first."""
+    failed = calls(spark, sf_dir).where("is_error").select(F.concat(F.lit("req-"), F.col("event_id").cast("string")).alias("request_id"))
+    return cost.usage_of(usage_rows(spark, sf_dir), failed).select("request_id", "event_time", "endpoint_name", "status_code", "latency_ms", "input_tokens")
 
 
 @query(
@@ -168,14 +180,20 @@ o as (select conv_id, turn, sum(least(p, g)) as o from c group by all)
 """
 
 
-@query(TURNS + f", tok as (select conv_id, turn, {SPLIT('pred')} as p, {SPLIT('gold')} as g from pairs)" + MULTI + "select conv_id, turn, case when len(p) = 0 and len(g) = 0 then 1.0::double when len(p) = 0 or len(g) = 0 then 0.0::double else 2.0::double * coalesce(o, 0)::double / (len(p) + len(g))::double end as token_f1 from tok left join o using (conv_id, turn)")
+SYLLABLES = "regexp_extract_all({c}, '[가-힣]|[a-zA-Z0-9]+')"
+F1 = "case when len(p) = 0 and len(g) = 0 then {both}::double when len(p) = 0 or len(g) = 0 then 0.0::double else 2.0::double * coalesce(o, 0)::double / (len(p) + len(g))::double end"
+
+
+@query(TURNS + f", tok as (select conv_id, turn, {SPLIT('pred')} as p, {SPLIT('gold')} as g from pairs)" + MULTI + f"select conv_id, turn, {F1.format(both=1.0)} as token_f1 from tok left join o using (conv_id, turn)")
 def token_f1_turns(spark, sf_dir):
-    return turns(spark, sf_dir).select("conv_id", "turn", text.token_f1(F.col("pred"), F.col("gold")).alias("token_f1"))
+    return text.token_f1_table(turns(spark, sf_dir), ["conv_id", "turn"])
 
 
-@query(ORACLE["token_f1_turns"])
+@query(TURNS + f", tok as (select conv_id, turn, case when turn % 2 = 0 then {SYLLABLES.format(c='pred')} else {SPLIT('pred')} end as p, case when turn % 2 = 0 then {SYLLABLES.format(c='gold')} else {SPLIT('gold')} end as g from pairs)" + MULTI + f"select conv_id, turn, {F1.format(both=1.0)} as token_f1 from tok left join o using (conv_id, turn)")
 def token_f1_by_counting(spark, sf_dir):
-    return text.token_f1_table(turns(spark, sf_dir), ["conv_id", "turn"])
+    """Tokens by the row's language: even turns as Korean, by syllables and ASCII words."""
+    lang = F.when(F.col("turn") % 2 == 0, "ko").otherwise("en")
+    return text.token_f1_table(turns(spark, sf_dir), ["conv_id", "turn"], lang=lang)
 
 
 @query(
@@ -191,37 +209,36 @@ def exact_match_any_ref(spark, sf_dir):
     return p.select("conv_id", "turn", text.best_of(F.col("golds"), lambda g: text.exact_match(F.col("pred"), g)).alias("exact_match"), text.accuracy_match(F.col("pred"), F.col("golds")).alias("accuracy"))
 
 
-ROUGE_TOKENS = "regexp_extract_all(lower({c}), '[a-z0-9]+')[1:120]"
+ROUGE_TOKENS = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
 
 
 def rouge_pairs(spark, sf_dir):
-    cut = lambda c: F.slice(text.rouge_tokens(F.col(c)), 1, 120)
-    return turns(spark, sf_dir).select("conv_id", "turn", cut("pred").alias("p"), cut("gold").alias("g"))
+    return turns(spark, sf_dir).select("conv_id", "turn", text.rouge_tokens(F.col("pred")).alias("p"), text.rouge_tokens(F.col("gold")).alias("g"))
 
 
-@query(
-    TURNS
-    + f""", one as (select conv_id, turn, {ROUGE_TOKENS.format(c="pred")} as p, {ROUGE_TOKENS.format(c="gold")} as g from pairs),
-both_n as (select conv_id, turn, 1 as n, p, g from one union all select conv_id, turn, 2, list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1]), list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1]) from one),
+ROUGE = """both_n as (select conv_id, turn, 1 as n, p, g from one union all select conv_id, turn, 2, list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1]), list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1]) from one),
 u as (select conv_id, turn, n, 0 as s, unnest(p) as t from both_n union all select conv_id, turn, n, 1, unnest(g) from both_n),
 c as (select conv_id, turn, n, t, least(count(*) filter (s = 0), count(*) filter (s = 1)) as o from u group by all),
 o as (select conv_id, turn, n, sum(o) as o from c group by all),
-f as (select conv_id, turn, n, case when len(p) = 0 or len(g) = 0 then 0.0::double else 2.0::double * coalesce(o, 0)::double / (len(p) + len(g))::double end as f from both_n left join o using (conv_id, turn, n))
-select conv_id, turn, max(f) filter (n = 1) as rouge1, max(f) filter (n = 2) as rouge2 from f group by all"""
-)
+f as (select conv_id, turn, n, """ + F1.format(both=0.0) + """ as f from both_n left join o using (conv_id, turn, n)),
+rouge as (select conv_id, turn, max(f) filter (n = 1) as rouge1, max(f) filter (n = 2) as rouge2 from f group by all) """
+
+
+@query(TURNS + f", one as (select conv_id, turn, {ROUGE_TOKENS.format(c='pred')} as p, {ROUGE_TOKENS.format(c='gold')} as g from pairs), {ROUGE} select * from rouge")
 def rouge_n_turns(spark, sf_dir):
-    return rouge_pairs(spark, sf_dir).select("conv_id", "turn", text.rouge_n_of(F.col("p"), F.col("g"), 1).alias("rouge1"), text.rouge_n_of(F.col("p"), F.col("g"), 2).alias("rouge2"))
+    return text.rouge_table(rouge_pairs(spark, sf_dir), ["conv_id", "turn"], F.col("p"), F.col("g"))
 
 
 @query()
 def rouge_l_turns(spark, sf_dir):
+    """The longest common subsequence is no matter for SQL: tests hold it against a plain version."""
     r = rouge_pairs(spark, sf_dir)
     return r.select("conv_id", "turn", text.overlap_f1(text.lcs_len("p", "g"), F.size("p"), F.size("g"), 0.0).alias("rougeL"))
 
 
 @query()
 def fuzzy_ratio_turns(spark, sf_dir):
-    return turns(spark, sf_dir).select("conv_id", "turn", text.fuzzy_ratio(F.substring(F.lower("pred"), 1, 80), F.substring(F.lower("gold"), 1, 80)).alias("ratio"))
+    return turns(spark, sf_dir).select("conv_id", "turn", text.fuzzy_ratio(F.lower("pred"), F.lower("gold")).alias("ratio"))
 
 
 #: Ways of answering that the turns' texts are put into, by number.
@@ -409,7 +426,8 @@ select (conv_id % 3) as grp, round(avg(f), 9) as token_f1, round(avg(e), 9) as e
 )
 def mean_scores(spark, sf_dir):
     """Means over all rows, where an empty answer counts 0, and over answers that aren't empty."""
-    t = turns(spark, sf_dir).select((F.col("conv_id") % 3).alias("grp"), text.token_f1(F.col("pred"), F.col("gold")).alias("f"), text.exact_match(F.col("pred"), F.col("gold")).alias("e"), (~text.is_blank(F.col("pred"))).alias("filled"))
+    pairs = turns(spark, sf_dir)
+    t = pairs.join(text.token_f1_table(pairs, ["conv_id", "turn"]), ["conv_id", "turn"]).select((F.col("conv_id") % 3).alias("grp"), F.col("token_f1").alias("f"), text.exact_match(F.col("pred"), F.col("gold")).alias("e"), (~text.is_blank(F.col("pred"))).alias("filled"))
     every = metrics.mean_columns({"token_f1": F.col("f"), "exact_match": F.col("e")})
     some = metrics.mean_columns({"token_f1_filled": F.col("f")}, keep=F.col("filled"))
     out = t.groupBy("grp").agg(*every, some[0], some[1].alias("n_filled"))
@@ -576,13 +594,13 @@ def reproducibility(spark, sf_dir):
 
 @query(
     CELLS
-    + """, s as (select doc_id, text from documents where doc_id % 100 = 0), j as (select model_id, task_id, reasoning_mode, s.doc_id as sample_id, text, case when s.doc_id % 300 = 0 then null else 'positive' end as said from cells, s where task_id = 'TXT-1')
+    + """, s as (select doc_id, text from documents), j as (select model_id, task_id, reasoning_mode, s.doc_id as sample_id, text, case when s.doc_id % 300 = 0 then null else 'positive' end as said from cells, s where task_id = 'TXT-1')
 select model_id, reasoning_mode, sample_id, case when said is null then '__ERROR__: no response' else said end as model_output, case when said is null then 'error' else 'stop' end as finish_reason,
  case when length(p) > 2000 then substring(p, 1, 2000) || '…' else p end as prompt from (select *, 'Answer the following question:' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer:' as p from j)"""
 )
 def replayed_run(spark, sf_dir):
     """Samples of one task in every cell, their prompts, and replayed answers of which some are missing."""
-    docs = read(spark, sf_dir, "documents").where("doc_id % 100 = 0")
+    docs = read(spark, sf_dir, "documents")
     rows = docs.select(F.col("doc_id").alias("sample_id"), F.col("text").alias("question"), F.array(F.lit("x")).alias("answers"))
     planned = matrix.planned_samples(matrix.execution_matrix(*dims(spark)), tasks.samples_qa(rows, "TXT-1"))
     planned = planned.withColumn("prompt", text.prompt_text(F.array(tasks.REGISTRY["TXT-1"].prompt({c: F.col(c) for c in ("question", "context")}))))
@@ -669,12 +687,16 @@ def perf_by_hour(spark, sf_dir):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "model_id", "n_calls", "errors", "in_tokens")
 
 
+LABELLED_TASKS = ("TXT-6", "TXT-8", "IMG-3", "IMG-4", "IMG-5")
+
+
 def run_results(spark, sf_dir):
-    """Answers of two models to tasks of every kind, from adjacent turns."""
+    """Answers of two models to every task, from adjacent turns."""
     t = turns(spark, sf_dir)
+    cell = lambda c: F.concat(F.lit("<table><tr><td>"), F.col(c), F.lit("</td><td>x</td></tr></table>"))
     out = t.select(
         F.concat(F.lit("m"), (F.col("turn") % 2).cast("string")).alias("model_id"),
-        F.explode(F.array(*[F.lit(x) for x in ("TXT-1", "TXT-2", "TXT-5", "TXT-6", "TXT-7", "TXT-8", "IMG-1", "IMG-3")])).alias("task_id"),
+        F.explode(F.array(*[F.lit(x) for x in tasks.REGISTRY])).alias("task_id"),
         F.lit("full").alias("reasoning_mode"),
         (F.col("conv_id") * 100 + F.col("turn")).alias("sample_id"),
         F.when(F.col("conv_id") % 2 == 0, "en").otherwise("ko").alias("lang"),
@@ -682,29 +704,192 @@ def run_results(spark, sf_dir):
         F.array("gold").alias("ref_text"),
         (F.col("conv_id") % 2).cast("int").alias("ref_label"),
         parsers.keyphrases(F.col("gold")).alias("ref_set"),
-        F.lit("").alias("ref_html"),
+        cell("gold").alias("ref_html"),
+        cell("pred").alias("html"),
     )
-    return out.withColumn("model_output", F.when(F.col("task_id").isin("TXT-6", "TXT-8", "IMG-3"), F.when(F.col("sample_id") % 7 == 0, "?").when(F.col("sample_id") % 5 == 0, "negative, clean, no").otherwise(F.when(F.col("sample_id") % 3 == 0, "positive, toxic, yes").otherwise("0"))).otherwise(F.col("said"))).drop("said")
+    s = F.col("sample_id")
+    label = F.when(s % 7 == 0, "?").when(s % 5 == 0, "negative, clean, no, safe").otherwise(F.when(s % 3 == 0, "positive, toxic, yes").otherwise("0"))
+    answer = F.when(F.col("task_id").isin(*LABELLED_TASKS), label).when(F.col("task_id") == "TXT-3", F.col("html")).otherwise(F.col("said"))
+    return out.withColumn("model_output", answer).drop("said", "html")
+
+
+SAID = TURNS + """, r as (select 'm' || (turn % 2) as model_id, conv_id, turn, gold, case when conv_id % 2 = 0 then 'en' else 'ko' end as lang, case when conv_id % 9 = 0 then '' else trim(pred, ' \n') end as pred from pairs) """
+
+
+def _metrics(scores, metric: str | None = None):
+    out = scores.where(metric) if metric else scores
+    return out.select("model_id", "task_id", "lang", "n", "metric", F.round("value", 9).alias("value"))
 
 
 @query(
-    TURNS
-    + """, r as (select 'm' || (turn % 2) as model_id, conv_id * 100 + turn as s, (conv_id % 2)::int as gold, case when conv_id % 2 = 0 then 'en' else 'ko' end as lang from pairs),
-a as (select *, case when s % 7 = 0 then null when s % 5 = 0 then 0 when s % 3 = 0 then 1 else 0 end as pred from r),
-g as (select model_id, lang, count(pred) as n, count(*) filter (pred = gold) as hit, count(*) filter (pred = 1 and gold = 1) as tp, count(*) filter (pred <> gold) as bad, count(*) filter (pred is null) as un from a group by grouping sets ((model_id), (model_id, lang)))
-select model_id, lang, n::bigint as n, unnest(['accuracy', 'f1', 'n_unparsed']) as metric, unnest([case when n > 0 then hit::double / n::double when lang is null then 0 end, case when n > 0 then coalesce(2 * tp::double / nullif(2 * tp + bad, 0)::double, 0) when lang is null then 0 end, un::double]) as value from g"""
+    SAID
+    + f""", tok as (select conv_id, turn, case when lang = 'ko' then {SYLLABLES.format(c="pred")} else {SPLIT("pred")} end as p, case when lang = 'ko' then {SYLLABLES.format(c="gold")} else {SPLIT("gold")} end as g from r) """
+    + MULTI
+    + f""", f as (select model_id, pred <> '' as filled, case when pred <> '' then {F1.format(both=1.0)} else 0 end as f, (pred <> '' and lower(pred) = lower(trim(gold, ' \n')))::int::double as e,
+ (pred <> '' and regexp_replace(lower(pred), '\\s+', ' ', 'g') = regexp_replace(lower(trim(gold, ' \n')), '\\s+', ' ', 'g'))::int::double as a from r join tok using (conv_id, turn) left join o using (conv_id, turn)),
+g as (select model_id, avg(f) as f, avg(e) as e, avg(a) as a, count(*) as n, coalesce(avg(f) filter (filled), 0) as cf, count(*) filter (filled) as cn from f group by model_id)
+select model_id, task_id, null::varchar as lang, (case when task_id = 'IMG-1' then cn else n end)::bigint as n, metric, round(case metric when 'accuracy' then a when 'exact_match' then e when 'token_f1' then f when 'caption_token_f1' then cf else 1 end, 9) as value
+from g, (values ('TXT-1', 'token_f1'), ('TXT-1', 'exact_match'), ('TXT-2', 'accuracy'), ('TXT-2', 'token_f1'), ('TXT-4', 'token_f1'), ('TXT-4', 'exact_match'), ('TXT-4', 'tokenizer_syllable'), ('IMG-1', 'caption_token_f1')) t(task_id, metric)"""
+)
+def scored_qa(spark, sf_dir):
+    return _metrics(scoring.qa_scores(run_results(spark, sf_dir)))
+
+
+@query(
+    SAID
+    + f", one as (select conv_id, turn, {ROUGE_TOKENS.format(c='pred')} as p, {ROUGE_TOKENS.format(c='gold')} as g from r), {ROUGE}"
+    + """, m as (select model_id, lang, count(*) as n, avg(rouge1) as r1, avg(rouge2) as r2 from r join rouge using (conv_id, turn) group by grouping sets ((model_id), (model_id, lang)))
+select model_id, 'TXT-5' as task_id, lang, n::bigint as n, metric, round(case metric when 'rouge1' then r1 else r2 end, 9) as value from m, (values ('rouge1'), ('rouge2')) t(metric)"""
+)
+def scored_summaries(spark, sf_dir):
+    return _metrics(scoring.summary_scores(run_results(spark, sf_dir), scoring.LANGUAGES), "metric <> 'rougeL'")
+
+
+@query(
+    SAID
+    + """, a as (select model_id, lang, (conv_id % 2)::int as gold, case when (conv_id * 100 + turn) % 7 = 0 then null when (conv_id * 100 + turn) % 5 = 0 then 0 when (conv_id * 100 + turn) % 3 = 0 then 1 else 0 end as yes from r),
+b as (select task_id, model_id, lang, gold, case when task_id = 'IMG-4' and yes = 1 then null else yes end as pred from a, (values ('TXT-6'), ('TXT-8'), ('IMG-3'), ('IMG-4'), ('IMG-5')) t(task_id)),
+g as (select task_id, model_id, lang, count(pred) as n, count(*) filter (pred = gold) as hit, count(*) filter (pred = 0 and gold = 0) as tn, count(*) filter (pred = 1 and gold = 0) as fp, count(*) filter (pred = 0 and gold = 1) as fn, count(*) filter (pred = 1 and gold = 1) as tp,
+  count(*) filter (pred is null) as un, count(*) filter (pred is not null and gold = 0) as c0, count(*) filter (pred is not null and gold = 1) as c1 from b group by grouping sets ((task_id, model_id), (task_id, model_id, lang))),
+v as (select *, case when n > 0 then hit::double / n::double when lang is null then 0 end as accuracy, case when n > 0 then coalesce(2 * tp::double / nullif(2 * tp + fp + fn, 0)::double, 0) when lang is null then 0 end as f1,
+  (coalesce(2 * tp::double / nullif(2 * tp + fp + fn, 0)::double, 0) + coalesce(2 * tn::double / nullif(2 * tn + fp + fn, 0)::double, 0)) / 2 as macro from g)
+select model_id, task_id, lang, n::bigint as n, metric, round(case metric when 'accuracy' then accuracy when 'f1' then f1 when 'tn' then tn when 'fp' then fp when 'fn' then fn when 'tp' then tp when 'n_unparsed' then un when 'macro_f1' then macro when 'sfw' then c0 when 'class_0' then c0 else c1 end, 9) as value
+from v, (values ('accuracy'), ('f1'), ('tn'), ('fp'), ('fn'), ('tp'), ('n_unparsed'), ('class_0'), ('class_1'), ('sfw'), ('nsfw'), ('macro_f1')) t(metric)
+where (lang is null or starts_with(task_id, 'TXT-')) and case task_id when 'TXT-6' then metric in ('accuracy', 'n_unparsed') or metric = 'macro_f1' and lang is null when 'IMG-4' then metric not in ('class_0', 'class_1', 'macro_f1') else metric not in ('sfw', 'nsfw', 'macro_f1') end"""
 )
 def scored_labels(spark, sf_dir):
-    out = scoring.label_scores(run_results(spark, sf_dir), scoring.LANGUAGES).where("task_id = 'TXT-8' and metric in ('accuracy', 'f1', 'n_unparsed')")
-    return out.select("model_id", "lang", "n", "metric", "value")
+    return _metrics(scoring.label_scores(run_results(spark, sf_dir), scoring.LANGUAGES))
+
+
+TAGS = """list_distinct(list_filter(list_transform(list_filter(flatten(list_transform(string_split({c}, chr(10))[coalesce(nullif(list_position(list_transform(string_split({c}, chr(10)), lambda x: contains(x, ':')), true), 0), 1):], lambda x: list_transform(string_split(x, ','), lambda y: lower(trim(y, ' '))))),
+ lambda x: length(x) >= 2 and len(list_filter(string_split(x, ' '), lambda w: w <> '')) <= 3), lambda x: trim(regexp_replace(x, '[.!?;:()]', '', 'g'), ' ')), lambda x: x <> ''))"""
+
+
+@query(
+    SAID
+    + f""", s as (select 'TXT-7' as task_id, model_id, lang, {PHRASES.format(c="pred")} as p, {PHRASES.format(c="gold")} as g from r union all select 'IMG-2', model_id, lang, {TAGS.format(c="pred")}, {PHRASES.format(c="gold")} from r),
+c as (select task_id, model_id, lang, len(list_intersect(p, g)) as tp, len(p) as np, len(g) as ng from s where task_id = 'TXT-7' or len(g) > 0),
+x as (select *, case when np > 0 then tp / np::double else 0 end as p, case when ng > 0 then tp / ng::double else 0 end as r from c),
+m as (select task_id, model_id, lang, sum(tp)::double as tp, sum(np)::double as np, sum(ng)::double as ng, avg(p) as ap, avg(r) as ar, avg(case when p + r > 0 then 2 * p * r / (p + r) else 0 end) as af, count(*) as n from x group by grouping sets ((task_id, model_id), (task_id, model_id, lang)))
+select model_id, task_id, lang, n::bigint as n, metric, round(case replace(metric, 'micro_', '') when 'precision' then coalesce(tp / nullif(np, 0), 0) when 'recall' then coalesce(tp / nullif(ng, 0), 0) when 'f1' then coalesce(2 * tp / nullif(np + ng, 0), 0) when 'macro_precision' then ap when 'macro_recall' then ar else af end, 9) as value
+from m, (values ('precision'), ('recall'), ('f1'), ('micro_precision'), ('micro_recall'), ('micro_f1'), ('macro_precision'), ('macro_recall'), ('macro_f1')) t(metric)
+where case when task_id = 'IMG-2' then lang is null and metric not in ('precision', 'recall', 'f1') when lang is null then not starts_with(metric, 'micro_') else metric in ('precision', 'recall', 'f1') end"""
+)
+def scored_sets(spark, sf_dir):
+    return _metrics(scoring.set_scores(run_results(spark, sf_dir), scoring.LANGUAGES))
+
+
+@query("with t as (select 'm' || (turn % 2) as model_id, count(*) as n from (" + TURNS + " select * from pairs) group by 1) select model_id, 'X-9' as task_id, n::bigint as n, 'no scorer for X-9' as error from t union all select model_id, 'TXT-6', n::bigint, n || ' of ' || n || ' samples without a reference' from t")
+def scored_errors(spark, sf_dir):
+    """Groups that cannot be scored: an unknown task, and labels without references."""
+    r = run_results(spark, sf_dir).where("task_id in ('IMG-1', 'TXT-6')")
+    r = r.withColumns({"task_id": F.when(F.col("task_id") == "IMG-1", "X-9").otherwise("TXT-6"), "ref_label": F.lit(None).cast("int")})
+    return scoring.score_groups(r).where("metric = 'error'").select("model_id", "task_id", "n", "error")
 
 
 @query()
 def scored_run(spark, sf_dir):
-    """All scores of a run in long form."""
+    """All scores of a run over all tasks in long form; SQL has those of scored_qa, scored_summaries, scored_labels and scored_sets, tests the rest."""
     return scoring.score_groups(run_results(spark, sf_dir))
 
 
+@query(
+    JUDGE
+    + """, r as (select 'g' || (conv_id % 3) as grp, case when turn % 2 = 0 then 'en' else 'ko' end as lang, score, conv_id % 3 = 2 as failed from s),
+m as (select grp, lang, avg(coalesce(score, 3)) as m, count(*) as n, bool_or(failed) as failed from r group by grouping sets ((grp), (grp, lang)))
+select grp, lang, n::bigint as n, round(case when not failed then m end, 9) as judge_mean, case when failed then 'status 500' end as error from m
+union all select distinct grp, 'fr', 0::bigint, case when not failed then 3.0::double end, case when failed then 'status 500' end from r"""
+)
+def judge_by_language(spark, sf_dir):
+    """Judge means by language; a language without rows has 3.0, and a failed call fails its group."""
+    third = F.col("conv_id") % 3
+    j = judge_texts(spark, sf_dir).withColumns({"grp": F.concat(F.lit("g"), third.cast("string")), "lang": F.when(F.col("turn") % 2 == 0, "en").otherwise("ko"), "judge_error": F.when((third == 2), "status 500")})
+    return judge.judge_by_language(j, ["grp"], ["en", "ko", "fr"]).select("grp", "lang", "n", F.round("judge_mean", 9).alias("judge_mean"), "error")
+
+
+# ---- sample builders -----------------------------------------------------------------------------------------
+
+
+@query("select doc_id, 'ko' as lang, text as context, source as question, array_to_string([lang, source], '|') as refs from documents")
+def passage_samples(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("question"), F.col("text").alias("context"), F.array("lang", "source").alias("answers"))
+    return tasks.samples_qa(d, "TXT-4").select(F.col("sample_id").alias("doc_id"), "lang", "context", "question", F.array_join("ref_text", "|").alias("refs"))
+
+
+@query("select doc_id, 'TXT-6' as task_id, text, quality::int as label from documents join labels using (doc_id) where text <> '' and quality is not null union all select doc_id, 'TXT-8', case when doc_id % 2 = 0 then lang else text end, toxic::int from documents join labels using (doc_id) where text <> '' and toxic is not null")
+def labelled_samples(spark, sf_dir):
+    """The first column that is there and filled is the text; rows without a text or a label are left out."""
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").where("text <> ''").withColumn("sample_id", F.col("doc_id"))
+    eight = d.withColumn("comment", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(""))
+    both = tasks.samples_labelled(d, "TXT-6", ["sentence", "text"], ["label", "quality"]).unionByName(tasks.samples_labelled(eight, "TXT-8", ["comment", "text"], ["toxic"]))
+    return both.select(F.col("sample_id").alias("doc_id"), "task_id", "text", F.col("ref_label").alias("label"))
+
+
+@query("select doc_id, trim(source || chr(10) || chr(10) || lang, ' ' || chr(10)) as document, array_to_string(list_sort(list_distinct(list_filter([lower(lang), lower(source), 'two words'], lambda x: x <> ''))), '|') as phrases from documents")
+def keyphrase_samples(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("title"), F.col("lang").alias("abstract"), F.concat("lang", F.lit("; "), F.upper("source"), F.lit(";;  two   words ;"), "lang").alias("keywords"))
+    return tasks.samples_keyphrase(d).select(F.col("sample_id").alias("doc_id"), "document", F.array_join(F.array_sort("ref_set"), "|").alias("phrases"))
+
+
+@query("select page_id, url, array_to_string([url, 'a page'], '|') as refs from pages")
+def caption_samples(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("sample_id"), "url", F.array("url", F.lit("a page")).alias("sentences"))
+    return tasks.samples_caption(p).select(F.col("sample_id").alias("page_id"), "url", F.array_join("ref_text", "|").alias("refs"))
+
+
+def pictures(spark, sf_dir):
+    """Object ids by order: two or three of each, some beyond the known ones."""
+    k = F.col("o_orderkey")
+    ids = F.array((k % 90).cast("int"), ((k * 7) % 90).cast("int"), (k % 3).cast("int"))
+    return read(spark, sf_dir, "orders").select(k.alias("sample_id"), F.struct(ids.alias("category")).alias("objects"))
+
+
+PICTURES = "with o as (select o_orderkey as k, [(o_orderkey % 90)::int, ((o_orderkey * 7) % 90)::int, (o_orderkey % 3)::int] as ids from orders), names(id, name) as (values " + ", ".join(f"({i}, '{n}')" for i, n in tasks.CATEGORIES.items()) + ") "
+
+
+@query(PICTURES + f"select k as o_orderkey, list_has_any(ids, {tasks.WEAPON_IDS})::int as weapon, list_contains(ids, 0)::int as person from o")
+def object_labels(spark, sf_dir):
+    p = pictures(spark, sf_dir)
+    weapon = tasks.samples_objects(p, "IMG-3").select("sample_id", F.col("ref_label").alias("weapon"))
+    return weapon.join(tasks.samples_objects(p, "IMG-5").select("sample_id", F.col("ref_label").alias("person")), "sample_id").withColumnRenamed("sample_id", "o_orderkey")
+
+
+@query(PICTURES + "select k as o_orderkey, string_agg(distinct name, '|' order by name) as tags from (select k, unnest(ids) as id from o) join names using (id) group by k")
+def object_tags(spark, sf_dir):
+    s = tasks.samples_objects(pictures(spark, sf_dir), "IMG-2")
+    return s.select(F.col("sample_id").alias("o_orderkey"), F.array_join(F.array_sort("ref_set"), "|").alias("tags"))
+
+
+@query(PICTURES + "select k as o_orderkey from (select k, ids from o order by md5('42-' || k), k limit 150) where exists (select 1 from names where list_contains(ids, id) and name > 's') order by md5('42-' || k), k limit 40")
+def first_after_filter(spark, sf_dir):
+    """40 pictures in seeded order among the 150 read ahead that show something whose name comes after 's'."""
+    keep = lambda p: p.where(F.exists(tasks.category_tags(F.col("objects.category")), lambda x: x > "s"))
+    return sampling.filtered_sample(pictures(spark, sf_dir), "sample_id", 40, keep).select(F.col("sample_id").alias("o_orderkey"))
+
+
+# ---- configuration -------------------------------------------------------------------------------------------
+
+RUBRICS = {"TXT-5": {"task": "Summaries", "description": "d", "scale": {1: "bad", 5: "good"}}, "IMG-1": {"name": "Captions", "anchors": {3: "fair"}}, "X": {}}
+
+
+@query("select * from (values ('TXT-5', 'Summaries', 'd', 1::int, 'bad'), ('TXT-5', 'Summaries', 'd', 5, 'good'), ('IMG-1', 'Captions', '', 3, 'fair')) t(task_id, name, description, anchor, text)")
+def rubrics(spark, sf_dir):
+    return config.rubrics_table(spark, RUBRICS)
+
+
+@query("select * from (values ('a', 'true', false), ('b', 'unknown', true), ('c', 'false', false)) t(key, commercial_ok, sensitive)")
+def registry(spark, sf_dir):
+    return config.registry_table(spark, REGISTRY).select("key", "commercial_ok", "sensitive")
+
+
+@query("select lang as run_id, substring(strftime(timestamp '2024-01-01' + interval (length(lang)) day, '%Y-%m-%dT%H:%M:%S.000Z'), 1, 19) as created, case when lang = 'en' then '?' else 'a,b' end as models, '?' as modes, case when lang = 'en' then '?' else '2' end as n_tasks, count(*)::varchar as samples, '?' as git from documents where lang is not null group by lang")
+def run_index(spark, sf_dir):
+    """Rows of the index of runs, from manifests that lack some fields."""
+    d = read(spark, sf_dir, "documents").where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).cast("int").alias("samples_per_task"))
+    m = F.from_json(F.to_json(F.struct(F.lit("2024-01-03T00:00:00.000Z").alias("created_at"), F.when(F.col("lang") != "en", F.array(F.struct(F.lit("a").alias("id")), F.struct(F.lit("b").alias("id")))).alias("models"), F.when(F.col("lang") != "en", F.array(F.lit("t"), F.lit("u"))).alias("task_ids"), "samples_per_task")), artifact_source.MANIFEST)
+    return artifact_source.index_rows(d.select(F.col("lang").alias("run_id"), m.alias("m")))
+
+
 @query("select conv_id, case when conv_id % 2 = 0 then 'missing' else 'extra' end as side from (select distinct conv_id from conversations) where conv_id % 2 = 0 and conv_id % 3 <> 0 or conv_id % 2 = 1 and conv_id % 3 = 0")
 def id_difference(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")

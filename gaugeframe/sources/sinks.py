@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import html
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,8 +21,37 @@ def write_scores(scores: DataFrame, path: str, run_id: str) -> None:
     scores.drop("run_id").write.mode("overwrite").json(f"{path}/run_id={run_id}")
 
 
-def write_manifest(manifest: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(manifest, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file, in whatever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(to, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def write_manifest(spark: SparkSession, manifest: dict, path: str) -> None:
+    write_text(spark, json.dumps(manifest, ensure_ascii=False, indent=2, default=str), path)
+
+
+def index_text(rows: DataFrame) -> str:
+    """The index of runs (artifacts.index_rows), newest first, as a Markdown table with a link to each report."""
+    runs = sorted(rows.collect(), key=lambda r: r["run_id"], reverse=True)
+    names = ["created", "models", "modes", "n_tasks", "samples", "git"]
+    lines = ["# Runs", "", f"{len(runs)} runs, newest first.", "", "| run | " + " | ".join(names) + " |", "|---" * (len(names) + 1) + "|"]
+    lines += [f"| [{r['run_id']}]({r['run_id']}/report.md) | " + " | ".join(r[c] for c in names) + " |" for r in runs]
+    return "\n".join([*lines, ""])
+
+
+def write_index(spark: SparkSession, reports: str, results: str) -> str:
+    """Writes index.md of the runs below reports, with what their manifests below results tell; its path."""
+    from .artifacts import index_rows, runs
+
+    path = f"{reports.rstrip('/')}/index.md"
+    write_text(spark, index_text(index_rows(runs(spark, reports, results))), path)
+    return path
 
 
 def write_grades(grades: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeframe.functions import text
 from gaugeframe.operators import artifacts, cost, judge, metrics, perf, rank, report, stats
 from gaugeframe.plans import matrix, provider, sampling, tasks
 from gaugeframe.sources import artifacts as artifact_source
@@ -111,10 +112,14 @@ def test_winners_ties_go_to_the_first(spark):
 def test_report(spark):
     s = spark.createDataFrame([("m0", 0, "t", "full", "accuracy", 0.5, 0)], "model_id string, ordinal int, task_id string, reasoning_mode string, metric string, value double, position int")
     p = spark.createDataFrame([("m0", 3, 1, 10.0, 12.0, 0.25, 5, 6, 0)], "model_id string, n_calls long, errors long, latency_ms_median double, latency_ms_p95 double, total_usd double, in_tokens long, out_tokens long, ordinal int")
-    text = report.markdown("run", s, p)
-    assert "| m0::t::full | accuracy=0.500 |" in text and "Cheapest: **m0**" in text
-    assert report.markdown("run", s, p, paraphrase=lambda f: "better words").count("better words") == 1
-    assert report.summary({"win_counts": {}, "fastest_model": None, "cheapest_model": None, "perf": {}}) == "No results."
+    page = report.markdown("run", s, p)
+    assert "| m0::t::full | accuracy=0.500 |" in page and "Lowest cost: **m0** at 0.25 USD." in page and "**m0** leads with 1 task wins." in page
+    assert report.markdown("run", s, p, ask=lambda f: " better words ").count("better words\n\n<sub>") == 1
+    empty = {"win_counts": {}, "fastest_model": None, "cheapest_model": None, "perf": {}}
+    assert report.summary(empty) == report.executive_summary(empty, ask=lambda f: 1 / 0) == report.executive_summary(empty, ask=lambda f: "") == "This run has no results."
+    seen = []
+    report.executive_summary(empty | {"x": "y" * 5000}, ask=seen.append)
+    assert len(seen[0]) == 3000
 
 
 DECK = '<!DOCTYPE html><html><head><link rel="stylesheet" href="https://x/y.css"><script src="a.js"></script></head><body>' + '<div class="slide x">lake</div>' * 3 + '<div class="slides">no</div><section>Spark</section></body></html>'
@@ -225,10 +230,104 @@ def test_sources_and_sinks(spark, tmp_path):
     for y in ("2023", "2024"):
         (tmp_path / "rep" / y / "report.md").write_text("x")
     (tmp_path / "res" / "2024").mkdir(parents=True)
-    sinks.write_manifest({"run_id": "2024", "models": [{"id": "a"}, {"id": "b"}], "task_ids": ["t"]}, str(tmp_path / "res" / "2024" / "manifest.json"))
+    sinks.write_manifest(spark, {"run_id": "2024", "models": [{"id": "a"}, {"id": "b"}], "task_ids": ["t"]}, str(tmp_path / "res" / "2024" / "manifest.json"))
     idx = artifact_source.index_rows(artifact_source.runs(spark, str(tmp_path / "rep"), str(tmp_path / "res"))).collect()
     assert [(r["run_id"], r["models"], r["n_tasks"]) for r in idx] == [("2024", "a,b", "1"), ("2023", "?", "?")]
     assert sinks.run_meta("c", model="m")["model"] == "m"
+    for _ in range(2):  # an index is written anew
+        at = sinks.write_index(spark, str(tmp_path / "rep"), str(tmp_path / "res"))
+    index = (tmp_path / "rep" / "index.md").read_text()
+    assert at.endswith("rep/index.md") and index.index("[2024](2024/report.md) |  | a,b |") < index.index("[2023]") and "2 runs" in index
+
+
+def test_calls_are_tried_again():
+    from gaugeframe.plans import provider
+
+    def policy(*answers, **kw):
+        left, waits = list(answers), []
+
+        def post(endpoint, prompt):
+            x = left.pop(0)
+            if isinstance(x, Exception):
+                raise x
+            return x, {"text": prompt}
+
+        try:
+            return provider.retried(post, sleep=waits.append, **kw)("e", "p")["text"], waits
+        except provider.CallFailed as e:
+            return str(e), waits
+
+    assert policy(200) == ("p", []) and policy(429, TimeoutError("t"), 200) == ("p", [0.5, 1.0])
+    assert policy(500, 503, 429) == ("status 429 after 3 attempts", [0.5, 1.0]) and policy(404) == ("status 404", [])
+    assert policy(TimeoutError("x"), attempts=1) == ("timeout: x after 1 attempts", [])
+    assert provider.offline(env={"HF_HUB_OFFLINE": "1"}) and not provider.offline(env={"HF_HUB_OFFLINE": "0"})
+
+
+def test_discovery_leaves_failing_modules_out(tmp_path, monkeypatch):
+    from gaugeframe.plans import tasks
+
+    (tmp_path / "plug").mkdir()
+    (tmp_path / "plug" / "__init__.py").write_text("")
+    (tmp_path / "plug" / "bad.py").write_text("import nothing_of_the_kind")
+    (tmp_path / "plug" / "good.py").write_text("from gaugeframe.plans import tasks\ntasks.register(tasks.Task('X-1', 'qa', lambda c: None, lambda c: c))")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setattr(tasks, "REGISTRY", dict(tasks.REGISTRY))
+    failed = tasks.discover("plug")
+    assert list(failed) == ["plug.bad"] and "nothing_of_the_kind" in failed["plug.bad"] and "X-1" in tasks.REGISTRY
+
+
+def test_probe_image_and_commit(tmp_path):
+    import base64
+    import zlib
+
+    from gaugeframe.plans import matrix, tasks
+
+    raw = base64.b64decode(tasks.probe_image().partition(",")[2])
+    at = raw.index(b"IDAT")
+    assert raw.startswith(b"\x89PNG") and zlib.decompress(raw[at + 4 : at + 4 + int.from_bytes(raw[at - 4 : at], "big")]) == (b"\0" + b"\xff\0\0" * 8) * 8
+    assert matrix.git_commit(str(tmp_path)) is None
+
+
+def test_usage_of_no_requests(spark):
+    from gaugeframe.operators import cost
+
+    usage = spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "request_id string, event_time int")
+    ask = lambda *x: [r["request_id"] for r in cost.usage_of(usage, spark.createDataFrame([(i,) for i in x], "request_id string")).collect()]
+    assert ask() == [] and ask("a", "c", "b", "b", "it's") == ["b", "a", "c"]
+
+
+def test_overlap_of_rare_and_repeated_tokens(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    rows = [(i, [rng.choice("abc") for _ in range(rng.randrange(6))], [rng.choice("abcd") for _ in range(rng.randrange(6))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, p array<string>, g array<string>")
+    got = {r["id"]: (r["rouge1"], r["rouge2"]) for r in text.rouge_table(df, ["id"], F.col("p"), F.col("g")).collect()}
+
+    def f(p, g, n):
+        a, b = ([tuple(x[i : i + n]) for i in range(len(x) - n + 1)] for x in (p, g))
+        return 2 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b)) if a and b else 0.0
+
+    assert got == {i: (pytest.approx(f(p, g, 1)), pytest.approx(f(p, g, 2))) for i, p, g in rows}
+
+
+def test_common_subsequence_and_ratio(spark):
+    import random
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(80))) for _ in range(2))
+        assert text.lcs(a, b) == plain(a, b)
+        assert text.ratio(a, b) == (round(200 * plain(a, b) / (len(a) + len(b))) if a and b else (100 if a == b else 0))
 
 
 def test_scores_of_a_run(spark):
@@ -267,7 +366,7 @@ def test_scores_of_a_run(spark):
         ("TXT-7", "en", "precision"): (0.5, 1),
         ("IMG-2", None, "micro_f1"): (0.5, 1),
         ("IMG-4", None, "accuracy"): (1.0, 1),
-        ("IMG-4", None, "class_1"): (1.0, 1),
+        ("IMG-4", None, "nsfw"): (1.0, 1),
         ("TXT-8", None, "fp"): (1.0, 1),
         ("TXT-8", "ko", "f1"): (None, 0),
     }

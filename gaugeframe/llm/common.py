@@ -100,10 +100,19 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def drop_but(self, *frames: DataFrame) -> None:
+        """Removes all tables kept so far but these."""
+        stay = {self.paths[id(f)] for f in frames}
+        self._delete([p for p in self.paths.values() if p not in stay])
+        self.paths = {k: p for k, p in self.paths.items() if p in stay}
+
     def drop(self, *frames: DataFrame) -> None:
+        self._delete([self.paths.pop(id(df)) for df in frames])
+
+    def _delete(self, paths: list[str]) -> None:
         jvm = self.spark.sparkContext._jvm
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -24,6 +24,10 @@ refined to that depth and no further, and only where they can still split.
 4. Strings found unique are gathered by document; all others repeat, and the
    bytes that they cover are removed.
 
+The same is done, with words for bytes, for *passages*: runs of words each of
+which is in a string of ``WORDS.length`` words (A-Z lower-cased, whatever stands between them) that occurs elsewhere. They
+are reported and not removed: a passage of over 50 words is shorter than 400 bytes often enough.
+
 All steps aggregate by hash with map-side combining; no bucket is collected,
 and a hot bucket is never joined: a group of thousands of equal or nearly equal
 documents is a handful of rows after the first aggregation. Strings are told
@@ -38,6 +42,8 @@ whole, a long one in overlapping blocks; ids are whole numbers; an empty table g
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +51,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, release
-from .tokens import BYTE, chunks
-
-LENGTH, Q = 400, 32
-#: Strings in a cell, by round; the last has single strings.
-CELLS = (48, 6, 1)
+from .tokens import BYTE, chunks, hash_ranges, words
+
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of: their length, that of a q-gram, strings in a cell by round (the last has single ones), bytes of a symbol."""
+
+    length: int
+    q: int
+    cells: tuple[int, ...]
+    size: int
+
+    def symbols(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of texts, and their offsets."""
+        if self.size == 1:
+            return buf, offs
+        s, e, doc = words(buf, offs)
+        return hash_ranges(buf, s, e, fold=True), np.searchsorted(doc, np.arange(len(offs)))
+
+    def packed(self, text: pa.Scalar) -> memoryview:
+        """The symbols of one text as bytes."""
+        if self.size == 1:
+            return memoryview(text.as_buffer())
+        buf = np.frombuffer(text.as_buffer(), np.uint8)
+        return memoryview(self.symbols(buf, np.array([0, len(buf)]))[0].tobytes())
+
+    def names(self, symbols: np.ndarray) -> np.ndarray:
+        return BYTE[symbols] if self.size == 1 else symbols
+
+    def unpacked(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, np.uint8 if self.size == 1 else np.uint64)
+
+    def depth(self) -> int:
+        """The deepest identifiers that fit into what the strings of any cell share."""
+        least = self.q + self.cells[0]
+        if self.length < least:
+            raise ValueError(f"strings of at least {least}")
+        d = self.q
+        while 2 * d <= self.length - self.cells[0] + 1:
+            d *= 2
+        return d
+
+
+BYTES, WORDS = Unit(400, 32, (48, 6, 1), 1), Unit(51, 4, (16, 4, 1), 8)
+LENGTH = BYTES.length
 KEY = ["doc", "h"]
 #: Starts of a block of a long text, and bits for a position within a block.
 BLOCK, BITS = 1 << 20, np.uint64(22)
@@ -66,45 +111,36 @@ def refined(near: np.ndarray, far: np.ndarray) -> np.ndarray:
     return p
 
 
-def pointers(buf: np.ndarray) -> np.ndarray:
-    """Bucket pointers of depth Q at each position with Q bytes left."""
-    p, d = BYTE[buf], 1
-    while d < Q:
+def pointers(symbols: np.ndarray, unit: Unit) -> np.ndarray:
+    """Bucket pointers of depth q at each position with q symbols left."""
+    p, d = unit.names(symbols), 1
+    while d < unit.q:
         p = refined(p[:-d], p[d:])
         d *= 2
     return p
 
 
-def depth(length: int) -> int:
-    """The deepest identifiers that fit into the text that the strings of any cell share."""
-    if length < Q + CELLS[0]:
-        raise ValueError(f"strings of at least {Q + CELLS[0]} bytes")
-    d = Q
-    while 2 * d <= length - CELLS[0] + 1:
-        d *= 2
-    return d
-
-
-def name_spans(ptr: np.ndarray, start: np.ndarray, end: np.ndarray, deep: int, seed: np.ndarray, salt: int) -> np.ndarray:
-    """Names of the spans of text from start to end, of deep bytes at least, by the identifiers of depth deep at their offsets."""
+def name_spans(ptr: np.ndarray, start: np.ndarray, end: np.ndarray, unit: Unit, seed: np.ndarray, salt: int) -> np.ndarray:
+    """Names of the spans from start to end, of as many symbols as the deepest identifiers at least, by these at their offsets."""
+    deep = unit.depth()
     out = refined(seed.astype(np.uint64) + np.uint64(salt), (end - start).astype(np.uint64))
     for k in range(-(-int((end - start).max(initial=0)) // deep)):
         at = np.minimum(start + k * deep, end - deep)
-        ids = ptr[at[:, None] + np.arange(0, deep, Q)]
+        ids = ptr[at[:, None] + np.arange(0, deep, unit.q)]
         while ids.shape[1] > 1:
             ids = refined(ids[:, ::2], ids[:, 1::2])
         out = refined(out, ids[:, 0])
     return out
 
 
-def filed(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def filed(symbols: np.ndarray, offs: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
     """document, position, first and last start of the strings of each member; and all pointers."""
-    empty = np.empty(0, np.int64)
-    if len(buf) < length:
+    empty, length = np.empty(0, np.int64), unit.length
+    if len(symbols) < length:
         return empty, empty, empty, empty, np.empty(0, np.uint64)
-    ptr = pointers(buf)
+    ptr = pointers(symbols, unit)
     ranked = (ptr >> BITS << BITS) | np.arange(len(ptr), dtype=np.uint64)
-    w = length - Q + 1
+    w = length - unit.q + 1
     size = -(-len(ptr) // w) * w
     pad = np.full(size, np.iinfo(np.uint64).max)
     pad[: len(ptr)] = ranked
@@ -124,33 +160,32 @@ def filed(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, .
     return doc[new], at[new], start[new], start[np.r_[new[1:], len(start)] - 1], ptr
 
 
-def blocks(buf: np.ndarray, offs: np.ndarray, length: int, block: int):
-    """(block, first byte, bytes, offsets) of the texts; a long one in blocks of starts, with the bytes that their strings need."""
-    if len(offs) > 2 or len(buf) <= block:
-        yield 0, 0, buf, offs
+def blocks(symbols: np.ndarray, offs: np.ndarray, unit: Unit, block: int):
+    """(block, first symbol, symbols, offsets) of the texts; a long one in blocks of starts, with what their strings need."""
+    if len(offs) > 2 or len(symbols) <= block:
+        yield 0, 0, symbols, offs
         return
-    for part, lo in enumerate(range(0, len(buf) - length + 1, block)):
-        own = buf[lo : lo + block + length - 1]
+    for part, lo in enumerate(range(0, len(symbols) - unit.length + 1, block)):
+        own = symbols[lo : lo + block + unit.length - 1]
         yield part, lo, own, np.array([0, len(own)])
 
 
 MEMBER = ["part", "at", "lo", "hi"]
 
 
-def members(docs: DataFrame, length: int, block: int) -> DataFrame:
+def members(docs: DataFrame, unit: Unit, block: int) -> DataFrame:
     """bucket, rest (the identifiers at later offsets), doc, h, part (of a long text), at, lo, hi of each member; places count from the document's start."""
 
     def run(batches):
-        deep = depth(length)
         for b in batches:
             ids, hs = b.column("doc").to_numpy(), b.column("h").to_numpy()
-            for i, _, whole, all_offs in chunks(b.column("text")):
-                for part, lo_byte, buf, offs in blocks(whole, all_offs, length, block):
-                    doc, at, lo, hi, ptr = filed(buf, offs, length)
+            for i, _, buf, offs in chunks(b.column("text")):
+                for part, before, symbols, offs in blocks(*unit.symbols(buf, offs), unit, block):
+                    doc, at, lo, hi, ptr = filed(symbols, offs, unit)
                     if not len(doc):
                         continue
-                    rest = name_spans(ptr, lo, hi + length, deep, (at - lo) * 1024 + (hi - lo), 1)
-                    base = offs[doc] - lo_byte
+                    rest = name_spans(ptr, lo, hi + unit.length, unit, (at - lo) * 1024 + (hi - lo), 1)
+                    base = offs[doc] - before
                     cols = [ptr[at].view(np.int64), rest.view(np.int64), ids[i + doc], hs[i + doc], np.full(len(doc), part, np.int32), *[(x - base).astype(np.int32) for x in (at, lo, hi)]]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "rest", *KEY, *MEMBER])
 
@@ -176,8 +211,8 @@ def refine(rows: DataFrame, scratch: Scratch, single: bool = False) -> tuple[Dat
     return unique, open_
 
 
-def with_context(open_: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """A member, weight and text: the bytes from lo to hi + length."""
+def with_context(open_: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
+    """A member, weight and text: the symbols from lo to hi + length, packed."""
     lists = open_.groupBy(*KEY).agg(F.collect_list(F.struct(*MEMBER, "weight")).alias("ms"))
     names = [*KEY, *MEMBER, "weight"]
 
@@ -185,12 +220,12 @@ def with_context(open_: DataFrame, docs: DataFrame, length: int) -> DataFrame:
         held, texts, size = [], [], 0
         for b in batches:
             for d, h, ms, text in zip(b.column("doc").to_pylist(), b.column("h").to_pylist(), b.column("ms"), b.column("text")):
-                raw, ms = memoryview(text.as_buffer()), ms.values
+                raw, ms = unit.packed(text), ms.values
                 cols = [ms.field(c).to_numpy() for c in (*MEMBER, "weight")]
                 for lo in range(0, len(ms), 2048):
                     part = [c[lo : lo + 2048] for c in cols]
                     held.append((np.full(len(part[0]), d), np.full(len(part[0]), h), *part))
-                    own = [bytes(raw[x : y + length]) for x, y in zip(part[2].tolist(), part[3].tolist())]
+                    own = [bytes(raw[x * unit.size : (y + unit.length) * unit.size]) for x, y in zip(part[2].tolist(), part[3].tolist())]
                     texts += own
                     size += sum(map(len, own))
                     if size > BATCH:
@@ -206,26 +241,25 @@ def with_context(open_: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     return docs.join(lists, KEY).select(*KEY, "ms", "text").mapInArrow(run, "doc long, h long, part int, at int, lo int, hi int, weight int, text binary")
 
 
-def cells(rows: DataFrame, width: int, length: int) -> DataFrame:
-    """The cells of each member as members: bucket names the text common to a cell's strings, rest all of its text.
+def cells(rows: DataFrame, width: int, unit: Unit) -> DataFrame:
+    """The cells of each member as members: bucket names what a cell's strings share, rest all that they span.
 
-    rows: a member, weight, from (first byte of text), text.
+    rows: a member, weight, from (first symbol of text), text.
     """
 
     def run(batches):
-        deep = depth(length)
         for whole in batches:
             size = np.r_[0, np.cumsum([len(x.as_buffer()) for x in whole.column("text")])]
             i = 0
             while i < len(whole):
                 j = max(i + 1, int(np.searchsorted(size, size[i] + BATCH // 4, side="right")) - 1)
-                yield cut(whole.slice(i, j - i), deep)
+                yield split(whole.slice(i, j - i))
                 i = j
 
-    def cut(b, deep):
-        buf = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in b.column("text")), np.uint8)
-        ptr = pointers(buf)
-        start = np.cumsum([0, *[len(x.as_buffer()) for x in b.column("text")]])[:-1]
+    def split(b):
+        raw = [x.as_buffer().to_pybytes() for x in b.column("text")]
+        ptr = pointers(unit.unpacked(b"".join(raw)), unit)
+        start = np.cumsum([0, *[len(x) // unit.size for x in raw]])[:-1]
         at, lo, hi, zero = (b.column(c).to_numpy().astype(np.int64) for c in ("at", "lo", "hi", "from"))
         first, last = (at - hi) // width, (at - lo) // width
         who = np.repeat(np.arange(len(b)), last - first + 1)
@@ -233,8 +267,8 @@ def cells(rows: DataFrame, width: int, length: int) -> DataFrame:
         near, far = x * width, x * width + width - 1
         s, e = np.maximum(lo[who], at[who] - far), np.minimum(hi[who], at[who] - near)
         base = start[who] - zero[who]
-        bucket = name_spans(ptr, base + at[who] - near, base + at[who] - far + length, deep, x, 2)
-        rest = name_spans(ptr, base + s, base + e + length, deep, (at[who] - s) * 512 + at[who] - e, 3)
+        bucket = name_spans(ptr, base + at[who] - near, base + at[who] - far + unit.length, unit, x, 2)
+        rest = name_spans(ptr, base + s, base + e + unit.length, unit, (at[who] - s) * 512 + at[who] - e, 3)
         take = pa.array(who)
         columns = [pa.array(bucket.view(np.int64)), pa.array(rest.view(np.int64)), *[b.column(c).take(take) for c in (*KEY, "part", "at", "weight")], pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, ["bucket", "rest", *KEY, "part", "at", "weight", "lo", "hi"])
@@ -242,23 +276,27 @@ def cells(rows: DataFrame, width: int, length: int) -> DataFrame:
     return rows.select(*KEY, *MEMBER, "weight", "from", "text").mapInArrow(run, "bucket long, rest long, doc long, h long, part int, at int, weight int, lo int, hi int")
 
 
-def unique_strings(docs: DataFrame, spark: SparkSession, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """doc, h, lo, hi: ranges of starts whose strings of the given length occur nowhere else."""
-    depth(length)
+def unique_strings(docs: DataFrame, spark: SparkSession, unit: Unit = BYTES, block: int = BLOCK) -> DataFrame:
+    """doc, h, lo, hi: ranges of starts whose strings occur nowhere else."""
+    unit.depth()
     scratch = Scratch(spark, "suffixes")
-    unique, open_ = refine(members(docs, length, block).withColumn("weight", F.lit(1)), scratch)
+    unique, open_ = refine(members(docs, unit, block).withColumn("weight", F.lit(1)), scratch)
     release(spark)
-    context = scratch.keep(with_context(open_, docs, length))
+    context = scratch.keep(with_context(open_, docs, unit))
     release(spark)
-    out = unique
+    found = [unique]
     rows = context.withColumn("from", F.col("lo"))
     texts = context.select(*KEY, "part", "at", F.col("lo").alias("from"), F.col("text"))
-    for width in CELLS:
-        unique, open_ = refine(cells(rows, width, length), scratch, single=width == 1)
-        out = out.unionAll(unique)
+    for width in unit.cells:
+        unique, open_ = refine(cells(rows, width, unit), scratch, single=width == 1)
+        found.append(unique)
         release(spark)
         if open_ is not None:
             rows = scratch.keep(open_).join(texts, [*KEY, "part", "at"])
+    # by document already, so that the other tables can go
+    out = scratch.keep(reduce(DataFrame.unionAll, found).groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("rs")))
+    scratch.drop_but(out)
+    release(spark)
     return out
 
 
@@ -275,47 +313,58 @@ def runs_of(n: int, length: int, lo: np.ndarray, hi: np.ndarray) -> list[tuple[i
     return list(zip(a[new].tolist(), b[np.r_[new[1:], True]].tolist() if len(a) else []))
 
 
-def cut(docs: DataFrame, spark: SparkSession, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """doc_id, text (bytes), spans: array of (start, end) of the removed runs; one row per row of docs."""
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def cut(docs: DataFrame, spark: SparkSession, length: int = LENGTH, block: int = BLOCK, passage: int = WORDS.length) -> DataFrame:
+    """doc_id, text (bytes), spans: array of (start, end) of the removed runs, passages: the same of repeated words, in words; one row per row of docs."""
     keyed = docs.select("doc_id", F.col("doc_id").cast("long").alias("_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     keyed = keyed.select("doc_id", F.coalesce("_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("h"), "text")
-    ranges = unique_strings(keyed, spark, length, block).groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("rs"))
+    units = {"spans": replace(BYTES, length=length), "passages": replace(WORDS, length=passage)}
+    ranges = [unique_strings(keyed, spark, u, block).select(*KEY, F.lit(name).alias("name"), "rs") for name, u in units.items()]
+    ranges = reduce(DataFrame.unionAll, ranges).groupBy(*KEY).agg(*[F.first(F.when(F.col("name") == name, F.col("rs")), ignorenulls=True).alias(name) for name in units])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         none = np.empty(0, np.int64)
         for b in batches:
-            spans = []
-            for rs, text in zip(b.column("rs"), b.column("text")):
-                lo, hi = (rs.values.field(c).to_numpy().astype(np.int64) for c in ("lo", "hi")) if rs.is_valid else (none, none)
-                spans.append([{"start": s, "end": e} for s, e in runs_of(len(text.as_buffer()), length, lo, hi)])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(spans, kind)], ["doc_id", "text", "spans"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed.join(ranges, KEY, "left").select("doc_id", "text", "rs").mapInArrow(run, f"doc_id {kind}, text binary, spans array<struct<start:int,end:int>>")
+            size = {"spans": [len(x.as_buffer()) for x in b.column("text")], "passages": []}
+            for _, _, buf, offs in chunks(b.column("text")):
+                size["passages"] += np.diff(WORDS.symbols(buf, offs)[1]).tolist()
+            found = []
+            for name, u in units.items():
+                runs = []
+                for rs, n in zip(b.column(name), size[name]):
+                    lo, hi = (rs.values.field(c).to_numpy().astype(np.int64) for c in ("lo", "hi")) if rs.is_valid else (none, none)
+                    runs.append([{"start": s, "end": e} for s, e in runs_of(n, u.length, lo, hi)])
+                found.append(pa.array(runs, kind))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), *found], ["doc_id", "text", *units])
+
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    return keyed.join(ranges, KEY, "left").select("doc_id", "text", *units).mapInArrow(run, f"doc_id {id_kind}, text binary, spans {SPANS}, passages {SPANS}")
 
 
 def digest(cut_docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the result of cut()."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages and n_passage_words of the result of cut()."""
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words"]
 
     def run(batches):
+        long = lambda spans: sum(s["end"] - s["start"] for s in spans)
         for b in batches:
-            n, gone, count, sha = [], [], [], []
-            for text, spans in zip(b.column("text"), b.column("spans").to_pylist()):
+            out: list[tuple] = []
+            for text, spans, passages in zip(b.column("text"), b.column("spans").to_pylist(), b.column("passages").to_pylist()):
                 raw = memoryview(text.as_buffer())
                 h, at = hashlib.sha256(), 0
                 for s in spans:
                     h.update(raw[at : s["start"]])
                     at = s["end"]
                 h.update(raw[at:])
-                n.append(len(raw))
-                gone.append(sum(s["end"] - s["start"] for s in spans))
-                count.append(len(spans))
-                sha.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((len(raw), long(spans), len(spans), h.hexdigest(), len(passages), long(passages)))
+            columns = [pa.array([o[i] for o in out], pa.string() if n == "kept_sha256" else pa.int64()) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", *names])
 
     kind = cut_docs.schema["doc_id"].dataType.simpleString()
-    return cut_docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cut_docs.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names))
 
 
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:

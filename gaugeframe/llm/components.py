@@ -42,3 +42,13 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
     first, *rest = [maps[-1].withColumnRenamed("to", "component"), *reversed(maps[:-1])]
     return reduce(compose, rest, first)
+
+
+def extended(named: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components (node, component) after more links (a, b): these join components, so only a link of each pair of components matters."""
+    of = lambda side: named.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = components(both, scratch)
+    met = links.select(F.col("a").alias("node")).unionAll(links.select("b")).distinct().join(named, "node", "left_anti").select("node", F.col("node").alias("component"))
+    old = named.unionAll(met).select("node", F.col("component").alias("old"))
+    return old.join(top.select(F.col("node").alias("old"), "component"), "old", "left").select("node", F.coalesce("component", "old").alias("component"))

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, release
-from .components import components
+from .components import components, extended
 from .labelled import emit_array, salts_of, sum_arrays
 from .tokens import chunks, shingle_sets
 
@@ -383,8 +383,7 @@ def classes(docs: DataFrame, spark: SparkSession, k: int = K, num: int = NUM, de
     leads = posting.where("salted").select("token", F.lit(0).alias("salt"), F.lit(False).alias("salted"), F.col("lead_n").alias("n"), F.col("lead").alias("id"), F.col("lead_pos").alias("pos")).distinct()
     second = runs(leads.repartition("token").sortWithinPartitions("token", "n", "id"))
     star = posting.unionByName(second).where(fits).select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    found = linked(star)
-    groups = scratch.keep(components(found, scratch))
+    groups = scratch.keep(components(linked(star), scratch))
 
     mini = sets.select(F.col("cls").alias("id"), fold_column(F.col("sig")).alias("mini"))
     rows = posting.select("token", "id", "n", "pos").join(mini, "id")
@@ -397,9 +396,11 @@ def classes(docs: DataFrame, spark: SparkSession, k: int = K, num: int = NUM, de
         mixed = scratch.keep(mixed)
         open_ = scratch.keep(rows.join(mixed, "token"))
         scratch.drop(rows, mixed)
-        more = neighbours(open_, step, num, den) if step < ROUNDS else tiles(open_, num, den)
-        found = found.unionAll(linked(more))
-        groups = scratch.keep(components(found, scratch))
+        if open_.isEmpty():
+            break
+        found = linked(neighbours(open_, step, num, den) if step < ROUNDS else tiles(open_, num, den))
+        if not found.isEmpty():
+            groups = scratch.keep(extended(groups, found, scratch))
         rows = open_.drop("component", "salts")
 
     member = sets.select("cls", F.col("doc_id").alias("class_id")).join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

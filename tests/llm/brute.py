@@ -74,3 +74,19 @@ def smith_waterman(a, b, match=2, miss=-1, gap=-1):
             new.append(max(0, row[j - 1] + (match if x == y else miss), row[j] + gap, new[j - 1] + gap))
         best, row = max(best, *new), new
     return best
+
+
+def find(docs, items, seed=3, share=0.4, long=60, least=8):
+    """Every document aligned whole with every item of which it has three words in a row."""
+    plain = lambda t: [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").lower() for w in (t or "").split() if w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")]
+    out = set()
+    for d, t in docs:
+        x = plain(t)
+        for i, u in items:
+            y = plain(u)
+            k = min(seed, len(y))
+            if y and {tuple(x[a : a + k]) for a in range(len(x) - k + 1)} & {tuple(y[a : a + k]) for a in range(len(y) - k + 1)}:
+                score = smith_waterman(x, y)
+                if score >= 2 * len(y) * (share if len(y) >= least else 1) or score >= long:
+                    out.add((d, i, score))
+    return out

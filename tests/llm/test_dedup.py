@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 import brute
 from gaugeframe.llm import embedding_dedup, jaccard, line_dedup, suffix_dedup
 from gaugeframe.llm.common import Scratch
-from gaugeframe.llm.components import components
+from gaugeframe.llm.components import components, extended
 
 DOCS = "doc_id long, text string"
 
@@ -393,6 +393,10 @@ def test_components(spark, seed):
     rng = random.Random(seed)
     ids = list(range(200))
     links = [(rng.choice(ids), rng.choice(ids)) for _ in range(130)] + [(i, i + 1) for i in range(0, 40)] + [(7, x) for x in range(100, 130)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
-    want = brute.components(ids, links)
-    assert got == {i: c for i, c in want.items() if any(a != b and i in (a, b) for a, b in links)}
+    scratch, df = Scratch(spark, "t"), lambda x: spark.createDataFrame(x, "a long, b long")
+    named = components(df(links), scratch)
+    check = lambda got, links: {r["node"]: r["component"] for r in got.collect()} == {i: c for i, c in brute.components(ids, links).items() if any(a != b and i in (a, b) for a, b in links)}
+    assert check(named, links)
+    more = [(a, b) for a, b in ((rng.choice(ids), rng.choice(ids)) for _ in range(40)) if a != b]
+    assert check(extended(named, df(more), scratch), links + more)
+    assert check(extended(components(df([]), scratch), df(more), scratch), more)

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -120,6 +121,78 @@ def test_toxicity_on_held_out_rows(spark):
     assert n > 500 and got > 0.97
 
 
+def test_word_vectors_against_plain_sums(spark):
+    """Context sums and pooled features of a few texts, word by word."""
+    rng = random.Random(8)
+    texts = ["", "one", "aa bb aa", "É!! x--y z2 ??"] + [" ".join(rng.choice(["ab", "Ab", "cd!", "e", "...", "fé"]) for _ in range(rng.randrange(1, 30))) for _ in range(20)]
+    got = quality.context_sums(spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3), spark)
+    token = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\t-\r]+")
+    row = lambda w: int(quality.rows_of(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0])
+    place, sign = quality.index_vectors()
+    want = np.zeros((quality.V, quality.D))
+    rows = [[row(w) for w in token.findall(t.encode())] for t in texts]
+    for r in rows:
+        for i, a in enumerate(r):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(r):
+                    for k in range(quality.NONZERO):
+                        want[a, place[r[j], k]] += sign[r[j], k]
+    assert np.allclose(got, want)
+    vec, signs = quality.word_vectors(got), quality.sign_vectors()
+    raw = [t.encode() for t in texts]
+    x = quality.pooled(vec, signs, np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+    for r, f in zip(rows, x):
+        plain = np.zeros(quality.WIDTH)
+        if r:
+            plain[: quality.D] = np.mean([vec[a] for a in r], axis=0)
+            plain[quality.D] = np.linalg.norm(np.mean([signs[a] for a in r], axis=0)) / np.sqrt(quality.SIGNS)
+            plain[quality.D + 1 :] = sum(a == b for a, b in zip(r, r[1:])) / len(r), np.log1p(len(r))
+        assert np.allclose(f, plain, atol=1e-5)
+
+
+def test_network_gradients_learn_and_calibrate():
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=(400, quality.WIDTH - 1)), np.full(400, 3.0)])
+    y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(float)
+    net = quality.train(x, y, np.ones(400))
+    p = 1 / (1 + np.exp(-quality.logits(net, quality.shrunk(x, net["base"]))))
+    assert ((p > 0.5) == y).mean() > 0.9 and 0.2 <= net["t"] <= 8.1
+
+
+def plain_features(model, text):
+    """The features of one text, each word held against each term."""
+    low = bytes(toxicity.fold(np.frombuffer(text.encode(), np.uint8)))
+    found = [m for m in re.finditer(rb"[a-z0-9\x80-\xff]+", low)]
+    hits = []
+    for i, m in enumerate(found):
+        w = m.group()
+        near = [(0, t) for t, x in enumerate(model["words"]) if x == w] or [(1, t) for t, x in enumerate(model["words"]) if len(x) >= toxicity.FUZZY_BYTES and abs(len(x) - len(w)) <= 1 and brute.distance(x, w) == 1]
+        stem = [t for t, x in enumerate(model["stems"]) if w.startswith(x)]
+        if near and (near[0][0] == 0 or w not in model["own_words"]):
+            hits.append((i, near[0][0], model["word_odds"][min(near)[1]]))
+        elif stem:
+            hits.append((i, 2, model["stem_odds"][stem[0]]))
+    sums = np.zeros(3)
+    for k, (i, kind, odds) in enumerate(hits):
+        around = sum(1 for j in (k - 1, k + 1) if 0 <= j < len(hits) and abs(found[hits[j][0]].start() - found[i].start()) <= toxicity.WINDOW_BYTES)
+        sums[kind] += odds / 4 * toxicity.context_weight(np.frombuffer(low, np.uint8), 0, len(low), found[i].start(), found[i].end(), around)
+    total = sums.sum()
+    return np.r_[np.log1p(sums), np.log1p(100 * total / max(len(found), 20)), min(total, 1), total > 0]
+
+
+def test_toxicity_against_plain_matching(spark):
+    """Scores of documents by the automaton and by holding every word against every term."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), spark)
+    assert model["words"] or model["stems"]
+    rows = [r for r in docs.orderBy("doc_id").limit(150).collect() if r["text"]]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, docs.schema), model, spark).collect()}
+    for r in rows:
+        z = plain_features(model, r["text"]) @ model["beta"][:-1] + model["beta"][-1]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+
+
 @pytest.mark.parametrize("module, fold, keep", [(quality, 4, 2), (toxicity, 3, 1)])
 def test_classifiers_on_odd_rows(spark, module, fold, keep):
     rng = random.Random(1)
@@ -226,22 +299,6 @@ def test_decontamination(spark):
     assert decontaminate.find(df, bench.limit(0), spark).count() == 0 and decontaminate.find(df.limit(0), bench, spark).count() == 0
 
 
-def brute_find(docs, items):
-    """Every document aligned whole with every item of which it has three words in a row."""
-    plain = lambda t: [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").lower() for w in (t or "").split() if w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")]
-    out = set()
-    for d, t in docs:
-        x = plain(t)
-        for i, u in items:
-            y = plain(u)
-            k = min(decontaminate.SEED, len(y))
-            if y and {tuple(x[a : a + k]) for a in range(len(x) - k + 1)} & {tuple(y[a : a + k]) for a in range(len(y) - k + 1)}:
-                score = brute.smith_waterman(x, y)
-                if score >= decontaminate.MATCH * len(y) * (decontaminate.SHARE if len(y) >= decontaminate.LEAST else 1) or score >= decontaminate.LONG:
-                    out.add((d, i, score))
-    return out
-
-
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(12)
     text = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
@@ -259,7 +316,7 @@ def test_decontamination_against_brute_force(spark):
             own[at:at] = copy
         docs.append((d, " ".join(rng.choice(["", "(((((("]) + w + rng.choice(["", ".....", "!"]) for w in own)))
     got = {(r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.find(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), spark).collect()}
-    want = brute_find(docs, items)
+    want = brute.find(docs, items)
     assert {x[:2] for x in got} == {x[:2] for x in want} and len(want) > 30
     assert all(s <= next(w for d, i, w in want if (d, i) == (doc, item)) for doc, item, s in got)
 

@@ -1,7 +1,7 @@
 import brute
 import corpus_pipeline
 from compare import SF
-from gaugeframe.llm import decontaminate, toxicity
+from gaugeframe.llm import toxicity
 from gaugeframe.llm.common import read
 
 
@@ -32,8 +32,9 @@ def test_stages_against_plain_versions(spark, tmp_path):
         elif name == "jaccard_join":
             assert set(after) == {i for i, (_, c) in brute.jaccard(texts).items() if c == i}
         elif name == "decontamination":
-            bad = {r["doc_id"] for r in decontaminate.find(docs, read(spark, SF, "benchmark"), spark).collect()}
-            assert set(after) == set(before) - bad
+            bench = [(r["item_id"], r["text"]) for r in read(spark, SF, "benchmark").collect()]
+            bad = {d for d, _, _ in brute.find(texts.items(), bench)}
+            assert bad and set(after) == set(before) - bad
             items = [r["text"] for r in read(spark, SF, "benchmark").collect()]
             assert not any(x in r["text"] for x in items for r in after.values())
         else:

@@ -1,4 +1,7 @@
-"""Parsers of free text answers: ordered substring rules as Column expressions, total on any string."""
+"""Parsers of free text answers: ordered substring rules as Column expressions, total on any string.
+
+The patterns of tables, rows, cells, fences, documents and scores are fixed values, as results depend on them.
+"""
 
 from __future__ import annotations
 

@@ -232,7 +232,8 @@ def messages(prompt: Column, image_url: Column | None = None) -> Column:
 
 
 def data_url(content: Column, mime: str = "image/jpeg") -> Column:
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
+    # base64 breaks its lines, a URL has none
+    return F.concat(F.lit(f"data:{mime};base64,"), F.regexp_replace(F.base64(content), "[\r\n]+", ""))
 
 
 def probe_image(side: int = 8, rgb: tuple[int, int, int] = (255, 0, 0)) -> str:

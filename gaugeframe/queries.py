@@ -577,6 +577,12 @@ def execution_matrix(spark, sf_dir):
     return matrix.execution_matrix(*dims(spark)).select("model_id", "endpoint", "task_id", "reasoning_mode")
 
 
+@query(CELLS + "select * from cells where model_id in ('m0', 'm2') and reasoning_mode = 'full'")
+def cells_of_some(spark, sf_dir):
+    """The matrix cut to some models and one mode."""
+    return matrix.execution_matrix(*dims(spark), only_models=["m0", "m2"], only_modes=["full"]).select("model_id", "endpoint", "task_id", "reasoning_mode")
+
+
 @query(CELLS + "select model_id, count(*)::bigint as n_cells from cells group by model_id")
 def cells_per_model(spark, sf_dir):
     return matrix.cells_per_model(matrix.execution_matrix(*dims(spark)))
@@ -867,6 +873,39 @@ def first_after_filter(spark, sf_dir):
     return sampling.filtered_sample(pictures(spark, sf_dir), "sample_id", 40, keep).select(F.col("sample_id").alias("o_orderkey"))
 
 
+FEATURES = {"objects": {"feature": {"category": {"feature": {"names": [f"kind {i}" for i in range(80)]}}}}}
+
+
+@query("with o as (select o_orderkey, [(o_orderkey % 90)::int, ((o_orderkey * 7) % 90)::int, (o_orderkey % 3)::int] as ids from orders) select o_orderkey, array_to_string(list_sort(list_distinct(list_transform(list_filter(ids, lambda i: i < 80), lambda i: 'kind ' || i))), '|') as names from o")
+def named_objects(spark, sf_dir):
+    """Objects by the class names of a features description, whose ids start at 0."""
+    names = F.array(*[F.lit(n) for n in config.label_names(FEATURES, "objects.category")])
+    p = pictures(spark, sf_dir)
+    return p.select(F.col("sample_id").alias("o_orderkey"), F.array_join(F.array_sort(tasks.category_tags(F.col("objects.category"), names)), "|").alias("names"))
+
+
+@query("select n_regionkey as r_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) order by n_nationkey) as table_md, 'How many?' as question, count(*)::varchar as refs from nation group by n_regionkey")
+def table_question_samples(spark, sf_dir):
+    """Tables of even regions come rendered, those of odd ones as header and rows."""
+    n = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
+    rows = F.transform("x", lambda r: F.array(r["n_nationkey"].cast("string"), r["n_name"]))
+    header = F.array(F.lit("key"), F.lit("name"))
+    table = F.struct(header.alias("header"), rows.alias("rows"))
+    ready = F.when(F.col("n_regionkey") % 2 == 0, tasks.table_markdown(header, rows)).otherwise("")
+    t = n.select(F.col("n_regionkey").alias("sample_id"), table.alias("table"), ready.alias("table_md"), F.lit("How many?").alias("question"), F.array(F.size("x").cast("string")).alias("answers"))
+    return tasks.samples_table_qa(t).select(F.col("sample_id").alias("r_regionkey"), F.col("table").alias("table_md"), "question", F.array_join("ref_text", "|").alias("refs"))
+
+
+@query("select doc_id, 'user' as role, 'image_url,text' as kinds, 'data:image/png;base64,' || to_base64(encode(coalesce(text, ''))) as url, 'What is ' || coalesce(lang, '') || '?' as said from documents")
+def chat_messages(spark, sf_dir):
+    """Messages of a picture and a prompt; the texts stand for pictures."""
+    d = read(spark, sf_dir, "documents")
+    url = tasks.data_url(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "image/png")
+    m = tasks.messages(tasks.fill("What is {lang}?", lang=F.col("lang")), url)[0]
+    parts = m["content"]
+    return d.select("doc_id", m["role"].alias("role"), F.array_join(parts["type"], ",").alias("kinds"), parts[0]["url"].alias("url"), parts[1]["text"].alias("said"))
+
+
 # ---- configuration -------------------------------------------------------------------------------------------
 
 RUBRICS = {"TXT-5": {"task": "Summaries", "description": "d", "scale": {1: "bad", 5: "good"}}, "IMG-1": {"name": "Captions", "anchors": {3: "fair"}}, "X": {}}

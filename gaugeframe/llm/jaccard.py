@@ -92,7 +92,7 @@ def folded(sig: bytes, size: int) -> np.ndarray:
 
 
 def prefix_table(docs: DataFrame, counts: np.ndarray, spark: SparkSession, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, cls, of every row, and at a class's first row within the task its sig and its prefix: token, salt, many (number of salts)."""
+    """doc_id, n, cls, of every row, and at a class's first row within the task its sig and its prefix: token, place (n, then the place in the prefix, in 32 bits each) and salt (twice the salt, and 1 if there are several)."""
     shared = spark.sparkContext.broadcast(counts)  # 2^SKETCH_BITS bytes
 
     def run(batches):
@@ -100,14 +100,12 @@ def prefix_table(docs: DataFrame, counts: np.ndarray, spark: SparkSession, k: in
         seen: set[int] = set()  # at most the task's documents
         for b in batches:
             size, cls, sig = [], [], []
-            token, salts, manys = [], [], []
+            token, place, salts = [], [], []
             named = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             for first, _, buf, offs in chunks(b.column("text")):
                 grams, n = shingle_sets(buf, offs, k)
                 at = np.r_[0, np.cumsum(n)]
                 df = est[cell(grams)]
-                order = np.lexsort((grams, df, np.repeat(np.arange(len(n)), n)))
-                ranked, many = grams[order], np.maximum(1, 2.0 ** (df[order] / STEPS) / SALT_ROWS).astype(np.int64)
                 for d in range(len(n)):
                     lo, m = at[d], int(n[d])
                     own = grams[lo : lo + m]
@@ -118,14 +116,16 @@ def prefix_table(docs: DataFrame, counts: np.ndarray, spark: SparkSession, k: in
                     sig.append(signature(own) if show else None)
                     if show:
                         seen.add(key)
-                    token.append(ranked[lo : lo + show].view(np.int64))
-                    salts.append(key % many[lo : lo + show])
-                    manys.append(many[lo : lo + show])
+                    rare = lo + np.argsort(df[lo : lo + m], kind="stable")[:show] if show else np.empty(0, np.int64)  # grams are sorted, so ties go by hash
+                    many = np.maximum(1, 2.0 ** (df[rare] / STEPS) / SALT_ROWS).astype(np.int64)
+                    token.append(grams[rare].view(np.int64))
+                    place.append((m << 32) + np.arange(len(rare)))
+                    salts.append(key % many * 2 + (many > 1))
             cuts = pa.array(np.r_[0, np.cumsum([len(t) for t in token])].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x).astype(kind) if x else np.empty(0, kind))) for x, kind in ((token, np.int64), (salts, np.int32), (manys, np.int32))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int32()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), *lists], ["doc_id", "n", "cls", "sig", "token", "salt", "many"])
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x).astype(kind) if x else np.empty(0, kind))) for x, kind in ((token, np.int64), (place, np.int64), (salts, np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int32()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), *lists], ["doc_id", "n", "cls", "sig", "token", "place", "salt"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, cls long, sig binary, token array<long>, salt array<int>, many array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, cls long, sig binary, token array<long>, place array<long>, salt array<int>")
 
 
 def class_of(grams: np.ndarray) -> int:
@@ -133,12 +133,14 @@ def class_of(grams: np.ndarray) -> int:
 
 
 def runs(rows: DataFrame) -> DataFrame:
-    """Streams sorted rows (token, salt, n, id, pos): adds the first row of the run; single rows of unsalted runs vanish.
+    """Streams sorted rows (token, salt, place, id): adds the first row of the run; single rows of unsalted runs vanish.
 
     Only the run's first row and the batch at hand are in memory. A run that
     ends a batch is held back by one row, until its next row shows whether it is single.
     """
-    names = ["token", "salt", "salted", "n", "id", "pos"]
+    def columns_of(t):
+        col = {c: t.column(c).to_numpy() for c in ("token", "salt", "place", "id")}
+        return col | {"salted": col["salt"] % 2 == 1, "n": (col["place"] >> 32).astype(np.int32), "pos": (col["place"] & 0xFFFFFFFF).astype(np.int32)}
 
     def run(batches):
         held, lead = None, None  # the last row, if nothing tells yet whether it is alone; the leader of the open run
@@ -146,7 +148,7 @@ def runs(rows: DataFrame) -> DataFrame:
             t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             if not t.num_rows:
                 continue
-            col = {c: t.column(c).to_numpy() for c in names}
+            col = columns_of(t)
             m = t.num_rows
             again = np.zeros(m, bool)  # a class that several tasks show
             again[1:] = (col["token"][1:] == col["token"][:-1]) & (col["id"][1:] == col["id"][:-1])
@@ -176,8 +178,8 @@ def runs(rows: DataFrame) -> DataFrame:
             else:
                 lead = (col["token"][-1], col["salt"][-1], out["n"][-1], out["id"][-1], out["pos"][-1])
             yield result(col, out, keep)
-        if held is not None and held.column("salted")[0].as_py():
-            col = {c: held.column(c).to_numpy() for c in names}
+        if held is not None and held.column("salt")[0].as_py() % 2:
+            col = columns_of(held)
             yield result(col, col, np.ones(1, bool))
 
     def result(col, lead, keep):
@@ -361,9 +363,8 @@ def classes(docs: DataFrame, spark: SparkSession, k: int = K, num: int = NUM, de
     base = scratch.keep(full.select("doc_id", "n", "cls"))
     # a class without a signature of its own rows is not possible: its first row in each task has one
     sets = scratch.keep(full.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sig").alias("sig")))
-    prefix = full.select("cls", "n", F.arrays_zip("token", "salt", "many").alias("z")).where(F.size("z") > 0).select(F.col("cls").alias("id"), "n", F.posexplode("z").alias("pos", "z"))
-    prefix = prefix.select(F.col("z.token").alias("token"), F.col("z.salt").alias("salt"), (F.col("z.many") > 1).alias("salted"), "n", "id", "pos")
-    posting = scratch.keep(runs(prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id")))
+    prefix = full.where(F.size("token") > 0).select(F.col("cls").alias("id"), F.explode(F.arrays_zip("token", "salt", "place")).alias("z")).select("z.token", "z.salt", "z.place", "id")
+    posting = scratch.keep(runs(prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", "place", "id")))
     scratch.drop(full)
     release(spark)
 
@@ -380,8 +381,9 @@ def classes(docs: DataFrame, spark: SparkSession, k: int = K, num: int = NUM, de
         return out
 
     fits = plausible(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"), num, den)
-    leads = posting.where("salted").select("token", F.lit(0).alias("salt"), F.lit(False).alias("salted"), F.col("lead_n").alias("n"), F.col("lead").alias("id"), F.col("lead_pos").alias("pos")).distinct()
-    second = runs(leads.repartition("token").sortWithinPartitions("token", "n", "id"))
+    place = F.shiftleft(F.col("lead_n").cast("long"), 32) + F.col("lead_pos")
+    leads = posting.where("salted").select("token", F.lit(0).alias("salt"), place.alias("place"), F.col("lead").alias("id")).distinct()
+    second = runs(leads.repartition("token").sortWithinPartitions("token", "place", "id"))
     star = posting.unionByName(second).where(fits).select(F.col("lead").alias("a"), F.col("id").alias("b"))
     groups = scratch.keep(components(linked(star), scratch))
 

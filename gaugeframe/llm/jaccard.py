@@ -42,7 +42,6 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import Scratch, release
 from .components import components, extended
@@ -92,14 +91,14 @@ def folded(sig: bytes, size: int) -> np.ndarray:
 
 
 def prefix_table(docs: DataFrame, counts: np.ndarray, spark: SparkSession, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, cls, of every row, and at a class's first row within the task its sig and its prefix: token, place (n, then the place in the prefix, in 32 bits each) and salt (twice the salt, and 1 if there are several)."""
+    """doc_id, n, cls, of every row, and at a class's first row within the task its sig, that folded to the least size, and its prefix: token, place (n, then the place in the prefix, in 32 bits each) and salt (twice the salt, and 1 if there are several)."""
     shared = spark.sparkContext.broadcast(counts)  # 2^SKETCH_BITS bytes
 
     def run(batches):
         est = shared.value
         seen: set[int] = set()  # at most the task's documents
         for b in batches:
-            size, cls, sig = [], [], []
+            size, cls, sig, mini = [], [], [], []
             token, place, salts = [], [], []
             named = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             for first, _, buf, offs in chunks(b.column("text")):
@@ -114,6 +113,7 @@ def prefix_table(docs: DataFrame, counts: np.ndarray, spark: SparkSession, k: in
                     cls.append(key)
                     show = m - -(-num * m // den) + 1 if m and named[first + d] and key not in seen else 0
                     sig.append(signature(own) if show else None)
+                    mini.append(folded(sig[-1], LEAST_PARTS // 8).tobytes() if show else None)
                     if show:
                         seen.add(key)
                     rare = lo + np.argsort(df[lo : lo + m], kind="stable")[:show] if show else np.empty(0, np.int64)  # grams are sorted, so ties go by hash
@@ -123,9 +123,9 @@ def prefix_table(docs: DataFrame, counts: np.ndarray, spark: SparkSession, k: in
                     salts.append(key % many * 2 + (many > 1))
             cuts = pa.array(np.r_[0, np.cumsum([len(t) for t in token])].astype(np.int32))
             lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x).astype(kind) if x else np.empty(0, kind))) for x, kind in ((token, np.int64), (place, np.int64), (salts, np.int32))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int32()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), *lists], ["doc_id", "n", "cls", "sig", "token", "place", "salt"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int32()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), pa.array(mini, pa.binary()), *lists], ["doc_id", "n", "cls", "sig", "mini", "token", "place", "salt"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, cls long, sig binary, token array<long>, place array<long>, salt array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, cls long, sig binary, mini binary, token array<long>, place array<long>, salt array<int>")
 
 
 def class_of(grams: np.ndarray) -> int:
@@ -362,7 +362,7 @@ def classes(docs: DataFrame, spark: SparkSession, k: int = K, num: int = NUM, de
     full = scratch.keep(prefix_table(docs, sketch(docs, spark, k), spark, k, num, den))
     base = scratch.keep(full.select("doc_id", "n", "cls"))
     # a class without a signature of its own rows is not possible: its first row in each task has one
-    sets = scratch.keep(full.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sig").alias("sig")))
+    sets = scratch.keep(full.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sig").alias("sig"), F.max("mini").alias("mini")))
     prefix = full.where(F.size("token") > 0).select(F.col("cls").alias("id"), F.explode(F.arrays_zip("token", "salt", "place")).alias("z")).select("z.token", "z.salt", "z.place", "id")
     posting = scratch.keep(runs(prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", "place", "id")))
     scratch.drop(full)
@@ -387,8 +387,7 @@ def classes(docs: DataFrame, spark: SparkSession, k: int = K, num: int = NUM, de
     star = posting.unionByName(second).where(fits).select(F.col("lead").alias("a"), F.col("id").alias("b"))
     groups = scratch.keep(components(linked(star), scratch))
 
-    mini = sets.select(F.col("cls").alias("id"), fold_column(F.col("sig")).alias("mini"))
-    rows = posting.select("token", "id", "n", "pos").join(mini, "id")
+    rows = posting.select("token", "id", "n", "pos").join(sets.select(F.col("cls").alias("id"), "mini"), "id")
     for step in range(ROUNDS + 1):
         rows = rows.join(groups.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("component", F.coalesce("c", "id")).drop("c")
         rows = scratch.keep(rows)
@@ -414,11 +413,6 @@ def classes(docs: DataFrame, spark: SparkSession, k: int = K, num: int = NUM, de
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(linked_, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(linked_, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-@F.pandas_udf(T.BinaryType())
-def fold_column(sig):
-    return sig.map(lambda x: folded(x, LEAST_PARTS // 8).tobytes())
-
-
 def one_of_each(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """docs, all columns, with one document of each group: the one of the smallest id.
 

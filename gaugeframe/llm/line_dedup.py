@@ -49,7 +49,7 @@ from .tokens import chunks, hash_ranges, mix
 
 TAU, MIN_BYTES = 2, 24
 #: Bounds of a tile, in lines and bytes, and of the rows of a task that meet before they are dealt out.
-TILE, TILE_BYTES, BATCH = 4096, 32 << 20, 1 << 19
+TILE, TILE_BYTES, BATCH = 4096, 32 << 20, 1 << 18
 #: Levels of segments below a key's own; a group of this many lines is compared pair by pair.
 LEVELS, SMALL = 3, 96
 #: Longer lines are verified one pair at a time.

@@ -14,7 +14,9 @@ sample of labelled rows by Adam; a temperature fitted on a part of the sample
 that training leaves out calibrates the probabilities.
 
 Null and empty texts are scored as documents without words; texts are read
-whole; rows are scored one by one, so ties and repeated rows don't matter.
+whole; rows are scored one by one, so ties and repeated rows don't matter, and rows
+without an id are scored too. Without labels of either kind every row has one score. Empty
+tables give empty results; extra columns are left out by name.
 """
 
 from __future__ import annotations

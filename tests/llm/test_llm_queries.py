@@ -41,3 +41,26 @@ def test_columns_of_the_contracts(spark):
     for name, cols in want.items():
         kinds = dict(queries.QUERIES[name](spark, SF).dtypes)
         assert {c: kinds[c] for c in cols} == cols
+
+
+@pytest.mark.parametrize("master, allowed", [("local[4]", True), ("local", True), ("local-cluster[3,2,1024]", False), ("spark://host:7077", False), ("yarn", False)])
+def test_no_temporary_folder_on_a_cluster(master, allowed):
+    from types import SimpleNamespace
+
+    from gaugeframe.llm.common import shared_dir
+
+    conf = {}
+    fake = SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__), sparkContext=SimpleNamespace(master=master))
+    if allowed:
+        assert shared_dir(fake).startswith("file://")
+    else:
+        with pytest.raises(ValueError):
+            shared_dir(fake)
+    conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert shared_dir(fake) == "hdfs://x/y"
+
+
+def test_a_name_that_clashes_with_nothing():
+    from gaugeframe.llm.common import free_name
+
+    assert free_name("removed", ["doc_id", "Removed", "_removed"]) == "__removed" and free_name("x", []) == "x"

@@ -93,7 +93,7 @@ class Unit:
         return d
 
 
-BYTES, WORDS = Unit(400, 32, (48, 6, 1), 1), Unit(51, 4, (16, 4, 1), 8)
+BYTES, WORDS = Unit(400, 32, (48, 6, 1), 1), Unit(51, 4, (8, 1), 8)
 LENGTH = BYTES.length
 KEY = ["doc", "h"]
 #: Starts of a block of a long text, and bits for a position within a block.

@@ -40,18 +40,24 @@ SLACK = 12
 #: Words drop punctuation at their ends.
 EDGE = np.zeros(256, bool)
 EDGE[[x for x in range(33, 127) if not chr(x).isalnum()]] = True
+PUNCTUATION = np.flatnonzero(EDGE).astype(np.uint8).tobytes()
 
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of each word without punctuation at its ends; words of punctuation only are left out."""
     s, e, doc = words(buf, offs)
-    if len(s):
-        place = np.arange(len(buf), dtype=np.int32 if len(buf) < 1 << 31 else np.int64)
-        inner = ~EDGE[buf]
-        last = np.maximum.accumulate(np.where(inner, place, -1))[e - 1].astype(np.int64)
-        first = np.minimum.accumulate(np.where(inner, place, len(buf))[::-1])[::-1][s].astype(np.int64)
-        keep = last >= s
-        s, e, doc = first[keep], last[keep] + 1, doc[keep]
+    for _ in range(2):  # most words have a byte or two, all words at once
+        if len(s):
+            e = e - ((e > s) & EDGE[buf[np.maximum(e - 1, 0)]])
+            s = s + ((e > s) & EDGE[buf[np.minimum(s, len(buf) - 1)]])
+    keep = e > s
+    s, e, doc = s[keep], e[keep], doc[keep]
+    for i in np.flatnonzero(EDGE[buf[e - 1]] | EDGE[buf[s]]) if len(s) else ():
+        left = buf[s[i] : e[i]].tobytes().rstrip(PUNCTUATION)
+        e[i] = s[i] + len(left)
+        s[i] = e[i] - len(left.lstrip(PUNCTUATION))
+    keep = e > s
+    s, e, doc = s[keep], e[keep], doc[keep]
     return hash_ranges(buf, s, e, fold=True), doc
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard, licenses, line_dedup, mixing, quality, suffix_dedup, toxicity, url_filter
+from . import decontaminate, embedding_dedup, jaccard, licenses, line_dedup, mixing, quality, search, suffix_dedup, toxicity, url_filter
 from .common import read
 
 
@@ -50,5 +50,9 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"), spark)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_quality, op4_toxicity, op5_decontamination, op6_mixing, op7_line_dedup, op8_embedding_dedup, op9_jaccard_join, op10_license_scan)}
-ORACLE_SQL = {"op2_url_filter": url_filter.oracle(), "op7_line_dedup": line_dedup.oracle(), "op8_embedding_dedup": embedding_dedup.oracle(), "op9_jaccard_join": jaccard.oracle(), "op10_license_scan": licenses.oracle()}
+def op11_lexical_search(spark, sf_dir):
+    return search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), spark)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_quality, op4_toxicity, op5_decontamination, op6_mixing, op7_line_dedup, op8_embedding_dedup, op9_jaccard_join, op10_license_scan, op11_lexical_search)}
+ORACLE_SQL = {"op2_url_filter": url_filter.oracle(), "op7_line_dedup": line_dedup.oracle(), "op8_embedding_dedup": embedding_dedup.oracle(), "op9_jaccard_join": jaccard.oracle(), "op10_license_scan": licenses.oracle(), "op11_lexical_search": search.oracle()}

@@ -35,6 +35,10 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 
+#: Bytes that are in no term: ASCII other than letters and digits.
+NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
 BLOCK_BITS = 20
 
 
@@ -110,9 +114,9 @@ def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     return mix((sums[len(starts) :] - sums[: len(starts)]) * back + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of each word."""
-    inside = ~SPACE[buf]
+def words(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each word: a run of bytes that are not marked in gap."""
+    inside = ~gap[buf]
     n = len(buf)
     edge = np.zeros(n + 1, bool)
     edge[offs] = True

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import debruijn, decontaminate, embedding_dedup, jaccard, licenses, line_dedup, mixing, quality, search, suffix_dedup, toxicity, url_filter
+from . import debruijn, decontaminate, embedding_dedup, hard_negatives, jaccard, licenses, line_dedup, mixing, quality, search, suffix_dedup, toxicity, url_filter
 from .common import read
 
 
@@ -58,5 +58,9 @@ def op12_substring_dedup(spark, sf_dir):
     return debruijn.digest(debruijn.cut(read(spark, sf_dir, "documents"), spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_quality, op4_toxicity, op5_decontamination, op6_mixing, op7_line_dedup, op8_embedding_dedup, op9_jaccard_join, op10_license_scan, op11_lexical_search, op12_substring_dedup)}
-ORACLE_SQL = {"op2_url_filter": url_filter.oracle(), "op7_line_dedup": line_dedup.oracle(), "op8_embedding_dedup": embedding_dedup.oracle(), "op9_jaccard_join": jaccard.oracle(), "op10_license_scan": licenses.oracle(), "op11_lexical_search": search.oracle(), "op12_substring_dedup": debruijn.oracle()}
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), spark)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_quality, op4_toxicity, op5_decontamination, op6_mixing, op7_line_dedup, op8_embedding_dedup, op9_jaccard_join, op10_license_scan, op11_lexical_search, op12_substring_dedup, op13_hard_negatives)}
+ORACLE_SQL = {"op2_url_filter": url_filter.oracle(), "op7_line_dedup": line_dedup.oracle(), "op8_embedding_dedup": embedding_dedup.oracle(), "op9_jaccard_join": jaccard.oracle(), "op10_license_scan": licenses.oracle(), "op11_lexical_search": search.oracle(), "op12_substring_dedup": debruijn.oracle(), "op13_hard_negatives": hard_negatives.oracle()}

@@ -18,7 +18,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 13))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_the_rest_stands_alone(tmp_path):
@@ -39,6 +39,7 @@ def test_columns_of_the_contracts(spark):
         "op9_jaccard_join": {"n_shingles": "bigint", "component_id": "bigint"},
         "op11_lexical_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
         "op12_substring_dedup": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+        "op13_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
     }
     for name, cols in want.items():
         kinds = dict(queries.QUERIES[name](spark, SF).dtypes)

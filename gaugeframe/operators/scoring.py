@@ -130,18 +130,20 @@ def set_scores(results: DataFrame, languages: list[str]) -> DataFrame:
     )
 
 
-def score_groups(results: DataFrame, languages: list[str] = LANGUAGES) -> DataFrame:
+def score_groups(results: DataFrame, languages: list[str] = LANGUAGES, judged: DataFrame | None = None) -> DataFrame:
     """model_id, task_id, reasoning_mode, lang (null: all), n, metric, position, value, error.
 
     results: KEYS, sample_id, lang, model_output and the references ref_text,
     ref_label, ref_set, ref_html. Failed calls are scored from their error text.
     Parsers are total and ratios null-safe, so no group can fail another; a group
     that cannot be scored is one row, of metric 'error', that tells why.
+    judged: rows of judge.stage_scores, which come with the others.
     """
     wrong = unscored(results)
     sound = results.join(wrong.select(*KEYS), KEYS, "left_anti")
     parts = [qa_scores(sound), table_scores(sound), summary_scores(sound, languages), label_scores(sound, languages), set_scores(sound, languages)]
-    return reduce(DataFrame.unionAll, parts).withColumn("error", F.lit(None).cast("string")).unionByName(wrong)
+    out = reduce(DataFrame.unionAll, parts).withColumn("error", F.lit(None).cast("string")).unionByName(wrong)
+    return out if judged is None else out.unionByName(judged)
 
 
 #: The reference that a task is scored against.

@@ -14,13 +14,20 @@ ERROR = "__ERROR__: "
 
 
 def replay(planned: DataFrame, responses: DataFrame) -> DataFrame:
-    """planned with model_output, finish_reason, usage and latency_ms. A call that failed, or has no answer, keeps its error as its output and is scored like any other."""
+    """planned with model_output, finish_reason, usage and latency_ms. A call that failed, or has no answer, keeps its error as its output and is scored like any other.
+
+    A sample that was asked about more than once has one answer: one that didn't fail before one that did, then by
+    request_id and text, so that it is the same in every run.
+    """
     r = responses.select(*KEYS, *[c for c in ("text", "error", "finish_reason", "usage", "latency_ms", "request_id") if c in responses.columns])
     for c, kind in (("error", "string"), ("finish_reason", "string"), ("usage", "string"), ("latency_ms", "double"), ("request_id", "string")):
         if c not in r.columns:
             r = r.withColumn(c, F.lit(None).cast(kind))
-    joined = planned.join(r, KEYS, "left")
     failed = F.col("error").isNotNull() | F.col("text").isNull()
+    columns = [c for c in r.columns if c not in KEYS]
+    first = F.min_by(F.struct(*columns), F.struct(failed, F.col("request_id").isNull(), "request_id", "text", "error"))
+    r = r.groupBy(*KEYS).agg(first.alias("r")).select(*KEYS, "r.*")
+    joined = planned.join(r, KEYS, "left")
     return joined.withColumns(
         {
             "model_output": F.when(failed, F.concat(F.lit(ERROR), F.coalesce("error", F.lit("no response")))).otherwise(F.col("text")),

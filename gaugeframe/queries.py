@@ -813,6 +813,69 @@ def judge_by_language(spark, sf_dir):
     return judge.judge_by_language(j, ["grp"], ["en", "ko", "fr"]).select("grp", "lang", "n", F.round("judge_mean", 9).alias("judge_mean"), "error")
 
 
+# What the judge says about the answers of run_results: texts of judge_texts by (conv_id, turn); every fourth conversation's calls fail, those of TXT-5 for m1 only.
+JUDGED = "with " + TURNS[len("with ") :] + ", " + JUDGE[len("with ") :] + """, r as (select 'm' || (turn % 2) as model_id, conv_id, turn, conv_id * 100 + turn as sample_id, gold, case when conv_id % 2 = 0 then 'en' else 'ko' end as lang, case when conv_id % 9 = 0 then '' else trim(pred, ' \n') end as pred, score, conv_id % 4 = 0 as down
+ from pairs join s using (conv_id, turn)),
+st as (select model_id, sum(coalesce(case when not down then score end, 3))::double / count(*)::double as three, count(*) as n, sum(score) filter (not down and pred <> '')::double / nullif(count(score) filter (not down and pred <> ''), 0)::double as skip, count(score) filter (not down and pred <> '') as n_skip from r group by model_id),
+five as (select model_id, lang, sum(coalesce(score, 3))::double / count(*)::double as v, count(*) as n, model_id = 'm1' and (select bool_or(down) from r d where d.model_id = 'm1') as broken from r group by grouping sets ((model_id), (model_id, lang))),
+stage as (select model_id, task_id, null::varchar as lang, n, 'judge_mean' as metric, three as value, null::varchar as error from st, (values ('TXT-1'), ('TXT-2'), ('TXT-4')) t(task_id)
+ union all select model_id, 'IMG-1', null, n_skip, 'judge_score_mean', coalesce(skip, 0), null from st
+ union all select model_id, 'TXT-5', lang, n, case when broken then 'error' else 'judge_score_mean' end, case when not broken then v end, case when broken then 'judge: __ERROR__: status 500' end from five where not broken or lang is null) """
+
+
+def judge_inputs(spark, sf_dir):
+    """A run's answers with what they were asked, the judge's requests, and its answers to them."""
+    r = run_results(spark, sf_dir).where(F.col("task_id").isin(*judge.STAGE)).withColumns({"question": F.concat(F.lit("q"), F.col("sample_id").cast("string")), "context": F.when(F.col("sample_id") % 2 == 0, F.col("lang")), "table": F.lit("| a |")})
+    requests = judge.judge_requests(r, "judge", {"TXT-1": RUBRICS["X"], "TXT-2": RUBRICS["IMG-1"], "TXT-5": RUBRICS["TXT-5"]})
+    said = judge_texts(spark, sf_dir).select((F.col("conv_id") * 100 + F.col("turn")).alias("sample_id"), "judge_text", (F.col("conv_id") % 4 == 0).alias("down"))
+    said = requests.select(*provider.KEYS).join(said, "sample_id")
+    down = F.col("down") & ((F.col("task_id") != "TXT-5") | (F.col("model_id") == "m1"))
+    responses = said.select(*provider.KEYS, F.when(~down, F.col("judge_text")).alias("text"), F.when(down, F.lit("status 500")).alias("error"))
+    return r, requests, provider.replay(requests, responses)
+
+
+RUBRIC_LINES = {"TXT-1": "", "TXT-2": "  3: fair", "TXT-4": "\n".join(f"  {k}: {v}" for k, v in judge.FALLBACK["TXT-4"]["anchors"].items()), "TXT-5": "", "IMG-1": "\n".join(f"  {k}: {v}" for k, v in judge.FALLBACK["IMG-1"]["anchors"].items())}
+ABOUT = {"TXT-1": ("TXT-1", ""), "TXT-2": ("Captions", ""), "TXT-4": ("한국어 독해 QA", "주어진 지문에서 정확한 정답을 추출하는 능력 평가"), "TXT-5": ("TXT-5", "d"), "IMG-1": ("Image Captioning", "Evaluate image captions for accuracy, completeness, and clarity.")}
+ASKED = ", about(task_id, name, description, anchors) as (values " + ", ".join(f"('{t}', '{ABOUT[t][0]}', '{ABOUT[t][1]}', '{RUBRIC_LINES[t]}')" for t in ABOUT) + ") "
+
+
+@query(
+    JUDGED
+    + ASKED
+    + """select model_id, task_id, sample_id, 'You are an expert evaluator for the following task:\n\n**Task:** ' || name || '\n**Description:** ' || description || '\n\n**Question/Context:**\n'
+ || case task_id when 'TXT-1' then case when sample_id % 2 = 0 then 'Document text: ' || lang || '\n\n' else '' end || 'Question: q' || sample_id when 'TXT-2' then 'Table:\n| a |\n\nQuestion: q' || sample_id
+   when 'TXT-4' then '지문: ' || case when sample_id % 2 = 0 then lang else '' end || '\n\n질문: q' || sample_id when 'TXT-5' then 'Summarize the following document (language: ' || lang || '):' else 'Describe this image in one sentence.' end
+ || '\n\n**Reference (ground truth):**\n' || gold || '\n\n**Candidate output to evaluate:**\n' || pred || '\n\n**Scoring rubric (1–5):**\n' || anchors
+ || '\n\nPlease evaluate the candidate output against the reference and provide a score from 1 to 5.\nInclude brief reasoning, then state your final score clearly (e.g., "Score: 4").\n' as prompt
+from r, about where task_id <> 'IMG-1' or pred <> ''"""
+)
+def judge_stage_requests(spark, sf_dir):
+    """What the judge is asked about a run: an entry of the rubric file, one that the file names otherwise, and fallbacks."""
+    return judge_inputs(spark, sf_dir)[1].select("model_id", "task_id", "sample_id", "prompt")
+
+
+@query(JUDGED + "select model_id, task_id, lang, n::bigint as n, metric, round(value, 9) as value, error from stage")
+def judged_run(spark, sf_dir):
+    """The judge stage of a run under each task's policy on answers without a score and calls that fail."""
+    r, _, said = judge_inputs(spark, sf_dir)
+    out = judge.stage_scores(r, said, scoring.LANGUAGES)
+    return out.select("model_id", "task_id", "lang", "n", "metric", F.round("value", 9).alias("value"), "error")
+
+
+@query(
+    JUDGED
+    + """, v as (select model_id, task_id, round_even(value, 4) as v from stage where lang is null and value is not null and task_id = 'IMG-1'
+ union all select model_id, 'TXT-2', round_even(avg((pred <> '' and regexp_replace(lower(pred), '\\s+', ' ', 'g') = regexp_replace(lower(trim(gold, ' \n')), '\\s+', ' ', 'g'))::int), 4) from r group by model_id)
+select task_id, model_id as winner, v as score_4 from (select *, row_number() over (partition by task_id order by v desc, model_id) as k from v) where k = 1"""
+)
+def judged_winners(spark, sf_dir):
+    """Winners by the scores of a run and its judge together: captions have no other metric that can stand for them, table questions have their accuracy."""
+    r, _, said = judge_inputs(spark, sf_dir)
+    scores = scoring.score_groups(r.where("task_id in ('IMG-1', 'TXT-2')"), judged=judge.stage_scores(r, said, scoring.LANGUAGES))
+    whole = scores.where("lang is null and task_id in ('IMG-1', 'TXT-2')").withColumn("ordinal", F.substring("model_id", 2, 9).cast("int"))
+    return rank.winners(rank.representative(whole)).select("task_id", "winner", "score_4")
+
+
 # ---- sample builders -----------------------------------------------------------------------------------------
 
 

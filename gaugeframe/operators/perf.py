@@ -1,50 +1,16 @@
-"""Latency and token aggregates by model, with exact order statistics that need no sorted list of a group."""
+"""Latency, token and cost aggregates by model, with exact order statistics that need no sorted list of a group."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: percentile_approx is within one of so many parts of the rank; the exact value is looked up within twice that.
-ACCURACY = 10_000
-
-
-def order_statistics(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[float, Column]], few: bool = True) -> DataFrame:
-    """keys and, by name, the value of exact rank. ranks: name -> (quantile near it, rank from 0 as a function of _n).
-
-    A first pass brackets each rank by approximate quantiles; a second counts the
-    rows below a bracket and, inside, rows by distinct value. So a group of any
-    size shrinks to a small part of its values, and ties to one row, before
-    anything is ordered. few: there are no more groups than a configuration
-    names (models, cells of a plan), so the brackets go to the rows; without it
-    both sides are joined by key, for any number of groups.
-    """
-    rows = rows.where(F.col(value).isNotNull())
-    slack = 2.0 / ACCURACY
-    ends = {n: (max(q - slack, 0.0), min(q + slack, 1.0)) for n, (q, _) in ranks.items()}
-    near = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(value, F.lit(list(e)), ACCURACY).alias(f"_{n}") for n, e in ends.items()], F.min(value).alias("_min"), F.max(value).alias("_max"))
-    for n, (lo, hi) in ends.items():
-        # beside the approximation, leave room for the neighbours of a rank in a small group
-        small = F.col("_n") <= ACCURACY
-        near = near.withColumn(f"_{n}lo", F.when(small, F.col("_min")).otherwise(F.get(f"_{n}", F.lit(0)))).withColumn(f"_{n}hi", F.when(small, F.col("_max")).otherwise(F.get(f"_{n}", F.lit(1))))
-    joined = rows.select(*keys, F.col(value).alias("_v")).join(F.broadcast(near) if few else near, keys)
-    inside = reduce(lambda a, b: a | b, [(F.col("_v") >= F.col(f"_{n}lo")) & (F.col("_v") <= F.col(f"_{n}hi")) for n in ends])
-    # values outside all brackets fall between them and need only be counted
-    slot = F.when(inside, F.col("_v"))
-    gap = reduce(lambda a, b: a + b, [(F.col("_v") > F.col(f"_{n}hi")).cast("int") for n in ends])
-    count = joined.groupBy(*keys, slot.alias("_slot"), gap.alias("_gap")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_at"), F.first("_n").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    count = count.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    pick = lambda r: F.min(F.when((F.col("_lo") <= r) & (r < F.col("_hi")), F.col("_slot")))
-    return count.groupBy(*keys).agg(*[pick(r).alias(n) for n, (_, r) in ranks.items()])
-
+from .ranges import order_statistics
 
 def median_and_p95(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, median (mean of the middle two), p95: the sorted element at round-half-even(0.95 (n - 1))."""
     n = F.col("_n")
-    got = order_statistics(rows, keys, value, {"a": (0.5, F.floor((n - 1) / 2)), "b": (0.5, F.ceil((n - 1) / 2)), "p": (0.95, F.rint(F.lit(0.95) * (n - 1)).cast("long"))})
+    got = order_statistics(rows, keys, value, {"a": F.floor((n - 1) / 2), "b": F.ceil((n - 1) / 2), "p": F.rint(F.lit(0.95) * (n - 1))})
     return got.select(*keys, ((F.col("a") + F.col("b")) / 2).alias("median"), F.col("p").cast("double").alias("p95"))
 
 

@@ -90,19 +90,25 @@ priced as (select t.*, greatest(0, prompt - cached) as billable_in, tier, dbu_in
 
 
 def perf_input(spark, sf_dir):
-    return calls(spark, sf_dir).withColumn("usd", F.lit(None).cast("double"))
+    """Calls with what each cost; an endpoint without rates costs nothing."""
+    return cost.with_usd(calls(spark, sf_dir), cost.rate_table(spark, CARD), CARD["usd_per_dbu"])
+
+
+USD = "0.07::double * (billable_in * dbu_in + billable_out * dbu_out + cached * dbu_cr + cache_write * dbu_cw) / 1000000::double * promo"
 
 
 @query(
     CALLS
+    + f""", spent as (select model_id, sum({USD}) as usd from priced where not is_error group by model_id)"""
     + """, ok as (select model_id, latency_ms, row_number() over (partition by model_id order by latency_ms) - 1 as r, count(*) over (partition by model_id) as n from calls where not is_error)
 select c.model_id, count(*)::bigint as n_calls, count(*) filter (is_error)::bigint as errors,
   (select (min(latency_ms) filter (r = (n - 1) // 2) + min(latency_ms) filter (r = n // 2)) / 2.0::double from ok where ok.model_id = c.model_id)::double as latency_ms_median,
   (select min(latency_ms) filter (r = round_even(0.95::double * (n - 1), 0)::bigint) from ok where ok.model_id = c.model_id)::double as latency_ms_p95,
+  (select round(coalesce(usd, 0), 6) from spent where spent.model_id = c.model_id)::double as total_usd,
   sum(k) filter (not is_error)::bigint as in_tokens, sum(k * 7) filter (not is_error)::bigint as out_tokens from calls c group by c.model_id"""
 )
 def perf_by_model(spark, sf_dir):
-    return perf.perf_by_model(perf_input(spark, sf_dir)).drop("total_usd")
+    return perf.perf_by_model(perf_input(spark, sf_dir)).withColumn("total_usd", F.round("total_usd", 6))
 
 
 @query(
@@ -162,6 +168,32 @@ def wilcoxon_w(spark, sf_dir):
     return stats.signed_ranks(p.withColumn("grp", F.col("user_id") % 4), ["grp"]).select("grp", "n", "n_nonzero", F.col("w").cast("double").alias("w"))
 
 
+@query(
+    """with s as (select 'T' || (user_id % 4) as task_id, event_type as model_id, user_id as sample_id, round(avg(value), 6) as v from events where event_type <> 'error' group by all
+ union all select 'small', event_type, user_id, round(avg(value), 6) from events where event_type <> 'error' and user_id < 40 group by all
+ union all select 'whole', event_type, user_id, round(avg(value)) from events where event_type <> 'error' group by all),
+h as (select task_id, model_id, count(*) as k from s group by all),
+c as (select a.task_id, a.model_id as a, b.model_id as b, a.k + b.k as k from h a join h b on a.task_id = b.task_id and a.model_id < b.model_id),
+d as (select a.task_id, a.model_id as a, b.model_id as b, a.v - b.v as d from s a join s b on a.task_id = b.task_id and a.sample_id = b.sample_id and a.model_id < b.model_id),
+r as (select task_id, a, b, d, rank() over (partition by task_id, a, b order by abs(d)) + (count(*) over (partition by task_id, a, b, abs(d)) - 1) / 2.0 as rk from d where d <> 0),
+t as (select task_id, a, b, sum(t * t * t - t) as ties from (select task_id, a, b, count(*) as t from d where d <> 0 group by task_id, a, b, abs(d)) group by all),
+w as (select task_id, a, b, count(*) as nz, least(coalesce(sum(rk) filter (d > 0), 0), coalesce(sum(rk) filter (d < 0), 0))::double as w from r group by all),
+x as (select c.task_id, c.a, c.b, c.k, coalesce(n, 0) as n, coalesce(nz, 0) as nz, w, coalesce(ties, 0) as ties from c left join (select task_id, a, b, count(*) as n from d group by all) using (task_id, a, b) left join w using (task_id, a, b) left join t using (task_id, a, b)),
+recursive_ways as (with recursive ways(n, c) as (select 0, [1::double] union all select n + 1, list_transform(range(0, (n + 1) * (n + 2) // 2 + 1), lambda i: coalesce(c[i + 1], 0) + case when i > n then coalesce(c[i - n], 0) else 0 end) from ways where n < 50) select * from ways),
+z as (select *, abs(w - nz * (nz + 1) / 4::double) / sqrt(nz * (nz + 1) * (2 * nz + 1) / 24::double - ties / 48::double) as z from x),
+p as (select *, case when k <> 2 * n or n < 2 or nz < 2 then null when ties = 0 and nz = n and n <= 50 then least(1, 2 * (select list_sum(c[1 : z.w::bigint + 1]) from recursive_ways v where v.n = z.nz) / pow(2, nz))
+ else 1 - 2 / sqrt(2 * pi()) * z / 6000 * (1 + exp(-z * z / 2) + list_sum(list_transform(range(1, 2000), lambda i: (case when i % 2 = 1 then 4 else 2 end) * exp(-pow(z * i / 2000, 2) / 2)))) end as pval from z)
+select task_id, a as model_a, b as model_b, n::bigint as n, w, round(pval, 8) as pval, coalesce(pval < 0.05, false) as significant, (k - 2 * n)::bigint as unpaired from p"""
+)
+def wilcoxon_pairs(spark, sf_dir):
+    """Every two kinds of events compared by the users' mean values: by a quarter of the users, for few users where p is exact, and with ties."""
+    e = read(spark, sf_dir, "events").where("event_type <> 'error'").withColumnRenamed("event_type", "model_id")
+    score = lambda rows, task, digits: rows.groupBy(task.alias("task_id"), "model_id", F.col("user_id").alias("sample_id")).agg(F.round(F.avg("value"), digits).alias("score"))
+    s = score(e, F.concat(F.lit("T"), (F.col("user_id") % 4).cast("string")), 6).unionAll(score(e.where("user_id < 40"), F.lit("small"), 6)).unionAll(score(e, F.lit("whole"), 0))
+    out = stats.wilcoxon_pairs(s, ["task_id"])
+    return out.select("task_id", "model_a", "model_b", "n", "w", F.round("pval", 8).alias("pval"), "significant", "unpaired")
+
+
 # ---- answers derived from conversations ----------------------------------------------------------------------
 
 
@@ -667,11 +699,11 @@ def quant_table(spark, sf_dir):
 
 @query(
     CALLS
-    + """, p as (select model_id, sum(k) filter (not is_error) as cost, median(latency_ms) filter (not is_error) as med from calls group by model_id)
+    + """, p as (select model_id, coalesce(sum(0.07::double * (billable_in * dbu_in + billable_out * dbu_out + cached * dbu_cr + cache_write * dbu_cw) / 1000000::double * promo) filter (not is_error), 0) as cost, median(latency_ms) filter (not is_error) as med from priced group by model_id)
 select 'cheapest' as kind, (select model_id from p order by cost, model_id limit 1) as model_id union all select 'fastest', (select model_id from p where med is not null order by med, model_id limit 1)"""
 )
 def cheapest_fastest(spark, sf_dir):
-    p = perf.perf_by_model(perf_input(spark, sf_dir)).withColumn("total_usd", F.col("in_tokens").cast("double")).withColumn("ordinal", F.substring("model_id", 2, 9).cast("int"))
+    p = perf.perf_by_model(perf_input(spark, sf_dir)).withColumn("ordinal", F.substring("model_id", 2, 9).cast("int"))
     return rank.cheapest_fastest(p)
 
 

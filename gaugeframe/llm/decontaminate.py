@@ -1,22 +1,26 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-1. Every n-gram of ``SEED`` words of an item is a seed, so that an edited copy
-   is aligned wherever as many successive words of it are left. A copy without
-   ``SEED`` successive words of the item is not found.
-2. A document's n-grams are joined to the seeds by hash. Each hit proposes a
-   diagonal; diagonals of one item that lie near each other are one window.
-3. The window and the whole item are aligned word by word (Smith-Waterman: match
-   +2, substitution -1, gap -1), all windows of a batch at once.
-4. A document holds an item when the alignment scores ``SHARE`` of the item's
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+1. The n-grams of ``SEED`` words of all items are looked for in all documents, and those that occur
+   are counted: how often in documents, and how often in items. What a seed costs is the product of
+   both, the number of rows that it joins.
+2. An item's seeds are its rare n-grams: of those that occur, the cheaper half, and
+   any other that costs at most ``RARE`` times what the dearest of that half does. So an edited copy is
+   found wherever one rare n-gram of it is left; one that has kept none is not.
+3. Seeds join documents to items by hash. Each hit proposes a diagonal; diagonals of one item that lie
+   near each other are one window. A document and an item meet once, whatever the number of hits.
+4. A document that holds too few of an item's words to reach the score is left out, and then so is each such window;
+   both are upper bounds, so nothing is lost. The other windows and the whole item are aligned word by word (Smith-Waterman: match
+   +2, substitution -1, gap -1), many at once.
+5. A document holds an item when the alignment scores ``SHARE`` of the item's
    self-alignment or more, or ``LONG`` points or more: an edited copy of most of
    the item, or a long exact part of it. Items of fewer than ``LEAST`` words
    must be found whole.
 
-The seeds are broadcast in blocks of at most ``BLOCK`` n-grams, so a benchmark
-of any size is read in bounded memory. Documents are read whole and scored in
-place: no text is shuffled. Null and empty texts and items match nothing; items
+Documents are read twice: for n-grams, of which a filter of fixed size passes those of items and few others, and for the texts of those with hits.
+The benchmark never goes through the driver. Texts are known by two digests of 64 bits, so copies of one text are judged alike.
+Null and empty texts and items match nothing; items
 with fewer words than a seed are one n-gram of their own length; equal items
-are each reported, items without an id not at all; repeated rows, and rows without an id, are each scored; an empty table or
+are each reported, items without an id not at all; repeated rows, and rows without an id, are each reported; an empty table or
 benchmark gives an empty result; extra columns are left out, and pass through where rows are filtered.
 """
 
@@ -26,14 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .common import Scratch, free_name
+from .search import term_filter
 from .tokens import chunks, hash_ranges, ngrams, words
 
 SEED = 3
 MATCH, MISS, GAP = 2, -1, -1
 SHARE, LONG, LEAST = 0.4, 60, 8
-BLOCK = 500_000
+RARE = 16
+#: Bits of the filter of the items' n-grams.
+BITS = 24
 #: Words of windows and items that are aligned at once.
 AREA = 100_000
 SLACK = 12
@@ -61,44 +70,93 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hash_ranges(buf, s, e, fold=True), doc
 
 
-def items_of(benchmark: DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """Word hashes of the benchmark's items, without those that have no words; read partition by partition."""
-    for item, text in benchmark.where("text is not null and item_id is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        raw = np.frombuffer(text.encode(), np.uint8)
-        if len(raw):
-            h, _ = word_hashes(raw, np.array([0, len(raw)]))
-            if len(h):
-                yield item, h
-
-
-def item_grams(h: np.ndarray) -> np.ndarray:
-    k = min(SEED, len(h))
-    return ngrams(h, np.zeros(len(h), np.int64), k)[0]
-
-
-def member(known: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Place of each found hash in known (sorted), else -1. A table of bits rules most out at once."""
-    if not len(known):
-        return np.full(len(found), -1)
-    bits = np.zeros(1 << 20, bool)
-    bits[(known >> np.uint64(44)).astype(np.int64)] = True
-    out = np.full(len(found), -1)
-    may = np.flatnonzero(bits[(found >> np.uint64(44)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(known, found[may]), len(known) - 1)
-    hit = known[at] == found[may]
-    out[may[hit]] = at[hit]
-    return out
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """item (a number of its own), item_id, words (digests) of the items that have words."""
+
+    def run(batches):
+        for b in batches:
+            for i, j, buf, offs in chunks(b.column("text")):
+                h, doc = word_hashes(buf, offs)
+                count = np.bincount(doc, minlength=j - i)
+                filled = pa.array(i + np.flatnonzero(count))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count[count > 0])].astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("item").take(filled), b.column("item_id").take(filled), lists], ["item", "item_id", "words"])
+
+    rows = benchmark.where("text is not null and item_id is not null").select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    return rows.mapInArrow(run, "item long, item_id long, words array<long>")
+
+
+def item_grams(items: DataFrame) -> DataFrame:
+    """item, term (digest of an n-gram), place of each n-gram of the items, and its length."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for item, ws in zip(b.column("item").to_pylist(), b.column("words")):
+                h = ws.values.to_numpy().view(np.uint64)
+                k = min(SEED, len(h))
+                grams, place = ngrams(h, np.zeros(len(h), np.int64), k)
+                out.append((np.full(len(grams), item), grams.view(np.int64), place.astype(np.int32), np.full(len(grams), k, np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["item", "term", "place", "size"])
 
+    return items.select("item", "words").mapInArrow(run, "item long, term long, place int, size int")
 
-def seed_table(items: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """Sorted distinct hashes of the n-grams of all items, the range of each hash's places, and item and word of each place."""
-    grams = [item_grams(h) for _, h in items]
-    key = np.concatenate(grams)
-    item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
-    word = np.concatenate([np.arange(len(g)) for g in grams])
-    order = np.lexsort((word, item, key))
-    known, first = np.unique(key[order], return_index=True)
-    return known, first, np.r_[first[1:], len(key)], item[order], word[order]
+
+KEY = ["t1", "t2"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """text and two digests of it (KEY) of the documents that have any."""
+    return docs.where("text <> ''").select(*digests(KEY), "text")
+
+
+def digests(names: list[str]) -> list[Column]:
+    return [F.xxhash64("text").alias(names[0]), F.xxhash64(F.lit(7), "text").alias(names[1])]
+
+
+def occurrences(texts: DataFrame, sizes: list[int], keep: np.ndarray, spark: SparkSession) -> DataFrame:
+    """term, KEY, pos of the n-grams of texts that the filter passes."""
+    shared = spark.sparkContext.broadcast(np.packbits(keep))
+
+    def run(batches):
+        asked = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            keys = [b.column(c).to_numpy() for c in KEY]
+            for i, _, buf, offs in chunks(b.column("text")):
+                h, doc = word_hashes(buf, offs)
+                first = np.searchsorted(doc, doc)
+                for k in sizes:
+                    grams, at = ngrams(h, doc, k)
+                    some = asked[(grams >> np.uint64(64 - BITS)).astype(np.int64)]
+                    grams, at = grams[some], at[some]
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), *[pa.array(c[i + doc[at]]) for c in keys], pa.array((at - first[at]).astype(np.int32))], ["term", *KEY, "pos"])
+
+    return texts.mapInArrow(run, "term long, t1 long, t2 long, pos int")
+
+
+def rare_seeds(grams: DataFrame, found: DataFrame) -> DataFrame:
+    """term, item, place of the seeds: of an item's n-grams that occur the cheaper half, and those at most RARE times as dear."""
+    cost = found.groupBy("term").agg(F.count(F.lit(1)).alias("f")).join(grams.groupBy("term").agg(F.count(F.lit(1)).alias("g")), "term").select("term", (F.col("f") * F.col("g")).alias("cost"))
+    each = grams.select("item", "term").distinct().join(cost, "term")
+    order = Window.partitionBy("item").orderBy("cost", "term")
+    each = each.withColumns({"n": F.row_number().over(order), "of": F.count(F.lit(1)).over(Window.partitionBy("item"))})
+    half = F.ceil(F.col("of") / 2)
+    each = each.withColumn("middle", F.max(F.when(F.col("n") == half, F.col("cost"))).over(Window.partitionBy("item")))
+    seeds = each.where((F.col("n") <= half) | (F.col("cost") <= RARE * F.col("middle"))).select("item", "term")
+    return grams.select("item", "term", "place").join(seeds, ["item", "term"])
+
+
+def proposals(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, scratch: Scratch) -> DataFrame:
+    """KEY, items: array of (item_id, words, starts) that a text has seeds of."""
+    items = scratch.keep(item_words(benchmark))
+    grams = scratch.keep(item_grams(items))
+    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())
+    found = occurrences(keyed(docs), sizes, term_filter(grams, BITS), spark)
+    found = scratch.keep(found.join(grams.select("term").distinct(), "term"))
+    hits = found.join(rare_seeds(grams, found), "term").groupBy(*KEY, "item").agg(F.collect_set(F.col("pos") - F.col("place")).alias("starts"))
+    met = hits.join(items, "item").groupBy(*KEY).agg(F.collect_list(F.struct("item_id", "words", "starts")).alias("items"))
+    return scratch.keep(met)
 
 
 def align(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -132,111 +190,92 @@ def by_area(width: np.ndarray, deep: np.ndarray) -> Iterator[np.ndarray]:
         lo = hi
 
 
-def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The items in blocks of at most BLOCK words, or of one longer item."""
-    block: list[tuple[int, np.ndarray]] = []
-    size = 0
-    for item in items_of(benchmark):
-        if block and size + len(item[1]) > BLOCK:
-            yield block
-            block, size = [], 0
-        block.append(item)
-        size += len(item[1])
-    if block:
-        yield block
+def need(n: int) -> float:
+    """The least score by which a document holds an item of n words."""
+    return min(MATCH * n * (SHARE if n >= LEAST else 1), LONG)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
-    """doc_id, item_id, score, share of each item that a document holds."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, score int, share double"
-    out = spark.createDataFrame([], schema)
-    for i, block in enumerate(blocks_of(benchmark)):
-        found = scan(docs.select("doc_id", "text"), block, spark, schema)
-        out = out.unionAll(found) if i else found
+def windows_of(starts: np.ndarray, n: int, size: int) -> list[tuple[int, int]]:
+    """Ranges of a document of size words around diagonals: those within SLACK are one, and one longer than two items is cut into overlapping ones."""
+    starts = np.sort(starts)
+    first = np.flatnonzero(np.r_[True, np.diff(starts) > SLACK])
+    last = np.r_[first[1:], len(starts)] - 1
+    step, out = n + 2 * SLACK, []
+    for lo, hi in zip((starts[first] - SLACK).tolist(), (starts[last] + n + SLACK).tolist()):
+        at, hi = max(lo, 0), min(hi, size)
+        while True:
+            out.append((at, min(at + 2 * step, hi)))
+            if at + 2 * step >= hi:
+                break
+            at += step
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
-    """docs, all columns, without those that hold a benchmark item; rows are judged where they lie, without a join."""
-    for block in blocks_of(benchmark):
-        docs = scan(docs, block, spark, docs.schema, keep_clean=True)
-    return docs
+def scores_of(h: np.ndarray, items: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    """The best alignment of each item (words, starts) with a document's words h; 0 where bounds rule it out."""
+    out = [0] * len(items)
+    if not items:
+        return out
+    have = np.unique(h)
+    size = [len(w) for w, _ in items]
+    every = np.concatenate([w for w, _ in items])
+    at = np.minimum(np.searchsorted(have, every), len(have) - 1)
+    inside = np.add.reduceat(have[at] == every, np.r_[0, np.cumsum(size)[:-1]])
+    spans: list[tuple[int, int, int]] = []
+    for i in np.flatnonzero(MATCH * inside >= [need(n) for n in size]):
+        w, starts = items[i]
+        # how many words of each range are some word of the item
+        met = np.r_[0, np.cumsum(np.isin(h, w))]
+        spans += [(int(i), lo, hi) for lo, hi in windows_of(starts, size[i], len(h)) if MATCH * (met[hi] - met[lo]) >= need(size[i])]
+    if not spans:
+        return out
+    who, lo, hi = (np.array(x) for x in zip(*spans))
+    width, deep = hi - lo, np.array(size)[who]
+    for part in by_area(width, deep):
+        left, right = np.zeros((len(part), int(width[part].max())), np.uint64), np.ones((len(part), int(deep[part].max())), np.uint64)
+        for r, x in enumerate(part):
+            left[r, : width[x]] = h[lo[x] : hi[x]]
+            right[r, : deep[x]] = items[who[x]][0]
+        for x, s in zip(part, align(left, right)):
+            out[who[x]] = max(out[who[x]], int(s))
+    return out
 
 
-def scan(docs: DataFrame, items: list, spark: SparkSession, schema, keep_clean: bool = False) -> DataFrame:
-    """The items that documents hold, or with keep_clean the rows that hold none."""
-    shared = spark.sparkContext.broadcast((*seed_table(items), items))  # at most BLOCK words, or one longer item
+def held(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
+    """KEY, item_id, score, share of each item that a text holds."""
+    scratch = Scratch(spark, "leaks")
+    met = proposals(docs, benchmark, spark, scratch)
 
     def run(batches):
-        known, lo, hi, of_item, at_word, items = shared.value
-        lengths = np.array([len(h) for _, h in items])
         for b in batches:
-            ids, found, score, share = [], [], [], []  # ids: rows of the batch
-            for i, _, buf, offs in chunks(b.column("text")):
-                h, doc = word_hashes(buf, offs)
-                sizes = np.bincount(doc, minlength=len(offs) - 1)
-                first = np.r_[0, np.cumsum(sizes)]
-                pos, hit = [], []
-                for k in sorted({min(SEED, n) for n in lengths.tolist()}):
-                    grams, at = ngrams(h, doc, k)
-                    m = member(known, grams)
-                    pos.append(at[m >= 0])
-                    hit.append(m[m >= 0])
-                pos, hit = np.concatenate(pos), np.concatenate(hit)
-                if not len(pos):
-                    continue
-                reps = (hi - lo)[hit]
-                slot = np.repeat(lo[hit], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
-                pos = np.repeat(pos, reps)
-                item, start = of_item[slot], pos - at_word[slot]
-                # diagonals of a document and item that lie within SLACK are one window
-                order = np.lexsort((start, item, doc[pos]))
-                item, start, d = item[order], start[order], doc[pos][order]
-                new = np.r_[True, (item[1:] != item[:-1]) | (d[1:] != d[:-1]) | (start[1:] - start[:-1] > SLACK)]
-                group = np.cumsum(new) - 1
-                begin = start[new]
-                end = np.zeros(new.sum(), np.int64)
-                np.maximum.at(end, group, start)
-                item, d = item[new], d[new]
-                begin, end = np.maximum(begin - SLACK, first[d]), np.minimum(end + lengths[item] + SLACK, first[d + 1])
-                # windows longer than two items (repeats of a seed) are cut into overlapping ones
-                w_item, w_doc, w_lo, w_hi = [], [], [], []
-                for x in range(len(item)):
-                    step = int(lengths[item[x]]) + 2 * SLACK
-                    at = int(begin[x])
-                    while True:
-                        w_item.append(item[x])
-                        w_doc.append(d[x])
-                        w_lo.append(at)
-                        w_hi.append(min(at + 2 * step, int(end[x])))
-                        if at + 2 * step >= end[x]:
-                            break
-                        at += step
-                w_item, w_doc, w_lo, w_hi = (np.array(v) for v in (w_item, w_doc, w_lo, w_hi))
-                best: dict[tuple[int, int], int] = {}
-                span = w_hi - w_lo
-                for part in by_area(span, lengths[w_item]):
-                    width, deep = int(span[part].max()), int(lengths[w_item[part]].max())
-                    left, right = np.zeros((len(part), width), np.uint64), np.ones((len(part), deep), np.uint64)
-                    for r, x in enumerate(part):
-                        left[r, : span[x]] = h[w_lo[x] : w_hi[x]]
-                        right[r, : lengths[w_item[x]]] = items[w_item[x]][1]
-                    for x, s in zip(part, align(left, right)):
-                        k = (int(w_doc[x]), int(w_item[x]))
-                        best[k] = max(best.get(k, 0), int(s))
-                for (dd, it), s in sorted(best.items()):
-                    n = int(lengths[it])
-                    if s >= MATCH * n * (SHARE if n >= LEAST else 1) or s >= LONG:
-                        ids.append(i + dd)
-                        found.append(items[it][0])
-                        score.append(s)
-                        share.append(s / (MATCH * n))
-            if keep_clean:
-                holds = np.ones(len(b), bool)
-                holds[ids] = False
-                yield b.filter(pa.array(holds))
-                continue
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(found, pa.int64()), pa.array(score, pa.int32()), pa.array(share, pa.float64())], ["doc_id", "item_id", "score", "share"])
-
-    return docs.mapInArrow(run, schema)
+            out: list[tuple] = []
+            for r in range(len(b)):
+                text = np.frombuffer(b.column("text")[r].as_buffer(), np.uint8)
+                h, _ = word_hashes(text, np.array([0, len(text)]))
+                own = b.column("items")[r].values
+                ids, words_, starts = (own.field(c) for c in ("item_id", "words", "starts"))
+                items = [(words_[i].values.to_numpy().view(np.uint64), starts[i].values.to_numpy().astype(np.int64)) for i in range(len(own))]
+                for i, s in enumerate(scores_of(h, items)):
+                    n = len(items[i][0])
+                    if s and s >= need(n):
+                        out.append((b.column("t1")[r].as_py(), b.column("t2")[r].as_py(), ids[i].as_py(), s, s / (MATCH * n)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], [*KEY, "item_id", "score", "share"])
+
+    texts = keyed(docs).join(met, KEY).dropDuplicates(KEY)  # copies of one text are judged once
+    return scratch.keep(texts.mapInArrow(run, "t1 long, t2 long, item_id long, score int, share double"))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
+    """doc_id, item_id, score, share of each item that a document holds."""
+    rows = docs.where("text <> ''").select("doc_id", *digests(KEY))
+    return rows.join(held(docs, benchmark, spark), KEY).select("doc_id", "item_id", "score", "share")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
+    """docs, all columns, without those that hold a benchmark item."""
+    bad = held(docs, benchmark, spark).select(*KEY).distinct()
+    names = [free_name(k, docs.columns) for k in KEY]
+    rows = docs.withColumns(dict(zip(names, digests(KEY))))
+    # a null text has digests of its own, which no text that holds an item has
+    return rows.join(bad.select(*[F.col(k).alias(n) for k, n in zip(KEY, names)]), names, "left_anti").drop(*names)

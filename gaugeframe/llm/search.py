@@ -88,11 +88,11 @@ def item_terms(items: DataFrame) -> DataFrame:
     return rows.select(F.sha2(F.concat(F.col("item_id").cast("string"), F.lit(" "), F.col("text")), 256).alias("item"), "item_id", "text").mapInArrow(run, "item string, item_id long, term long, q long")
 
 
-def term_filter(asked: DataFrame) -> np.ndarray:
-    """One bit for each value of a digest's first BITS bits: whether a term has it. Its size is fixed, whatever the number of terms."""
-    bucket = F.shiftrightunsigned("term", 64 - BITS)
-    cells = asked.select(F.shiftright(bucket, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(term, {64 - BITS}) & 63 as int))").alias("bit"))
-    out = np.zeros(1 << (BITS - 6), np.int64)
+def term_filter(asked: DataFrame, bits: int = BITS) -> np.ndarray:
+    """One bit for each value of a digest's first bits: whether a term has it. Its size is fixed, whatever the number of terms."""
+    bucket = F.shiftrightunsigned("term", 64 - bits)
+    cells = asked.select(F.shiftright(bucket, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(term, {64 - bits}) & 63 as int))").alias("bit"))
+    out = np.zeros(1 << (bits - 6), np.int64)
     for r in cells.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
         out[r["at"]] = r["bits"]
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)

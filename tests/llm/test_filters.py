@@ -1,4 +1,5 @@
 import random
+import time
 import re
 import zlib
 from fractions import Fraction
@@ -332,12 +333,41 @@ def test_windows_are_aligned_by_area():
     assert sorted(x for p in parts for x in p) == list(range(6)) and [1] in parts and [4] in parts
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "l m n o p q r s t u v")], DOCS)
-    bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "m n o p q r s t u v")], "item_id long, text string")
-    want = sorted(map(tuple, decontaminate.find(df, bench, spark).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK", 5)
-    assert len(list(decontaminate.blocks_of(bench))) == 2 and sorted(map(tuple, decontaminate.find(df, bench, spark).collect())) == want == [(1, 1, 20, 1.0), (2, 2, 20, 1.0)]
+def test_rare_seeds(spark):
+    """Of an item's n-grams that occur the cheaper half are seeds, and others that cost little more."""
+    grams = spark.createDataFrame([(1, x, i) for i, x in enumerate([10, 11, 12, 13])] + [(2, x, i) for i, x in enumerate([13, 14])] + [(3, 13, 0), (4, 99, 0)], "item long, term long, place int")
+    found = spark.createDataFrame([(x,) for x, n in ((10, 1), (11, 2), (12, 33), (13, 20)) for _ in range(n)], "term long")
+    got = sorted(tuple(r) for r in decontaminate.rare_seeds(grams, found).select("item", "term", "place").collect())
+    # item 1: costs 1, 2, 33 and 3 * 20, of which 33 is over 16 times the second; 14 and 99 don't occur
+    assert got == [(1, 10, 0), (1, 11, 1), (2, 13, 0), (3, 13, 0)]
+
+
+def test_one_phrase_in_many_items_and_one_text(spark):
+    """Items that share a phrase with a text which repeats it are ruled out at once; what a text holds of them is found."""
+    rng = random.Random(5)
+    phrase = "as far as we know".split()
+    items = [(i, [f"i{i}x{j}" for j in range(15)] + phrase + [f"i{i}y{j}" for j in range(15)]) for i in range(4000)]
+    text = []
+    for _ in range(100):
+        text += phrase + [f"t{rng.randrange(5000)}" for _ in range(70)]
+    h = lambda ws: decontaminate.word_hashes(np.frombuffer(" ".join(ws).encode(), np.uint8), np.array([0, len(" ".join(ws))]))[0]
+    starts = np.flatnonzero([text[i : i + 5] == phrase for i in range(len(text))]) - 15
+    began = time.time()
+    assert not any(decontaminate.scores_of(h(text), [(h(ws), starts) for _, ws in items]))
+    assert time.time() - began < 3  # 4,000 items and 100 places each; most of it is hashing the items
+    df = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[:200] + items[77][1] + text[200:400]))], DOCS)
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items[:300]], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.find(df, bench, spark).collect()] == [(2, 77, 70)]
+
+
+def test_copies_of_one_text(spark):
+    """All rows of a text that holds an item are reported, and go."""
+    docs = [(i, "x y z a b c d e f g h i j") for i in range(200)] + [(None, "x y z a b c d e f g h i j"), (900, "other words only")]
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (None, "other words only")], "item_id long, text string")
+    df = spark.createDataFrame([(*d, 1, 2) for d in docs], DOCS + ", T1 int, `t2.x` int")
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["item_id"]) for r in decontaminate.find(df, bench, spark).collect()) == sorted((d is None, d, 1) for d, _ in docs[:201])
+    left = decontaminate.clean(df, bench, spark)
+    assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [(900, "other words only", 1, 2)]
 
 
 @pytest.mark.parametrize("exact", [False, True])

@@ -16,7 +16,8 @@
    the item, or a long exact part of it. Items of fewer than ``LEAST`` words
    must be found whole.
 
-Documents are read twice: for n-grams, of which a filter of fixed size passes those of items and few others, and for the texts of those with hits.
+Documents are read for n-grams, of which a filter of fixed size passes those of items and few others, and again for the texts with hits, which
+such a filter picks too: no other text is shuffled.
 The benchmark never goes through the driver. Texts are known by two digests of 64 bits, so copies of one text are judged alike.
 Null and empty texts and items match nothing; items
 with fewer words than a seed are one n-gram of their own length; equal items
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name
+from .common import Scratch, shielded
 from .search import term_filter
 from .tokens import chunks, hash_ranges, ngrams, words
 
@@ -241,6 +242,19 @@ def scores_of(h: np.ndarray, items: list[tuple[np.ndarray, np.ndarray]]) -> list
     return out
 
 
+def passing(rows: DataFrame, bits: np.ndarray, spark: SparkSession, inside: bool = True) -> DataFrame:
+    """The rows whose digest t1 the filter passes, or those that it rules out."""
+    shared = spark.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches):
+        asked = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            at = (b.column("t1").to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+            yield b.filter(pa.array(asked[at] == inside))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def held(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
     """KEY, item_id, score, share of each item that a text holds."""
     scratch = Scratch(spark, "leaks")
@@ -262,7 +276,8 @@ def held(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFram
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], [*KEY, "item_id", "score", "share"])
 
-    texts = keyed(docs).join(met, KEY).dropDuplicates(KEY)  # copies of one text are judged once
+    texts = passing(keyed(docs), term_filter(met.select(F.col("t1").alias("term")), BITS), spark)
+    texts = texts.join(met, KEY).dropDuplicates(KEY)  # copies of one text are judged once
     return scratch.keep(texts.mapInArrow(run, "t1 long, t2 long, item_id long, score int, share double"))
 
 
@@ -274,8 +289,10 @@ def find(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFram
 
 def clean(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
     """docs, all columns, without those that hold a benchmark item."""
+    docs, back = shielded(docs, "text")
     bad = held(docs, benchmark, spark).select(*KEY).distinct()
-    names = [free_name(k, docs.columns) for k in KEY]
-    rows = docs.withColumns(dict(zip(names, digests(KEY))))
+    bits = term_filter(bad.select(F.col("t1").alias("term")), BITS)
     # a null text has digests of its own, which no text that holds an item has
-    return rows.join(bad.select(*[F.col(k).alias(n) for k, n in zip(KEY, names)]), names, "left_anti").drop(*names)
+    rows = docs.withColumns(dict(zip(KEY, digests(KEY))))
+    left = passing(rows, bits, spark).join(bad, KEY, "left_anti").select(*rows.columns)
+    return back(passing(rows, bits, spark, inside=False).unionAll(left).select(*docs.columns))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import decontaminate, jaccard, line_dedup, mixing, toxicity
-from gaugeframe.llm.common import Scratch, read
+from gaugeframe.llm.common import Scratch, read, shielded
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,10 +16,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines alike to an earlier line go; documents left without any text go with them."""
-    out = line_dedup.dedup_lines(docs, spark)
+    own, back = shielded(docs, "doc_id", "text", "n_chars")
+    out = line_dedup.dedup_lines(own, spark)
     cut = F.size("removed") > 0
     out = out.where(~cut | (F.col("text") != "")).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return back(out.select(*own.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

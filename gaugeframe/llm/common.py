@@ -8,6 +8,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark import SparkContext
@@ -46,6 +47,21 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def shielded(df: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df with the columns other than own under plain names, which clash with nothing an operator adds, and what gives a result its names back.
+
+    Columns that the operator has added come last, and keep their names or get those given. A column of own that df has in another case is taken for it.
+    """
+    taken = {c.lower(): i for i, c in reversed(list(enumerate(df.columns)))} | {c: i for i, c in enumerate(df.columns)}
+    place = {taken.get(c, taken.get(c.lower())): c for c in own}
+    names = [place.get(i, f"column_{i}") for i in range(len(df.columns))]
+
+    def back(out: DataFrame, *added: str) -> DataFrame:
+        return out.toDF(*df.columns, *(added or out.columns[len(names) :]))
+
+    return df.toDF(*names), back
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and driver and executors are one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

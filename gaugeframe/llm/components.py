@@ -14,10 +14,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node with a link; component: the smallest node reachable.
 
     links: columns a, b; order, repeats and self-links don't matter. Each round
-    every node hooks to its smallest neighbour and the links are rewritten to
-    hooked nodes. A local minimum hooks to nothing, so the smallest node of a
-    component survives all rounds; at least half of the others vanish. The
-    rounds' maps, each smaller than the one before, are composed backwards.
+    draws a random order of the nodes, from digests of the round and the node; every node hooks to
+    the first of itself and its neighbours, and the links are rewritten to
+    hooked nodes. Whatever the links are like, a round leaves at most some three quarters of the
+    nodes that still have one in expectation - half of them on a path - so the number of rounds grows with the logarithm
+    of the nodes. The rounds' maps, each smaller than the one before, are composed backwards, and a
+    component is named by the smallest of its nodes at the end.
     Joins are by node on two plain exchanges, so that adaptive execution can
     split the partition of a node with very many links.
     """
@@ -25,7 +27,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.keep(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps: list[DataFrame] = []
     while not edges.isEmpty():
-        hook = scratch.keep(both(edges).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")))
+        place = lambda c, n=len(maps): F.struct(F.xxhash64(F.lit(n), c).alias("place"), F.col(c).alias("to"))
+        first = both(edges).groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("near"))
+        hook = scratch.keep(first.select("node", F.least("near", place("node"))["to"].alias("to")))
         maps.append(hook)
         left = edges.join(hook.select(F.col("node").alias("a"), F.col("to").alias("na")), "a").select("na", "b")
         left = left.join(hook.select(F.col("node").alias("b"), F.col("to").alias("nb")), "b").select("na", "nb").where("na <> nb")
@@ -41,7 +45,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         return earlier.join(nxt, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
 
     first, *rest = [maps[-1].withColumnRenamed("to", "component"), *reversed(maps[:-1])]
-    return reduce(compose, rest, first)
+    rooted = scratch.keep(reduce(compose, rest, first))
+    scratch.drop(*maps)
+    names = scratch.keep(rooted.groupBy("component").agg(F.min("node").alias("name")))
+    return rooted.join(names, "component").select("node", F.col("name").alias("component"))
 
 
 def extended(named: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, release
+from .common import Scratch, release, shielded
 from .components import components, extended
 from .labelled import emit_array, salts_of, sum_arrays
 from .tokens import chunks, shingle_sets
@@ -418,9 +418,10 @@ def one_of_each(docs: DataFrame, spark: SparkSession) -> DataFrame:
 
     Rows without an id link with nothing and stay; of rows repeated with id and text one stays.
     """
+    docs, back = shielded(docs, "doc_id", "text")
     kept = classes(docs, spark).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).unionAll(docs.where("doc_id is null"))
+    return back(named.select(*docs.columns).unionAll(docs.where("doc_id is null")))
 
 
 def oracle(k: int = K, num: int = NUM, den: int = DEN) -> str:

@@ -3,8 +3,8 @@
 Two lines are alike when their edit distance over UTF-8 bytes is at most
 ``TAU``. A line of ``min_bytes`` or more that is alike to a line that occurs
 before it - in order of (doc_id, line number), its own document included - is a
-duplicate and is removed; the input is judged, not what is left. Shorter lines
-stay: a few edits would turn one into another (0 judges every line). Steps:
+duplicate and is removed; the input is judged, not what is left. Of shorter lines, which a few edits
+would turn into others, only exact repeats are duplicates, and empty lines are none (0 judges every line by edits). Steps:
 
 1. *Segments.* A line is cut into TAU + 1 even segments. If two lines are
    alike, some segment of the shorter occurs in the longer at a place that the
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name, release
+from .common import Scratch, free_name, release, shielded
 from .tokens import chunks, hash_ranges, mix
 
 TAU, MIN_BYTES = 2, 24
@@ -124,7 +124,7 @@ def key_rows(docs: DataFrame, tau: int, min_bytes: int) -> DataFrame:
                 s, e, d = lines_of(buf, at)
                 no = np.arange(len(s)) - np.searchsorted(d, d)
                 d = ids[i:j][filled][d]
-                keep = e - s >= min_bytes
+                keep = e - s >= min(1, min_bytes)
                 s, e, d, no = s[keep], e[keep], d[keep], no[keep]
                 if not len(s):
                     continue
@@ -139,7 +139,9 @@ def key_rows(docs: DataFrame, tau: int, min_bytes: int) -> DataFrame:
                 held.append((np.zeros(gone.sum(), np.int64), h[gone], d[gone], no[gone] * 4 + DECIDED))
                 s, e, d, no, h = s[first], e[first], d[first], no[first], h[first]
                 held.append(((h * np.uint64(0x9FB21C651E98DF25)).view(np.int64), h, d, no * 4 + WHOLE))
-                who, key, _, _, own = window_keys(buf, s, e, tau)
+                long = np.flatnonzero(e - s >= min_bytes)
+                who, key, _, _, own = window_keys(buf, s[long], e[long], tau)
+                who = long[who]
                 held.append((key.view(np.int64), h[who], d[who], no[who] * 4 + np.where(own, INDEX, PROBE)))
                 rows += len(who)
                 if rows >= BATCH:
@@ -603,16 +605,17 @@ def duplicate_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU, min_by
 
 
 def dedup_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """docs with the text less its duplicate lines; removed: the numbers of the lines taken out, sorted; n_lines: lines before (0 for null)."""
-    columns = [c for c in docs.columns if c not in ("removed", "n_lines")]
-    name = free_name("removed", columns)
-    gone = duplicate_lines(docs, spark, tau, min_bytes).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias(name))
-    left = docs.select(*columns).join(gone, "doc_id", "left")
+    """docs, all columns, with the text less its duplicate lines; removed: the numbers of the lines taken out, sorted; n_lines: lines before (0 for null). The two have a longer name where docs has such a column."""
+    named = (free_name("removed", docs.columns), free_name("n_lines", docs.columns))
+    own, back = shielded(docs, "doc_id", "text")
+    columns = own.columns
+    gone = duplicate_lines(own, spark, tau, min_bytes).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    left = own.join(gone, "doc_id", "left")
 
     def run(batches):
         for b in batches:
             texts, removed, count = [], [], []
-            for text, nos in zip(b.column("text"), b.column(name)):
+            for text, nos in zip(b.column("text"), b.column("removed")):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else None
                 parts = 0 if raw is None else raw.count(b"\n") + 1
                 cut = [n for n in nos.values.to_pylist() if n < parts] if nos.is_valid else []
@@ -625,16 +628,16 @@ def dedup_lines(docs: DataFrame, spark: SparkSession, tau: int = TAU, min_bytes:
             text = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*[text if c == "text" else b.column(c) for c in columns], pa.array(removed, pa.list_(pa.int32())), pa.array(count, pa.int64())], [*columns, "removed", "n_lines"])
 
-    kinds = docs.select(*columns).schema.add("removed", T.ArrayType(T.IntegerType())).add("n_lines", "long")
-    return left.select(*columns, name).mapInArrow(run, kinds)
+    kinds = T.StructType([*own.schema.fields, T.StructField("removed", T.ArrayType(T.IntegerType())), T.StructField("n_lines", T.LongType())])
+    return back(left.select(*columns, "removed").mapInArrow(run, kinds), *named)
 
 
 def oracle(tau: int = TAU) -> str:
     """doc_id, n_lines, n_removed, kept_sha256 as DuckDB SQL."""
     return f"""
 with l as materialized (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as no from documents),
-u as materialized (select line, strlen(line) as n, min((doc_id, no)) as f from l where strlen(line) >= {MIN_BYTES} group by line),
-g as materialized (select distinct a.line from u a join u b on a.n between b.n - {tau} and b.n + {tau} and b.f < a.f where levenshtein(a.line, b.line) <= {tau}),
-k as (select l.doc_id, l.no, l.line, strlen(l.line) >= {MIN_BYTES} and (l.line in (select line from g) or (l.doc_id, l.no) > u.f) as gone from l left join u on u.line = l.line union all select doc_id, null, null, false from documents where text is null)
+u as materialized (select line, strlen(line) as n, min((doc_id, no)) as f from l where line <> '' group by line),
+g as materialized (select distinct a.line from u a join u b on a.n >= {MIN_BYTES} and b.n >= {MIN_BYTES} and a.n between b.n - {tau} and b.n + {tau} and b.f < a.f where levenshtein(a.line, b.line) <= {tau}),
+k as (select l.doc_id, l.no, l.line, l.line <> '' and (l.line in (select line from g) or (l.doc_id, l.no) > u.f) as gone from l left join u on u.line = l.line union all select doc_id, null, null, false from documents where text is null)
 select doc_id, count(no)::bigint as n_lines, count(*) filter (coalesce(gone, false))::bigint as n_removed,
   sha256(coalesce(string_agg(line, chr(10) order by no) filter (not coalesce(gone, false)), '')) as kept_sha256 from k group by doc_id"""

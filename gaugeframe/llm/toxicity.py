@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, shielded
 from .labelled import fold_of, labelled_sample, sample_rows
 from .tokens import FOLD, chunks, hash_ranges, mix, text_buffer
 
@@ -366,6 +366,7 @@ def score(docs: DataFrame, model: dict, spark: SparkSession) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, spark: SparkSession) -> DataFrame:
     """docs, all columns, without the rows that score THRESHOLD or more; rows are judged where they lie, without a join."""
+    docs, back = shielded(docs, "doc_id", "text")
     shared = spark.sparkContext.broadcast(fit(docs, labels, spark))
 
     def run(batches):
@@ -376,7 +377,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, spark: SparkSession) -> DataF
                 clean[i:j] = features(m, buf, offs) @ m["beta"][:-1] + m["beta"][-1] < np.log(THRESHOLD / (1 - THRESHOLD))
             yield b.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return back(docs.mapInArrow(run, docs.schema))
 
 
 def classify(docs: DataFrame, labels: DataFrame, spark: SparkSession) -> DataFrame:

@@ -48,10 +48,13 @@ def distance(a, b):
 def line_dedup(docs, tau=2, least=24):
     """{doc_id: (kept text, removed line numbers)} of {doc_id: text}."""
     lines = [(i, n, x) for i, t in sorted(docs.items()) if t is not None for n, x in enumerate(t.split("\n"))]
-    gone, seen = set(), []
+    gone, seen, short = set(), [], set()
     for i, n, x in lines:
         raw = x.encode()
         if len(raw) < least:
+            if raw and raw in short:
+                gone.add((i, n))
+            short.add(raw)
             continue
         if any(abs(len(raw) - len(y)) <= tau and distance(raw, y) <= tau for y in seen):
             gone.add((i, n))

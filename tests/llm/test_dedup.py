@@ -263,7 +263,7 @@ def test_line_dedup_of_dot_leaders_in_chunks(spark):
 def test_line_dedup_keeps_columns(spark):
     df = spark.createDataFrame([(1, "t", 5, "k")], DOCS + ", removed int, key string")
     out = line_dedup.dedup_lines(df, spark)
-    assert out.columns == ["doc_id", "text", "key", "removed", "n_lines"] and out.first()["key"] == "k"
+    assert out.columns == ["doc_id", "text", "removed", "key", "_removed", "n_lines"] and tuple(out.first()) == (1, "t", 5, "k", [], 1)
     assert line_dedup.dedup_lines(df.limit(0), spark).count() == 0
 
 
@@ -388,6 +388,34 @@ def test_jaccard_of_repeated_rows_and_nothing(spark):
     assert sorted(r["doc_id"] or 0 for r in one.collect()) == [0, 1, 3] and one.columns == ["doc_id", "text", "n", "token"]
 
 
+def test_short_lines_repeat_exactly_or_stay(spark):
+    """Under the least length only exact repeats go, in the order of documents and lines; empty lines stay."""
+    docs = {1: "}\n\nend\n}", 2: "}\nEnd\n\nend", 3: "}" * 24 + "\n" + "}" * 23, 4: "}" * 23 + "\n" + "}" * 25, 5: "é\né", 6: "\n\n"}
+    check_lines(spark, docs)
+    assert brute.line_dedup(docs)[2] == ("End\n", [0, 3])
+
+
+LINKS = {
+    "path": [(i, i + 1) for i in range(10_000)],
+    "star": [(5000, i) for i in range(5000)] + [(5000, i) for i in range(5001, 9000)],
+    "ladder": [e for i in range(2000) for e in ((2 * i, 2 * i + 1), (2 * i, 2 * i + 2), (2 * i + 1, 2 * i + 3))],
+    "pairs": [(2 * i, 2 * i + 1) for i in range(3000)],
+}
+
+
+@pytest.mark.parametrize("kind, most", [("path", 20), ("star", 20), ("ladder", 20), ("pairs", 2)])
+def test_rounds_of_components(spark, kind, most):
+    """The rounds grow with the logarithm of the nodes, whatever the order of their ids."""
+    scratch = Scratch(spark, "t")
+    kept = []
+    plain = scratch.keep
+    scratch.keep = lambda df: kept.append(df) or plain(df)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(LINKS[kind], "a long, b long"), scratch).collect()}
+    assert (len(kept) - 3) / 2 <= most  # two tables a round, the links before and the names after
+    nodes = {x for e in LINKS[kind] for x in e}
+    assert got == ({n: n // 2 * 2 for n in nodes} if kind == "pairs" else dict.fromkeys(nodes, 0))
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components(spark, seed):
     rng = random.Random(seed)

@@ -58,3 +58,21 @@ def test_empty_corpus(spark):
     docs = read(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_leave_other_columns_alone(spark):
+    """Columns of names that the stages use themselves, with dots, and differing in case only: they pass, values unchanged."""
+    from pyspark.sql import functions as F
+
+    docs = read(spark, SF, "documents")
+    extra = ["removed", "N_LINES", "a.b", "Token", "t1", "row", "KEY"]
+    wide = docs.select("*", *[F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")).alias(c) for i, c in enumerate(extra)])
+    for name, stage in corpus_pipeline.STAGES:
+        plain, out = stage(spark, docs, SF), stage(spark, wide, SF)
+        assert out.columns == [*docs.columns, *extra, *plain.columns[len(docs.columns) :]], name
+        plain, got = rows(plain), [tuple(r) for r in out.collect()]
+        n = len(docs.columns)
+        assert sorted(r[0] for r in got) == sorted(plain)
+        assert all(r[n : n + len(extra)] == tuple(f"{i}-{r[0]}" for i in range(len(extra))) for r in got), name
+        if name != "mixing":  # the place in the mix follows a digest of all columns
+            assert all(r[:n] == tuple(plain[r[0]].values())[:n] for r in got), name

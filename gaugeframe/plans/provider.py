@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import commits
+
 KEYS = ["model_id", "task_id", "reasoning_mode", "sample_id"]
 ERROR = "__ERROR__: "
 
@@ -37,14 +40,37 @@ def replay(planned: DataFrame, responses: DataFrame) -> DataFrame:
     ).drop("text", "error")
 
 
-def live(planned: DataFrame, ask: Callable[[str, str], dict], path: str) -> DataFrame:
-    """Calls ask(endpoint, prompt) -> {text, finish_reason, usage, latency_ms} for each row and writes the answers to path.
+def live(planned: DataFrame, ask: Callable[[str, str], dict], path: str, batch_rows: int = 10_000, in_flight: int = 8, again: bool = False) -> DataFrame:
+    """Calls ask(endpoint, prompt) -> {text, finish_reason, usage, latency_ms} for each row that path has no answer to, and gives all its answers.
 
-    A task that is run again asks again, so answers are written once and read
-    from there by everything that follows. retried() gives ask a policy of retries.
+    Answers are written in batches of about batch_rows; a run that breaks off has lost no whole batch, and one that is
+    begun anew asks only what is left. A task that is run again within a batch asks again, so everything that follows reads the
+    answers from path. Of each endpoint at most in_flight calls are made at a time: its rows are dealt to so many tasks, which ask one after the other. A failed
+    call is an answer of its own kind; with again, those are asked once more, and replay prefers an answer that didn't fail.
+    retried() gives ask a policy of retries.
     """
-    import json
-
+    spark = planned.sparkSession
+    planned = planned.select(*KEYS, "endpoint", "prompt")
+    schema = ", ".join(f"{k} {planned.schema[k].dataType.simpleString()}" for k in KEYS) + ", text string, error string, finish_reason string, usage string, latency_ms double"
+    done = answered(spark, path, schema)
+    # by key and not null-safe: a row with a null in its key is asked each time
+    left = planned.join((done.where("error is null") if again else done).select(*KEYS), KEYS, "left_anti")
+    rows, endpoints = left.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce("endpoint", F.lit("")))).first()
+    n = -(-rows // batch_rows)
+    place = F.xxhash64(*KEYS)
+    for i in range(n):
+        part = left.where(F.pmod(place, F.lit(n)) == i).withColumn("slot", F.pmod(F.xxhash64(place), F.lit(in_flight)))
+        commits.append_batch(part.repartition(in_flight * endpoints, "endpoint", "slot").mapInPandas(_asking(ask), schema), path)
+    return answered(spark, path, schema)
+
+
+def answered(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The answers of all whole batches below path."""
+    found = commits.batches(spark, path)
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
+def _asking(ask: Callable[[str, str], dict]):
     def run(batches):
         for pdf in batches:
             out = []
@@ -60,10 +86,7 @@ def live(planned: DataFrame, ask: Callable[[str, str], dict], path: str) -> Data
                 pdf[c] = [o[i] for o in out]
             yield pdf
 
-    kinds = {f.name: f.dataType.simpleString() for f in planned.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", text string, error string, finish_reason string, usage string, latency_ms double"
-    planned.select(*KEYS, "endpoint", "prompt").mapInPandas(run, schema).write.mode("overwrite").parquet(path)
-    return planned.sparkSession.read.parquet(path)
+    return run
 
 
 def offline(names: tuple[str, ...] = ("HF_HUB_OFFLINE", "GAUGEFRAME_OFFLINE"), env: dict | None = None) -> bool:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def write_results(results: DataFrame, path: str, run_id: str, sets: tuple[str, ...] = ("ref_set", "pred_set")) -> None:
-    """Sample results as JSON lines in the run's partition; set columns are sorted. An earlier write of the same run is replaced."""
+    """Sample results as JSON lines in the run's partition; set columns are sorted. An earlier write of the same run is replaced; commits.begin_run is append-only."""
     for c in sets:
         if c in results.columns:
             results = results.withColumn(c, F.array_sort(c))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,14 +140,38 @@ def lcs(a, b) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_len(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs(list(x), list(y)) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="Int32")
+def chain_len(places: Column) -> Column:
+    """Length of the longest rising chain of an array of whole numbers: for each length the least number that ends such a chain, kept sorted."""
+    later = lambda t, j: F.filter(t, lambda x: x >= j)
+    step = lambda t, j: F.concat(F.filter(t, lambda x: x < j), F.array(j), F.slice(later(t, j), F.lit(2), F.greatest(F.size(t), F.lit(1))))
+    return F.size(F.aggregate(places, F.array().cast("array<int>"), step))
 
 
 def rouge_l(pred: Column, gold: Column) -> Column:
+    """ROUGE-L F-measure in one expression, for short texts; whole texts go through rouge_l_table."""
     p, g = rouge_tokens(pred), rouge_tokens(gold)
-    return overlap_f1(lcs_len(p, g), F.size(p), F.size(g), 0.0)
+    last = F.greatest(F.size(g), F.lit(1))
+    places = F.flatten(F.transform(p, lambda x: F.filter(F.sequence(last, F.lit(1), F.lit(-1)), lambda j: F.get(g, j - 1) == x)))
+    return overlap_f1(chain_len(places), F.size(p), F.size(g), 0.0)
+
+
+def lcs_table(rows: DataFrame, keys: list[str], a: Column, b: Column) -> DataFrame:
+    """keys and l, the length of the longest common subsequence of two token arrays.
+
+    Tokens of both sides meet by value; a common subsequence is a chain of such points that rises on both sides, so the points are put in the order of a, later ones of b first, and the longest chain
+    of their places in b is what counts. Rows without a common token have 0; keys name a row.
+    """
+    one = rows.select(*keys, F.posexplode(a).alias("i", "t"))
+    two = rows.select(*keys, F.posexplode(b).alias("j", "t"))
+    points = one.join(two, [*keys, "t"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("j")).alias("j")))).alias("points"))
+    chains = points.select(*keys, chain_len(F.transform("points", lambda x: -x["j"])).alias("l"))
+    return rows.select(*keys).join(chains, keys, "left").withColumn("l", F.coalesce("l", F.lit(0)))
+
+
+def rouge_l_table(rows: DataFrame, keys: list[str], pred: Column, gold: Column) -> DataFrame:
+    """keys and rougeL of two arrays of ROUGE tokens."""
+    sized = rows.select(*keys, F.size(pred).alias("_p"), F.size(gold).alias("_g")).join(lcs_table(rows, keys, pred, gold), keys)
+    return sized.select(*keys, overlap_f1(F.col("l"), F.col("_p"), F.col("_g"), 0.0).alias("rougeL"))
 
 
 def ratio(a: str, b: str) -> int:
@@ -161,21 +186,49 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="Int32")
 
 
+#: Two cells are alike from this ratio on; characters are counted in so many classes.
+ALIKE, CLASSES = 80, 64
+
+
+def profile(texts: list[str]) -> np.ndarray:
+    """How often each text has characters of each class."""
+    out = np.zeros((len(texts), CLASSES), np.int32)
+    for i, x in enumerate(texts):
+        np.add.at(out[i], np.fromiter(map(ord, x), np.int64, len(x)) % CLASSES, 1)
+    return out
+
+
 def match_cells(pred: list, gold: list) -> float:
-    """Greedy in the order of the gold cells: text at least 80 alike, then 0.7 text + 0.3 place; the first best wins."""
+    """Greedy in the order of the gold cells: text at least 80 alike, then 0.7 text + 0.3 place; the first best wins.
+
+    A ratio is at most that of the common characters whatever their order, and these are at most as many as the shorter text has: cells that
+    stay below 80 by these counts are left out at once, all of a gold cell together, and so are those that cannot
+    beat the best so far; only the others are compared.
+    """
     if not pred or not gold:
         return float(not pred and not gold)
-    free = dict(enumerate(pred))
+    texts, golds = [p["txt"].lower() for p in pred], [g["txt"].lower() for g in gold]
+    have, size = profile(texts), np.array([len(x) for x in texts])
+    place = np.array([(p["r"], p["c"]) for p in pred])
+    free = np.ones(len(pred), bool)
+    known: dict[tuple[str, str], int] = {}
     hits = 0
-    for g in gold:
+    for g, text, own in zip(gold, golds, profile(golds)):
+        near = np.flatnonzero(free & (200 * np.minimum(size, len(text)) >= (ALIKE - 1) * (size + len(text))))
+        most = 200 * np.minimum(have[near], own).sum(axis=1) / np.maximum(size[near] + len(text), 1)
+        bonus = np.where((place[near] == (g["r"], g["c"])).all(axis=1), 1.0, 0.5)
         best, score = None, 0.0
-        for i, p in free.items():
-            alike = ratio(g["txt"].lower(), p["txt"].lower()) / 100.0
-            value = 0.7 * alike + 0.3 * (1.0 if (g["r"], g["c"]) == (p["r"], p["c"]) else 0.5)
-            if alike >= 0.8 and value > score:
+        for i, top, b in zip(near.tolist(), most.tolist(), bonus.tolist()):
+            if top < ALIKE - 1 or 0.7 * (top + 1) / 100 + 0.3 * b <= score:
+                continue  # a ratio is rounded
+            if (text, texts[i]) not in known:
+                known[text, texts[i]] = ratio(text, texts[i])
+            alike = known[text, texts[i]] / 100.0
+            value = 0.7 * alike + 0.3 * b
+            if alike >= ALIKE / 100 and value > score:
                 best, score = i, value
         if best is not None:
-            del free[best]
+            free[best] = False
             hits += 1
     if not hits:
         return 0.0

@@ -87,8 +87,8 @@ def summary_scores(results: DataFrame, languages: list[str]) -> DataFrame:
     r = _rows(r, ["p", "g", "lang"])
     names = [*KEYS, "row"]
     grams = text.rouge_table(r, names, F.col("p"), F.col("g"))
-    r = r.withColumn("l", text.lcs_len("p", "g")).join(grams, names)
-    cols = [_mean(F.col("rouge1")).alias("r1"), _mean(F.col("rouge2")).alias("r2"), _mean(text.overlap_f1(F.col("l"), F.size("p"), F.size("g"), 0.0)).alias("rl"), F.sum("times").alias("n")]
+    r = r.join(grams, names).join(text.rouge_l_table(r, names, F.col("p"), F.col("g")), names)
+    cols = [_mean(F.col("rouge1")).alias("r1"), _mean(F.col("rouge2")).alias("r2"), _mean(F.col("rougeL")).alias("rl"), F.sum("times").alias("n")]
     return _long(metrics.by_language(r, KEYS, cols, languages=languages), {"r1": "rouge1", "r2": "rouge2", "rl": "rougeL"})
 
 

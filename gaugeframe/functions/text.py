@@ -106,6 +106,12 @@ def best_of(golds: Column, score) -> Column:
     return F.coalesce(F.array_max(F.transform(golds, score)), F.lit(0.0))
 
 
+def seen_before(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """rows with name: whether a row of the same keys comes earlier in order. Keys shrink to their first row before they are joined, so no list of a group is held."""
+    first = rows.groupBy(*keys).agg(F.min(order).alias("_first"))
+    return rows.join(first, keys, "left").withColumn(name, F.coalesce(F.col("_first") < F.col(order), F.lit(False))).drop("_first")
+
+
 def rouge_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
 

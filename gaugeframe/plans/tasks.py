@@ -70,11 +70,33 @@ def table_markdown(header: Column, rows: Column) -> Column:
 
 
 def grid_text(cells: Column) -> Column:
-    """Cells as bracketed rows up to the last row and column, empty ones included."""
-    last = lambda f: F.array_max(F.transform(cells, lambda x: x[f]))
-    cell = lambda r, c: F.concat(F.lit("["), F.coalesce(F.try_element_at(F.transform(F.filter(cells, lambda x: (x["r"] == r) & (x["c"] == c)), lambda x: x["txt"]), F.lit(-1)), F.lit("")), F.lit("]"))
-    rows = F.transform(F.sequence(F.lit(0), last("r")), lambda r: F.array_join(F.transform(F.sequence(F.lit(0), last("c")), lambda c: cell(r, c)), " "))
-    return F.when(F.size(cells) < 1, "").otherwise(F.array_join(rows, "\n"))
+    """Cells as bracketed rows up to the last row and column, empty ones included.
+
+    Cells come row by row and in the order of their columns, as parsers.table_cells gives them; of cells of one place the last counts.
+    The text is built in one pass: each cell adds the breaks and the empty places since the one before, and the last column is known beforehand.
+    """
+    width = F.array_max(F.transform(cells, lambda x: x["c"]))
+    blank = lambda n: F.repeat(F.lit(" []"), F.greatest(n, F.lit(0)).cast("int"))
+    # what comes between one cell and the next: places left in the row, whole empty rows, places before the cell
+    rest = lambda c: blank(width - c)
+    empty = F.concat(F.lit("\n[]"), blank(width))
+    lead = lambda c: F.when(c == 0, F.lit("")).otherwise(F.concat(F.lit("[]"), blank(c - 1), F.lit(" ")))
+    nxt = F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0)))
+    last = F.arrays_zip(cells.alias("x"), F.concat(nxt, F.array(F.lit(None).cast(_CELL))).alias("y"))
+
+    def piece(z: Column) -> Column:
+        x, y = z["x"], z["y"]
+        here = F.concat(F.lit("["), F.coalesce(x["txt"], F.lit("")), F.lit("]"))
+        same_row = F.concat(F.lit(" "), F.regexp_replace(blank(y["c"] - x["c"] - 1), r"^ (.*)$", "$1 "))
+        new_row = F.concat(rest(x["c"]), F.repeat(empty, F.greatest(y["r"] - x["r"] - 1, F.lit(0))), F.lit("\n"), lead(y["c"]))
+        return F.when(y.isNull(), F.concat(here, rest(x["c"]))).when((y["r"] == x["r"]) & (y["c"] == x["c"]), "").when(y["r"] == x["r"], F.concat(here, same_row)).otherwise(F.concat(here, new_row))
+
+    first = F.get(cells, F.lit(0))
+    head = F.concat(F.repeat(F.concat(F.lit("[]"), blank(width), F.lit("\n")), first["r"]), lead(first["c"]))
+    return F.when(F.size(cells) < 1, "").otherwise(F.concat(head, F.array_join(F.transform(last, piece), "")))
+
+
+_CELL = "struct<r:int,c:int,txt:string>"
 
 
 def document_cut(c: Column) -> Column:

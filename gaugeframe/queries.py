@@ -234,11 +234,10 @@ select conv_id, turn, coalesce(list_max(list_transform(golds, lambda g: (lower(t
  coalesce(list_max(list_transform(golds, lambda g: (regexp_replace(lower(trim(g, ' \n')), '\\s+', ' ', 'g') = regexp_replace(lower(trim(pred, ' \n')), '\\s+', ' ', 'g'))::int)), 0)::double as accuracy from p"""
 )
 def exact_match_any_ref(spark, sf_dir):
-    """The references of a turn are the turns before it."""
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    golds = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("all"))
-    p = c.withColumnRenamed("text", "pred").join(golds, "conv_id").withColumn("golds", F.transform(F.filter("all", lambda x: x["turn"] < F.col("turn")), lambda x: x["text"]))
-    return p.select("conv_id", "turn", text.best_of(F.col("golds"), lambda g: text.exact_match(F.col("pred"), g)).alias("exact_match"), text.accuracy_match(F.col("pred"), F.col("golds")).alias("accuracy"))
+    """The references of a turn are the turns before it: it matches one if its text, as either rule takes it, has come before."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", text.py_strip(F.lower("text")).alias("e"), text.normalize(F.col("text")).alias("a"))
+    seen = text.seen_before(text.seen_before(c, ["conv_id", "e"], "turn", "exact_match"), ["conv_id", "a"], "turn", "accuracy")
+    return seen.select("conv_id", "turn", F.col("exact_match").cast("double").alias("exact_match"), F.col("accuracy").cast("double").alias("accuracy"))
 
 
 ROUGE_TOKENS = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
@@ -628,7 +627,6 @@ def balanced_pair_sample(spark, sf_dir):
 
 MODELS = {"models": [{"id": "m0", "endpoint": "ep0", "family": "a", "capabilities": ["text", "vision"], "reasoning": {"minimal": {"effort": "none"}}}, {"id": "m1", "endpoint": "ep1", "family": "b", "capabilities": ["text", "vision"]}, {"id": "m2", "endpoint": "ep2", "family": "b", "capabilities": ["text"]}]}
 TASKS = {"image_tasks": [{"id": "IMG-1", "kind": "generation", "datasets": {"en": "a"}}, {"id": "IMG-3", "kind": "binary", "datasets": {"en": "b"}, "sensitive": True}], "text_tasks": [{"id": "TXT-1", "kind": "qa", "datasets": {"en": "c"}}, {"id": "TXT-5", "kind": "generation", "datasets": {"en": "c", "ko": "d"}}]}
-REGISTRY = {"a": {"hf_id": "x/a", "split": "test", "commercial_ok": True}, "b": {"hf_id": "x/b", "split": "test", "sensitive": True, "commercial_ok": "unknown"}, "c": {"hf_id": "x/c", "split": "validation", "config": "en", "commercial_ok": False}}
 CELLS = """with m(model_id, endpoint, vision, o) as (values ('m0', 'ep0', true, 0), ('m1', 'ep1', true, 1), ('m2', 'ep2', false, 2)), t(task_id, o) as (values ('IMG-1', 0), ('IMG-3', 1), ('TXT-1', 2), ('TXT-5', 3)), r(reasoning_mode) as (values ('minimal'), ('full')),
 cells as (select model_id, endpoint, task_id, reasoning_mode from m, t, r where vision or not starts_with(task_id, 'IMG-')) """
 
@@ -637,30 +635,48 @@ def dims(spark):
     return config.models_table(spark, MODELS), config.tasks_table(spark, TASKS), config.modes_table(spark, MODELS)
 
 
-@query(CELLS + "select * from cells")
+def fleet(spark, sf_dir):
+    """A configuration of tables: suppliers as models, of which every third knows no images, regions as tasks, two modes."""
+    k = F.col("s_suppkey")
+    models = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("model_id"), F.concat(F.lit("ep"), F.col("s_nationkey").cast("string")).alias("endpoint"), F.when(k % 3 == 0, F.array(F.lit("text"))).otherwise(F.array(F.lit("text"), F.lit("vision"))).alias("capabilities"), k.alias("ordinal"))
+    r = F.col("r_regionkey")
+    tasks_ = read(spark, sf_dir, "region").select(F.concat(F.when(r % 2 == 0, "IMG-").otherwise("TXT-"), r.cast("string")).alias("task_id"), r.alias("ordinal"))
+    return models, tasks_, config.modes_table(spark, MODELS)
+
+
+FLEET = """with t as (select case when r_regionkey % 2 = 0 then 'IMG-' else 'TXT-' end || r_regionkey as task_id from region), every as (select s_suppkey as k, s_nationkey as nation, s_name as model_id, 'ep' || s_nationkey as endpoint, task_id, reasoning_mode from supplier, t, (values ('minimal'), ('full')) r(reasoning_mode)),
+fleet as (select * from every where k % 3 <> 0 or not starts_with(task_id, 'IMG-')) """
+
+
+@query(FLEET + "select model_id, endpoint, task_id, reasoning_mode from fleet")
 def execution_matrix(spark, sf_dir):
-    return matrix.execution_matrix(*dims(spark)).select("model_id", "endpoint", "task_id", "reasoning_mode")
+    return matrix.execution_matrix(*fleet(spark, sf_dir)).select("model_id", "endpoint", "task_id", "reasoning_mode")
 
 
-@query(CELLS + "select * from cells where model_id in ('m0', 'm2') and reasoning_mode = 'full'")
+@query(FLEET + "select model_id, endpoint, task_id, reasoning_mode from fleet where model_id in ('Supplier#000000001', 'Supplier#000000003') and reasoning_mode = 'full'")
 def cells_of_some(spark, sf_dir):
     """The matrix cut to some models and one mode."""
-    return matrix.execution_matrix(*dims(spark), only_models=["m0", "m2"], only_modes=["full"]).select("model_id", "endpoint", "task_id", "reasoning_mode")
+    return matrix.execution_matrix(*fleet(spark, sf_dir), only_models=["Supplier#000000001", "Supplier#000000003"], only_modes=["full"]).select("model_id", "endpoint", "task_id", "reasoning_mode")
 
 
-@query(CELLS + "select model_id, count(*)::bigint as n_cells from cells group by model_id")
+@query(FLEET + "select model_id, count(*)::bigint as n_cells from fleet group by model_id")
 def cells_per_model(spark, sf_dir):
-    return matrix.cells_per_model(matrix.execution_matrix(*dims(spark)))
+    return matrix.cells_per_model(matrix.execution_matrix(*fleet(spark, sf_dir)))
 
 
-@query("select 4::bigint as n_na")
+@query(FLEET + "select ((select count(*) from every) - (select count(*) from fleet))::bigint as n_na")
 def cells_not_applicable(spark, sf_dir):
-    return matrix.not_applicable(*dims(spark))
+    return matrix.not_applicable(*fleet(spark, sf_dir))
 
 
-@query("select * from (values ('a', 'x/a', 'test', null), ('b', 'x/b', 'test', null), ('c', 'x/c', 'validation', 'en'), ('d', null, null, null)) t(dataset_key, hf_id, split, config)")
+@query("select distinct source || '/' || lang as dataset_key, case when lang <> 'fr' then 'x/' || source end as hf_id, case when lang <> 'fr' then 'test' end as split, case when lang <> 'fr' then lang end as config from documents where source is not null and lang is not null")
 def reproducibility(spark, sf_dir):
-    return matrix.reproducibility(config.tasks_table(spark, TASKS), config.registry_table(spark, REGISTRY))
+    """The data sets that tasks name, with what the registry tells of them: each source is a task with a set for each language, and those in French aren't registered."""
+    d = read(spark, sf_dir, "documents").where("source is not null and lang is not null").select("source", "lang").distinct()
+    key = F.concat("source", F.lit("/"), "lang")
+    named = d.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", key.alias("key")))).alias("datasets"))
+    known = d.where("lang <> 'fr'").select(key.alias("key"), F.concat(F.lit("x/"), "source").alias("hf_id"), F.lit("test").alias("split"), F.col("lang").alias("config"))
+    return matrix.reproducibility(named, known)
 
 
 @query(
@@ -1050,14 +1066,22 @@ def chat_messages(spark, sf_dir):
 RUBRICS = {"TXT-5": {"task": "Summaries", "description": "d", "scale": {1: "bad", 5: "good"}}, "IMG-1": {"name": "Captions", "anchors": {3: "fair"}}, "X": {}}
 
 
-@query("select * from (values ('TXT-5', 'Summaries', 'd', 1::int, 'bad'), ('TXT-5', 'Summaries', 'd', 5, 'good'), ('IMG-1', 'Captions', '', 3, 'fair')) t(task_id, name, description, anchor, text)")
+@query(JUDGE + "select task_id, name, description, anchor, text, count(score)::bigint as n from (values ('TXT-5', 'Summaries', 'd', 1::int, 'bad'), ('TXT-5', 'Summaries', 'd', 5, 'good'), ('IMG-1', 'Captions', '', 3, 'fair')) t(task_id, name, description, anchor, text) left join s on score = anchor group by all")
 def rubrics(spark, sf_dir):
-    return config.rubrics_table(spark, RUBRICS)
+    """The anchors of the rubrics, with how many of the judge's scores stand at each."""
+    s = judge_texts(spark, sf_dir).groupBy(parsers.judge_score(F.col("judge_text")).alias("anchor")).agg(F.count(F.lit(1)).alias("n"))
+    return config.rubrics_table(spark, RUBRICS).join(s, "anchor", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+SOURCES = {"src0": {"commercial_ok": True}, "src1": {"sensitive": True, "commercial_ok": "unknown"}, "src2": {"commercial_ok": False}}
 
 
-@query("select * from (values ('a', 'true', false), ('b', 'unknown', true), ('c', 'false', false)) t(key, commercial_ok, sensitive)")
+@query("select coalesce(commercial_ok, 'not registered') as commercial_ok, coalesce(sensitive, false) as sensitive, count(*)::bigint as n from documents left join (values ('src0', 'true', false), ('src1', 'unknown', true), ('src2', 'false', false)) t(source, commercial_ok, sensitive) using (source) group by 1, 2")
 def registry(spark, sf_dir):
-    return config.registry_table(spark, REGISTRY).select("key", "commercial_ok", "sensitive")
+    """Documents by what the registry says of their source."""
+    known = config.registry_table(spark, SOURCES).select(F.col("key").alias("source"), "commercial_ok", "sensitive")
+    d = read(spark, sf_dir, "documents").join(known, "source", "left")
+    return d.groupBy(F.coalesce("commercial_ok", F.lit("not registered")).alias("commercial_ok"), F.coalesce("sensitive", F.lit(False)).alias("sensitive")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select lang as run_id, substring(strftime(timestamp '2024-01-01' + interval (length(lang)) day, '%Y-%m-%dT%H:%M:%S.000Z'), 1, 19) as created, case when lang = 'en' then '?' else 'a,b' end as models, '?' as modes, case when lang = 'en' then '?' else '2' end as n_tasks, count(*)::varchar as samples, '?' as git from documents where lang is not null group by lang")

@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ATTR = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+from ..functions import markup
 
 
-def count_elements(html: Column, tag: str) -> Column:
-    return F.regexp_count(html, F.lit(rf"(?i)<{tag}(?=[\s/>])"))
+def count_elements(tags: Column, name: str) -> Column:
+    """Start tags (markup.start_tags) of that name."""
+    return F.size(F.filter(tags, lambda t: markup.tag_name(t) == name.lower()))
 
 
-def count_class(html: Column, name: str) -> Column:
-    """Elements with the class token."""
-    quoted = rf"""(?is)<[a-z][a-z0-9-]*(?=\s){_ATTR}?\sclass\s*=\s*(?:"[^"]*(?<![\w-]){name}(?![\w-])[^"]*"|'[^']*(?<![\w-]){name}(?![\w-])[^']*'|{name}(?=[\s>]))"""
-    return F.regexp_count(html, F.lit(quoted))
+def count_class(tags: Column, name: str) -> Column:
+    """Start tags with the class token."""
+    has = lambda t: F.array_contains(F.split(markup.attribute(t, "class"), r"[ \t\n\r\f]+"), name)
+    return F.size(F.filter(tags, lambda t: F.coalesce(has(t), F.lit(False))))
 
 
-def text_content(html: Column, strict: bool = False) -> Column:
+def text_content(tokens: Column, strict: bool = False) -> Column:
     """Text nodes joined by spaces, lower-cased; strict leaves out scripts and styles."""
-    c = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    if strict:
-        c = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    return F.lower(F.regexp_replace(c, rf"(?s)<[/!a-zA-Z]{_ATTR}>", " "))
+    return F.lower(F.array_join(markup.texts(tokens, raw=not strict), " "))
 
 
 def topics_found(text: Column, keywords: dict[str, list[str]]) -> list[Column]:
@@ -34,12 +32,11 @@ def topics_found(text: Column, keywords: dict[str, list[str]]) -> list[Column]:
     return [(total - F.size(missing)).alias("keywords_found"), F.lit(total).alias("keywords_total"), missing.alias("keywords_missing")]
 
 
-def external_refs(html: Column) -> Column:
+def external_refs(tags: Column) -> Column:
     """Stylesheet links and scripts whose address starts with http:// or https://."""
-    links = F.regexp_extract_all(html, F.lit(rf"(?is)<link(?=[\s/]){_ATTR}>"), 0)
-    sheet = F.filter(links, lambda x: x.rlike(r"""(?is)\srel\s*=\s*(?:"stylesheet"|'stylesheet'|stylesheet(?=[\s/>]))""") & x.rlike(r"""(?is)\shref\s*=\s*["']?https?://"""))
-    scripts = F.regexp_count(html, F.lit(r"""(?is)<script(?=\s)(?:[^>"']|"[^"]*"|'[^']*')*?\ssrc\s*=\s*["']?https?://"""))
-    return F.size(sheet) + scripts
+    far = lambda t, name: F.coalesce(markup.attribute(t, name).rlike("^https?://"), F.lit(False))
+    sheet = lambda t: (markup.tag_name(t) == "link") & F.coalesce(markup.attribute(t, "rel") == "stylesheet", F.lit(False)) & far(t, "href")
+    return F.size(F.filter(tags, lambda t: sheet(t) | ((markup.tag_name(t) == "script") & far(t, "src"))))
 
 
 def validate(artifacts: DataFrame, keywords: dict[str, list[str]], least: int, most: int, html: str = "html", element: str = "section", cls: str = "slide", strict: bool = False) -> DataFrame:
@@ -47,19 +44,22 @@ def validate(artifacts: DataFrame, keywords: dict[str, list[str]], least: int, m
     h = F.col(html)
     there = h.isNotNull() & (h != "")
     zero = lambda c: F.when(there, c).otherwise(F.lit(0))
-    found, total, missing = topics_found(text_content(h, strict), keywords)
-    out = artifacts.withColumns(
+    cut = artifacts.withColumn("_tokens", F.when(there, markup.tokens(h)))
+    cut = cut.withColumns({"_tags": markup.start_tags(F.col("_tokens")), "_text": text_content(F.col("_tokens"), strict)})
+    tags = F.col("_tags")
+    found, total, missing = topics_found(F.col("_text"), keywords)
+    out = cut.withColumns(
         {
             "parse_ok": there & F.coalesce(h.rlike(r"(?U)\S"), F.lit(False)),
             "has_doctype": F.coalesce(F.lower(F.regexp_replace(h, r"(?U)^[\s\x1c-\x1f]+", "")).startswith("<!doctype"), F.lit(False)),
-            "slide_count": zero(F.greatest(count_class(h, cls), count_elements(h, element))),
+            "slide_count": zero(F.greatest(count_class(tags, cls), count_elements(tags, element))),
             "keywords_found": zero(found),
             "keywords_total": F.when(there, total).otherwise(F.lit(0)),
             "keywords_missing": F.when(there, missing).otherwise(F.array().cast("array<string>")),
-            "external_refs": zero(external_refs(h)),
+            "external_refs": zero(external_refs(tags)),
         }
     )
-    return out.withColumn("slide_count_ok", F.col("parse_ok") & F.col("slide_count").between(least, most))
+    return out.drop("_tokens", "_tags", "_text").withColumn("slide_count_ok", F.col("parse_ok") & F.col("slide_count").between(least, most))
 
 
 def grade(validated: DataFrame, do_render: bool = False) -> DataFrame:

@@ -12,8 +12,10 @@ path. For all other urls a template tree per host decides:
    branches whose block rate does not differ from that of the rest of their node
    (two-proportion z below ``Z``) become ``*`` and share their counts, down to the
    level below which there are no examples.
-3. *Reject.* A template is blocked when its smoothed share of blocked examples,
-   (blocked + PRIOR * rate) / (labelled + PRIOR), reaches ``PURITY``.
+3. *Reject.* A template is blocked when its smoothed share of blocked examples
+   reaches ``PURITY``. Each node of its path is smoothed by the one above, (blocked + PRIOR * share above) / (labelled + PRIOR), the
+   host's root by the share of blocked among all urls, decided or not: a template with few examples, or none, is judged by its parent's and its host's,
+   and a host that no rule knows is as good as the urls at large.
 
 The tree is built on templates with counts, never on rows, and written level by level, so a host with a
 third of all pages costs no more than its number of templates; the last join
@@ -104,12 +106,18 @@ def merged(tree: DataFrame, levels: int, scratch: Scratch) -> DataFrame:
     return tree.withColumn("branch", F.concat("branch", F.slice("t", F.size("branch") + 1, F.greatest(F.size("t") - F.size("branch"), F.lit(0)))))
 
 
-def judged(tree: DataFrame) -> DataFrame:
-    """host, segs, template, reject: the verdict on each template."""
-    rate = tree.agg(F.try_divide(F.sum("blocked"), F.sum("labelled")).alias("rate"))
-    total = tree.groupBy("host", "branch").agg(F.sum("blocked").alias("tb"), F.sum("labelled").alias("tn"))
-    score = (F.col("tb") + PRIOR * F.coalesce("rate", F.lit(0.0))) / (F.col("tn") + PRIOR)
-    total = total.join(F.broadcast(rate)).select("host", "branch", ((F.col("tn") > 0) & (score >= PURITY)).alias("reject"))
+def judged(tree: DataFrame, levels: int, scratch: Scratch) -> DataFrame:
+    """host, segs, template, reject: the verdict on each template. levels: those that have examples; nodes below are judged by their parents."""
+    rate = tree.agg(F.coalesce(F.try_divide(F.sum("blocked"), F.sum("n")), F.lit(0.0)).alias("rate"))
+    steps = F.explode(F.sequence(F.lit(0), F.least(F.size("branch"), F.lit(levels)))).alias("d")
+    above = F.slice("branch", F.lit(1), F.col("d")).alias("above")
+    node = tree.where("labelled > 0").select("host", "blocked", "labelled", "branch", steps).groupBy("host", above).agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("m"))
+    # tables of their own, so that the join is of two plain exchanges and a host of very many templates can be split
+    node = scratch.keep(node)
+    path = scratch.keep(tree.select("host", "branch").distinct().select("host", "branch", steps).select("host", "branch", "d", above))
+    path = path.join(node, ["host", "above"]).groupBy("host", "branch").agg(F.array_sort(F.collect_list(F.struct("d", "b", "m"))).alias("path"))
+    share = F.aggregate(F.coalesce("path", F.array().cast(path.schema["path"].dataType)), F.col("rate"), lambda up, x: (x["b"] + PRIOR * up) / (x["m"] + PRIOR))
+    total = tree.select("host", "branch").distinct().join(path, ["host", "branch"], "left").join(F.broadcast(rate)).select("host", "branch", (share >= PURITY).alias("reject"))
     return tree.join(total, ["host", "branch"]).select("host", "segs", F.array_join("branch", "/").alias("template"), "reject")
 
 
@@ -121,7 +129,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     counts = [F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("found.verdict") == "block", 1)).alias("blocked"), F.count("found.verdict").alias("labelled")]
     tree = scratch.keep(urls.groupBy("host", "segs").agg(*counts))
     wide, deep = depths(tree)
-    known = scratch.keep(judged(merged(generalised(tree, wide, scratch), deep, scratch)))
+    known = scratch.keep(judged(merged(generalised(tree, wide, scratch), deep, scratch), deep, scratch))
     return urls.join(known, ["host", "segs"], "left").select(
         "page_id",
         "host",
@@ -160,7 +168,8 @@ c{i + 1} as materialized (select x.host, segs, t, blocked, labelled, case when l
   from c{i} x left join s{i} y on x.host = y.host and x.branch = y.branch and t[{i + 1}] = y.kid)"""
     return sql + f""",
 c as (select host, segs, blocked, labelled, list_concat(branch, t[{levels + 1}:]) as branch from c{levels}),
-rate as (select sum(blocked) / nullif(sum(labelled), 0) as rate from c),
-q as (select host, branch, sum(blocked) as tb, sum(labelled) as tn from c group by host, branch),
-v as (select host, segs, array_to_string(branch, '/') as template, tn > 0 and (tb + {PRIOR}::double * coalesce(rate, 0)) / (tn + {PRIOR}::double) >= {PURITY}::double as reject from c join q using (host, branch), rate)
+rate as (select coalesce((count(*) filter (found.verdict = 'block'))::double / nullif(count(*), 0)::double, 0)::double as rate from r),
+e as (select host, branch[1:d] as above, sum(blocked) as b, sum(labelled) as m from c, range(0, {levels + 1}) t(d) where d <= len(branch) and labelled > 0 group by all),
+q as (select host, branch, list({{'b': b, 'm': m}} order by d) as path from (select distinct host, branch, d, branch[1:d] as above from c, range(0, {levels + 1}) t(d) where d <= len(branch)) join e using (host, above) group by all),
+v as (select host, segs, array_to_string(branch, '/') as template, coalesce(list_reduce(path, lambda up, x: (x.b + {PRIOR}::double * up) / (x.m + {PRIOR}::double), rate), rate) >= {PURITY}::double as reject from c left join q using (host, branch), rate)
 select page_id, host, path, found.rule as rule, coalesce(found.verdict, case when reject then 'block' else 'allow' end) as verdict, template from r join v using (host, segs)"""

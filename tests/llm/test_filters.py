@@ -75,6 +75,28 @@ def test_url_templates(spark):
     assert [got[i] for i in (80, 81, 82, 83)] == ["block", "allow", "allow", "block"] and len(got) == 84
 
 
+def test_smoothed_purity_by_hand(spark):
+    """Shares of a path, from all urls down: each node is smoothed by the one above."""
+    rules = [("block", "h.com", "/a/x"), ("allow", "h.com", "/a/y"), ("block", "g.com", "/b/x")]
+    urls = ["x://h.com/a/x"] * 12 + ["x://h.com/a/y"] * 4 + ["x://g.com/b/x"] * 30 + ["x://h.com/a/z", "x://h.com/c", "x://g.com/b/z", "x://g.com/c", "x://k.com/c"]
+    rate = 42 / 51
+    smooth = lambda b, m, up: (b + 4 * up) / (m + 4)
+    h, g = smooth(12, 16, rate), smooth(30, 30, rate)
+    # h.com: the parent's share, the host's; and the same of g.com
+    assert smooth(12, 16, h) < 0.8 and h < 0.8 and smooth(30, 30, g) >= 0.8 and g >= 0.8 and rate >= 0.8
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r["verdict"] for r in url_filter.filter_urls(df, rules).orderBy("page_id").collect()]
+    assert got[46:] == ["allow", "allow", "block", "block", "block"]  # g.com by its own share, k.com by that of all urls
+
+
+def test_block_rules_alone_leave_other_hosts_alone(spark):
+    """Examples of one kind only don't make every url look like them."""
+    urls = ["x://bad.com/p/1"] * 20 + [f"x://h{i % 7}.com/a/{i}" for i in range(80)] + ["x://bad.com/q", "x://h1.com/p/1"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r["verdict"] for r in url_filter.filter_urls(df, [("block", "bad.com", "/p/"), ("block", "h1.com", "/p/")]).orderBy("page_id").collect()]
+    assert got[:20] == ["block"] * 20 and got[20:100] == ["allow"] * 80 and got[100:] == ["block", "block"]
+
+
 def test_url_templates_of_any_depth(spark):
     """Variable nodes and merged branches five levels down, against SQL."""
     import duckdb

@@ -2,14 +2,14 @@
 
 A text is brought to a canonical form - lower case, copyright lines dropped,
 runs of letters and digits of any script as words, equivalent spellings
-unified word by word, one space between words - and its SHA-256 is hash-joined
+unified, one space between words, and a holder's name left out where texts have a place for one - and its SHA-256 is hash-joined
 to the digests of the known texts. These are the complete texts of
 ``license_texts`` beside this module, each with and without its title and with
 and without what follows its terms, and the one-line ``NOTICES``; the list is
 fixed, so the broadcast side has a proven size. ``notices`` lists the one-line
 notices that a text holds as whole lines, by the same digest.
 
-A copyright line names a year, a sign or a placeholder, or is just 'all rights
+A copyright line names a year, a sign or a placeholder at its beginning, ends in a year or in 'authors', or is just 'all rights
 reserved': a wrapped line of a licence that begins with the word stays. Null
 and empty texts, and texts without words, have the digest of the empty text and
 no licence; repeated rows are each looked up; a text of any length is read
@@ -26,11 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words that licence stewards treat as the same.
+#: The published list of words that licence matching treats as the same, each with the word that stands for both.
 SAME = {
-    "licence": "license", "licenced": "licensed", "licences": "licenses", "sublicence": "sublicense", "organisation": "organization",
-    "favour": "favor", "judgement": "judgment", "noninfringement": "non infringement", "wilful": "willful", "acknowledgement": "acknowledgment", "https": "http",
+    "acknowledgement": "acknowledgment", "acknowledgements": "acknowledgments", "analogue": "analog", "analyse": "analyze", "artefact": "artifact",
+    "authorisation": "authorization", "authorised": "authorized", "calibre": "caliber", "cancelled": "canceled", "capitalisations": "capitalizations",
+    "catalogue": "catalog", "categorise": "categorize", "centre": "center", "emphasised": "emphasized", "favour": "favor", "favourite": "favorite",
+    "fulfil": "fulfill", "fulfilment": "fulfillment", "https": "http", "initialise": "initialize", "judgement": "judgment", "labelling": "labeling",
+    "labour": "labor", "licence": "license", "licenced": "licensed", "licences": "licenses", "maximise": "maximize", "modelled": "modeled",
+    "modelling": "modeling", "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice",
+    "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sublicence": "sublicense", "utilisation": "utilization",
+    "whilst": "while", "wilful": "willful", "wilfull": "willful", "noncommercial": "non commercial", "noninfringement": "non infringement", "percent": "per cent",
 }
+#: The same of several words, on a text of words with one space between.
+PHRASES = {"sub license": "sublicense", "sub licensed": "sublicensed", "copyright owner": "copyright holder", "copyright owners": "copyright holders"}
+#: Where a text of words names its holder. What may stand there is left out.
+HOLDERS = [
+    (r"neither the name of .{1,200}? nor the names of (?:its|their) contributors", "neither the name of nor the names of its contributors"),
+    (r"this software is provided by .{1,200}? as is and", "this software is provided by as is and"),
+    (r"in no event shall .{1,200}? be liable", "in no event shall be liable"),
+]
 #: One-line notices. A notice names a licence and is not its text.
 NOTICES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -48,12 +62,24 @@ TITLES = {
     "Zlib": ["zlib License", "The zlib/libpng License"],
 }
 #: Lines that name a holder, and not the licence; on a lower-cased text.
-COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|<|\[)|\(c\)[ \t]*(?:copyright|[0-9]{4}|<|\[)|©)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+COPYRIGHT = (
+    r"(?m)^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|<|\[)|\(c\)[ \t]*(?:copyright|[0-9]{4}|<|\[)|©)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+    r"|^[^a-z0-9\n]*copyright[ \t][^\n]*[0-9]{4}[^a-z0-9\n]*$|^[^a-z0-9\n]*copyright[ \t][^\n]*[ \t]authors[^a-z0-9\n]*$"
+)
 DROP, WORD = re.compile(COPYRIGHT), re.compile(r"[^\W_]+")
 
 
+FIND = [(re.compile(p), w) for p, w in HOLDERS]
+
+
 def words_of(low: str) -> str:
-    return " ".join([SAME.get(w, w) for w in WORD.findall(low)])
+    """Words with equivalent spellings unified and holders left out."""
+    out = f" {' '.join([SAME.get(w, w) for w in WORD.findall(low)])} "
+    for a, b in PHRASES.items():
+        out = out.replace(f" {a} ", f" {b} ")
+    for pattern, with_ in FIND:
+        out = pattern.sub(with_, out)
+    return out[1:-1]
 
 
 def canonical(text: str) -> str:
@@ -111,7 +137,16 @@ def scan(docs: DataFrame, spark: SparkSession) -> DataFrame:
 def oracle() -> str:
     """The same as DuckDB SQL."""
     same = " ".join(f"when '{a}' then '{b}'" for a, b in SAME.items())
-    digest = lambda e: f"sha256(array_to_string(list_transform(regexp_extract_all({e}, '[\\p{{L}}\\p{{N}}]+'), lambda x: case x {same} else x end), ' '))"
+
+
+    def digest(e: str) -> str:
+        out = f"' ' || array_to_string(list_transform(regexp_extract_all({e}, '[\\p{{L}}\\p{{N}}]+'), lambda x: case x {same} else x end), ' ') || ' '"
+        for a, b in PHRASES.items():
+            out = f"replace({out}, ' {a} ', ' {b} ')"
+        for pattern, with_ in HOLDERS:
+            out = f"regexp_replace({out}, '{pattern}', '{with_}', 'g')"
+        return f"sha256(coalesce(substring({out}, 2, length({out}) - 2), ''))"
+
     rows = ", ".join(f"('{d}', '{n}')" for d, n in known_digests())
     one = ", ".join(f"('{d}', '{n}')" for d, n in sorted(notice_digests().items()))
     return f"""

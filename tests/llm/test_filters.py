@@ -547,6 +547,24 @@ def test_canonical_form_keeps_letters_of_all_scripts():
     assert len({h for h, _ in licenses.known_digests()}) == len(licenses.known_digests())
 
 
+def test_licences_with_other_words_and_holders():
+    texts = licenses.known_texts()
+    known = dict(licenses.known_digests())
+    name = lambda x: known.get(licenses.sha(licenses.canonical(x)))
+    mit, bsd = texts["MIT"], texts["BSD-3-Clause"]
+    for line in ("Copyright 2020 Jane Doe", "Copyright Jane Doe, 2020", "Copyright The X Authors.", "Copyright (c) X", "(c) 1999 Y. All rights reserved."):
+        assert name(line + "\n\n" + mit) == "MIT"
+    assert name(mit.replace("sublicense", "sub-license")) == "MIT"
+    assert "copyright holder" in bsd.lower()
+    for holder in ("Acme Corp.", "the University of X, Berkeley", "the copyright owner"):
+        other = re.sub("(?i)neither the name of the copyright holder", f"Neither the name of {holder}", " ".join(bsd.split()))
+        assert other != " ".join(bsd.split()) and name(other) == "BSD-3-Clause"
+    assert name(texts["Apache-2.0"].replace("authorized", "authorised").replace("copyright owner", "copyright holder")) == "Apache-2.0"
+    assert name(mit.replace("without restriction", "with restriction")) is None and name(bsd.replace("Neither", "Either")) is None
+    ids = [d for d, _ in licenses.known_digests()]
+    assert len(ids) == len(set(ids))
+
+
 def test_native_operators_run_no_python(spark):
     from gaugeframe.llm.queries import QUERIES
 

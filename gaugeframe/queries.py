@@ -905,6 +905,17 @@ def judge_by_language(spark, sf_dir):
     return judge.judge_by_language(j, ["grp"], ["en", "ko", "fr"]).select("grp", "lang", "n", F.round("judge_mean", 9).alias("judge_mean"), "error")
 
 
+@query(
+    f"""with m as (select model_id, task_id, metric, value, list_position(['accuracy', 'f1', 'macro_f1', 'tn', 'fp', 'fn', 'tp', 'n_unparsed', 'class_0', 'sfw', 'class_1', 'nsfw'], metric) as place from ({ORACLE["scored_labels"]}) where lang is null),
+r as (select *, row_number() over (partition by model_id, task_id order by place) as k from m)
+select model_id || '::' || task_id || '::full' as key, string_agg(metric || '=' || printf('%.3f', value), ', ' order by k) as cell from r where k <= 4 group by all"""
+)
+def quant_of_run(spark, sf_dir):
+    """The first four metrics of each cell of a run, of up to nine."""
+    s = scoring.label_scores(run_results(spark, sf_dir), scoring.LANGUAGES).where("lang is null")
+    return rank.quant_rows(s)
+
+
 # What the judge says about the answers of run_results: texts of judge_texts by (conv_id, turn); every fourth conversation's calls fail, those of TXT-5 for m1 only.
 JUDGED = "with " + TURNS[len("with ") :] + ", " + JUDGE[len("with ") :] + """, r as (select 'm' || (turn % 2) as model_id, conv_id, turn, conv_id * 100 + turn as sample_id, gold, case when conv_id % 2 = 0 then 'en' else 'ko' end as lang, case when conv_id % 9 = 0 then '' else trim(pred, ' \n') end as pred, score, conv_id % 4 = 0 as down
  from pairs join s using (conv_id, turn)),

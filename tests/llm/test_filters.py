@@ -1,3 +1,4 @@
+import math
 import random
 import time
 import re
@@ -571,3 +572,88 @@ def test_native_operators_run_no_python(spark):
     for name in ("op2_url_filter", "op6_mixing"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_terms_that_tell_are_those_of_plain_counts(spark):
+    """toxicity.learn's words, misspellings seen in clean texts and stems, counted by hand over the contexts of each label."""
+    rng = random.Random(21)
+    plain_words = [f"{a}{b}" for a in ("ner", "tol", "mip", "sav") for b in ("an", "eld", "ito", "usk", "orr")]
+    bad = ["grobnak", "SNARVIL", "vexxod"]
+    rows = []
+    for i in range(120):
+        y = i % 3 == 0
+        ws = [rng.choice(plain_words) for _ in range(rng.randrange(4, 14))]
+        for _ in range(rng.randrange(1, 4) if y else i % 20 == 1):
+            ws.insert(rng.randrange(len(ws) + 1), rng.choice(bad) + rng.choice(["", "", "ig", "ou"]))
+        if not y and i % 10 == 4:
+            ws.append("grobnac")  # one edit away, in clean texts
+        rows.append((i, " ".join(ws) + rng.choice(["", "!", ". "]), int(y)))
+    n = (sum(1 for r in rows if not r[2]), sum(1 for r in rows if r[2]))
+    contexts = {}
+    for _, text, y in rows:
+        runs = re.findall(rb"[a-z0-9\x80-\xff]+", text.lower().encode())
+        for j, w in enumerate(runs):
+            contexts.setdefault(w, set()).add((y, runs[j - 1] if j else None, runs[j + 1] if j + 1 < len(runs) else None))
+    counts = {w: (sum(y for y, *_ in c), sum(1 - y for y, *_ in c)) for w, c in contexts.items()}
+    odds = lambda t, c: math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
+    want = {w: odds(t, c) for w, (t, c) in counts.items() if len(w) >= 3 and t >= toxicity.SUPPORT and odds(t, c) >= toxicity.WORD_ODDS}
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, y int"), n[1] / len(rows), spark)
+    assert model["words"] == sorted(want) and b"grobnak" in want
+    assert model["word_odds"] == pytest.approx([want[w] for w in sorted(want)])
+    assert b"grobnac" in model["own_words"] and not model["own_words"] & set(want)
+    begins = {}
+    for w, (t, c) in counts.items():
+        if w not in want:
+            for k in range(toxicity.STEMS[0], min(len(w), toxicity.STEMS[-1]) + 1):
+                a, b = begins.get(w[:k], (0, 0))
+                begins[w[:k]] = (a + t, b + c)
+    stems = {}
+    for s, (t, c) in sorted(begins.items(), key=lambda x: (len(x[0]), x[0])):
+        if t >= toxicity.SUPPORT and odds(t, c) >= toxicity.STEM_ODDS and not any(s[:k] in stems for k in range(1, len(s))):
+            stems[s] = odds(t, c)
+    assert model["stems"] == sorted(stems) and (not stems or model["stem_odds"] == pytest.approx([stems[s] for s in sorted(stems)]))
+
+
+def test_gradients_of_the_quality_network(monkeypatch):
+    """The first step goes against the sign of each derivative; these are taken by differences of the loss."""
+    monkeypatch.setattr(quality, "STEPS", 1)
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=(60, 5)), np.log1p(rng.integers(1, 400, 60))])
+    y, w = (rng.random(60) < 0.4).astype(float), rng.random(60) + 0.1
+    net = quality.train(x, y, w)
+    base = (x[:, :-1] * w[:, None]).sum(axis=0) / w.sum()
+    z = quality.shrunk(x, base)
+    z = (z - z.mean(axis=0)) / (z.std(axis=0) + 1e-6)
+    fit = np.arange(60) % 5 != 0
+    z, y, w = z[fit], y[fit], w[fit] / w[fit].sum()
+    start = np.random.default_rng(7)
+    p = {"a": start.normal(0, 1 / np.sqrt(6), (6, quality.HIDDEN)), "b": np.zeros(quality.HIDDEN), "c": start.normal(0, 1 / np.sqrt(quality.HIDDEN), quality.HIDDEN), "d": np.zeros(1)}
+
+    def loss(p):
+        out = np.tanh(z @ p["a"] + p["b"]) @ p["c"] + p["d"]
+        return (w * np.logaddexp(0, np.where(y == 1, -out, out))).sum() + quality.DECAY / 20 * ((p["a"] ** 2).sum() + (p["c"] ** 2).sum())
+
+    seen = 0
+    for k in p:
+        for at in np.ndindex(p[k].shape):
+            up, down = ({**p, k: p[k].copy()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            slope = (loss(up) - loss(down)) / 2e-5
+            if abs(slope) > 1e-6:
+                assert net[k][at] - p[k][at] == pytest.approx(-quality.RATE * np.sign(slope), rel=1e-2)
+                seen += 1
+    assert seen > 150
+
+
+def test_temperature_is_the_one_with_the_least_held_loss():
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=(300, 4)), np.log1p(rng.integers(1, 400, 300))])
+    y = (x[:, 0] + rng.normal(size=300) > 0).astype(float)
+    w = np.ones(300)
+    net = quality.train(x, y, w)
+    held = np.arange(300) % 5 == 0
+    z = quality.shrunk(x, net["base"])[held]
+    loss = lambda t: np.logaddexp(0, np.where(y[held] == 1, -1, 1) * quality.logits(net | {"t": t}, z)).sum()
+    grid = np.geomspace(0.25, 8, 60)
+    assert net["t"] in grid and loss(net["t"]) == pytest.approx(min(map(loss, grid)))

@@ -7,6 +7,7 @@ resolved in text and values, and not in scripts and styles. What never ends - a
 
 from __future__ import annotations
 
+import hashlib
 import html
 import html.entities
 import json
@@ -65,9 +66,9 @@ def texts(toks: Column, raw: bool = True) -> Column:
 
 # ---- references to characters --------------------------------------------------------------------------------
 
-#: Names with what they stand for, those met most often first: a map is looked through from its beginning.
+#: Names, by a digest of one length, with what they stand for; those met most often first: a map is looked through from its beginning.
 _FIRST = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;")
-_NAMED = {f"&{n}": html.entities.html5[n] for n in (*_FIRST, *html.entities.html5) if n in html.entities.html5}
+_NAMED = {hashlib.md5(f"&{n}".encode()).hexdigest(): html.entities.html5[n] for n in (*_FIRST, *html.entities.html5)}
 #: Names that need no semicolon, longest first.
 _LOOSE = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 #: What numbers of control characters and the like stand for: the standard library's own rule, asked number by number.
@@ -94,7 +95,8 @@ def unescape(c: Column) -> Column:
 
     def name(p: Column) -> Column:
         begin = F.regexp_extract(p, loose, 0)
-        return F.coalesce(F.try_element_at(named, p), F.when(begin != "", F.concat(F.try_element_at(named, begin), F.substr(p, F.length(begin) + 1))), p)
+        known = lambda x: F.try_element_at(named, F.md5(F.encode(x, "UTF-8")))
+        return F.coalesce(known(p), F.when(begin != "", F.concat(known(begin), F.substr(p, F.length(begin) + 1))), p)
 
     one = lambda p: F.when(~p.startswith("&"), p).when(p.rlike("^&#(?:[0-9]|[xX][0-9a-fA-F])"), number(p)).otherwise(name(p))
     pieces = F.regexp_extract_all(c, F.lit(_PIECE), 0)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -322,6 +323,28 @@ def test_a_dense_group_of_vectors(spark):
     assert len(check_vectors(spark, check)) == 150 * 149 // 2
 
 
+def test_copies_of_points_come_in_bounded_batches():
+    """Vectors that go to every one of 256 cells are handed on a bounded number at a time."""
+    rows = 1000
+    v = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * 64), pa.array(np.ones(rows * 64, np.float32)))
+    one = pa.array(np.arange(rows))
+    b = pa.RecordBatch.from_arrays([one, one, one, one, v], ["label", "dim", "id", "copies", "v"])
+    at, cell = np.nonzero(np.ones((rows, 256), bool))
+    sizes = [(len(x), x.nbytes) for x in embedding_dedup.handed_on(b, at, cell, cell == 0)]
+    assert sum(n for n, _ in sizes) == rows * 256
+    assert max(n for n, _ in sizes) <= embedding_dedup.BATCH and max(m for _, m in sizes) < 4 << 20
+
+
+def test_pairs_at_the_threshold_are_decided_in_double(spark):
+    """Cosines that differ from the threshold by less than single precision tells."""
+    angle = np.arccos(0.93)
+    rows = []
+    for i, off in enumerate((-3e-7, -3e-6, -1e-5, 3e-7, 3e-6, 1e-5)):
+        rows += [(10 * i, [1.0, 0.0], i), (10 * i + 1, [float(np.cos(angle + off)), float(np.sin(angle + off))], i)]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), spark).collect()}
+    assert [got[10 * i] for i in range(6)] == [1, 1, 1, 0, 0, 0]
+
+
 def test_embedding_dedup_of_nothing(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), spark).count() == 0
     check_vectors(spark, [(1, None, 1)])

@@ -372,3 +372,20 @@ def test_scores_of_a_run(spark):
     }
     assert {k: got[k] for k in want} == want
     assert ("TXT-7", "ko", "f1") not in got
+
+
+def test_answers_are_scored_in_their_rows(spark):
+    """Scoring answers exchanges the sums of groups only, no texts and no tokens; scores are those of the short-text expressions."""
+    from gaugeframe.operators import scoring
+
+    said = ["a b b c", "", " \n", "b b b", "x y z a", None, "a-b. c!", "한국 a1"]
+    rows = [("m", t, "full", i, "ko" if i % 2 else "en", x, gold) for t in ("TXT-1", "TXT-5") for i, x in enumerate(said) for gold in (["b b a", "x y"], [None, "a b"], [])]
+    df = spark.createDataFrame(rows, "model_id string, task_id string, reasoning_mode string, sample_id int, lang string, model_output string, ref_text array<string>")
+    for scores in (scoring.qa_scores(df), scoring.summary_scores(df, ["en", "ko"])):
+        plan = scores._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate") <= 4 and "posexplode" not in plan and "explode_outer" not in plan
+    pairs = spark.createDataFrame([(x, y) for x in said for y in said], "a string, b string").na.fill("")
+    p, g = text.rouge_tokens(F.col("a")), text.rouge_tokens(F.col("b"))
+    got = pairs.select(text.rouge_of(p, g).alias("x"), *[text.rouge_n(F.col("a"), F.col("b"), n).alias(f"r{n}") for n in (1, 2)], text.rouge_l(F.col("a"), F.col("b")).alias("rl"), text.best_token_f1(text.tokens_space(F.col("a")), F.array(text.tokens_space(F.col("b")))).alias("f"), text.token_f1(F.col("a"), F.col("b")).alias("want")).collect()
+    for r in got:
+        assert tuple(r["x"]) == pytest.approx((r["r1"], r["r2"], r["rl"])) and r["f"] == pytest.approx(r["want"])

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_blank, normalize, py_strip
+from .text import is_blank, normalize, py_strip, single_spaces
 
 
 def stripped(c: Column) -> Column:
@@ -17,8 +17,8 @@ def stripped(c: Column) -> Column:
 
 def table_or_text(c: Column) -> Column:
     """The first table element, else the stripped text."""
-    found = F.regexp_extract(c, r"(?is)<table[^>]*>.*?</table>", 0)
-    return F.when(found != "", found).otherwise(py_strip(c))
+    found = F.regexp_extract_all(c, F.lit(r"(?is)<table[^>]*>.*?</table>"), 0)
+    return F.coalesce(F.get(found, F.lit(0)), py_strip(c))
 
 
 def _has(c: Column, *words: str) -> Column:
@@ -67,8 +67,9 @@ def person(c: Column) -> Column:
 
 def keyphrases(c: Column) -> Column:
     """Distinct normalised phrases between commas, semicolons and newlines."""
-    parts = F.split(F.translate(F.coalesce(c, F.lit("")), "\n;", ",,"), ",")
-    return F.array_distinct(F.filter(F.transform(parts, normalize), lambda x: x != ""))
+    # the whole text is normalised before it is cut
+    parts = F.split(single_spaces(F.lower(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(",")))), "[;,]")
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def keyphrase_list(c: Column) -> Column:
@@ -78,12 +79,12 @@ def keyphrase_list(c: Column) -> Column:
 
 def tags(c: Column) -> Column:
     """Distinct short tags from the first line that holds a colon on, that line included."""
-    lines = F.split(F.coalesce(c, F.lit("")), "\n")
+    lines = F.split(F.lower(F.coalesce(c, F.lit(""))), "\n")
     at = F.try_element_at(F.filter(F.transform(lines, lambda x, i: F.when(x.contains(":"), i + 1)), lambda x: x.isNotNull()), F.lit(1))
     lines = F.slice(lines, F.coalesce(at, F.lit(1)), F.size(lines))
-    items = F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, ","), lambda y: py_strip(F.lower(y)))))
-    words = lambda x: F.size(F.filter(F.split(x, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
-    items = F.filter(items, lambda x: (F.char_length(x) >= 2) & (words(x) <= 3))
+    items = F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, ","), lambda y: py_strip(y))))
+    many = r"(?U)^(?:[^\s\x1c-\x1f]++[\s\x1c-\x1f]++){3}"  # a stripped text of four words or more
+    items = F.filter(items, lambda x: (F.char_length(x) >= 2) & ~x.rlike(many))
     items = F.transform(items, lambda x: py_strip(F.regexp_replace(x, r"[.!?;:()]", "")))
     return F.array_distinct(F.filter(items, lambda x: x != ""))
 
@@ -113,7 +114,7 @@ def html_of_completion(c: Column) -> Column:
 def table_cells(html: Column) -> Column:
     """array<struct<r, c, txt>> of the non-empty td cells; th cells don't count, empty ones still take a column."""
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)
-    text = lambda x: py_strip(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]+>", ""), r"(?U)[\s\x1c-\x1f]+", " "))
+    text = lambda x: py_strip(single_spaces(F.regexp_replace(x, r"(?s)<[^>]+>", "")))
 
     def cells(row, r):
         found = F.regexp_extract_all(row, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1)

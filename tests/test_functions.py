@@ -103,3 +103,41 @@ def test_table_or_text(spark):
 def test_prompt_text(spark):
     got = spark.createDataFrame([(["a", "b"],), (["x" * 3000],)], "p array<string>").select(text.prompt_text(F.col("p"))).collect()
     assert got[0][0] == "a\nb" and got[1][0] == "x" * 2000 + "…"
+
+
+def test_texts_are_scored_as_their_tokens(spark):
+    """Every character of the first plane: blanks, lower case and tokens of the row functions are those of the expressions; no whitespace pattern is run over a text to strip it."""
+    every = ["".join(map(chr, range(i, i + 64))) + f" a{i} " for i in range(1, 0x10000, 64) if not 0xD7C0 <= i < 0xE000]
+    pairs = [(every[i], x) for i, x in enumerate(every[1:])] + [("a b b", "b B a"), ("", ""), ("한국 a1 x", "국 A1 x"), ("İK Kß a", "i̇k k a"), ("a\x1cb\x85c", "a b c")]
+    df = spark.createDataFrame([(i, *p, lang) for i, p in enumerate(pairs) for lang in ("ko", "en", None)], "i int, p string, g string, lang string")
+    p, g = F.lower("p"), F.lower("g")
+    tokens = lambda c: text.tokenize(F.col(c), F.col("lang"))
+    r = df.select(
+        text.rouge_of(p, g).alias("a"),
+        text.rouge_of(text.rouge_tokens(p), text.rouge_tokens(g)).alias("b"),
+        text.best_token_f1("p", F.array("g"), "lang").alias("c"),
+        text.best_token_f1(tokens("p"), F.array(tokens("g"))).alias("d"),
+    ).collect()
+    assert all(x["a"] == x["b"] and x["c"] == x["d"] for x in r) and {x["c"] for x in r} != {0.0}
+    assert one(spark, every, text.py_strip) == [x.strip() for x in every]
+    assert one(spark, every, lambda c: text.single_spaces(text.py_strip(c))) == [" ".join(x.split()) for x in every]
+    plan = df.select(text.py_strip(F.col("p")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+
+
+def test_phrases_and_tags_of_whole_texts(spark):
+    texts = ["A,\tb  C ;d\n\nB c;Σ ΑΣ\r\n ΑΣ", "x: One two three, one two three four\n a.b , ΑΣ;, q", "no colon\x1c\x1d tag , a　b c\x85d,zz", None, "", " , ;\n"]
+
+    def phrases(x):
+        parts = (" ".join(y.lower().split()) for y in (x or "").replace("\n", ",").replace(";", ",").split(","))
+        return [*dict.fromkeys(y for y in parts if y)]
+
+    def tags(x):
+        lines = (x or "").split("\n")
+        lines = lines[next((i for i, y in enumerate(lines) if ":" in y), 0) :]
+        items = (y.lower().strip() for line in lines for y in line.split(","))
+        kept = ("".join(c for c in y if c not in ".!?;:()").strip() for y in items if len(y) >= 2 and len(y.split()) <= 3)
+        return [*dict.fromkeys(y for y in kept if y)]
+
+    assert one(spark, texts, parsers.keyphrases) == [phrases(x) for x in texts]
+    assert one(spark, texts, parsers.tags) == [tags(x) for x in texts]
